@@ -1,0 +1,112 @@
+"""Synthetic edge tables, generated row by row from vertex ids.
+
+``vertices(v)`` holds the ids ``0 .. n-1`` (``spark.range(n)`` or the dense keys of a table); every random number is a hash
+of its labels. ``(graph_id, ...)`` parameters generate many graphs in one job, told apart by ``graph_id``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ripplenet.functions.hashing import uniform
+from ripplenet.operators.cleaning import clean_edges
+from ripplenet.operators.sampling import distinct_positions, explode_count
+
+ATTEMPTS = 64
+RMAT_A, RMAT_B, RMAT_C = 0.45, 0.15, 0.15  # fixed values of the published generator; d is the rest
+TWO_PI = 2 * math.pi
+
+
+def star_edges(vertices: DataFrame) -> DataFrame:
+    """Vertices ``1 .. n-1``, each pointing to 0."""
+    return vertices.where(F.col("v") > 0).select(F.col("v").cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"))
+
+
+def grid_edges(vertices: DataFrame, n: int) -> DataFrame:
+    """Square lattice of side floor(sqrt(n)), edges to the right and downward neighbour; cell (r, c) is r * side + c."""
+    side = math.isqrt(n)
+    v = F.col("v").cast("bigint")
+    right = F.when(v % side < side - 1, v + 1)
+    down = F.when(v + side < side * side, v + side)
+    cells = vertices.where(F.col("v") < side * side)
+    return cells.select(v.alias("src"), F.explode(F.array_compact(F.array(right, down))).alias("dst"))
+
+
+def _per_graph(vertices: DataFrame, graphs: Sequence[dict]) -> DataFrame:
+    """Every vertex once per graph, with the graph's parameters; the list of graphs is the caller's."""
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in g.items()]) for g in graphs])
+    return vertices.select(F.col("v").cast("bigint").alias("v"), F.explode(rows).alias("_g")).select("v", "_g.*")
+
+
+def lognormal_degrees(vertices: DataFrame, n: int, graphs: Sequence[dict]) -> DataFrame:
+    """Out-degrees ``(graph_id, v, n)``: floor(exp(mu + sigma Z)) with Z from Box-Muller, re-drawn until below ``n``.
+
+    ``graphs`` lists ``graph_id``, ``mu`` and ``sigma``. Attempts are made one after the other, so later hashes are computed
+    only for the few vertices that need them.
+    """
+    crossed = _per_graph(vertices, graphs)
+
+    def attempt(i: Column) -> Column:
+        label = [F.col("graph_id"), F.col("v"), i]
+        radius = F.sqrt(F.lit(-2.0) * F.ln(uniform("radius", *label)))
+        z = radius * F.cos(F.lit(TWO_PI) * uniform("angle", *label))
+        return F.floor(F.exp(F.col("mu") + F.col("sigma") * z)).cast("bigint")
+
+    none = F.lit(None).cast("bigint")
+    tries = F.sequence(F.lit(1), F.lit(ATTEMPTS))
+    # exp(...) < n exactly when its floor is below the integer n.
+    drawn = F.aggregate(tries, none, lambda acc, i: F.coalesce(acc, F.filter(F.array(attempt(i)), lambda x: x < n)[0]))
+    stop = F.raise_error(F.lit("lognormal degrees keep exceeding the number of vertices")).cast("bigint")
+    return crossed.select("graph_id", "v", F.coalesce(drawn, stop).alias("n"))
+
+
+def lognormal_edges(vertices: DataFrame, n: int, graphs: Sequence[dict]) -> DataFrame:
+    """``(graph_id, src, dst)``: each vertex with its lognormal number of distinct random targets other than itself."""
+    requests = lognormal_degrees(vertices, n, graphs).select(
+        "graph_id", F.col("v").alias("src"), "n", F.lit(n - 1).cast("bigint").alias("total")
+    )
+    targets = distinct_positions(requests, ["graph_id", "src"], "target")
+    # Positions number the n - 1 other vertices.
+    dst = F.when(F.col("pos") < F.col("src"), F.col("pos")).otherwise(F.col("pos") + 1)
+    return targets.select("graph_id", "src", dst.alias("dst"))
+
+
+def rmat_edges(vertices: DataFrame, n: int, graphs: Sequence[dict]) -> DataFrame:
+    """``(graph_id, src, dst)``: ``density`` edges per vertex, each id built bit by bit from random quadrants.
+
+    ``graphs`` lists ``graph_id`` and ``density``. Ids run below the next power of two. Repeats and self loops stay.
+    """
+    bits = max(1, math.ceil(math.log2(n)))
+    draws = explode_count(_per_graph(vertices, graphs), "density", "j")
+    levels = F.sequence(F.lit(0), F.lit(bits - 1))
+
+    def ends(acc: Column, bit: Column) -> Column:
+        u = uniform("quadrant", F.col("graph_id"), F.col("v"), F.col("j"), bit)
+        src = (u >= RMAT_A + RMAT_B).cast("bigint")
+        dst = (((u >= RMAT_A) & (u < RMAT_A + RMAT_B)) | (u >= RMAT_A + RMAT_B + RMAT_C)).cast("bigint")
+        return F.struct((acc["src"] * 2 + src).alias("src"), (acc["dst"] * 2 + dst).alias("dst"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"))
+    edge = draws.select("graph_id", F.aggregate(levels, zero, ends).alias("e"))
+    return edge.select("graph_id", "e.src", "e.dst")
+
+
+def synth_edges(kind: str, vertices: DataFrame, n: int, clean: bool = True, **options: float) -> DataFrame:
+    """One synthetic edge table by name, ``(src, dst)``; ``clean`` removes self loops, repeats and direction."""
+    if kind == "star":
+        edges = star_edges(vertices)
+    elif kind == "grid":
+        edges = grid_edges(vertices, n)
+    elif kind == "lognormal":
+        graph = {"graph_id": 0, "mu": float(options.get("mu", 4.0)), "sigma": float(options.get("sigma", 1.3))}
+        edges = lognormal_edges(vertices, n, [graph]).select("src", "dst")
+    elif kind == "rmat":
+        edges = rmat_edges(vertices, n, [{"graph_id": 0, "density": int(options["density"])}]).select("src", "dst")
+    else:
+        raise ValueError(f"unknown synthetic network {kind!r}")
+    return clean_edges(edges) if clean else edges
