@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ripplenet.functions.hashing import draw_below
 from ripplenet.functions.weights import WEIGHT_SCALE, inverse_weight
 from ripplenet.operators.lookup import cumulative, cumulative_lookup
+from ripplenet.operators.ordering import ordered_running
 from ripplenet.operators.sampling import explode_count
 from ripplenet.operators.statistics import median_by_counts, percentile_of_array
 
@@ -67,9 +68,12 @@ def candidate_groups(
 
 
 def inverse_weights(candidates: DataFrame, scale: int = WEIGHT_SCALE) -> DataFrame:
-    """Cumulative inverse-value weights of single candidates ``(run_id, wave, v, k, m)`` in vertex order."""
+    """Running inverse-value weights ``hi`` of single candidates ``(run_id, wave, v, k, m)`` in vertex order.
+
+    This is the uncollapsed list, as long as the sample, so it is summed up in slices.
+    """
     weighted = candidates.withColumn("weight", inverse_weight(F.col("k"), scale) * F.col("m"))
-    return cumulative(weighted, RUN_WAVE, ["v"], "weight")
+    return ordered_running(weighted, RUN_WAVE, ["v"], sums={"hi": "weight"})
 
 
 def with_group_weights(groups: DataFrame, scale: int = WEIGHT_SCALE) -> DataFrame:
