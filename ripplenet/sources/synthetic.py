@@ -60,7 +60,7 @@ def lognormal_degrees(vertices: DataFrame, n: int, graphs: Sequence[dict]) -> Da
     none = F.lit(None).cast("bigint")
     tries = F.sequence(F.lit(1), F.lit(ATTEMPTS))
     # exp(...) < n exactly when its floor is below the integer n.
-    drawn = F.aggregate(tries, none, lambda acc, i: F.coalesce(acc, F.filter(F.array(attempt(i)), lambda x: x < n)[0]))
+    drawn = F.aggregate(tries, none, lambda acc, i: F.coalesce(acc, F.get(F.filter(F.array(attempt(i)), lambda x: x < n), F.lit(0))))
     stop = F.raise_error(F.lit("lognormal degrees keep exceeding the number of vertices")).cast("bigint")
     return crossed.select("graph_id", "v", F.coalesce(drawn, stop).alias("n"))
 

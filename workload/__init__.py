@@ -1,5 +1,5 @@
 """The registered queries: library calls over the given tables, each beside the SQL that checks it."""
 
-from workload import structure
+from workload import sampling, structure
 
-MODULES = (structure,)
+MODULES = (structure, sampling)
