@@ -65,10 +65,9 @@ def wave_edges(spark, d):
 
 
 def _links_and_seeds(spark, d):
-    """Directed event links; seeds are the users of the ten earliest sign-ups (a top-n of the table)."""
-    events = inp.table(spark, d, "events")
-    first = events.where(F.col("event_type") == "signup").orderBy("ts", "event_id").limit(10)
-    return inp.event_links(spark, d), first.select(F.col("user_id").alias("v")).distinct()
+    """Directed event links and ten sampled users as seeds."""
+    users = inp.table(spark, d, "events").select(F.col("user_id").alias("v")).distinct()
+    return inp.event_links(spark, d), sampling.sample_exact(users, "v", 10, "snowball")
 
 
 def snowball(spark, d):
@@ -323,8 +322,7 @@ WEIGHTED = f"""{inp.EVENT_LINKS}, pairs AS (SELECT least(src, dst) src, greatest
 MUTUAL = f"""{inp.EVENT_LINKS}, u AS (SELECT DISTINCT src, dst FROM links),
   edges AS (SELECT a.src, a.dst FROM u a JOIN u b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst), {inp.DEGREES}"""
 
-FIRST_USERS = """first_users AS (SELECT DISTINCT user_id v FROM
-    (SELECT user_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 10)),
+FIRST_USERS = """first_users AS (SELECT v FROM (SELECT DISTINCT user_id v FROM events) ORDER BY md5('snowball|' || v), v LIMIT 10),
   pals AS (SELECT DISTINCT dst v FROM links WHERE src IN (SELECT v FROM first_users))"""
 
 
