@@ -21,6 +21,7 @@ from ripplenet.operators.lookup import cumulative, cumulative_lookup
 from ripplenet.operators.ordering import ordered_running
 from ripplenet.operators.sampling import explode_count
 from ripplenet.operators.statistics import median_by_counts, percentile_of_array
+from ripplenet.storage import shuffle_width
 
 RUN_WAVE = ["run_id", "wave"]
 CELL_VALUES = 1024
@@ -249,7 +250,7 @@ def bootstrap_multinomial(
             F.transform("_seeds", lambda s: s["k"]).alias("seed_k"),
             F.transform("_seeds", lambda s: s["n"]).alias("seed_n"),
         )
-        .repartition(*RUN_WAVE, "cell", "first_rep")
+        .repartition(shuffle_width(groups.sparkSession), *RUN_WAVE, "cell", "first_rep")
     )
     schema = (
         "run_id bigint, wave int, rep int, cand_sum double, seed_sum double, seed_zeros bigint, n_seeds bigint, n bigint"

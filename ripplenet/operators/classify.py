@@ -27,7 +27,7 @@ def fit_labels(training: DataFrame, trees: int = TREES, seed: int = 1) -> Pipeli
         inputCol="features", outputCol="indexedFeatures", maxCategories=MAX_CATEGORIES, handleInvalid="keep"
     )
     forest = RandomForestClassifier(
-        labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=trees, maxBins=64, seed=seed
+        labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=trees, seed=seed
     )
     decode = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=labels.labels)
     return Pipeline(stages=[labels, features, forest, decode]).fit(training)

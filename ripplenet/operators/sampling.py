@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplenet.functions.hashing import draw_below, hash_int
 from ripplenet.operators.ordering import ordered_running
+from ripplenet.storage import materialize, shuffle_width
 
-# Fixed shape of a draw sequence: 2n + 40 hashed positions, then n consecutive ones that make n distinct certain.
-EXTRA_DRAWS = 40
-DRAWS_PER_TASK = 65_536
+# Draws beyond n that make a shortage of distinct positions unlikely; see _sized for the part that grows with n.
+EXTRA_DRAWS = 16
+DRAWS_PER_TASK = 16_384
+ROW_DRAWS = 1_000_000
 TOP_N = 100_000
 
 
@@ -33,54 +35,90 @@ def sample_exact(df: DataFrame, key: str, n: int, label: str = "0") -> DataFrame
 
 
 def explode_count(df: DataFrame, count: str, name: str, chunk: int = DRAWS_PER_TASK) -> DataFrame:
-    """Repeat every row ``count`` times with ``name`` = 1..count; long repeats are dealt out to many tasks."""
+    """Repeat every row ``count`` times with ``name`` = 1..count, long repeats dealt out over all tasks.
+
+    The partition number is explicit: the rows are few and small before they are repeated, and adaptive execution would
+    otherwise merge them into one task.
+    """
     chunks = df.where(F.col(count) > 0).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / F.lit(chunk))))
     )
-    spread = chunks.repartition(*[c for c in df.columns], "_chunk")
+    spread = chunks.repartition(shuffle_width(df.sparkSession), *df.columns, "_chunk")
     first = F.col("_chunk") * chunk + 1
     last = F.least(F.col(count).cast("bigint"), (F.col("_chunk") + 1) * chunk)
     return spread.withColumn(name, F.explode(F.sequence(first, last))).drop("_chunk")
 
 
-def distinct_positions(requests: DataFrame, keys: Sequence[str], kind: str, bounded: bool = True) -> DataFrame:
+def _sized(requests: DataFrame) -> DataFrame:
+    """Cap ``n``, and decide whether to draw the sample or its complement, and how many hashed draws that takes."""
+    capped = requests.withColumn("n", F.least("n", "total").cast("bigint")).withColumn(
+        "_few", F.col("n") * 2 <= F.col("total")
+    )
+    sized = capped.withColumn("_want", F.when(F.col("_few"), F.col("n")).otherwise(F.col("total") - F.col("n")))
+    want = F.col("_want")
+    return sized.withColumn("_hashed", want + EXTRA_DRAWS + 2 * F.floor(want * want / F.greatest("total", F.lit(1))))
+
+
+def distinct_positions(requests: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     """``n`` distinct positions below ``total`` per request ``(keys, n, total)``: ``(keys, ord, pos)``.
 
     Draws are taken in order and repeats dropped, which is simple random sampling without replacement. Above half of
-    the table the drawn positions are the ones left out, so the work stays proportional to the sample. ``bounded``
-    says that a request fits one task; otherwise the draws are ranked by ``ordered_running``.
+    the table the drawn positions are the ones left out, so the work stays proportional to the sample. Should the
+    hashed draws not suffice, the smallest unused positions complete the sample.
+
+    A request is one row and its sample is drawn inside it, without any shuffle; ``large_distinct_positions`` takes the
+    requests of more than ``ROW_DRAWS`` positions.
     """
     keys = list(keys)
-    capped = requests.withColumn("n", F.least("n", "total").cast("bigint")).withColumn(
-        "_few", F.col("n") * 2 <= F.col("total")
+    labels = [F.col(k) for k in keys]
+    sized = _sized(requests)
+    want = F.col("_want").cast("int")
+    hashed = F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.col("_hashed")), lambda j: draw_below(F.col("total"), *labels, kind, j)
     )
-    sized = capped.withColumn("_want", F.when(F.col("_few"), F.col("n")).otherwise(F.col("total") - F.col("n")))
-    sized = sized.withColumn("_hashed", F.col("_want") * 2 + EXTRA_DRAWS).withColumn(
+    unique = F.array_distinct(hashed)
+    enough = F.when(F.size(unique) >= want, unique).otherwise(
+        F.array_distinct(F.concat(unique, F.sequence(F.lit(0).cast("bigint"), F.col("_want") - 1)))
+    )
+    drawn = sized.withColumn("_chosen", F.when(want > 0, F.slice(enough, F.lit(1), want)).otherwise(F.array().cast("array<bigint>")))
+    others = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1), F.col("_chosen"))
+    keyed = F.transform(others, lambda p: F.struct(hash_int(*labels, kind, F.lit("order"), p).alias("h"), p.alias("p")))
+    rest = F.transform(F.array_sort(keyed), lambda e: e["p"])
+    positions = F.when(F.col("_few"), F.col("_chosen")).otherwise(rest)
+    placed = drawn.select(*keys, F.posexplode(positions).alias("_at", "pos"))
+    return placed.select(*keys, (F.col("_at") + 1).cast("bigint").alias("ord"), "pos")
+
+
+def large_distinct_positions(requests: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+    """``distinct_positions`` for requests of any size: the same positions from exploded draws and distributed ranks."""
+    keys = list(keys)
+    labels = [F.col(k) for k in keys]
+    sized = _sized(requests).withColumn(
         "_draws", F.when(F.col("_want") > 0, F.col("_hashed") + F.col("_want")).otherwise(F.lit(0))
     )
     draws = explode_count(sized, "_draws", "j")
-    hashed = draw_below(F.col("total"), *[F.col(k) for k in keys], kind, F.col("j"))
+    hashed = draw_below(F.col("total"), *labels, kind, F.col("j"))
     pos = F.when(F.col("j") <= F.col("_hashed"), hashed).otherwise(F.col("j") - F.col("_hashed") - 1)
-    first = draws.withColumn("pos", pos).groupBy(*keys, "pos").agg(
-        F.min("j").alias("j"), F.first("_want").alias("_want"), F.first("_few").alias("_few")
-    )
-    if bounded:
-        ranked = first.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("j")).cast("bigint"))
-    else:
-        ranked = ordered_running(first, keys, ["j"], rank="ord")
+    first = draws.withColumn("pos", pos).groupBy(*keys, "pos", "_want", "_few").agg(F.min("j").alias("j"))
+    ranked = ordered_running(first, keys, ["j"], rank="ord")
     chosen = ranked.where(F.col("ord") <= F.col("_want"))
     taken = chosen.where("_few").select(*keys, "ord", "pos")
 
-    many = sized.where(~F.col("_few"))
-    everything = explode_count(many, "total", "_at").select(*keys, (F.col("_at") - 1).alias("pos"))
-    rest = everything.join(chosen.where(~F.col("_few")).select(*keys, "pos"), [*keys, "pos"], "left_anti")
-    shuffled = rest.withColumn("_h", hash_int(*[F.col(k) for k in keys], kind, "order", F.col("pos")))
-    if bounded:
-        order = Window.partitionBy(*keys).orderBy("_h", "pos")
-        rest = shuffled.withColumn("ord", F.row_number().over(order).cast("bigint"))
-    else:
-        rest = ordered_running(shuffled, keys, ["_h", "pos"], rank="ord")
-    return taken.unionByName(rest.select(*keys, "ord", "pos"))
+    everything = explode_count(sized.where(~F.col("_few")), "total", "_at")
+    rest = everything.select(*keys, (F.col("_at") - 1).alias("pos")).join(
+        chosen.where(~F.col("_few")).select(*keys, "pos"), [*keys, "pos"], "left_anti"
+    )
+    shuffled = rest.withColumn("_h", hash_int(*labels, kind, F.lit("order"), F.col("pos")))
+    ordered = ordered_running(shuffled, keys, ["_h", "pos"], rank="ord")
+    return taken.unionByName(ordered.select(*keys, "ord", "pos"))
+
+
+def sample_positions(requests: DataFrame, keys: Sequence[str], kind: str, row_draws: int = ROW_DRAWS) -> DataFrame:
+    """``distinct_positions`` where sizes come from the data: requests too large for a row are drawn apart."""
+    sized = materialize(requests, "requests")
+    drawn = distinct_positions(sized.where(F.col("n") <= row_draws), keys, kind)
+    large = sized.where(F.col("n") > row_draws)
+    return drawn if large.isEmpty() else drawn.unionByName(large_distinct_positions(large, keys, kind))
 
 
 def positions_of(population: DataFrame) -> DataFrame:
@@ -93,7 +131,7 @@ def choose_seeds(frame: DataFrame, runs: DataFrame) -> DataFrame:
     """Random seeds of ``runs(run_id, graph_id, n)`` over ``frame(graph_id, v, pos)``: ``(run_id, ord, v)``.
 
     ``ord`` is the draw order, so the seeds of a smaller count are the prefix ``ord <= count``. Seed counts are run
-    parameters, so one run's draws fit one task.
+    parameters, so one run's draws fit one row.
     """
     sizes = frame.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
     requests = runs.select("run_id", "graph_id", "n").join(sizes, "graph_id")

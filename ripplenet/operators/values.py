@@ -64,8 +64,7 @@ def keyword_values(texts: DataFrame, members: DataFrame, words: Sequence[str]) -
     """
     listed = clean_keywords(words)
     hits = F.size(F.filter(profile_tokens(F.col("text")), lambda t: t.isin(listed)))
-    counted = texts.select("v", hits.alias("hits")).where(F.col("hits") > 0)
-    found = counted.groupBy("v").agg((F.sum("hits") + 1).alias("k"))
+    found = texts.select("v", hits.alias("hits")).groupBy("v").agg((F.sum("hits") + 1).alias("k"))
     return with_default(found, members)
 
 

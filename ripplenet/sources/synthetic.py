@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ripplenet.functions.hashing import uniform
 from ripplenet.operators.cleaning import clean_edges
-from ripplenet.operators.sampling import distinct_positions, explode_count
+from ripplenet.operators.sampling import explode_count, sample_positions
 
 ATTEMPTS = 64
 RMAT_A, RMAT_B, RMAT_C = 0.45, 0.15, 0.15  # fixed values of the published generator; d is the rest
@@ -70,7 +70,7 @@ def lognormal_edges(vertices: DataFrame, n: int, graphs: Sequence[dict]) -> Data
     requests = lognormal_degrees(vertices, n, graphs).select(
         "graph_id", F.col("v").alias("src"), "n", F.lit(n - 1).cast("bigint").alias("total")
     )
-    targets = distinct_positions(requests, ["graph_id", "src"], "target")
+    targets = sample_positions(requests, ["graph_id", "src"], "target")
     # Positions number the n - 1 other vertices.
     dst = F.when(F.col("pos") < F.col("src"), F.col("pos")).otherwise(F.col("pos") + 1)
     return targets.select("graph_id", "src", dst.alias("dst"))

@@ -29,7 +29,7 @@ def topic_values(spark, d):
 
 def keyword_values(spark, d):
     docs = inp.table(spark, d, "documents")
-    texts = docs.select(F.col("source").alias("v"), "text")
+    texts = inp.spread(docs.select(F.col("source").alias("v"), "text"))
     return values.keyword_values(texts, docs.select(F.col("source").alias("v")).distinct(), KEYWORDS)
 
 

@@ -58,8 +58,17 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("topic"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that lies in fewer files than there are cores, for work that is heavy per row.
+
+    A large table has more files than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("v"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("v"), "text"))
 
 
 # Fixed value: a short stop-word list that occurs in the given texts.
@@ -102,11 +111,11 @@ def positions_sql(requests: str, keys: str, kind: str, name: str = "drawn") -> s
     h = hash_sql(*keys.split(", "), f"'{kind}'", "j")
     order = hash_sql(*keys.split(", "), f"'{kind}'", "'order'", "pos")
     return f"""
-{name}_sized AS (SELECT {keys}, total, n * 2 <= total few, CASE WHEN n * 2 <= total THEN n ELSE total - n END want
-  FROM (SELECT {keys}, least(n, total) n, total FROM {requests})),
-{name}_draws AS (SELECT {keys}, want, few,
-    CASE WHEN j <= 2 * want + 40 THEN {h} % total ELSE j - (2 * want + 40) - 1 END pos, j
-  FROM {name}_sized s, unnest(range(1, s.want * 3 + 41)) t(j) WHERE want > 0),
+{name}_sized AS (SELECT *, want + 16 + 2 * (want * want // greatest(total, 1)) hashed FROM
+  (SELECT {keys}, total, n * 2 <= total few, CASE WHEN n * 2 <= total THEN n ELSE total - n END want
+    FROM (SELECT {keys}, least(n, total) n, total FROM {requests}))),
+{name}_draws AS (SELECT {keys}, want, few, CASE WHEN j <= hashed THEN {h} % total ELSE j - hashed - 1 END pos, j
+  FROM {name}_sized s, unnest(range(1, s.hashed + s.want + 1)) t(j) WHERE want > 0),
 {name}_first AS (SELECT {keys}, pos, min(j) j, any_value(want) want, any_value(few) few FROM {name}_draws GROUP BY {keys}, pos),
 {name}_ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY j) ord FROM {name}_first),
 {name}_chosen AS (SELECT * FROM {name}_ranked WHERE ord <= want),
