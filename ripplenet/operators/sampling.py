@@ -114,8 +114,11 @@ def large_distinct_positions(requests: DataFrame, keys: Sequence[str], kind: str
 
 
 def sample_positions(requests: DataFrame, keys: Sequence[str], kind: str, row_draws: int = ROW_DRAWS) -> DataFrame:
-    """``distinct_positions`` where sizes come from the data: requests too large for a row are drawn apart."""
-    sized = materialize(requests, "requests")
+    """``distinct_positions`` where sizes come from the data: requests too large for a row are drawn apart.
+
+    Requests are short rows that grow into many, so they are dealt out by number, not by size.
+    """
+    sized = materialize(requests, "requests").repartition(shuffle_width(requests.sparkSession), *keys)
     drawn = distinct_positions(sized.where(F.col("n") <= row_draws), keys, kind)
     large = sized.where(F.col("n") > row_draws)
     return drawn if large.isEmpty() else drawn.unionByName(large_distinct_positions(large, keys, kind))

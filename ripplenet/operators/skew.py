@@ -11,8 +11,8 @@ HOT_KEY_LIMIT = 1024
 ROWS_PER_SALT = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """``(key, n_salt)`` for the keys of ``df`` that need splitting; ``rows`` is the row count of ``df``.
+def hot_keys(df: DataFrame, key: str, rows: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:
+    """``(key, n_salt)`` for the keys of ``df`` that need splitting, or None; ``rows`` is the row count of ``df``.
 
     The counts are combined map-side before the shuffle. No key can be hot in a table of ``rows_per_salt`` rows.
     """
@@ -21,16 +21,15 @@ def hot_keys(df: DataFrame, key: str, rows: int, rows_per_salt: int = ROWS_PER_S
 
 def hot_counts(
     counts: DataFrame, key: str, count: str, rows: int, rows_per_salt: int = ROWS_PER_SALT
-) -> DataFrame:
+) -> DataFrame | None:
     """``hot_keys`` of a table whose keys are counted already; ``rows`` is the sum of the counts."""
-    spark = counts.sparkSession
-    schema = f"{key} {counts.schema[key].dataType.simpleString()}, n_salt int"
     floor = max(rows_per_salt, rows // HOT_KEY_LIMIT)
     if rows <= floor:
-        return spark.createDataFrame([], schema)
+        return None
     n_salt = F.ceil(F.col(count) / F.lit(floor)).cast("int")
-    found = counts.where(F.col(count) > floor).select(key, n_salt.alias("n_salt")).collect()
-    return spark.createDataFrame([tuple(r) for r in found], schema)
+    found = counts.where(F.col(count) > floor).select(key, n_salt.alias("n_salt"))
+    listed = found.collect()  # fewer than HOT_KEY_LIMIT rows
+    return counts.sparkSession.createDataFrame([tuple(r) for r in listed], found.schema) if listed else None
 
 
 def add_salt(df: DataFrame, key: str, salts: DataFrame, spread_by: str) -> DataFrame:
@@ -50,8 +49,10 @@ def repeat_per_salt(df: DataFrame, key: str, salts: DataFrame) -> DataFrame:
     )
 
 
-def join_split(many: DataFrame, few: DataFrame, key: str, salts: DataFrame, spread_by: str) -> DataFrame:
+def join_split(many: DataFrame, few: DataFrame, key: str, salts: DataFrame | None, spread_by: str) -> DataFrame:
     """Inner join of a large table to one row per key, the hot keys of the large side split over their salts."""
+    if salts is None:
+        return many.join(few, key)
     return (
         add_salt(many, key, salts, spread_by)
         .join(repeat_per_salt(few, key, salts), [key, "salt"])

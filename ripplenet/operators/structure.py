@@ -53,7 +53,7 @@ def common_neighbours(edges: DataFrame, values: DataFrame, n_edges: int, rows_pe
     hubs = hot_counts(values.select("v", "k"), "v", "k", 2 * n_edges, rows_per_salt)
     ranked = edges
     for end, other in (("src", "dst"), ("dst", "src")):
-        salts = hubs.withColumnRenamed("v", end)
+        salts = hubs and hubs.withColumnRenamed("v", end)
         ranked = join_split(ranked, values.select(F.col("v").alias(end), F.col("k").alias(f"k_{end}")), end, salts, other)
     up = F.struct("k_src", "src") < F.struct("k_dst", "dst")
     arrows = ranked.select(
@@ -65,7 +65,7 @@ def common_neighbours(edges: DataFrame, values: DataFrame, n_edges: int, rows_pe
     # Many edges may point at one vertex, so the side keyed by the target is the one to split.
     mine = lists.select("a", "out", F.explode("out").alias("b"))
     theirs = lists.select(F.col("a").alias("b"), F.col("out").alias("out_b"))
-    met = join_split(mine, theirs, "b", hubs.withColumnRenamed("v", "b"), "a")
+    met = join_split(mine, theirs, "b", hubs and hubs.withColumnRenamed("v", "b"), "a")
     third = met.withColumn("c", F.explode(F.array_intersect("out", "out_b")))
     sides = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ("ab", "ac", "bc")])
     each = third.select(F.explode(sides).alias("s"))
@@ -86,7 +86,7 @@ def embeddedness(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFr
     hubs = hot_counts(values, "v", "k", 2 * n_edges, rows_per_salt)
     sized = shared
     for end, other in (("src", "dst"), ("dst", "src")):
-        salts = hubs.withColumnRenamed("v", end)
+        salts = hubs and hubs.withColumnRenamed("v", end)
         sized = join_split(sized, values.select(F.col("v").alias(end), F.col("k").alias(f"k_{end}")), end, salts, other)
     rest = F.col("k_src") + F.col("k_dst") - F.col("common") - 2
     term = F.when(rest != 0, F.col("common") / rest).otherwise(F.lit(0.0))

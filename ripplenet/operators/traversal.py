@@ -30,8 +30,8 @@ class Adjacency:
     """Both directions of an undirected edge table, split at hubs and laid out for repeated joins on ``src``."""
 
     pairs: DataFrame  # src, dst[, w]: each edge once
-    edges: DataFrame  # src, dst, salt[, w]: both directions
-    salts: DataFrame  # src, n_salt: hubs only
+    edges: DataFrame  # src, dst[, salt][, w]: both directions
+    salts: DataFrame | None  # src, n_salt: hubs only
 
 
 def build_adjacency(
@@ -39,21 +39,26 @@ def build_adjacency(
 ) -> Adjacency:
     """Write the adjacency table of a de-duplicated undirected edge table ``(src, dst[, w])``.
 
-    Bucketed on (src, salt): every later round joins it where it lies, and a hub spreads over many buckets.
+    Bucketed on ``src``, or on (src, salt) if there are hubs: every later round joins it where it lies, and a hub spreads
+    over many buckets.
     """
     weight = [c for c in edges.columns if c == "w"]
     pairs = materialize(edges.select("src", "dst", *weight), "edges")
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *weight))
     salts = hot_keys(both, "src", 2 * pairs.count(), rows_per_salt)
-    salted = add_salt(both, "src", salts, spread_by="dst")
     width = buckets or shuffle_width(edges.sparkSession)
+    if salts is None:
+        return Adjacency(pairs, materialize_bucketed(both, ["src"], width, "adjacency"), None)
+    salted = add_salt(both, "src", salts, spread_by="dst")
     return Adjacency(pairs, materialize_bucketed(salted, ["src", "salt"], width, "adjacency"), salts)
 
 
 def neighbours_of(adj: Adjacency, vertices: DataFrame) -> DataFrame:
     """Join ``vertices(v, ...)`` to their edges; adds ``dst`` (and ``w``). The vertex column becomes ``src``."""
-    ends = repeat_per_salt(vertices.withColumnRenamed("v", "src"), "src", adj.salts)
-    return ends.join(adj.edges, ["src", "salt"]).drop("salt")
+    ends = vertices.withColumnRenamed("v", "src")
+    if adj.salts is None:
+        return ends.join(adj.edges, "src")
+    return repeat_per_salt(ends, "src", adj.salts).join(adj.edges, ["src", "salt"]).drop("salt")
 
 
 def _check_wave(max_wave: int) -> None:
