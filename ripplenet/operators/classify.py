@@ -34,9 +34,9 @@ def fit_labels(training: DataFrame, trees: int = TREES, seed: int = 1) -> Pipeli
 
 
 def train_and_score(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows labelled 0 or 1 train; all others are to be scored."""
-    known = F.col("label").isin(0, 1)
-    return rows.where(known), rows.where(~known | F.col("label").isNull())
+    """Rows labelled 0 or 1 train; all others are to be scored and lose their label, which the indexer would reject."""
+    known = F.coalesce(F.col("label").isin(0, 1), F.lit(False))
+    return rows.where(known), rows.where(~known).drop("label")
 
 
 def prediction_table(scored: DataFrame, kept: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -93,20 +93,20 @@ def gini(df: DataFrame, group: Sequence[str], measures: dict[str, Column], bound
     ones add x (c r + c (c + 1) / 2) to the ranked sum.
     """
     group = list(group)
-    pairs = F.array(*[F.struct(F.lit(n).alias("measure"), e.cast("double").alias("x")) for n, e in measures.items()])
-    long = df.select(*group, F.explode(pairs).alias("_p")).select(*group, "_p.measure", "_p.x")
-    by = [*group, "measure"]
-    counts = long.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
-    ranked = _running(counts, by, "x", {"upto": "c"}, bounded)
-    c, before = F.col("c"), F.col("upto") - F.col("c")
+    pairs = F.array(*[F.struct(F.lit(n).alias("_measure"), e.cast("double").alias("_x")) for n, e in measures.items()])
+    long = df.select(*group, F.explode(pairs).alias("_p")).select(*group, "_p._measure", "_p._x")
+    by = [*group, "_measure"]
+    counts = long.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = _running(counts, by, "_x", {"_upto": "_c"}, bounded)
+    x, c, before = F.col("_x"), F.col("_c"), F.col("_upto") - F.col("_c")
     sums = ranked.groupBy(*by).agg(
-        F.sum("c").alias("n"),
-        F.sum(F.col("x") * c).alias("total"),
-        F.sum(F.col("x") * (c * before + c * (c + 1) / 2)).alias("ranked"),
+        F.sum(c).alias("_n"),
+        F.sum(x * c).alias("_total"),
+        F.sum(x * (c * before + c * (c + 1) / 2)).alias("_ranked"),
     )
-    value = 2 * F.col("ranked") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")
-    wide = [F.max(F.when(F.col("measure") == n, F.col("g"))).alias(n) for n in measures]
-    return sums.withColumn("g", value).groupBy(*group).agg(*wide)
+    value = 2 * F.col("_ranked") / (F.col("_n") * F.col("_total")) - (F.col("_n") + 1) / F.col("_n")
+    wide = [F.max(F.when(F.col("_measure") == n, F.col("_gini"))).alias(n) for n in measures]
+    return sums.withColumn("_gini", value).groupBy(*group).agg(*wide)
 
 
 def cumulative_fraction(
