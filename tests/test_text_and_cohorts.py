@@ -98,7 +98,7 @@ def test_training_set(spark):
 
 
 def test_forest_separates_words(spark):
-    rows = [(i, float(i % 2), [i % 2], [5]) for i in range(20)] + [(100 + i, None, [i % 2], [4]) for i in range(6)]
+    rows = [(i, float(i % 2), [i % 2], [5]) for i in range(20)] + [(100 + i, None, [i % 2], [5]) for i in range(6)]
     df = classify.as_features(spark.createDataFrame(rows, "v int, label double, ids array<int>, counts array<int>"), 2)
     training, scoring = classify.train_and_score(df)
     scored = classify.fit_labels(training).transform(scoring)
