@@ -127,8 +127,8 @@ def bootstrap_hashed(
 
     draws = explode_count(plan.select(*RUN_WAVE, "rep", "n", "total"), "n", "j")
     t = draw_below(F.col("total"), *[F.col(c) for c in (*RUN_WAVE, "rep")], "cand", F.col("j")) + 1
-    targets = draws.select(*RUN_WAVE, "rep", t.alias("t"))
-    found = cumulative_lookup(targets, table, RUN_WAVE, "t", "k")
+    targets = draws.select(*RUN_WAVE, "rep", "total", t.alias("t"))
+    found = cumulative_lookup(targets, table, RUN_WAVE, "t", "k", total="total")
     cand = found.groupBy(*RUN_WAVE, "rep").agg(F.sum("k").alias("cand_sum"))
 
     drawn = _seed_draws(seeds, values, plan, default)
@@ -151,7 +151,8 @@ def bootstrap_uniform(groups: DataFrame, reps: int, px: int, p0: str = "integer"
     plan = _replicates(sizes.withColumn("draws", F.floor(F.col("total") * px / 100.0)), reps)
     spread = explode_count(plan, "draws", "j")
     t = draw_below(F.col("total"), *[F.col(c) for c in (*RUN_WAVE, "rep")], "proxy", F.col("j")) + 1
-    found = cumulative_lookup(spread.select(*RUN_WAVE, "rep", t.alias("t")), table, RUN_WAVE, "t", "code")
+    targets = spread.select(*RUN_WAVE, "rep", "total", t.alias("t"))
+    found = cumulative_lookup(targets, table, RUN_WAVE, "t", "code", total="total")
     k = F.floor(F.col("code") / 2)
     seed = F.col("code") % 2 == 1
     sums = found.groupBy(*RUN_WAVE, "rep").agg(

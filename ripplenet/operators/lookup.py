@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -25,24 +25,26 @@ def cumulative_lookup(
     keys: Sequence[str],
     target: str,
     result: str,
-    totals: DataFrame | None = None,
+    total: str | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Find for each ``target`` the row of ``table(keys, lo, hi, result)`` with ``lo < target <= hi``.
 
     Targets at or below zero take the first row and targets beyond the last ``hi`` get -1. Each key group's weight
     range is cut into equal buckets and rows are listed in the buckets they touch (at most rows + buckets per group),
-    so the lookup is an equi-join with about one candidate per target rather than a scan of the whole group.
+    so the lookup is an equi-join with about one candidate per target rather than a scan of the whole group. Targets
+    that carry the group's last ``hi`` in the column ``total`` need no join to learn the bucket width.
     """
     keys = list(keys)
-    if totals is None:
-        totals = table.groupBy(*keys).agg(F.max("hi").alias("_total"))
-    width = F.greatest(F.lit(1), F.ceil(F.col("_total") / F.lit(buckets))).cast("bigint")
-    sized = totals.withColumn("_width", width)
-    slot = F.floor((F.col("_t") - 1) / F.col("_width"))
-    left = targets.join(sized, keys).withColumn("_t", F.greatest(F.col(target).cast("bigint"), F.lit(1).cast("bigint")))
-    left = left.withColumn("_slot", slot)
-    right = table.select(*keys, "lo", "hi", result).join(sized.select(*keys, "_width"), keys)
+
+    def width(whole: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(whole) / F.lit(buckets))).cast("bigint")
+
+    sized = table.groupBy(*keys).agg(F.max("hi").alias("_total")).select(*keys, width("_total").alias("_width"))
+    left = targets.join(sized, keys) if total is None else targets.withColumn("_width", width(total))
+    left = left.withColumn("_t", F.greatest(F.col(target).cast("bigint"), F.lit(1).cast("bigint")))
+    left = left.withColumn("_slot", F.floor((F.col("_t") - 1) / F.col("_width")))
+    right = table.select(*keys, "lo", "hi", result).join(sized, keys)
     right = right.withColumn(
         "_slot",
         F.explode(F.sequence(F.floor(F.col("lo") / F.col("_width")), F.floor((F.col("hi") - 1) / F.col("_width")))),

@@ -21,28 +21,32 @@ def ordered_running(
     order: Sequence[str],
     rank: str | None = None,
     sums: Mapping[str, str] | None = None,
+    totals: Mapping[str, str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add the 1-based ``rank`` and inclusive running ``sums`` (new name -> column) in each group.
+    """Add the 1-based ``rank``, inclusive running ``sums`` and whole-group ``totals`` (new name -> column) in each group.
 
-    ``order`` must be total within a group and no key column may be null.
+    ``order`` must be total within a group and no key column may be null. Totals come with the slice offsets, so that
+    no join on the group alone is needed.
     """
-    group, order, sums = list(group), list(order), dict(sums or {})
+    group, order, sums, totals = list(group), list(order), dict(sums or {}), dict(totals or {})
     width = partitions or shuffle_width(df.sparkSession)
     slices = materialize(
         df.repartitionByRange(width, *group, *order).withColumn("_slice", F.spark_partition_id()), "slices"
     )
 
     # At most one row per (group, slice), so the window below sees at most `width` rows per group.
-    totals = slices.groupBy(*group, "_slice").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()]
+    per_slice = slices.groupBy(*group, "_slice").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{n}") for n, c in {**sums, **totals}.items()]
     )
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_slice.select(
         *group,
         "_slice",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
+        *[F.sum(f"_sum_{n}").over(whole).alias(n) for n in totals],
     )
 
     within = Window.partitionBy(*group, "_slice").orderBy(*order)
@@ -55,7 +59,7 @@ def ordered_running(
     out = out.join(offsets, [*group, "_slice"])
     added = [(F.col("_row") + F.col("_rows_before")).cast("bigint").alias(rank)] if rank else []
     added += [(F.col(f"_run_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums]
-    return out.select(*[c for c in df.columns], *added)
+    return out.select(*df.columns, *added, *totals)
 
 
 def assign_ids(keys: DataFrame, column: str, base: int = 0, name: str = "id", partitions: int | None = None) -> DataFrame:

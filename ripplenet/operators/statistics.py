@@ -14,11 +14,20 @@ from pyspark.sql import functions as F
 from ripplenet.operators.ordering import ordered_running
 
 
-def _running(df: DataFrame, group: Sequence[str], order: str, amounts: dict[str, str], bounded: bool) -> DataFrame:
+def _running(
+    df: DataFrame, group: Sequence[str], order: str, amounts: dict[str, str], bounded: bool, totals: dict[str, str] | None = None
+) -> DataFrame:
+    """Running ``amounts`` and group ``totals``, in slices or, for bounded groups, in one window."""
+    totals = totals or {}
     if not bounded:
-        return ordered_running(df, group, [order], sums=amounts)
-    window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.select(*df.columns, *[F.sum(c).over(window).alias(n) for n, c in amounts.items()])
+        return ordered_running(df, group, [order], sums=amounts, totals=totals)
+    whole = Window.partitionBy(*group)
+    running = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select(
+        *df.columns,
+        *[F.sum(c).over(running).alias(n) for n, c in amounts.items()],
+        *[F.sum(c).over(whole).alias(n) for n, c in totals.items()],
+    )
 
 
 def percentile_of_array(values: Column, p: float) -> Column:
@@ -34,8 +43,8 @@ def percentile_of_array(values: Column, p: float) -> Column:
 
 
 def _values_at(counts: DataFrame, group: Sequence[str], value: str, count: str, bounded: bool) -> DataFrame:
-    """Add the rank range ``(_from, _to]`` each distinct value covers."""
-    ranked = _running(counts, group, value, {"_to": count}, bounded)
+    """Add the rank range ``(_from, _to]`` each distinct value covers and the group's size ``_n``."""
+    ranked = _running(counts, group, value, {"_to": count}, bounded, {"_n": count})
     return ranked.withColumn("_from", F.col("_to") - F.col(count))
 
 
@@ -45,8 +54,7 @@ def percentile_n1(
     """Percentiles at position (n + 1) p per group, one column per entry of ``points``; groups of any size."""
     group = list(group)
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = _values_at(counts, group, value, "_c", bounded).join(sizes, group)
+    ranked = _values_at(counts, group, value, "_c", bounded)
 
     def at_rank(rank: Column) -> Column:
         clipped = F.least(F.greatest(rank, F.lit(1)), F.col("_n"))
@@ -75,9 +83,7 @@ def median_by_counts(
 ) -> DataFrame:
     """True median per group of a table of distinct values and their counts."""
     group = list(group)
-    ranked = _values_at(counts, group, value, count, bounded)
-    sizes = counts.groupBy(*group).agg(F.sum(count).alias("_n"))
-    both = ranked.join(sizes, group)
+    both = _values_at(counts, group, value, count, bounded)
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
 
     def at_rank(rank: Column) -> Column:
