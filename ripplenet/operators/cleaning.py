@@ -101,3 +101,22 @@ def lookup_or(df: DataFrame, table: DataFrame, on: str, column: str, default: in
     """Left join of one column with a default for the missing."""
     found = df.join(table.select(on, column), on, "left")
     return found.withColumn(column, F.coalesce(F.col(column), F.lit(default)))
+
+
+def triplets(edges: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``(src, src_attr, dst, dst_attr)``: every edge with the attribute ``a`` of both ends."""
+    ends = [attributes.select(F.col("v").alias(e), F.col("a").alias(f"{e}_attr")) for e in ("src", "dst")]
+    return edges.join(ends[0], "src").join(ends[1], "dst").select("src", "src_attr", "dst", "dst_attr")
+
+
+def update_min(vertices: DataFrame, updates: DataFrame) -> DataFrame:
+    """Attribute ``a`` lowered to the update where there is one, kept where there is none."""
+    new = updates.groupBy("v").agg(F.min("a").alias("_new"))
+    return vertices.join(new, "v", "left").select("v", F.least("a", "_new").alias("a"))
+
+
+def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(v, m)`` of ``left`` with the multiplicities of ``right`` taken away."""
+    taken = right.select("v", F.col("m").alias("_taken"))
+    rest = left.join(taken, "v", "left").withColumn("m", F.col("m") - F.coalesce("_taken", F.lit(0)))
+    return rest.where(F.col("m") > 0).select("v", "m")

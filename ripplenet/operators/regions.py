@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplenet.functions.places import us_state_part
+from ripplenet.storage import small_table
 
 # Rows the published table always shows, and rows its maps leave out.
 REQUIRED_REGIONS = ("idaho", "south dakota")
 EXCLUDED_REGIONS = ("district of columbia", "dc", "new england")
 
 
+def split_cohorts(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users of ``predictions(v, label)`` with the label (anything but ``0.0``) and without it (numerically zero)."""
+    ill = predictions.where(F.col("label") != "0.0").select("v")
+    well = predictions.where(F.col("label").try_cast("double") == 0.0).select("v")
+    return ill.distinct(), well.distinct()
+
+
 def cohort_locations(users: DataFrame, cohort: DataFrame, longer_than: int = 2) -> DataFrame:
     """``users(v, location)`` of a cohort with a usable location, lower-cased."""
     usable = users.where(F.length("location") > longer_than)
@@ -44,14 +52,14 @@ def state_distribution(locations: DataFrame, lookup: DataFrame, states: DataFram
 
 def cohort_table(ill: DataFrame, well: DataFrame, required: Sequence[str] = REQUIRED_REGIONS) -> DataFrame:
     """``(region, or18, well)``: counts ``(region, n)`` of both cohorts, 0 where absent, one row per region."""
-    spark = ill.sparkSession
     both = ill.select("region", F.col("n").alias("or18")).join(
         well.select("region", F.col("n").alias("well")), "region", "full"
     )
-    always = spark.createDataFrame([(r, 0, 0) for r in required], "region string, or18 bigint, well bigint")
+    if required:
+        always = small_table(ill.sparkSession, ["region", "or18", "well"], [(r, 0, 0) for r in required])
+        both = both.unionByName(always)
     return (
-        both.unionByName(always)
-        .groupBy("region")
+        both.groupBy("region")
         .agg(F.coalesce(F.sum("or18"), F.lit(0)).alias("or18"), F.coalesce(F.sum("well"), F.lit(0)).alias("well"))
     )
 

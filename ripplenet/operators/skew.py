@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplenet.storage import small_table
+
 # A key is hot when it holds more than 1/HOT_KEY_LIMIT of the rows, so there are fewer than HOT_KEY_LIMIT hot keys
 # whatever the data looks like: that is the proven size of everything collected and broadcast below.
 HOT_KEY_LIMIT = 1024
@@ -29,7 +31,10 @@ def hot_counts(
     n_salt = F.ceil(F.col(count) / F.lit(floor)).cast("int")
     found = counts.where(F.col(count) > floor).select(key, n_salt.alias("n_salt"))
     listed = found.collect()  # fewer than HOT_KEY_LIMIT rows
-    return counts.sparkSession.createDataFrame([tuple(r) for r in listed], found.schema) if listed else None
+    if not listed:
+        return None
+    table = small_table(counts.sparkSession, [key, "n_salt"], listed)
+    return table.select(F.col(key).cast(found.schema[key].dataType), F.col("n_salt").cast("int"))
 
 
 def add_salt(df: DataFrame, key: str, salts: DataFrame, spread_by: str) -> DataFrame:

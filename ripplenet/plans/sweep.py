@@ -20,7 +20,7 @@ from ripplenet.operators.sampling import choose_seeds, positions_of, proxy_mean,
 from ripplenet.operators.structure import degrees
 from ripplenet.operators.traversal import build_adjacency, lmsi_increments
 from ripplenet.sources.synthetic import lognormal_edges, rmat_edges
-from ripplenet.storage import materialize
+from ripplenet.storage import materialize, small_table
 
 BOOT_COUNT = 1000
 MAX_SEEDS = 100
@@ -30,7 +30,7 @@ def parameter_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
     """All combinations of the given axes, numbered by ``run_id``. The grid is the caller's, a few hundred rows."""
     names = list(axes)
     rows = [(i, *combo) for i, combo in enumerate(product(*axes.values()))]
-    return spark.createDataFrame(rows, ["run_id", *names]).coalesce(1)
+    return small_table(spark, ["run_id", *names], rows)
 
 
 def sweep(
@@ -122,9 +122,9 @@ def _generated(
         # Every direction and repeat counts in the values; waves walk the simple graph underneath.
         own = own.select("graph_id", "src", "dst")
     own = materialize(own, "generated")
-    runs = spark.createDataFrame(
-        [{**g, "run_id": i, "iteration": int(g["iteration"]), "seed_count": seed_count} for i, g in enumerate(graphs)]
-    ).coalesce(1)
+    runs = small_table(
+        spark, ["run_id", "seed_count", *graphs[0]], [(i, seed_count, *g.values()) for i, g in enumerate(graphs)]
+    )
     if clean:
         return sweep(own, runs, **kw)
     simple = canonical_edges(own.where(F.col("src") != F.col("dst"))).distinct()

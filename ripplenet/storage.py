@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -61,3 +63,8 @@ def materialize_bucketed(df: DataFrame, keys: list[str], buckets: int, label: st
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def small_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """The caller's parameters as a table: a local relation, known to the planner and free of Python tasks."""
+    return spark.createDataFrame(pa.table({c: [row[i] for row in rows] for i, c in enumerate(columns)}))

@@ -10,7 +10,7 @@ from ripplenet.functions import dates, places, text
 from ripplenet.operators import agreement, classify, cleaning, profiles, regions, statistics, values
 from ripplenet.operators.structure import degrees
 from ripplenet.sources import files, synthetic
-from ripplenet.storage import materialize, scratch_root
+from ripplenet.storage import materialize, scratch_root, small_table
 from workload import inputs as inp
 
 KEYWORDS = ["that", "with", "andere", "the", "les", "and-", "ion,"]
@@ -73,7 +73,7 @@ def _words(spark, d, members=None):
     texts = inp.document_texts(spark, d)
     if members is not None:
         texts = texts.join(members.select("v"), "v", "left_semi")
-    stops = spark.createDataFrame([(w,) for w in inp.STOP_WORDS], "value string")
+    stops = small_table(spark, ["value"], [(w,) for w in inp.STOP_WORDS])
     return profiles.profile_words(texts, stops)
 
 
@@ -203,6 +203,14 @@ def _cohort_table(spark, d):
     return regions.cohort_table(*tables)
 
 
+def split_cohorts(spark, d):
+    """Documents predicted by their quality label, counted per cohort."""
+    labels = inp.table(spark, d, "labels")
+    predictions = labels.select(F.col("doc_id").alias("v"), F.col("quality").cast("double").cast("string").alias("label"))
+    ill, well = regions.split_cohorts(predictions)
+    return ill.withColumn("cohort", F.lit("ill")).unionByName(well.withColumn("cohort", F.lit("well")))
+
+
 def cohort_percentage(spark, d):
     return regions.cohort_percentage(_cohort_table(spark, d)).select("region", "or18", "well", *inp.r6("res"))
 
@@ -314,6 +322,7 @@ def rmat(spark, d):
 
 
 QUERIES = {
+    "b14_split_cohorts": split_cohorts,
     "a1_edge_list": edge_list,
     "a2_named_network": named_network,
     "a3_value_counts": ratings,
@@ -407,6 +416,7 @@ _LOGNORMAL_U = inp.uniform_sql("'radius'", "0", "p_partkey", "i")
 _LOGNORMAL_A = inp.uniform_sql("'angle'", "0", "p_partkey", "i")
 
 ORACLES = {
+    "b14_split_cohorts": "SELECT doc_id AS v, CASE WHEN quality = 1 THEN 'ill' ELSE 'well' END AS cohort FROM labels",
     "a1_edge_list": f"WITH {inp.EVENT_LINKS} SELECT src, dst FROM links WHERE src <> dst",
     "a2_named_network": f"""WITH {inp.EVENT_LINKS}, u AS (SELECT DISTINCT src, dst FROM links)
       SELECT a.src, a.dst FROM u a JOIN u b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""",

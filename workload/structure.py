@@ -52,7 +52,48 @@ def _subgraph(spark, d):
     return cleaning.vertex_subgraph(edges, vertices, F.col("p_size") > 25)[1]
 
 
+def _updated(spark, d):
+    parts = inp.table(spark, d, "part")
+    vertices = cleaning.with_constant(cleaning.vertices_of(inp.part_graph(spark, d)), "a", 1500)
+    small = parts.where(F.col("p_size") < 10).select(F.col("p_partkey").alias("v"), F.col("p_size").alias("a"))
+    return cleaning.update_min(vertices, small)
+
+
+def _triplets(spark, d):
+    counts = structure.degrees(inp.event_links(spark, d)).withColumnRenamed("k", "a")
+    return cleaning.triplets(inp.event_graph(spark, d), counts)
+
+
+def _multiset_rest(spark, d):
+    events = inp.table(spark, d, "events")
+    every = events.groupBy(F.col("user_id").alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    seen = events.where(F.col("event_type").isin("view", "click")).groupBy(F.col("user_id").alias("v"))
+    return cleaning.multiset_difference(every, seen.agg(F.count(F.lit(1)).alias("m")))
+
+
+def _distinct_users(spark, d):
+    events = inp.table(spark, d, "events")
+    users = events.select(
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("screen_name"),
+        F.date_format("ts", "yyyy-MM-dd").alias("created"), "value",
+    )
+    return cleaning.distinct_users(users).select("screen_name", "created")
+
+
+def _edges_per_vertex(spark, d):
+    frames = []
+    for name, graph in (("part", inp.part_graph), ("event", inp.event_graph)):
+        frames.append(structure.cardinality(graph(spark, d)).withColumn("dataset", F.lit(name)))
+    table = report.edges_per_vertex(frames[0].unionByName(frames[1]), ["dataset"])
+    return table.select("dataset", *inp.r6("edges_per_vertex"))
+
+
 QUERIES = {
+    "c1_update_min": _updated,
+    "c2_triplets": _triplets,
+    "g6_multiset_difference": _multiset_rest,
+    "g7_distinct_users": _distinct_users,
+    "l13_edges_per_vertex": _edges_per_vertex,
     "b1_drop_self_loops": lambda s, d: cleaning.drop_self_loops(inp.event_links(s, d)).select("src", "dst"),
     "b4_clean_edges": inp.part_graph,
     "b5_clean_edges_valued": lambda s, d: cleaning.clean_edges(inp.event_links(s, d), _purchase_values(s, d)),
@@ -118,6 +159,17 @@ embedded AS (SELECT 'part' dataset, v, e FROM (WITH {inp.PART_GRAPH}, {EMBEDDED}
   UNION ALL SELECT 'event', v, e FROM (WITH {inp.EVENT_GRAPH}, {EMBEDDED} SELECT * FROM emb))"""
 
 ORACLES = {
+    "c1_update_min": f"""WITH {inp.PART_GRAPH} SELECT v, (CASE WHEN p_size < 10 THEN p_size ELSE 1500 END)::int AS a
+      FROM deg JOIN part ON p_partkey = v""",
+    "c2_triplets": f"""WITH {inp.EVENT_LINKS}, {inp.CLEAN}, ends AS (SELECT src v FROM links UNION ALL SELECT dst FROM links),
+      c AS (SELECT v, count(*) a FROM ends GROUP BY v)
+      SELECT src, x.a AS src_attr, dst, y.a AS dst_attr FROM edges JOIN c x ON x.v = src JOIN c y ON y.v = dst""",
+    "g6_multiset_difference": """SELECT user_id AS v, count(*) AS m FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1""",
+    "g7_distinct_users": """SELECT DISTINCT 'user' || user_id AS screen_name, strftime(ts, '%Y-%m-%d') AS created FROM events""",
+    "l13_edges_per_vertex": f"""SELECT 'part' AS dataset, (SELECT round(e / v, 6) FROM
+        (WITH {inp.PART_GRAPH} SELECT (SELECT count(*) FROM edges) e, (SELECT count(*) FROM deg) v)) AS edges_per_vertex
+      UNION ALL SELECT 'event', (SELECT round(e / v, 6) FROM
+        (WITH {inp.EVENT_GRAPH} SELECT (SELECT count(*) FROM edges) e, (SELECT count(*) FROM deg) v))""",
     "b1_drop_self_loops": f"WITH {inp.EVENT_LINKS} SELECT src, dst FROM links WHERE src <> dst",
     "b4_clean_edges": f"WITH {inp.PART_GRAPH} SELECT src, dst FROM edges",
     "b5_clean_edges_valued": f"""WITH {inp.EVENT_LINKS}, {inp.CLEAN},
