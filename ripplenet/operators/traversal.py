@@ -23,6 +23,7 @@ from ripplenet.operators.skew import ROWS_PER_SALT, add_salt, hot_keys, repeat_p
 from ripplenet.storage import materialize, materialize_bucketed, shuffle_width
 
 MAX_WAVE = 149
+ROWS_PER_BUCKET = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,13 +41,16 @@ def build_adjacency(
     """Write the adjacency table of a de-duplicated undirected edge table ``(src, dst[, w])``.
 
     Bucketed on ``src``, or on (src, salt) if there are hubs: every later round joins it where it lies, and a hub spreads
-    over many buckets.
+    over many buckets. A small graph gets no more buckets than there are cores.
     """
     weight = [c for c in edges.columns if c == "w"]
     pairs = materialize(edges.select("src", "dst", *weight), "edges")
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *weight))
-    salts = hot_keys(both, "src", 2 * pairs.count(), rows_per_salt)
-    width = buckets or shuffle_width(edges.sparkSession)
+    rows = 2 * pairs.count()
+    salts = hot_keys(both, "src", rows, rows_per_salt)
+    spark = edges.sparkSession
+    enough = max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_BUCKET)
+    width = buckets or min(shuffle_width(spark), enough)
     if salts is None:
         return Adjacency(pairs, materialize_bucketed(both, ["src"], width, "adjacency"), None)
     salted = add_salt(both, "src", salts, spread_by="dst")
