@@ -1,3 +1,69 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Documents scored as toxic go; repeated lines go; one document of each near-duplicate group stays; documents that hold
+benchmark items go; and the rest is drawn to target weights. All stages but the last keep the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ripplenet.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
+from ripplenet.llm.common import order_id, table, whole_text
+from ripplenet.llm.queries import MIX_SHARE, MIX_WEIGHTS
+from ripplenet.storage import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below one half, with their columns as they were."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("_score < 0.5").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its text cut to lines that no earlier document has, and ``n_chars`` counted anew."""
+    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; of rows that repeat an id, the first by text."""
+    classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    later = materialize(classes.where(~F.col("kept")).select(order_id().alias("_id")).distinct(), "later-copies")
+    rest = docs.withColumn("_id", order_id()).join(later, "_id", "left_anti")
+    # One group is the rows of one id. Null ids are no copies of each other, so each such row stays.
+    first = Window.partitionBy("_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(whole_text())
+    return rest.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    links = decontamination.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = materialize(links.select(order_id().alias("_id")).distinct(), "contaminated")
+    return docs.withColumn("_id", order_id()).join(gone, "_id", "left_anti").select(docs.columns)
+
+
+def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents drawn for the mixture, with their token counts and the number of times each is drawn."""
+    return mixing.mix(docs, MIX_SHARE, MIX_WEIGHTS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", draw_mixture),
+]
+# A learnt classifier, similarity search and alignment are beyond SQL; tests hold the stages against plain versions.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

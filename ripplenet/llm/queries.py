@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplenet.llm import line_dedup, pii, quality, secrets
+from ripplenet.llm import (
+    decontamination, licenses, line_dedup, mixing, near_dedup, pii, quality, secrets, token_counts, toxicity,
+)
 from ripplenet.llm.common import table
 
 PSEUDONYM_KEY = "training-corpus-key-1"
+# Tokens wanted, as a share of all there are, and the weights of the tree's nodes; a node that is not named weighs 1.
+MIX_SHARE = 0.5
+MIX_WEIGHTS = {
+    "domain": {"web": 4.0, "books": 3.0, "code": 2.0, "talk": 1.0},
+    "lang": {"en": 3.0, "de": 1.0, "fr": 1.0, "es": 2.0},
+    "source": {"src0": 0.5},
+}
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
@@ -20,16 +35,45 @@ def op2_pii(spark: SparkSession, directory: str) -> DataFrame:
     return pii.pseudonyms(table(spark, directory, "documents"), PSEUDONYM_KEY)
 
 
+def op3_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+def op5_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    drawn = mixing.mix(table(spark, directory, "documents"), MIX_SHARE, MIX_WEIGHTS)
+    return drawn.select("doc_id", "lang", "source", "n_tokens", "n_epochs")
+
+
+def op6_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, directory, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, directory, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, directory, "documents"), tokenizer_path())
+
+
+def op9_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, directory, "documents"))
+
+
 def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, directory, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_pii, op7_line_dedup, op10_secrets)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_pii, op3_decontamination, op4_toxicity, op5_mixing, op6_licenses, op7_line_dedup,
+        op8_token_counts, op9_near_dedup, op10_secrets,
+    )
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
