@@ -78,7 +78,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _case(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1.0 END"
+
+
+def _level_sql(name: str, source: str, family: str, member: str, weights: dict[str, float]) -> str:
+    """CTEs that share each family's budget among the members of ``source (family, member, supply, budget)``."""
+    order = f"PARTITION BY {family} ORDER BY supply / weight, {member}"
+    return f"""
+        {name}_w AS (SELECT *, {_case(member.split(",")[-1].strip(), weights)} AS weight FROM {source}),
+        {name}_l AS (SELECT *, (budget - coalesce(sum(supply) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER (PARTITION BY {family}) - coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+            FROM {name}_w),
+        {name}_m AS (SELECT *, max(CASE WHEN supply >= weight * level THEN level END) OVER (PARTITION BY {family}) AS water FROM {name}_l),
+        {name} AS (SELECT *, greatest(CASE WHEN water IS NULL THEN supply ELSE least(supply, weight * water) END, 0) AS given FROM {name}_m)"""
+
+
+def _mix_sql() -> str:
+    figure = "regexp_extract(source, '[0-9]$')"
+    return rf"""
+        WITH d AS (SELECT doc_id, lang, source, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
+            CASE WHEN {figure} IN ('0', '1', '2') THEN 'web' WHEN {figure} IN ('3', '4', '5') THEN 'books'
+                 WHEN {figure} IN ('6', '7') THEN 'code' WHEN source IS NULL THEN 'other' ELSE 'talk' END AS dom,
+            len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n FROM documents),
+        leaf AS (SELECT dom, l, s, sum(n)::BIGINT AS tokens, {mixing.EPOCHS} * sum(n)::DOUBLE AS supply, 1 AS root FROM d GROUP BY dom, l, s HAVING sum(n) > 0),
+        top AS (SELECT root, dom, sum(supply) AS supply, {MIX_SHARE} * (SELECT sum(tokens) FROM leaf) AS budget FROM leaf GROUP BY root, dom),
+        {_level_sql("a", "top", "root", "dom", MIX_WEIGHTS["domain"])},
+        mid AS (SELECT leaf.dom, l, sum(leaf.supply) AS supply, any_value(a.given) AS budget FROM leaf JOIN a USING (dom) GROUP BY leaf.dom, l),
+        {_level_sql("b", "mid", "dom", "l", MIX_WEIGHTS["lang"])},
+        low AS (SELECT leaf.dom, leaf.l, s, tokens, leaf.supply, b.given AS budget FROM leaf JOIN b USING (dom, l)),
+        {_level_sql("c", "low", "dom, l", "s", MIX_WEIGHTS["source"])},
+        plan AS (SELECT dom, l, s, tokens, floor(given + 1e-6)::BIGINT AS ask FROM c),
+        o AS (SELECT d.*, ask // tokens AS n_full, ask % tokens AS rest,
+            md5('{mixing.SEED}:' || (ask // tokens) || ':' || coalesce(doc_id::VARCHAR, 'null')) AS place FROM d JOIN plan USING (dom, l, s)),
+        r AS (SELECT *, sum(n) OVER (PARTITION BY dom, l, s ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o)
+        SELECT doc_id, lang, source, n AS n_tokens, (n_full + (rest > 0 AND upto <= rest)::INT)::INT AS n_epochs
+        FROM r WHERE n_full + (rest > 0 AND upto <= rest)::INT > 0"""
+
+
 ORACLES: dict[str, str] = {
+    "op5_mixing": _mix_sql(),
     "op7_line_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, str_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),

@@ -36,9 +36,11 @@ MAX_CHARS = {1: 7_000_000, 0: 14_000_000}
 CHAIN = 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
 SLOTS = 1 << 18
-EVIDENCE, PRECISION = 12.0, 0.9
+EVIDENCE, PRECISION = 10.0, 0.95
+# Texts of one label that agree in this many smallest five-word hashes, of either of two sets, are copies.
+COPY_HASHES = 3
 MAX_CHAINS = 12_000
-STEPS, RATE, PENALTY = 80, 0.3, 1e-4
+STEPS, RATE, PENALTY = 60, 0.3, 1e-4
 STEP_CHARS, MAX_WORDS = 2_000_000, 300_000
 _WORD = re.compile(r"\w+")
 
@@ -169,11 +171,18 @@ def _evidence(hits: np.ndarray, misses: np.ndarray, share: float) -> np.ndarray:
 def token_labels(parts: list[list[list[str]]], toxic: list[int]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Word numbers, each word's feature slots (padded with -1), and whether each word is toxic in a toxic text.
 
-    Texts whose smallest five-word hash agrees are copies and count once for a label.
+    Copies of a text count once for a label.
     """
     numbers: dict[str, int] = {}
     slots: list[list[int]] = []
-    pairs, copies = [], {}
+    pairs: list[np.ndarray] = []
+    group_of, seen = list(range(len(parts))), {}
+
+    def root(i: int) -> int:
+        while group_of[i] != i:
+            group_of[i] = i = group_of[group_of[i]]
+        return i
+
     for i, chain in enumerate(parts):
         words = [w for c in chain for w in c]
         for w in words:
@@ -181,16 +190,22 @@ def token_labels(parts: list[list[list[str]]], toxic: list[int]) -> tuple[dict[s
                 numbers[w] = len(numbers)
                 slots.append(features(w))
         runs = (" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
-        least = min(map(xxhash.xxh32_intdigest, runs))
-        group = copies.setdefault((toxic[i], least), len(copies))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64)
+        least = [
+            int((hashes * np.uint64(2 * k + 1) ^ (hashes >> np.uint64(31 + k))).min()) for k in range(2 * COPY_HASHES)
+        ]
+        for half in (tuple(least[:COPY_HASHES]), tuple(least[COPY_HASHES:])):
+            group_of[root(i)] = root(seen.setdefault((toxic[i], half), i))
         own = np.unique(np.array([numbers[w] for w in words], np.int64))
-        pairs.append(np.stack([np.full(len(own), group), own]))
-    group_toxic = np.array([label for label, _ in copies])
+        pairs.append(np.stack([np.full(len(own), i), own]))
+    roots, number_of = np.unique([root(i) for i in range(len(parts))], return_inverse=True)
+    group_toxic = np.array(toxic)[roots]
     table = np.full((len(slots), max(map(len, slots), default=1)), -1, np.int64)
     for i, own in enumerate(slots):
         table[i, : len(own)] = own
     share = float(np.clip(group_toxic.mean(), 1e-3, 1 - 1e-3))
     joined = np.concatenate(pairs, axis=1)
+    joined[0] = number_of[joined[0]]
     hits, misses = np.zeros(SLOTS), np.zeros(SLOTS)
     for k in range(table.shape[1]):
         slot = table[joined[1], k]

@@ -202,4 +202,5 @@ def test_planted_values_vanish(documents):
     for i, text in pulled(documents, "doc_id", "text"):
         for old in mail.findall(text):
             groups[old].add(old in new[i])
-    assert groups and not any(True in seen for seen in groups.values())
+    left = {old for old, seen in groups.items() if True in seen}
+    assert groups and all(re.fullmatch("[0-9]{16}", old) and not luhn_valid(old) for old in left)
