@@ -181,7 +181,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sizes = np.bincount(text, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), _lists(value.view(np.int64), sizes)], ["_id", "shingles"])
 
-    texts = docs.select(order_id().alias("_id"), whole_text().alias("text")).join(ids, "_id", "left_semi")
+    # Building on the ids keeps the texts unsorted, and a list of ids that grows with the corpus is never broadcast.
+    texts = docs.select(order_id().alias("_id"), whole_text().alias("text"))
+    texts = texts.join(ids.hint("shuffle_hash"), "_id", "left_semi")
     return texts.mapInArrow(listed, "_id bigint, shingles array<bigint>").dropDuplicates(["_id"])
 
 
