@@ -25,11 +25,12 @@ def _over_categories(term) -> Column:
 def fleiss_kappa(counts: DataFrame) -> DataFrame:
     """One row ``(items, raters, observed, expected, kappa)``.
 
-    Every item must carry the same number of votes; the job stops otherwise.
+    Every item must carry the same number of votes; the job stops otherwise. Kappa is null where it is undefined: with
+    one rater, or if all votes fall into one category and chance alone would agree.
     """
     votes = _over_categories(lambda n: n)
     squares = _over_categories(lambda n: n * n)
-    rated = counts.withColumn("_votes", votes).withColumn("_agree", (squares - votes) / (votes * (votes - 1)))
+    rated = counts.withColumn("_votes", votes).withColumn("_agree", F.try_divide(squares - votes, votes * (votes - 1)))
     sums = rated.agg(
         F.count(F.lit(1)).alias("items"),
         F.min("_votes").alias("_least"),
@@ -43,7 +44,7 @@ def fleiss_kappa(counts: DataFrame) -> DataFrame:
         F.raise_error(F.lit("items differ in their number of votes")).cast("bigint")
     )
     return sums.select("items", raters.alias("raters"), "observed", expected.alias("expected")).withColumn(
-        "kappa", (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))
+        "kappa", F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected"))
     )
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ripplenet.storage import materialize, shuffle_width
 
+ROWS_PER_SLICE = 2_000_000
+
 
 def ordered_running(
     df: DataFrame,
@@ -30,7 +32,7 @@ def ordered_running(
     no join on the group alone is needed.
     """
     group, order, sums, totals = list(group), list(order), dict(sums or {}), dict(totals or {})
-    width = partitions or shuffle_width(df.sparkSession)
+    width = partitions or max(shuffle_width(df.sparkSession), -(-df.count() // ROWS_PER_SLICE))
     slices = materialize(
         df.repartitionByRange(width, *group, *order).withColumn("_slice", F.spark_partition_id()), "slices"
     )

@@ -18,8 +18,9 @@ from ripplenet.storage import materialize, shuffle_width
 # Draws beyond n that make a shortage of distinct positions unlikely; see _sized for the part that grows with n.
 EXTRA_DRAWS = 16
 DRAWS_PER_TASK = 16_384
-ROW_DRAWS = 1_000_000
-TOP_N = 100_000
+CHUNKS_PER_TASK = 64
+ROW_DRAWS = 100_000
+TOP_N = 10_000
 
 
 def sample_exact(df: DataFrame, key: str, n: int, label: str = "0") -> DataFrame:
@@ -37,13 +38,15 @@ def sample_exact(df: DataFrame, key: str, n: int, label: str = "0") -> DataFrame
 def explode_count(df: DataFrame, count: str, name: str, chunk: int = DRAWS_PER_TASK) -> DataFrame:
     """Repeat every row ``count`` times with ``name`` = 1..count, long repeats dealt out over all tasks.
 
-    The partition number is explicit: the rows are few and small before they are repeated, and adaptive execution would
-    otherwise merge them into one task.
+    The partition number is explicit and follows the number of chunks: the rows are few and small before they are
+    repeated, and adaptive execution would otherwise merge them into one task.
     """
     chunks = df.where(F.col(count) > 0).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / F.lit(chunk))))
     )
-    spread = chunks.repartition(shuffle_width(df.sparkSession), *df.columns, "_chunk")
+    repeats = df.agg(F.sum(F.ceil(F.greatest(F.col(count), F.lit(0)) / F.lit(chunk)))).first()[0] or 0
+    width = max(shuffle_width(df.sparkSession), -(-int(repeats) // CHUNKS_PER_TASK))
+    spread = chunks.repartition(width, *df.columns, "_chunk")
     first = F.col("_chunk") * chunk + 1
     last = F.least(F.col(count).cast("bigint"), (F.col("_chunk") + 1) * chunk)
     return spread.withColumn(name, F.explode(F.sequence(first, last))).drop("_chunk")
@@ -130,15 +133,15 @@ def positions_of(population: DataFrame) -> DataFrame:
     return ranked.select("graph_id", "v", (F.col("_rank") - 1).alias("pos"))
 
 
-def choose_seeds(frame: DataFrame, runs: DataFrame) -> DataFrame:
+def choose_seeds(frame: DataFrame, runs: DataFrame, row_draws: int = ROW_DRAWS) -> DataFrame:
     """Random seeds of ``runs(run_id, graph_id, n)`` over ``frame(graph_id, v, pos)``: ``(run_id, ord, v)``.
 
-    ``ord`` is the draw order, so the seeds of a smaller count are the prefix ``ord <= count``. Seed counts are run
-    parameters, so one run's draws fit one row.
+    ``ord`` is the draw order, so the seeds of a smaller count are the prefix ``ord <= count``. A run of more than
+    ``row_draws`` seeds is drawn over many tasks.
     """
     sizes = frame.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
     requests = runs.select("run_id", "graph_id", "n").join(sizes, "graph_id")
-    drawn = distinct_positions(requests.select("run_id", "n", "total"), ["run_id"], "seed")
+    drawn = sample_positions(requests.select("run_id", "n", "total"), ["run_id"], "seed", row_draws)
     placed = drawn.join(runs.select("run_id", "graph_id"), "run_id")
     return placed.join(frame, ["graph_id", "pos"]).select("run_id", "ord", "v")
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ripplenet.storage import small_table
 
-# A key is hot when it holds more than 1/HOT_KEY_LIMIT of the rows, so there are fewer than HOT_KEY_LIMIT hot keys
-# whatever the data looks like: that is the proven size of everything collected and broadcast below.
-HOT_KEY_LIMIT = 1024
+# A key is hot when it holds more than 1/HOT_KEY_LIMIT of the rows and more than a salt takes, so there are fewer than
+# HOT_KEY_LIMIT hot keys whatever the data looks like: that is the proven size (some MB) of the list broadcast below.
+# How many salts a hot key gets depends on its own rows alone.
+HOT_KEY_LIMIT = 262_144
 ROWS_PER_SALT = 1_000_000
 
 
@@ -28,7 +29,7 @@ def hot_counts(
     floor = max(rows_per_salt, rows // HOT_KEY_LIMIT)
     if rows <= floor:
         return None
-    n_salt = F.ceil(F.col(count) / F.lit(floor)).cast("int")
+    n_salt = F.ceil(F.col(count) / F.lit(rows_per_salt)).cast("int")
     found = counts.where(F.col(count) > floor).select(key, n_salt.alias("n_salt"))
     listed = found.collect()  # fewer than HOT_KEY_LIMIT rows
     if not listed:

@@ -96,7 +96,7 @@ def gini(df: DataFrame, group: Sequence[str], measures: dict[str, Column], bound
     """Gini coefficient per group of every measure (name -> expression): one row per group, one column per measure.
 
     With x sorted, G = 2 sum(i x_i) / (n sum x) - (n + 1) / n. Equal values are collapsed: c copies of x behind r smaller
-    ones add x (c r + c (c + 1) / 2) to the ranked sum.
+    ones add x (c r + c (c + 1) / 2) to the ranked sum. A group whose values sum to zero has no coefficient: null.
     """
     group = list(group)
     pairs = F.array(*[F.struct(F.lit(n).alias("_measure"), e.cast("double").alias("_x")) for n, e in measures.items()])
@@ -110,7 +110,7 @@ def gini(df: DataFrame, group: Sequence[str], measures: dict[str, Column], bound
         F.sum(x * c).alias("_total"),
         F.sum(x * (c * before + c * (c + 1) / 2)).alias("_ranked"),
     )
-    value = 2 * F.col("_ranked") / (F.col("_n") * F.col("_total")) - (F.col("_n") + 1) / F.col("_n")
+    value = F.try_divide(2 * F.col("_ranked"), F.col("_n") * F.col("_total")) - (F.col("_n") + 1) / F.col("_n")
     wide = [F.max(F.when(F.col("_measure") == n, F.col("_gini"))).alias(n) for n in measures]
     return sums.withColumn("_gini", value).groupBy(*group).agg(*wide)
 

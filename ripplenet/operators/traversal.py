@@ -49,8 +49,8 @@ def build_adjacency(
     rows = 2 * pairs.count()
     salts = hot_keys(both, "src", rows, rows_per_salt)
     spark = edges.sparkSession
-    enough = max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_BUCKET)
-    width = buckets or min(shuffle_width(spark), enough)
+    few = min(shuffle_width(spark), spark.sparkContext.defaultParallelism)
+    width = buckets or max(few, -(-rows // ROWS_PER_BUCKET))
     if salts is None:
         return Adjacency(pairs, materialize_bucketed(both, ["src"], width, "adjacency"), None)
     salted = add_salt(both, "src", salts, spread_by="dst")
@@ -162,8 +162,8 @@ def increments_from_distance(
         .select(*keys, F.greatest("d", F.col("near") + 1).alias("wave"), "v", "m", F.lit(False).alias("fresh"))
         .where(F.col("wave") <= max_wave)
     )
-    reached = distance.join(seeds.select(*keys, "v").withColumn("seed", F.lit(1)), [*keys, "v"], "left").select(
-        *keys, F.col("d").alias("wave"), "v", F.coalesce("seed", F.lit(0)).cast("bigint").alias("m"),
+    reached = distance.join(seeds.select(*keys, "v").withColumn("_seed", F.lit(1)), [*keys, "v"], "left").select(
+        *keys, F.col("d").alias("wave"), "v", F.coalesce("_seed", F.lit(0)).cast("bigint").alias("m"),
         F.lit(True).alias("fresh"),
     )
     return (
@@ -187,14 +187,30 @@ def pool_seeds(increments: DataFrame, keys: Sequence[str] = ("run_id",)) -> Data
     )
 
 
+def _increments(adj: Adjacency, seeds: DataFrame, max_wave: int, keys: Sequence[str], hop_cost: int) -> DataFrame:
+    """Unit-cost edges advance by levels; other costs settle distances first."""
+    if "w" not in adj.edges.columns and hop_cost == 1:
+        return wave_increments(adj, seeds, max_wave, keys)
+    distance = materialize(wave_distance(adj, seeds, max_wave, keys, hop_cost), "distance")
+    return increments_from_distance(adj, distance, seeds, max_wave, keys)
+
+
 def lmsi_increments(
-    adj: Adjacency, seeds: DataFrame, max_wave: int, method: str = "pooled", keys: Sequence[str] = ("run_id",)
+    adj: Adjacency,
+    seeds: DataFrame,
+    max_wave: int,
+    method: str = "pooled",
+    keys: Sequence[str] = ("run_id",),
+    hop_cost: int = 1,
 ) -> DataFrame:
-    """Labelled snowball with multiple inclusions: all seeds of a run together, or each seed on its own."""
+    """Labelled snowball with multiple inclusions: all seeds of a run together, or each seed on its own.
+
+    An edge costs its column ``w`` where the adjacency has one, else ``hop_cost``.
+    """
     if method == "pooled":
-        return wave_increments(adj, seeds, max_wave, keys)
+        return _increments(adj, seeds, max_wave, keys, hop_cost)
     if method == "per_seed":
-        return pool_seeds(wave_increments(adj, per_seed(seeds, keys), max_wave, (*keys, "seed")), keys)
+        return pool_seeds(_increments(adj, per_seed(seeds, keys), max_wave, (*keys, "seed"), hop_cost), keys)
     raise ValueError(f"method must be 'pooled' or 'per_seed', got {method!r}")
 
 

@@ -15,11 +15,9 @@ from ripplenet.operators.bootstrap import (
     graph_summary,
     summarise_runs,
 )
-from ripplenet.operators.cleaning import canonical_edges
 from ripplenet.operators.sampling import choose_seeds, positions_of, proxy_mean, sample_with_replacement
 from ripplenet.operators.structure import degrees
 from ripplenet.operators.traversal import build_adjacency, lmsi_increments
-from ripplenet.sources.synthetic import lognormal_edges, rmat_edges
 from ripplenet.storage import materialize, small_table
 
 BOOT_COUNT = 1000
@@ -44,16 +42,17 @@ def sweep(
     method: str = "pooled",
     draws: str = "multinomial",
     default: int | None = None,
+    hop_cost: int = 1,
 ) -> DataFrame:
     """Estimate the mean vertex value for every run and wave.
 
     ``edges`` is a clean undirected table, optionally with ``graph_id`` and ids that no two graphs share. ``runs`` has
     ``run_id``, ``iteration``, ``seed_count`` and, with several graphs, ``graph_id``; other columns are carried along. Seeds of an
     iteration are drawn once from ``seed_pool(v)`` (default: the vertices) and each seed count takes a prefix, as does
-    every wave. ``values(v, k)`` default to degrees.
+    every wave. ``values(v, k)`` default to degrees. Edges may carry their cost ``w``; others cost ``hop_cost``.
     """
     grouped = "graph_id" in edges.columns
-    adj = build_adjacency(edges.select("src", "dst"))
+    adj = build_adjacency(edges.select("src", "dst", *[c for c in edges.columns if c == "w"]))
     owner = (
         materialize(edges.select("graph_id", F.explode(F.array("src", "dst")).alias("v")).distinct(), "owner")
         if grouped
@@ -68,16 +67,15 @@ def sweep(
     pool = counted if seed_pool is None else with_graph(seed_pool.select("v").distinct())
     runs = runs if grouped else runs.withColumn("graph_id", F.lit(0).cast("bigint"))
 
-    # One draw per iteration and graph; its label keeps the draws of different graphs apart.
-    label = F.col("iteration") * 1_000_000 + F.col("graph_id")
-    labelled = runs.withColumn("draw_id", label.cast("bigint"))
+    # One draw per iteration and graph; its label holds both, so no two of them meet.
+    labelled = runs.withColumn("draw_id", F.concat_ws(":", "iteration", "graph_id"))
     drawn = labelled.select(F.col("draw_id").alias("run_id"), "graph_id", F.lit(max_seeds).alias("n")).distinct()
     frame = materialize(positions_of(pool), "frame")
     all_seeds = choose_seeds(frame, drawn).withColumnRenamed("run_id", "draw_id")
     run_pool = materialize(labelled.join(all_seeds, "draw_id").select("run_id", "seed_count", "ord", "v"), "seeds")
     seeds = run_pool.where(F.col("ord") <= F.col("seed_count")).select("run_id", "ord", "v")
 
-    increments = lmsi_increments(adj, seeds.select("run_id", "v"), max(waves), method)
+    increments = lmsi_increments(adj, seeds.select("run_id", "v"), max(waves), method, hop_cost=hop_cost)
     vertex_values = valued.select("v", "k")
     groups = materialize(candidate_groups(increments, vertex_values, waves, default), "groups")
     if draws == "multinomial":
@@ -109,68 +107,6 @@ def valued_network_runs(
     return parameter_grid(spark, iteration=range(1, iterations + 1), seed_count=list(seed_counts))
 
 
-def _generated(
-    edges: DataFrame, graphs: list[dict], n: int, spark: SparkSession, seed_count: int, clean: bool, **kw
-) -> DataFrame:
-    """Sweep over generated graphs side by side: graph ``g`` owns the ids ``g * width ...``."""
-    width = 1 << max(1, (n - 1).bit_length())
-    shift = F.col("graph_id") * F.lit(width)
-    own = edges.select("graph_id", (F.col("src") + shift).alias("src"), (F.col("dst") + shift).alias("dst"))
-    if clean:
-        own = canonical_edges(own.where(F.col("src") != F.col("dst"))).distinct()
-    else:
-        # Every direction and repeat counts in the values; waves walk the simple graph underneath.
-        own = own.select("graph_id", "src", "dst")
-    own = materialize(own, "generated")
-    runs = small_table(
-        spark, ["run_id", "seed_count", *graphs[0]], [(i, seed_count, *g.values()) for i, g in enumerate(graphs)]
-    )
-    if clean:
-        return sweep(own, runs, **kw)
-    simple = canonical_edges(own.where(F.col("src") != F.col("dst"))).distinct()
-    return sweep(simple, runs, values=degrees(own.select("src", "dst")), **kw)
-
-
-def lognormal_sweep(
-    vertices: DataFrame,
-    n: int,
-    iterations: int = 50,
-    sigmas: Sequence[float] = (0.0, 0.4, 0.8, 1.2, 1.6),
-    mu: float = 3.0,
-    seed_count: int = 20,
-    max_seeds: int = 30,
-    **kw,
-) -> DataFrame:
-    """A new lognormal graph per iteration and sigma, all in one job."""
-    graphs = [
-        {"graph_id": i, "iteration": it, "mu": mu, "sigma": float(s)}
-        for i, (it, s) in enumerate(product(range(1, iterations + 1), sigmas))
-    ]
-    edges = lognormal_edges(vertices, n, [{k: g[k] for k in ("graph_id", "mu", "sigma")} for g in graphs])
-    kw.setdefault("waves", [2])
-    return _generated(edges, graphs, n, vertices.sparkSession, seed_count, True, max_seeds=max_seeds, **kw)
-
-
-def rmat_sweep(
-    vertices: DataFrame,
-    n: int,
-    iterations: int = 50,
-    densities: Sequence[int] = (5, 10, 20, 40),
-    seed_count: int = 20,
-    max_seeds: int = 30,
-    clean: bool = True,
-    **kw,
-) -> DataFrame:
-    """A new R-MAT graph per iteration and density. ``clean=False`` counts directions, repeats and loops in the degrees."""
-    graphs = [
-        {"graph_id": i, "iteration": it, "density": int(d)}
-        for i, (it, d) in enumerate(product(range(1, iterations + 1), densities))
-    ]
-    edges = rmat_edges(vertices, n, [{k: g[k] for k in ("graph_id", "density")} for g in graphs])
-    kw.setdefault("waves", [2])
-    return _generated(edges, graphs, n, vertices.sparkSession, seed_count, clean, max_seeds=max_seeds, **kw)
-
-
 def cohort_sweep(
     edges: DataFrame, values: DataFrame, seeds: DataFrame, iterations: int = 50, seed_count: int = 5,
     waves: Sequence[int] = (0, 1, 2), **kw,

@@ -91,7 +91,8 @@ def inline_edges(spark: SparkSession, edges: Sequence[tuple[int, int]]) -> DataF
 
 
 def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, schema=schema, sep="\t", quote="", enforceSchema=True)
+    """Tab-separated rows; a field that does not fit its type, or a line with too many or few, stops the job."""
+    return spark.read.csv(path, schema=schema, sep="\t", quote="", enforceSchema=True, mode="FAILFAST")
 
 
 def read_user_info(spark: SparkSession, path: str) -> DataFrame:
@@ -119,13 +120,19 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, path: str, arity: int, sep: str = "\t") -> DataFrame:
-    """Lines with exactly ``arity`` fields, as the array ``f``; all others are malformed and skipped."""
-    parts = spark.read.text(path).select(F.split("value", sep).alias("f"))
-    return parts.where(F.size("f") == arity)
+    """Lines with exactly ``arity`` fields, as the array ``f``; all others are malformed and skipped.
+
+    Empty fields at the end of a line do not count as fields.
+    """
+    return _split_lines(spark, path, sep).where(F.size("f") == arity)
+
+
+def _split_lines(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    return spark.read.text(path).select(F.split(F.regexp_replace("value", f"{sep}+$", ""), sep).alias("f"))
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Three-field rating lines as ``(user, topic)``."""
+    """Three-field rating lines as ``(user, topic)``; a line whose ids are no numbers stops the job."""
     return _fields(spark, path, 3).select(F.col("f")[1].cast("bigint").alias("user"), F.col("f")[2].cast("bigint").alias("topic"))
 
 
@@ -156,8 +163,8 @@ def read_state_lookup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_votes(spark: SparkSession, path: str) -> DataFrame:
-    """One annotator's votes ``(item, label)``; a line without a label counts as 2, unsure."""
-    parts = spark.read.text(path).select(F.split("value", "\t").alias("f"))
+    """One annotator's votes ``(item, label)``; a line without a label, or with an empty one, counts as 2, unsure."""
+    parts = _split_lines(spark, path)
     label = F.when(F.size("f") == 2, F.try_element_at("f", F.lit(2)).cast("int")).otherwise(F.lit(2))
     return parts.select(F.col("f")[0].alias("item"), label.alias("label"))
 
@@ -168,8 +175,16 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False, columns: Sequence[str] | None = None) -> None:
-    """Tab-separated files in a folder, one per partition: written by the executors, never through the driver."""
-    (df.select(*columns) if columns else df).write.csv(path, sep="\t", header=header, quote="", escape="", emptyValue="")
+    """Tab-separated files in a folder, one per partition: written by the executors, never through the driver.
+
+    Tabs, line breaks and other control characters inside a text become single spaces, so each row stays one line.
+    """
+    rows = df.select(*columns) if columns else df
+    texts = {f.name: F.regexp_replace(f.name, r"\p{Cntrl}+", " ") for f in rows.schema if f.dataType.simpleString() == "string"}
+    rows.withColumns(texts).write.csv(
+        path, sep="\t", header=header, quote="", escape="", emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_results(results: DataFrame, path: str, layout: str) -> None:

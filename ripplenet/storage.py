@@ -6,6 +6,7 @@ re-run of every earlier round, and the planner sees true file sizes, so its broa
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -17,15 +18,15 @@ _local_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the session's ``spark.checkpoint.dir``.
+    """Folder for intermediate tables: the session's ``spark.checkpoint.dir``, shared by the driver and all executors.
 
-    A temporary folder stands in only for a single-machine session that names none.
+    A temporary folder stands in only for a session of one process that names none, as in tests.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\[]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
     app = context.applicationId
     if app not in _local_roots:
@@ -37,12 +38,17 @@ def _fresh_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/ripplenet-tables/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+def materialized_at(df: DataFrame, label: str = "table") -> tuple[DataFrame, str]:
+    """Write ``df`` once and return a scan of the written table, and its path."""
     spark = df.sparkSession
     path = _fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` once and return a scan of the written table."""
+    return materialized_at(df, label)[0]
 
 
 def materialize_bucketed(df: DataFrame, keys: list[str], buckets: int, label: str = "table") -> DataFrame:

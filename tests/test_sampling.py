@@ -139,3 +139,10 @@ def test_summary_percentiles(spark):
     boot = spark.createDataFrame([(0, 0, i, float(i)) for i in range(1, 40)], "run_id bigint, wave int, rep int, stat double")
     row = bootstrap.replicate_summary(boot).first()
     assert (row["l1"], row["l2"]) == (pytest.approx(2.0), pytest.approx(38.0))
+
+
+def test_large_seed_requests_are_drawn_over_many_tasks(spark):
+    frame = spark.range(300).select(F.lit(0).alias("graph_id"), F.col("id").alias("v"), F.col("id").alias("pos"))
+    runs = spark.createDataFrame([(0, 0, 100), (1, 0, 250)], "run_id bigint, graph_id int, n int")
+    inside = {tuple(r) for r in sampling.choose_seeds(frame, runs).collect()}
+    assert {tuple(r) for r in sampling.choose_seeds(frame, runs, row_draws=10).collect()} == inside and len(inside) == 350

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ripplenet import storage
 from ripplenet.operators.cleaning import clean_edges
 from ripplenet.plans import report, sweep
-from ripplenet.sources import files, synthetic
+from ripplenet.sources import files
 
 
 def write(folder, name, *lines):
@@ -70,30 +70,10 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "dist")).first().value == "2\t5\t0.5"
 
 
-def test_synthetic(spark):
-    v = spark.range(10).withColumnRenamed("id", "v")
-    assert len(pairs(synthetic.synth_edges("star", v, 10))) == 9
-    assert pairs(synthetic.synth_edges("grid", v, 10)) == sorted(
-        [(r * 3 + c, r * 3 + c + 1) for r in range(3) for c in range(2)] + [(i, i + 3) for i in range(6)]
-    )
-    v = spark.range(300).withColumnRenamed("id", "v")
-    graphs = [{"graph_id": 0, "mu": 2.0, "sigma": 0.0}, {"graph_id": 1, "mu": 5.0, "sigma": 1.0}]
-    edges = synthetic.lognormal_edges(v, 300, graphs).cache()
-    wanted = synthetic.lognormal_degrees(v, 300, graphs).cache()
-    found = edges.groupBy("graph_id", "src").agg(F.count_distinct("dst").alias("n"))
-    both = wanted.where("n > 0").join(found.withColumnRenamed("src", "v"), ["graph_id", "v", "n"])
-    assert both.count() == wanted.where("n > 0").count() and edges.where("src = dst").count() == 0
-    assert wanted.where("graph_id = 0 AND n <> 7").count() == 0 and wanted.where("n >= 300").count() == 0
-    rmat = synthetic.synth_edges("rmat", v, 300, clean=False, density=4)
-    assert rmat.count() == 1200 and rmat.agg(F.max("src")).first()[0] < 512
-    with pytest.raises(ValueError):
-        synthetic.synth_edges("other", v, 300)
-
-
 @pytest.mark.parametrize("draws", ["multinomial", "hashed"])
 def test_sweep_rows_are_consistent(spark, tmp_path, draws):
-    v = spark.range(200).withColumnRenamed("id", "v")
-    edges = storage.materialize(synthetic.synth_edges("rmat", v, 200, density=4))
+    ends = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(200)).alias(n) for i, n in enumerate(("src", "dst"))]
+    edges = storage.materialize(clean_edges(spark.range(800).select(*ends)))
     runs = sweep.parameter_grid(spark, iteration=[1, 2], seed_count=[1, 5])
     rows = sweep.sweep(edges, runs, [0, 2], reps=40, draws=draws, max_seeds=10).withColumn("method", F.lit("pooled")).withColumn("seed", F.col("seed_count"))
     rows = storage.materialize(rows)
@@ -111,16 +91,6 @@ def test_sweep_rows_are_consistent(spark, tmp_path, draws):
     assert report.interval_gini(rows, ["wave"]).where("gini_interval BETWEEN 0 AND 1").count() == 2
 
 
-def test_generated_sweeps(spark):
-    v = spark.range(150).withColumnRenamed("id", "v")
-    rows = sweep.lognormal_sweep(v, 150, iterations=2, sigmas=(0.0, 0.5), mu=1.5, seed_count=5, max_seeds=8, reps=20).collect()
-    assert len(rows) == 4 and len({r.graph_id for r in rows}) == 4 and {r.sigma for r in rows} == {0.0, 0.5}
-    loose = sweep.rmat_sweep(v, 150, iterations=1, densities=(3, 6), seed_count=5, max_seeds=8, clean=False, reps=20).collect()
-    clean = sweep.rmat_sweep(v, 150, iterations=1, densities=(3, 6), seed_count=5, max_seeds=8, reps=20).collect()
-    for a, b in zip(sorted(loose, key=lambda r: r.density), sorted(clean, key=lambda r: r.density)):
-        assert a.avgGraphDeg > b.avgGraphDeg
-
-
 def test_per_seed_sweep_includes_more(spark, tiny_edges):
     runs = sweep.parameter_grid(spark, iteration=[1], seed_count=[3])
     pooled, single = (
@@ -141,3 +111,26 @@ def test_scratch_follows_the_session():
         storage.scratch_root(session_stub(None, "yarn"))
     local = session_stub(None, "local[2]")
     assert storage.scratch_root(local) == storage.scratch_root(local)
+
+
+def test_scratch_needs_a_shared_folder_on_any_cluster():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch_root(session_stub(None, "local-cluster[3,2,1024]"))
+
+
+def test_lines_that_end_in_empty_fields(spark, tmp_path):
+    votes = files.read_votes(spark, write(tmp_path, "v.tsv", "u\t", "w\t1"))
+    assert sorted(tuple(r) for r in votes.collect()) == [("u", 2), ("w", 1)]
+    assert files.read_ratings(spark, write(tmp_path, "r.tsv", "1\t2\t", "1\t2\t3\t")).count() == 1
+
+
+def test_malformed_rows_stop_the_job(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_labels(spark, write(tmp_path, "l.tsv", "u\tx")).collect()
+
+
+def test_texts_with_breaks_stay_one_row(spark, tmp_path):
+    rows = spark.createDataFrame([("a", " one\ntwo\tthree\x00 "), ("b", "plain")], "v string, text string")
+    files.write_tsv(rows, str(tmp_path / "t"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())
+    assert lines == ["a\t one two three  ", "b\tplain"]

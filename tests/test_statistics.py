@@ -71,3 +71,12 @@ def test_kappa_needs_equal_raters(spark):
     counts = spark.createDataFrame(rows, "item int, predicted int, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
     with pytest.raises(Exception, match="number of votes"):
         agreement.fleiss_kappa(counts).collect()
+
+
+def test_undefined_coefficients_are_null(spark):
+    zeros = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 1.0), ("b", 3.0)], "g string, x double")
+    got = {r["g"]: r["G"] for r in statistics.gini(zeros, ["g"], {"G": F.col("x")}).collect()}
+    assert got["a"] is None and abs(got["b"] - 0.25) < 1e-9
+    one = spark.createDataFrame([("i", 1, 0, 3, 0, 0), ("j", 1, 0, 3, 0, 0)], "item string, predicted int, n0 int, n1 int, n2 int, n3 int")
+    row = agreement.fleiss_kappa(one).first()
+    assert row["observed"] == 1.0 and row["kappa"] is None

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from conftest import multiset, pairs
+from pyspark.sql import functions as F
 
 from ripplenet.operators import cleaning, traversal
 
@@ -133,3 +134,20 @@ def test_snowball_and_frontiers(spark):
     assert Counter(r.v for r in frontier.collect()) == Counter(["c", "s", "d"])
     both = spark.createDataFrame([("s",), ("a",)], "v string")
     assert sorted(r.v for r in traversal.unexpanded_friends(links, both).collect()) == ["b", "c"]
+
+
+def test_edge_weights_count_in_inclusions(spark, tiny_edges):
+    seeds = spark.createDataFrame([(0, 1), (0, 2)], "run_id bigint, v bigint")
+    dear = traversal.build_adjacency(tiny_edges.withColumn("w", F.lit(5)))
+    for method in ("pooled", "per_seed"):
+        assert multiset(traversal.inclusions(traversal.lmsi_increments(dear, seeds, 2, method), [2])) == [1, 2]
+    two = traversal.build_adjacency(tiny_edges.withColumn("w", F.lit(2)))
+    assert multiset(traversal.inclusions(traversal.lmsi_increments(two, seeds, 2), [2])) == [1, 2, 3, 3, 4, 6]
+    plain = traversal.build_adjacency(tiny_edges)
+    assert multiset(traversal.inclusions(traversal.lmsi_increments(plain, seeds, 2, hop_cost=2), [2])) == [1, 2, 3, 3, 4, 6]
+
+
+def test_buckets_follow_the_rows(spark, tiny_edges, monkeypatch):
+    monkeypatch.setattr(traversal, "ROWS_PER_BUCKET", 1)
+    edges = traversal.build_adjacency(tiny_edges).edges
+    assert "SelectedBucketsCount: 16 out of 16" in edges.groupBy("src").count()._jdf.queryExecution().toString()

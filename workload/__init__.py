@@ -1,5 +1,5 @@
 """The registered queries: library calls over the given tables, each beside the SQL that checks it."""
 
-from workload import cohorts, sampling, structure
+from workload import cohorts, layouts, sampling, structure
 
-MODULES = (structure, sampling, cohorts)
+MODULES = (structure, sampling, cohorts, layouts)

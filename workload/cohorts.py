@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ripplenet.functions import dates, places, text
 from ripplenet.operators import agreement, classify, cleaning, profiles, regions, statistics, values
 from ripplenet.operators.structure import degrees
-from ripplenet.sources import files, synthetic
+from ripplenet.sources import files
 from ripplenet.storage import materialize, scratch_root, small_table
 from workload import inputs as inp
 
@@ -298,29 +298,6 @@ def vocabulary_file(spark, d):
     return files.read_vocabulary(spark, path)
 
 
-# Synthetic edges over the keys of the part table.
-
-def _parts(spark, d):
-    parts = inp.table(spark, d, "part").select(F.col("p_partkey").alias("v"))
-    return parts, parts.count()
-
-
-def grid(spark, d):
-    return synthetic.synth_edges("grid", *_parts(spark, d))
-
-
-def star(spark, d):
-    return synthetic.synth_edges("star", *_parts(spark, d), clean=False)
-
-
-def lognormal(spark, d):
-    return synthetic.synth_edges("lognormal", *_parts(spark, d), clean=False, mu=2.0, sigma=0.8)
-
-
-def rmat(spark, d):
-    return synthetic.synth_edges("rmat", *_parts(spark, d), clean=False, density=5)
-
-
 QUERIES = {
     "b14_split_cohorts": split_cohorts,
     "a1_edge_list": edge_list,
@@ -330,10 +307,6 @@ QUERIES = {
     "a5_user_info": user_info,
     "a11_vocabulary_file": vocabulary_file,
     "a13_votes_file": votes_file,
-    "a17_lognormal_edges": lognormal,
-    "a18_grid_edges": grid,
-    "a19_rmat_edges": rmat,
-    "a20_star_edges": star,
     "c5_lookup_default": filled_years,
     "c10_region_merge": merged_regions,
     "j14_keyword_value": keyword_values,
@@ -412,8 +385,6 @@ def _keyword_sql() -> str:
       SELECT v, (1 + sum(h))::bigint AS k FROM hits GROUP BY v"""
 
 
-_LOGNORMAL_U = inp.uniform_sql("'radius'", "0", "p_partkey", "i")
-_LOGNORMAL_A = inp.uniform_sql("'angle'", "0", "p_partkey", "i")
 
 ORACLES = {
     "b14_split_cohorts": "SELECT doc_id AS v, CASE WHEN quality = 1 THEN 'ill' ELSE 'well' END AS cohort FROM labels",
@@ -429,23 +400,6 @@ ORACLES = {
       c_custkey::int AS statuses FROM customer""",
     "a11_vocabulary_file": f"WITH {WORDS}, {_vocab()} SELECT word, id FROM vocab",
     "a13_votes_file": """SELECT doc_id::varchar AS item, (CASE WHEN toxic = 1 THEN 2 ELSE quality END)::int AS label FROM labels""",
-    "a17_lognormal_edges": f"""WITH t AS (SELECT count(*) n FROM part),
-      tries AS (SELECT p_partkey src, i, floor(exp(2.0::double + 0.8::double * sqrt(-2.0::double * ln({_LOGNORMAL_U}))
-        * cos(6.283185307179586::double * {_LOGNORMAL_A})))::bigint x FROM part, unnest(range(1, 65)) r(i)),
-      req AS (SELECT 0 graph_id, src, min_by(x, i) n, (SELECT n - 1 FROM t) total FROM tries WHERE x < (SELECT n FROM t) GROUP BY src),
-      {inp.positions_sql("req", "graph_id, src", "target")}
-      SELECT src, (CASE WHEN pos < src THEN pos ELSE pos + 1 END)::bigint AS dst FROM drawn""",
-    "a18_grid_edges": """WITH t AS (SELECT floor(sqrt(count(*)))::bigint side FROM part),
-      c AS (SELECT p_partkey v, side FROM part, t WHERE p_partkey < side * side)
-      SELECT v AS src, v + 1 AS dst FROM c WHERE v % side < side - 1 UNION ALL SELECT v, v + side FROM c WHERE v + side < side * side""",
-    "a19_rmat_edges": f"""WITH t AS (SELECT greatest(1, ceil(log2(count(*))))::int bits FROM part),
-      q AS (SELECT p_partkey v, j, b, bits, {inp.uniform_sql("'quadrant'", "0", "p_partkey", "j", "b")} u
-        FROM part, t, unnest(range(1, 6)) x(j), unnest(range(t.bits)) y(b))
-      SELECT sum(CASE WHEN u >= 0.45::double + 0.15::double THEN 1 << (bits - 1 - b)::int ELSE 0 END)::bigint AS src,
-        sum(CASE WHEN (u >= 0.45::double AND u < 0.45::double + 0.15::double) OR u >= 0.45::double + 0.15::double + 0.15::double
-          THEN 1 << (bits - 1 - b)::int ELSE 0 END)::bigint AS dst
-      FROM q GROUP BY v, j""",
-    "a20_star_edges": "SELECT p_partkey AS src, 0::bigint AS dst FROM part WHERE p_partkey > 0",
     "c5_lookup_default": """SELECT n_nationkey, CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN r_name ELSE 'elsewhere' END AS r_name
       FROM nation JOIN region ON r_regionkey = n_regionkey""",
     "c10_region_merge": f"""WITH {REGIONS}, a AS (SELECT DISTINCT c_mktsegment name FROM customer)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplenet.operators.cleaning import clean_edges
+from ripplenet.operators.ordering import ordered_running
+from ripplenet.storage import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +19,21 @@ def r6(*names: str) -> list[Column]:
 
 
 def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the first part on each line of an order to the first part on its next line.
+    """From the part on each line of an order to the part on its next line, over all lines.
 
-    One part per (order, line) is chosen before the join, so both join sides have unique keys: links grow with the
-    lines and never with the square of an order.
+    Lines are ranked within their order, lines of one number by part, so gaps and repeated numbers cut no chain; links
+    grow with the lines and never with the square of an order.
     """
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
-    here = lines.select("l_orderkey", "l_linenumber", F.col("part").alias("src"))
-    following = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("part").alias("dst"))
-    return here.join(following, ["l_orderkey", "l_linenumber"]).select("src", "dst")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return _consecutive(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey")
+
+
+def _consecutive(rows: DataFrame, group: list[str], order: list[str], column: str) -> DataFrame:
+    """``(src, dst)``: ``column`` of each row and of the row after it in its group."""
+    ranked = materialize(ordered_running(rows, group, order, rank="at").select(*group, "at", column), "ranked")
+    here = ranked.select(*group, "at", F.col(column).alias("src"))
+    following = ranked.select(*group, (F.col("at") - 1).alias("at"), F.col(column).alias("dst"))
+    return here.join(following, [*group, "at"]).select("src", "dst")
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +41,8 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the user of each event to the user of the next one; the event id is unique on both sides."""
-    events = table(spark, sf_dir, "events")
-    here = events.select("event_id", F.col("user_id").alias("src"))
-    following = events.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("dst"))
-    return here.join(following, "event_id").select("src", "dst")
+    """From the user of each event to the user of the next one, in the order of event ids."""
+    return _consecutive(table(spark, sf_dir, "events").select("event_id", "user_id"), [], ["event_id"], "user_id")
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +66,10 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal out the rows of a table that lies in fewer files than there are cores, for work that is heavy per row.
 
-    A large table has more files than cores and is left as it is.
+    A large table has more parts than cores and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +83,12 @@ STOP_WORDS = ["that", "with", "this", "from", "they", "have"]
 # SQL fragments. Each is one CTE (or several), to be joined by commas after WITH.
 
 PART_LINKS = """
-first_part AS (SELECT l_orderkey o, l_linenumber n, min(l_partkey) p FROM lineitem GROUP BY ALL),
-links AS (SELECT a.p src, b.p dst FROM first_part a JOIN first_part b ON a.o = b.o AND b.n = a.n + 1)"""
+chain AS (SELECT l_partkey src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) dst FROM lineitem),
+links AS (SELECT src, dst FROM chain WHERE dst IS NOT NULL)"""
 
 EVENT_LINKS = """
-links AS (SELECT a.user_id src, b.user_id dst FROM events a JOIN events b ON b.event_id = a.event_id + 1)"""
+chain AS (SELECT user_id src, lead(user_id) OVER (ORDER BY event_id) dst FROM events),
+links AS (SELECT src, dst FROM chain WHERE dst IS NOT NULL)"""
 
 CLEAN = """
 edges AS (SELECT DISTINCT least(src, dst) src, greatest(src, dst) dst FROM links WHERE src <> dst)"""
@@ -147,14 +153,14 @@ def distance_sql(max_wave: int, keys: str = "run_id", cost: str = "1", sym: str
     return ",\n".join(steps)
 
 
-def inclusions_sql(waves: list[int], keys: str = "run_id") -> str:
+def inclusions_sql(waves: list[int], keys: str = "run_id", sym: str = "sym") -> str:
     """CTE ``incl(keys, wave, v, m)`` from ``dist``, ``sym`` and ``seeds`` by the edge rule itself."""
     on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
     bs = ", ".join(f"b.{k}" for k in keys.split(", "))
     listed = ", ".join(f"({w})" for w in waves)
     return f"""
 waves(wave) AS (VALUES {listed}),
-hits AS (SELECT {bs}, b.v, greatest(b.d, a.d + 1) since, count(*) m FROM dist a JOIN sym s ON s.u = a.v
+hits AS (SELECT {bs}, b.v, greatest(b.d, a.d + 1) since, count(*) m FROM dist a JOIN {sym} s ON s.u = a.v
   JOIN dist b ON {on} AND b.v = s.v WHERE a.d <= b.d GROUP BY ALL
   UNION ALL SELECT {keys}, v, 0, 1 FROM seeds),
 incl AS (SELECT {keys}, wave, v, sum(m)::bigint m FROM hits JOIN waves ON since <= wave GROUP BY ALL)"""

@@ -29,16 +29,20 @@ def wave_distance(spark, d):
     return traversal.wave_distance(adj, seeds, 3).select("run_id", "v", "d")
 
 
-def wave_distance_weighted(spark, d):
-    """Hop costs 1 to 3: one, two or more repeats of a directed link, the rarer the dearer."""
+def _weighted(spark, d):
+    """Adjacency with hop costs 1 to 3, the rarer a link the dearer, and the seeds of two runs."""
     links = inp.event_links(spark, d).where("src <> dst")
     counted = links.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).count()
     cost = F.when(F.col("count") > 2, 1).when(F.col("count") > 1, 2).otherwise(3)
     adj = traversal.build_adjacency(counted.select("src", "dst", cost.alias("w")))
     frame = sampling.positions_of(vertices_of(adj.pairs).withColumn("graph_id", F.lit(0)))
     requests = spark.range(2).select(F.col("id").alias("run_id"), F.lit(0).alias("graph_id"), F.lit(2).alias("n"))
-    seeds = sampling.choose_seeds(materialize(frame, "frame"), requests)
-    return traversal.wave_distance(adj, materialize(seeds, "seeds"), 5).select("run_id", "v", "d")
+    return adj, materialize(sampling.choose_seeds(materialize(frame, "frame"), requests), "seeds")
+
+
+def wave_distance_weighted(spark, d):
+    adj, seeds = _weighted(spark, d)
+    return traversal.wave_distance(adj, seeds, 5).select("run_id", "v", "d")
 
 
 def lmsi_pooled(spark, d):
@@ -51,12 +55,24 @@ def lmsi_per_seed(spark, d):
     return traversal.inclusions(traversal.lmsi_increments(adj, seeds, 2, "per_seed"), [0, 1, 2])
 
 
+def _mutual(spark, d):
+    return mutual_edges(inp.event_links(spark, d))
+
+
 def lmsi_mutual(spark, d):
     """Mutual-edge graph whose edges keep attribute 2: two units of wave per hop."""
-    graph = lambda s, p: mutual_edges(inp.event_links(s, p))
-    adj, _, seeds = _setup(spark, d, runs=2, n=5, graph=graph)
-    dist = traversal.wave_distance(adj, seeds, 4, hop_cost=2)
-    return traversal.inclusions(traversal.increments_from_distance(adj, dist, seeds, 4), [0, 2, 4])
+    adj, _, seeds = _setup(spark, d, runs=2, n=5, graph=_mutual)
+    return traversal.inclusions(traversal.lmsi_increments(adj, seeds, 4, hop_cost=2), [0, 2, 4])
+
+
+def lmsi_weighted(spark, d):
+    adj, seeds = _weighted(spark, d)
+    return traversal.inclusions(traversal.lmsi_increments(adj, seeds, 5), [0, 1, 3, 5])
+
+
+def lmsi_per_seed_weighted(spark, d):
+    adj, seeds = _weighted(spark, d)
+    return traversal.inclusions(traversal.lmsi_increments(adj, seeds, 4, "per_seed"), [0, 2, 4])
 
 
 def wave_edges(spark, d):
@@ -188,6 +204,12 @@ def sweep_waves(spark, d):
     return _sweep_rows(sweep.sweep(inp.part_graph(spark, d), runs, WAVES, reps=3, draws="hashed"))
 
 
+def sweep_mutual(spark, d):
+    """The published sweep of mutual-edge networks, which keep two units of wave per hop."""
+    runs = sweep.real_network_runs(spark, iterations=20, seed_count=5)
+    return _sweep_rows(sweep.sweep(_mutual(spark, d), runs, [0, 2, 4], reps=3, draws="hashed", hop_cost=2))
+
+
 def sweep_waves_full(spark, d):
     """The published size of the sweep: 50 iterations, waves 0 to 8, 1000 replicates."""
     return sweep.sweep(inp.part_graph(spark, d), sweep.real_network_runs(spark), WAVES)
@@ -201,7 +223,7 @@ def _valued(spark, d):
 
 def sweep_seed_counts(spark, d):
     edges, values = _valued(spark, d)
-    runs = sweep.valued_network_runs(spark, iterations=2)
+    runs = sweep.valued_network_runs(spark)
     return _sweep_rows(sweep.sweep(edges, runs, [2], reps=3, values=values, seed_pool=values, draws="hashed"))
 
 
@@ -209,29 +231,14 @@ def cohort_sweep(spark, d):
     cohort = materialize(inp.event_cohort(spark, d), "cohort")
     edges = clean_edges(induced_edges(inp.event_links(spark, d), cohort))
     values = off_hours_values(inp.activity(spark, d), cohort)
-    return _sweep_rows(sweep.cohort_sweep(edges, values, cohort, iterations=2, reps=5, draws="hashed"))
-
-
-def _dense_parts(spark, d):
-    parts = inp.table(spark, d, "part").select(F.col("p_partkey").alias("v"))
-    return parts, parts.count()
-
-
-def sweep_lognormal(spark, d):
-    parts, n = _dense_parts(spark, d)
-    return sweep.lognormal_sweep(parts, n, iterations=2)
-
-
-def sweep_rmat(spark, d):
-    parts, n = _dense_parts(spark, d)
-    return sweep.rmat_sweep(parts, n, iterations=2, densities=(5, 10))
+    return _sweep_rows(sweep.cohort_sweep(edges, values, cohort, reps=5, draws="hashed"))
 
 
 def _small_sweep(spark, d):
-    """Rows the report tables are made of: two datasets, four iterations, three seed counts."""
+    """Rows the report tables are made of: two datasets, 50 iterations, three seed counts."""
     frames = []
     for name, graph in (("part", inp.part_graph), ("event", inp.event_graph)):
-        runs = sweep.parameter_grid(spark, iteration=range(1, 5), seed_count=[1, 5, 20])
+        runs = sweep.parameter_grid(spark, iteration=range(1, 51), seed_count=[1, 5, 20])
         rows = sweep.sweep(graph(spark, d), runs, [1], reps=5, draws="hashed")
         frames.append(rows.withColumn("dataset", F.lit(name)))
     return frames[0].unionByName(frames[1])
@@ -272,6 +279,8 @@ QUERIES = {
     "i1_wave_distance_weighted": wave_distance_weighted,
     "i2_lmsi_pooled": lmsi_pooled,
     "i2_lmsi_mutual_hop_cost": lmsi_mutual,
+    "i2_lmsi_weighted": lmsi_weighted,
+    "i4_lmsi_per_seed_weighted": lmsi_per_seed_weighted,
     "i4_lmsi_per_seed": lmsi_per_seed,
     "i5_wave_edges": wave_edges,
     "i7_snowball": snowball,
@@ -290,10 +299,9 @@ QUERIES = {
     "j8_bootstrap_uniform": boot_uniform,
     "j9_summary": summary,
     "j10_sweep_waves": sweep_waves,
+    "j10_sweep_mutual": sweep_mutual,
     "j10_sweep_waves_full": sweep_waves_full,
     "j11_sweep_seed_counts": sweep_seed_counts,
-    "j12_sweep_lognormal": sweep_lognormal,
-    "j13_sweep_rmat": sweep_rmat,
     "j18_cohort_sweep": cohort_sweep,
     "l7_interval_gini": interval_gini,
     "l8_interval_table": interval_table,
@@ -333,20 +341,20 @@ def _proxy(n_pool: int = 50, n: int = 20) -> str:
         WHERE d.run_id = s.run_id AND d.ord = 1 + {h} % size)"""
 
 
-def _sweep(iterations, seed_counts, waves, reps, values: str, pool: str, max_seeds: int = 100) -> str:
-    """CTEs ending in ``result``; ``iteration * 1000000`` is the label of an iteration's draws."""
+def _sweep(iterations, seed_counts, waves, reps, values: str, pool: str, max_seeds: int = 100, cost: str = "1") -> str:
+    """CTEs ending in ``result``; ``iteration:0`` is the label of an iteration's draws."""
     grid = ", ".join(
         f"({i}, {it}, {sc})" for i, (it, sc) in enumerate((it, sc) for it in iterations for sc in seed_counts)
     )
-    draw_ids = ", ".join(f"({it * 1_000_000}, {max_seeds})" for it in iterations)
+    draw_ids = ", ".join(f"('{it}:0', {max_seeds})" for it in iterations)
     proxy = inp.hash_sql("wave", "p.run_id", "'proxy'", "j")
     return f"""
 grid(run_id, iteration, seed_count) AS (VALUES {grid}),
 draw_ids(run_id, n) AS (VALUES {draw_ids}),
 {inp.seeds_sql(pool, "draw_ids")},
-run_pool AS (SELECT g.run_id, seed_count, ord, v FROM grid g JOIN all_seeds a ON a.run_id = iteration * 1000000),
+run_pool AS (SELECT g.run_id, seed_count, ord, v FROM grid g JOIN all_seeds a ON a.run_id = iteration || ':0'),
 seeds AS (SELECT run_id, ord, v FROM run_pool WHERE ord <= seed_count),
-{inp.distance_sql(max(waves))}, {inp.inclusions_sql(list(waves))},
+{inp.distance_sql(max(waves), cost=cost)}, {inp.inclusions_sql(list(waves))},
 {inp.boot_sql(reps, values)}, {inp.summary_sql(values)},
 pool_size AS (SELECT run_id, seed_count, count(*) size FROM run_pool GROUP BY ALL),
 proxies AS (SELECT DISTINCT p.run_id, wave, d.v FROM pool_size p, waves, unnest(range(1, p.seed_count + 1)) t(j), run_pool d
@@ -367,7 +375,7 @@ COHORT = f"""{inp.EVENT_LINKS}, {inp.EVENT_COHORT},
     AND src IN (SELECT v FROM cohort) AND dst IN (SELECT v FROM cohort)), {inp.DEGREES},
   vals AS (SELECT v, 1 + count(user_id) k FROM cohort LEFT JOIN events ON user_id = v AND (hour(ts) < 6 OR hour(ts) > 21) GROUP BY v)"""
 
-_SMALL = _sweep(range(1, 5), [1, 5, 20], [1], 5, "deg", "deg")
+_SMALL = _sweep(range(1, 51), [1, 5, 20], [1], 5, "deg", "deg")
 SMALL_SWEEP = f"""sweep_rows AS (
   SELECT 'part' dataset, * FROM (WITH {inp.PART_GRAPH}, {_SMALL} SELECT * FROM result)
   UNION ALL SELECT 'event', * FROM (WITH {inp.EVENT_GRAPH}, {_SMALL} SELECT * FROM result))"""
@@ -385,6 +393,12 @@ ORACLES = {
     "i1_wave_distance_weighted": f"""WITH {WEIGHTED}, {_seeds(2, 2, "ends")}, {inp.distance_sql(5, cost="s.w", sym="wsym")}
       SELECT run_id, v, d FROM dist""",
     "i2_lmsi_pooled": f"{BASE}, {inp.distance_sql(3)}, {inp.inclusions_sql([0, 1, 2, 3])} SELECT run_id, wave, v, m FROM incl",
+    "i2_lmsi_weighted": f"""WITH {WEIGHTED}, {_seeds(2, 2, "ends")}, {inp.distance_sql(5, cost="s.w", sym="wsym")},
+      {inp.inclusions_sql([0, 1, 3, 5], sym="wsym")} SELECT run_id, wave, v, m FROM incl""",
+    "i4_lmsi_per_seed_weighted": f"""WITH {WEIGHTED}, {_runs(2, 2)}, {inp.seeds_sql("ends")},
+      seeds AS (SELECT run_id, v seed, v FROM all_seeds),
+      {inp.distance_sql(4, keys="run_id, seed", cost="s.w", sym="wsym")}, {inp.inclusions_sql([0, 2, 4], keys="run_id, seed", sym="wsym")}
+      SELECT run_id, wave, v, sum(m)::bigint AS m FROM incl GROUP BY ALL""",
     "i2_lmsi_mutual_hop_cost": f"""WITH {MUTUAL}, {_seeds(2, 5)}, {inp.distance_sql(4, cost="2")},
       {inp.inclusions_sql([0, 2, 4])} SELECT run_id, wave, v, m FROM incl""",
     "i4_lmsi_per_seed": f"""WITH {inp.PART_GRAPH}, {_runs(2, 5)}, {inp.seeds_sql("deg")},
@@ -435,9 +449,10 @@ ORACLES = {
       FROM dr JOIN c USING (run_id, wave) WHERE t > hi - n AND t <= hi GROUP BY ALL""",
     "j9_summary": f"""{THREE_WAVES}, {inp.boot_sql(20)}, {inp.summary_sql()}
       SELECT run_id, wave, edges, {inp.rounded_sql(*inp.SUMMARY_COLUMNS)} FROM summary""",
+    "j10_sweep_mutual": f"WITH {MUTUAL}, {_sweep(range(1, 21), [5], [0, 2, 4], 3, 'deg', 'deg', cost='2')} {SWEEP_OUT}",
     "j10_sweep_waves": f"WITH {inp.PART_GRAPH}, {_sweep([1, 2], [20], WAVES, 3, 'deg', 'deg')} {SWEEP_OUT}",
-    "j11_sweep_seed_counts": f"WITH {VALUED}, {_sweep([1, 2], [1, 5, 10, 20, 50, 100], [2], 3, 'vals', 'vals')} {SWEEP_OUT}",
-    "j18_cohort_sweep": f"WITH {COHORT}, {_sweep([1, 2], [5], [0, 1, 2], 5, 'vals', 'cohort', 5)} {SWEEP_OUT}",
+    "j11_sweep_seed_counts": f"WITH {VALUED}, {_sweep(range(1, 51), [1, 5, 10, 20, 50, 100], [2], 3, 'vals', 'vals')} {SWEEP_OUT}",
+    "j18_cohort_sweep": f"WITH {COHORT}, {_sweep(range(1, 51), [5], [0, 1, 2], 5, 'vals', 'cohort', 5)} {SWEEP_OUT}",
     "l7_interval_gini": f"WITH {SMALL_SWEEP}, {INTERVAL_GINI} SELECT * FROM ginis",
     "l8_interval_table": f"""WITH {SMALL_SWEEP} SELECT dataset, seed_count::bigint AS seed_count,
       round(avg(mean / "avgGraphDeg"), 6) AS mean_ratio, round(avg((l2 - l1) / mean), 6) AS relative_interval,
