@@ -168,77 +168,94 @@ def _evidence(hits: np.ndarray, misses: np.ndarray, share: float) -> np.ndarray:
     return np.where(even >= PRECISION, gain, 0.0)
 
 
-def token_labels(parts: list[list[list[str]]], toxic: list[int]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Word numbers, each word's feature slots (padded with -1), and whether each word is toxic in a toxic text.
-
-    Copies of a text count once for a label.
-    """
-    numbers: dict[str, int] = {}
-    slots: list[list[int]] = []
-    pairs: list[np.ndarray] = []
-    group_of, seen = list(range(len(parts))), {}
-
-    def root(i: int) -> int:
-        while group_of[i] != i:
-            group_of[i] = i = group_of[group_of[i]]
+@dataclass
+class Text:
+    """A labelled text: its word numbers, laid end to end, and the length of each chain."""
+
+    words: np.ndarray
+    lengths: np.ndarray
+    label: int
+
+
+class Sample:
+    """Labelled texts as numbers, with each word's feature slots (padded with -1) and the copies among the texts."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        numbers: dict[str, int] = {}
+        slots: list[list[int]] = []
+        self.texts: list[Text] = []
+        self.group_of: list[int] = []
+        seen: dict[tuple, int] = {}
+        for text, label in dict.fromkeys(rows):
+            parts = chains(text)
+            words = [w for c in parts for w in c]
+            if not words:
+                continue
+            for w in words:
+                if w not in numbers:
+                    numbers[w] = len(numbers)
+                    slots.append(features(w))
+            own = np.fromiter((numbers[w] for w in words), np.int32, len(words))
+            self.texts.append(Text(own, np.array([len(c) for c in parts]), label))
+            self.group_of.append(len(self.group_of))
+            for half in _copy_keys(words):
+                self.group_of[self._root(-1)] = self._root(seen.setdefault((label, half), len(self.texts) - 1))
+        self.table = np.full((len(slots), max(map(len, slots), default=1)), -1, np.int64)
+        for i, own in enumerate(slots):
+            self.table[i, : len(own)] = own
+
+    def _root(self, i: int) -> int:
+        i %= len(self.group_of)
+        while self.group_of[i] != i:
+            self.group_of[i] = i = self.group_of[self.group_of[i]]
         return i
 
-    for i, chain in enumerate(parts):
-        words = [w for c in chain for w in c]
-        for w in words:
-            if w not in numbers:
-                numbers[w] = len(numbers)
-                slots.append(features(w))
-        runs = (" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64)
-        least = [
-            int((hashes * np.uint64(2 * k + 1) ^ (hashes >> np.uint64(31 + k))).min()) for k in range(2 * COPY_HASHES)
-        ]
-        for half in (tuple(least[:COPY_HASHES]), tuple(least[COPY_HASHES:])):
-            group_of[root(i)] = root(seen.setdefault((toxic[i], half), i))
-        own = np.unique(np.array([numbers[w] for w in words], np.int64))
-        pairs.append(np.stack([np.full(len(own), i), own]))
-    roots, number_of = np.unique([root(i) for i in range(len(parts))], return_inverse=True)
-    group_toxic = np.array(toxic)[roots]
-    table = np.full((len(slots), max(map(len, slots), default=1)), -1, np.int64)
-    for i, own in enumerate(slots):
-        table[i, : len(own)] = own
-    share = float(np.clip(group_toxic.mean(), 1e-3, 1 - 1e-3))
-    joined = np.concatenate(pairs, axis=1)
-    joined[0] = number_of[joined[0]]
-    hits, misses = np.zeros(SLOTS), np.zeros(SLOTS)
-    for k in range(table.shape[1]):
-        slot = table[joined[1], k]
-        key = np.unique(joined[0][slot >= 0] * SLOTS + slot[slot >= 0])
-        label = group_toxic[key // SLOTS]
-        hits += np.bincount(key[label == 1] % SLOTS, minlength=SLOTS)
-        misses += np.bincount(key[label == 0] % SLOTS, minlength=SLOTS)
-    strong = np.append(_evidence(hits, misses, share) >= EVIDENCE, False)
-    return numbers, table, strong[table].any(axis=1)
+    def toxic_words(self) -> np.ndarray:
+        """Whether each word counts as toxic in a toxic text; copies of a text count once for a label."""
+        roots, group = np.unique([self._root(i) for i in range(len(self.texts))], return_inverse=True)
+        toxic = np.array([self.texts[i].label for i in roots])
+        own = [np.unique(t.words) for t in self.texts]
+        text_of, word = np.repeat(group, [len(x) for x in own]), np.concatenate(own)
+        hits, misses = np.zeros(SLOTS), np.zeros(SLOTS)
+        for k in range(self.table.shape[1]):
+            slot = self.table[word, k]
+            key = np.unique(text_of[slot >= 0] * SLOTS + slot[slot >= 0])
+            label = toxic[key // SLOTS]
+            hits += np.bincount(key[label == 1] % SLOTS, minlength=SLOTS)
+            misses += np.bincount(key[label == 0] % SLOTS, minlength=SLOTS)
+        share = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3))
+        strong = np.append(_evidence(hits, misses, share) >= EVIDENCE, False)
+        return strong[self.table].any(axis=1)
+
+
+def _copy_keys(words: list[str]) -> tuple[tuple, tuple]:
+    runs = (" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64)
+    least = [int((hashes * np.uint64(2 * k + 1) ^ (hashes >> np.uint64(31 + k))).min()) for k in range(2 * COPY_HASHES)]
+    return tuple(least[:COPY_HASHES]), tuple(least[COPY_HASHES:])
 
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
     """The model of the labelled texts ``(text, label)``; ``share`` is the share of toxic ones among all labels."""
-    unique = [(chains(t), y) for t, y in dict.fromkeys(rows) if t]
-    unique = [(p, y) for p, y in unique if p]
-    if len({y for _, y in unique}) < 2:
+    sample = Sample(rows)
+    if len({t.label for t in sample.texts}) < 2:
         return None
-    parts, toxic = [p for p, _ in unique], [y for _, y in unique]
-    numbers, table, bad = token_labels(parts, toxic)
+    bad = sample.toxic_words()
     chosen, plain = [], []
-    for chain_list, y in unique:
-        for chain in chain_list:
-            ids = np.array([numbers[w] for w in chain], np.int64)
-            marks = bad[ids] & (y == 1)
+    for t in sample.texts:
+        for ids in np.split(t.words, np.cumsum(t.lengths)[:-1]):
+            marks = bad[ids] & (t.label == 1)
             (chosen if marks.any() else plain).append((ids, marks))
     order = np.random.default_rng(7).permutation(len(plain))[: max(0, MAX_CHAINS - len(chosen[:MAX_CHAINS]))]
-    chosen = chosen[:MAX_CHAINS] + [plain[i] for i in order]
-    model = _train(chosen, table)
-    odds = np.concatenate([
-        score_texts(model, WordScores(model), [" \n".join(map(" ".join, p)) for p in parts[i : i + 200]])[0]
-        for i in range(0, len(parts), 200)
-    ])
-    model.slope, model.shift = _calibrate(odds, np.array(toxic), share)
+    model = _train(chosen[:MAX_CHAINS] + [plain[i] for i in order], sample.table)
+    del chosen, plain
+    by_word = model.bias + np.append(model.weights, 0.0)[sample.table].sum(1)
+    odds = []
+    for i in range(0, len(sample.texts), 200):
+        part = sample.texts[i : i + 200]
+        chances = _marginals(model, by_word[np.concatenate([t.words for t in part])], np.concatenate([t.lengths for t in part]))
+        odds.append(document_odds(np.repeat(np.arange(len(part)), [len(t.words) for t in part]), chances, len(part)))
+    model.slope, model.shift = _calibrate(np.concatenate(odds), np.array([t.label for t in sample.texts]), share)
     return model
 
 
