@@ -21,7 +21,7 @@ from ripplenet.operators.lookup import cumulative, cumulative_lookup
 from ripplenet.operators.ordering import ordered_running
 from ripplenet.operators.sampling import explode_count
 from ripplenet.operators.statistics import median_by_counts, percentile_of_array
-from ripplenet.storage import shuffle_width
+from ripplenet.storage import materialize, shuffle_width
 
 RUN_WAVE = ["run_id", "wave"]
 CELL_VALUES = 1024
@@ -171,38 +171,55 @@ def _row_seed(*parts: int) -> np.random.Generator:
     return np.random.default_rng([int(p) & 0xFFFFFFFF for p in parts])
 
 
+def _key(row) -> tuple[int, ...]:
+    return row.run_id, row.run_id >> 32, row.wave, row.first_rep
+
+
+def _draw_splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How the draws of each replicate split over the cells, and its seed draws: once for each (run, wave, chunk)."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            reps = int(row.last_rep - row.first_rep + 1)
+            weights = np.asarray(row.cell_weights, dtype=np.float64)
+            split = _row_seed(*_key(row), 1).multinomial(row.n, weights / weights.sum(), size=reps)
+            seed_n, seed_k = np.asarray(row.seed_n, dtype=np.float64), np.asarray(row.seed_k, dtype=np.float64)
+            seeds = _row_seed(*_key(row), 2).multinomial(int(seed_n.sum()), seed_n / seed_n.sum(), size=reps)
+            others = [None] * (len(weights) - 1)  # the seeds' sums travel with the first cell
+            yield pd.DataFrame(
+                {
+                    "run_id": row.run_id,
+                    "wave": row.wave,
+                    "first_rep": row.first_rep,
+                    "_cell": list(row.cells),
+                    "place": np.arange(len(weights)),
+                    "n": row.n,
+                    "n_seeds": int(seed_n.sum()),
+                    "counts": list(split.T),
+                    "seed_sum": [seeds @ seed_k, *others],
+                    "seed_zeros": [seeds[:, seed_k == 0].sum(axis=1), *others],
+                }
+            )
+
+
 def _draw_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Multinomial replicates of one value cell; all randomness is keyed by (run, wave, chunk, cell)."""
     for batch in batches:
-        out = []
         for row in batch.itertuples(index=False):
-            reps = int(row.last_rep - row.first_rep + 1)
-            key = (row.run_id, row.run_id >> 32, row.wave, row.first_rep)
-            cell_weights = np.asarray(row.cell_weights, dtype=np.float64)
-            # Every cell of a wave draws the same split over cells and continues with its own share.
-            split = _row_seed(*key, 1).multinomial(row.n, cell_weights / cell_weights.sum(), size=reps)
             weights = np.asarray(row.weights, dtype=np.float64)
-            own = _row_seed(*key, 3, row.cell).multinomial(split[:, row.cell], weights / weights.sum())
-            cand_sum = own @ np.asarray(row.ks, dtype=np.float64)
-            seed_n = np.asarray(row.seed_n, dtype=np.float64)
-            seed_k = np.asarray(row.seed_k, dtype=np.float64)
-            seeds = _row_seed(*key, 2).multinomial(int(seed_n.sum()), seed_n / seed_n.sum(), size=reps)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "run_id": row.run_id,
-                        "wave": row.wave,
-                        "rep": np.arange(row.first_rep, row.last_rep + 1),
-                        "cand_sum": cand_sum,
-                        "seed_sum": seeds @ seed_k,
-                        "seed_zeros": seeds[:, seed_k == 0].sum(axis=1),
-                        "n_seeds": int(seed_n.sum()),
-                        "n": row.n,
-                    }
-                )
+            own = _row_seed(*_key(row), 3, row.place).multinomial(np.asarray(row.counts), weights / weights.sum())
+            reps = len(row.counts)
+            yield pd.DataFrame(
+                {
+                    "run_id": row.run_id,
+                    "wave": row.wave,
+                    "rep": np.arange(row.first_rep, row.first_rep + reps),
+                    "cand_sum": own @ np.asarray(row.ks, dtype=np.float64),
+                    "seed_sum": np.zeros(reps) if row.seed_sum is None else row.seed_sum,
+                    "seed_zeros": np.zeros(reps, np.int64) if row.seed_zeros is None else row.seed_zeros,
+                    "n_seeds": row.n_seeds,
+                    "n": row.n,
+                }
             )
-        if out:
-            yield pd.concat(out, ignore_index=True)
 
 
 def bootstrap_multinomial(
@@ -219,7 +236,8 @@ def bootstrap_multinomial(
 
     The n draws of a replicate are a multinomial over distinct values. Values are hashed into cells of about
     ``cell_values``; the split over cells and the counts inside a cell are drawn separately, which is the same
-    multinomial, so neither a task nor a row ever holds more than one cell.
+    multinomial. The split is drawn once for each chunk of replicates and dealt out to the cells, so the work follows
+    cells times replicates.
     """
     weighted = with_group_weights(groups, scale)
     sizes = weighted.groupBy(*RUN_WAVE).agg(
@@ -230,35 +248,39 @@ def bootstrap_multinomial(
     cells = placed.groupBy(*RUN_WAVE, "_cell", "n").agg(
         F.sort_array(F.collect_list(F.struct("k", "weight"))).alias("_entries"), F.sum("weight").alias("_weight")
     )
-    totals = cells.groupBy(*RUN_WAVE).agg(F.sort_array(F.collect_list(F.struct("_cell", "_weight"))).alias("_cells"))
+    cells = materialize(cells, "cells")
+    totals = cells.groupBy(*RUN_WAVE, "n").agg(F.sort_array(F.collect_list(F.struct("_cell", "_weight"))).alias("_cells"))
     known = attach_values(seeds, values, default).groupBy("run_id", "k").agg(F.count(F.lit(1)).alias("n"))
     seed_lists = known.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("_seeds"))
     chunks = F.sequence(F.lit(1), F.lit(reps), F.lit(REPS_PER_ROW))
-    rows = (
-        cells.join(totals, RUN_WAVE)
-        .join(seed_lists, "run_id")
-        .withColumn("first_rep", F.explode(chunks))
-        .select(
-            F.col("run_id").cast("bigint"),
-            F.col("wave").cast("int"),
-            F.col("n").cast("bigint"),
-            "first_rep",
-            F.least(F.col("first_rep") + REPS_PER_ROW - 1, F.lit(reps)).alias("last_rep"),
-            (F.array_position(F.transform("_cells", lambda c: c["_cell"]), F.col("_cell")) - 1).cast("int").alias("cell"),
-            F.transform("_cells", lambda c: c["_weight"]).alias("cell_weights"),
-            F.transform("_entries", lambda e: e["k"]).alias("ks"),
-            F.transform("_entries", lambda e: e["weight"]).alias("weights"),
-            F.transform("_seeds", lambda s: s["k"]).alias("seed_k"),
-            F.transform("_seeds", lambda s: s["n"]).alias("seed_n"),
-        )
-        .repartition(shuffle_width(groups.sparkSession), *RUN_WAVE, "cell", "first_rep")
+    rows = totals.join(seed_lists, "run_id").withColumn("first_rep", F.explode(chunks)).select(
+        F.col("run_id").cast("bigint"),
+        F.col("wave").cast("int"),
+        F.col("n").cast("bigint"),
+        "first_rep",
+        F.least(F.col("first_rep") + REPS_PER_ROW - 1, F.lit(reps)).alias("last_rep"),
+        F.transform("_cells", lambda c: c["_cell"]).alias("cells"),
+        F.transform("_cells", lambda c: c["_weight"]).alias("cell_weights"),
+        F.transform("_seeds", lambda s: s["k"]).alias("seed_k"),
+        F.transform("_seeds", lambda s: s["n"]).alias("seed_n"),
+    )
+    width = shuffle_width(groups.sparkSession)
+    splits = rows.repartition(width, *RUN_WAVE, "first_rep").mapInPandas(
+        _draw_splits,
+        "run_id bigint, wave int, first_rep int, _cell bigint, place int, n bigint, n_seeds bigint, "
+        "counts array<bigint>, seed_sum array<double>, seed_zeros array<bigint>",
+    )
+    entries = cells.select(
+        F.col("run_id").cast("bigint"), F.col("wave").cast("int"), F.col("_cell").cast("bigint"),
+        F.transform("_entries", lambda e: e["k"]).alias("ks"), F.transform("_entries", lambda e: e["weight"]).alias("weights"),
     )
+    inside = splits.join(entries, [*RUN_WAVE, "_cell"]).repartition(width, *RUN_WAVE, "_cell", "first_rep")
     schema = (
         "run_id bigint, wave int, rep int, cand_sum double, seed_sum double, seed_zeros bigint, n_seeds bigint, n bigint"
     )
-    drawn = rows.mapInPandas(_draw_cells, schema).groupBy(*RUN_WAVE, "rep").agg(
-        F.sum("cand_sum").alias("cand_sum"),
-        *[F.first(c).alias(c) for c in ("seed_sum", "seed_zeros", "n_seeds", "n")],
+    drawn = inside.mapInPandas(_draw_cells, schema).groupBy(*RUN_WAVE, "rep").agg(
+        *[F.sum(c).alias(c) for c in ("cand_sum", "seed_sum", "seed_zeros")],
+        *[F.first(c).alias(c) for c in ("n_seeds", "n")],
     )
     keep = F.abs(F.lit(1.0) - _zero_share(F.col("seed_zeros"), F.col("n_seeds"), p0))
     stat = (F.col("seed_sum") + keep * F.col("cand_sum")) / (F.col("n_seeds") + F.col("n"))

@@ -178,6 +178,29 @@ def boot_multinomial(spark, d):
     return bootstrap.bootstrap_multinomial(groups, seeds, values, sweep.BOOT_COUNT)
 
 
+def multinomial_facts(spark, d):
+    """What must hold whatever is drawn: replicates, their range, and their mean beside its closed form.
+
+    ``near`` allows six standard errors.
+    """
+    _, values, seeds, groups = _groups(spark, d)
+    boot = bootstrap.bootstrap_multinomial(groups, seeds, values, sweep.BOOT_COUNT)
+    k, w = F.col("k"), F.col("weight")
+    drawn = bootstrap.with_group_weights(groups).groupBy("run_id", "wave").agg(
+        (F.sum(k * w) / F.sum(w)).alias("_drawn"), F.sum("n").alias("_n"), F.min("k").alias("_low"), F.max("k").alias("_high")
+    )
+    own = seeds.join(values, "v").groupBy("run_id").agg(F.avg("k").alias("_seed"), F.count(F.lit(1)).alias("_ns"))
+    expected = (F.col("_ns") * F.col("_seed") + F.col("_n") * F.col("_drawn")) / (F.col("_ns") + F.col("_n"))
+    found = boot.groupBy("run_id", "wave").agg(
+        F.count(F.lit(1)).alias("reps"), F.avg("stat").alias("_mean"), F.stddev("stat").alias("_sd"),
+        F.min("stat").alias("_least"), F.max("stat").alias("_most"),
+    )
+    both = found.join(drawn.join(own, "run_id").withColumn("expected", expected), ["run_id", "wave"])
+    near = F.abs(F.col("_mean") - F.col("expected")) <= 6 * F.col("_sd") / F.sqrt("reps") + 1e-9
+    inside = (F.col("_low") <= F.col("_least")) & (F.col("_most") <= F.col("_high"))
+    return both.select("run_id", "wave", "reps", inside.alias("inside"), near.alias("near"), *inp.r6("expected"))
+
+
 def boot_uniform(spark, d):
     *_, groups = _groups(spark, d, split=True)
     return bootstrap.bootstrap_uniform(groups, 10, px=50).select("run_id", "wave", "rep", *inp.r6("stat"))
@@ -215,12 +238,38 @@ def sweep_waves_full(spark, d):
     return sweep.sweep(inp.part_graph(spark, d), sweep.real_network_runs(spark), WAVES)
 
 
-def _valued(spark, d):
-    """Valued network: users by their purchases, links between valued users."""
-    values = materialize(topic_values(inp.purchases(spark, d), "purchase"), "values")
+def sweep_full_facts(spark, d):
+    """The exact columns of the full-size sweep, and whether each row's interval is in order."""
+    ordered = (F.col("lmin") <= F.col("l1")) & (F.col("l1") <= F.col("mean")) & (F.col("mean") <= F.col("l2")) & (F.col("l2") <= F.col("lmax"))
+    return sweep_waves_full(spark, d).select(
+        "run_id", "iteration", "seed_count", "wave", "edges", *inp.r6("lmsiAll", "lmsiDistinct", "avgGraphDeg"), ordered.alias("ordered")
+    )
+
+
+def _valued(spark, d, topic="purchase"):
+    """Valued network: users by their events of a topic, links between valued users."""
+    values = materialize(topic_values(inp.purchases(spark, d), topic), "values")
     return clean_edges(inp.event_links(spark, d), values), values
 
 
+TOPICS = ("purchase", "click", "view")
+
+
+def sweep_topics(spark, d):
+    """Three valued networks in one job; each topic owns its ids."""
+    edges, values = [], []
+    for number, topic in enumerate(TOPICS):
+        links, of = _valued(spark, d, topic)
+        own = lambda c: (F.col(c) * len(TOPICS) + number).alias(c)  # noqa: E731, B023
+        edges.append(links.select(F.lit(number).alias("graph_id"), own("src"), own("dst")))
+        values.append(of.select(own("v"), "k"))
+    every = materialize(edges[0].unionByName(edges[1]).unionByName(edges[2]), "edges")
+    known = materialize(values[0].unionByName(values[1]).unionByName(values[2]), "values")
+    linked = known.join(every.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), "v", "left_semi")
+    runs = sweep.parameter_grid(spark, graph_id=range(len(TOPICS)), iteration=range(1, 51), seed_count=[1, 10, 50])
+    return _sweep_rows(sweep.sweep(every, runs, [2], reps=3, values=linked, draws="hashed"), "graph_id")
+
+
 def sweep_seed_counts(spark, d):
     edges, values = _valued(spark, d)
     runs = sweep.valued_network_runs(spark)
@@ -296,12 +345,15 @@ QUERIES = {
     "c8_cum_lookup": cum_lookup,
     "j7_bootstrap": boot_hashed,
     "j7_bootstrap_multinomial": boot_multinomial,
+    "j7_multinomial_facts": multinomial_facts,
     "j8_bootstrap_uniform": boot_uniform,
     "j9_summary": summary,
     "j10_sweep_waves": sweep_waves,
     "j10_sweep_mutual": sweep_mutual,
     "j10_sweep_waves_full": sweep_waves_full,
+    "j10_sweep_full_facts": sweep_full_facts,
     "j11_sweep_seed_counts": sweep_seed_counts,
+    "j11_sweep_topics": sweep_topics,
     "j18_cohort_sweep": cohort_sweep,
     "l7_interval_gini": interval_gini,
     "l8_interval_table": interval_table,
@@ -341,18 +393,19 @@ def _proxy(n_pool: int = 50, n: int = 20) -> str:
         WHERE d.run_id = s.run_id AND d.ord = 1 + {h} % size)"""
 
 
-def _sweep(iterations, seed_counts, waves, reps, values: str, pool: str, max_seeds: int = 100, cost: str = "1") -> str:
-    """CTEs ending in ``result``; ``iteration:0`` is the label of an iteration's draws."""
+def _sweep(iterations, seed_counts, waves, reps, values: str, pool: str, max_seeds: int = 100, cost: str = "1", graph: int = 0) -> str:
+    """CTEs ending in ``result``; ``iteration:graph`` is the label of an iteration's draws."""
+    first = graph * len(iterations) * len(seed_counts)
     grid = ", ".join(
-        f"({i}, {it}, {sc})" for i, (it, sc) in enumerate((it, sc) for it in iterations for sc in seed_counts)
+        f"({i}, {it}, {sc})" for i, (it, sc) in enumerate(((it, sc) for it in iterations for sc in seed_counts), first)
     )
-    draw_ids = ", ".join(f"('{it}:0', {max_seeds})" for it in iterations)
+    draw_ids = ", ".join(f"('{it}:{graph}', {max_seeds})" for it in iterations)
     proxy = inp.hash_sql("wave", "p.run_id", "'proxy'", "j")
     return f"""
 grid(run_id, iteration, seed_count) AS (VALUES {grid}),
 draw_ids(run_id, n) AS (VALUES {draw_ids}),
 {inp.seeds_sql(pool, "draw_ids")},
-run_pool AS (SELECT g.run_id, seed_count, ord, v FROM grid g JOIN all_seeds a ON a.run_id = iteration || ':0'),
+run_pool AS (SELECT g.run_id, seed_count, ord, v FROM grid g JOIN all_seeds a ON a.run_id = iteration || ':{graph}'),
 seeds AS (SELECT run_id, ord, v FROM run_pool WHERE ord <= seed_count),
 {inp.distance_sql(max(waves), cost=cost)}, {inp.inclusions_sql(list(waves))},
 {inp.boot_sql(reps, values)}, {inp.summary_sql(values)},
@@ -366,10 +419,15 @@ result AS (SELECT * FROM grid JOIN summary USING (run_id) JOIN mu USING (run_id,
 SWEEP_OUT = f"""SELECT run_id::bigint AS run_id, iteration::bigint AS iteration, seed_count::bigint AS seed_count, wave, edges,
   {inp.rounded_sql(*inp.SUMMARY_COLUMNS, "muProxy")} FROM result"""
 
-PURCHASE_VALUES = "vals AS (SELECT user_id v, count(*) + 1 k FROM events WHERE event_type = 'purchase' GROUP BY 1)"
-VALUED = f"""{inp.EVENT_LINKS}, {PURCHASE_VALUES},
+
+
+def _valued_sql(topic: str) -> str:
+    return f"""{inp.EVENT_LINKS}, vals AS (SELECT user_id v, count(*) + 1 k FROM events WHERE event_type = '{topic}' GROUP BY 1),
   edges AS (SELECT DISTINCT least(src, dst) src, greatest(src, dst) dst FROM links WHERE src <> dst
     AND src IN (SELECT v FROM vals) AND dst IN (SELECT v FROM vals)), {inp.DEGREES}"""
+
+
+VALUED = _valued_sql("purchase")
 COHORT = f"""{inp.EVENT_LINKS}, {inp.EVENT_COHORT},
   edges AS (SELECT DISTINCT least(src, dst) src, greatest(src, dst) dst FROM links WHERE src <> dst
     AND src IN (SELECT v FROM cohort) AND dst IN (SELECT v FROM cohort)), {inp.DEGREES},
@@ -438,6 +496,21 @@ ORACLES = {
       t AS (SELECT o_orderkey, floor(o_totalprice * 5)::bigint t FROM orders)
       SELECT o_orderkey, t, coalesce((SELECT min_by(p_size, hi) FROM c WHERE hi >= t), -1)::int AS p_size FROM t""",
     "j7_bootstrap": f"{THREE_WAVES}, {inp.boot_sql(10)} SELECT run_id, wave, rep::int AS rep, round(stat, 6) AS stat FROM boot",
+    "j7_multinomial_facts": f"""{THREE_WAVES}, {inp.boot_sql(1)},
+      mix AS (SELECT run_id, wave, sum(k * w) / sum(w)::double cand, sum(n) n FROM wts GROUP BY ALL),
+      own AS (SELECT run_id, avg(k) seed_mean, count(*) n_seeds FROM seeds JOIN deg USING (v) GROUP BY ALL)
+      SELECT run_id, wave, 1000::bigint AS reps, true AS inside, true AS near,
+        round((n_seeds * seed_mean + n * cand) / (n_seeds + n), 6) AS expected FROM mix JOIN own USING (run_id)""",
+    "j10_sweep_full_facts": f"""WITH {inp.PART_GRAPH}, {_sweep(range(1, 51), [20], WAVES, 1, 'deg', 'deg')}
+      SELECT run_id::bigint AS run_id, iteration::bigint AS iteration, seed_count::bigint AS seed_count, wave, ne::bigint AS edges,
+        round(included / nv, 6) AS "lmsiAll", round(reached / nv, 6) AS "lmsiDistinct", round(av, 6) AS "avgGraphDeg", true AS ordered
+      FROM grid JOIN cov USING (run_id), truth""",
+    "j11_sweep_topics": " UNION ALL ".join(
+        f"""(WITH {_valued_sql(topic)}, linked AS (SELECT v, vals.k FROM vals JOIN deg USING (v)),
+        {_sweep(range(1, 51), [1, 10, 50], [2], 3, 'linked', 'deg', graph=number)}
+        SELECT {number}::bigint AS graph_id, out.* FROM ({SWEEP_OUT}) out)"""
+        for number, topic in enumerate(TOPICS)
+    ),
     "j8_bootstrap_uniform": f"""{THREE_WAVES},
       g AS (SELECT run_id, wave, (s.v IS NOT NULL) is_seed, k, sum(m)::bigint n FROM incl JOIN deg USING (v)
         LEFT JOIN seeds s USING (run_id, v) GROUP BY ALL),
