@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ripplenet.functions.text import MIN_WORD_LENGTH, word_tokens
 from ripplenet.operators.ordering import assign_ids, ordered_running
 from ripplenet.operators.sampling import sample_exact
+from ripplenet.operators.skew import ROWS_PER_SALT, hot_keys, join_split
 from ripplenet.storage import materialize
 
 # Fixed values of the published feature construction.
@@ -68,12 +69,14 @@ def vocabulary(
     return assign_ids(frequent, "word", base=base)
 
 
-def word_vectors(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def word_vectors(words: DataFrame, vocab: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """``(v, ids, counts, tokens, distinct)``: a user's known words as parallel arrays in id order.
 
-    Counts are aggregated before they are collected, so an array is never longer than the vocabulary.
+    ``words`` is a written table. Its most frequent words are split by salts in the join. Counts are aggregated before
+    they are collected, so an array is never longer than the vocabulary.
     """
-    known = words.join(vocab, "word").groupBy("v").agg(
+    salts = hot_keys(words, "word", words.count(), rows_per_salt)
+    known = join_split(words, vocab, "word", salts, "v").groupBy("v").agg(
         F.array_sort(F.collect_list(F.struct("id", "n"))).alias("_pairs"),
         F.sum("n").alias("tokens"),
         F.count(F.lit(1)).alias("distinct"),

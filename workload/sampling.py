@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ripplenet.operators import bootstrap, lookup, sampling, traversal
 from ripplenet.operators.cleaning import clean_edges, friends_of, induced_edges, mutual_edges, vertices_of
 from ripplenet.operators.structure import degrees
-from ripplenet.operators.values import off_hours_values, topic_values
+from ripplenet.operators.values import keyword_values, length_values, off_hours_values, topic_values, year_values
 from ripplenet.plans import report, sweep
 from ripplenet.storage import materialize
 from workload import inputs as inp
@@ -276,11 +276,35 @@ def sweep_seed_counts(spark, d):
     return _sweep_rows(sweep.sweep(edges, runs, [2], reps=3, values=values, seed_pool=values, draws="hashed"))
 
 
-def cohort_sweep(spark, d):
+def _cohort_sweep(spark, d, values_of):
     cohort = materialize(inp.event_cohort(spark, d), "cohort")
     edges = clean_edges(induced_edges(inp.event_links(spark, d), cohort))
-    values = off_hours_values(inp.activity(spark, d), cohort)
-    return _sweep_rows(sweep.cohort_sweep(edges, values, cohort, reps=5, draws="hashed"))
+    return _sweep_rows(sweep.cohort_sweep(edges, values_of(cohort), cohort, reps=5, draws="hashed"))
+
+
+def cohort_sweep(spark, d):
+    return _cohort_sweep(spark, d, lambda cohort: off_hours_values(inp.activity(spark, d), cohort))
+
+
+KEYWORDS = ("that", "with", "the", "and", "les", "der")
+
+
+def cohort_sweep_keywords(spark, d):
+    """Keyword counts; a user owns the document of the same number."""
+    texts = inp.document_texts(spark, d)
+    return _cohort_sweep(spark, d, lambda cohort: keyword_values(texts.join(cohort, "v", "left_semi"), cohort, KEYWORDS))
+
+
+def cohort_sweep_years(spark, d):
+    """Registration years; a user registers with the first order of the customer of the same number."""
+    first = inp.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("v")).agg(F.min("o_orderdate").alias("ts"))
+    return _cohort_sweep(spark, d, lambda cohort: year_values(first.join(cohort, "v", "left_semi"), cohort))
+
+
+def cohort_sweep_names(spark, d):
+    """Name lengths; a user has the name of the part of the same number."""
+    names = inp.table(spark, d, "part").select(F.col("p_partkey").alias("v"), F.col("p_name").alias("name"))
+    return _cohort_sweep(spark, d, lambda cohort: length_values(names.join(cohort, "v", "left_semi")))
 
 
 def _small_sweep(spark, d):
@@ -355,6 +379,9 @@ QUERIES = {
     "j11_sweep_seed_counts": sweep_seed_counts,
     "j11_sweep_topics": sweep_topics,
     "j18_cohort_sweep": cohort_sweep,
+    "j18_cohort_sweep_keywords": cohort_sweep_keywords,
+    "j18_cohort_sweep_years": cohort_sweep_years,
+    "j18_cohort_sweep_names": cohort_sweep_names,
     "l7_interval_gini": interval_gini,
     "l8_interval_table": interval_table,
     "l9_coverage": coverage_table,
@@ -428,10 +455,16 @@ def _valued_sql(topic: str) -> str:
 
 
 VALUED = _valued_sql("purchase")
-COHORT = f"""{inp.EVENT_LINKS}, {inp.EVENT_COHORT},
+
+
+def _cohort_sql(vals: str) -> str:
+    return f"""WITH {inp.EVENT_LINKS}, {inp.EVENT_COHORT},
   edges AS (SELECT DISTINCT least(src, dst) src, greatest(src, dst) dst FROM links WHERE src <> dst
     AND src IN (SELECT v FROM cohort) AND dst IN (SELECT v FROM cohort)), {inp.DEGREES},
-  vals AS (SELECT v, 1 + count(user_id) k FROM cohort LEFT JOIN events ON user_id = v AND (hour(ts) < 6 OR hour(ts) > 21) GROUP BY v)"""
+  vals AS ({vals}), {_sweep(range(1, 51), [5], [0, 1, 2], 5, 'vals', 'cohort', 5)} {SWEEP_OUT}"""
+
+
+_LISTED = ", ".join(f"'{w}'" for w in KEYWORDS)
 
 _SMALL = _sweep(range(1, 51), [1, 5, 20], [1], 5, "deg", "deg")
 SMALL_SWEEP = f"""sweep_rows AS (
@@ -525,7 +558,13 @@ ORACLES = {
     "j10_sweep_mutual": f"WITH {MUTUAL}, {_sweep(range(1, 21), [5], [0, 2, 4], 3, 'deg', 'deg', cost='2')} {SWEEP_OUT}",
     "j10_sweep_waves": f"WITH {inp.PART_GRAPH}, {_sweep([1, 2], [20], WAVES, 3, 'deg', 'deg')} {SWEEP_OUT}",
     "j11_sweep_seed_counts": f"WITH {VALUED}, {_sweep(range(1, 51), [1, 5, 10, 20, 50, 100], [2], 3, 'vals', 'vals')} {SWEEP_OUT}",
-    "j18_cohort_sweep": f"WITH {COHORT}, {_sweep(range(1, 51), [5], [0, 1, 2], 5, 'vals', 'cohort', 5)} {SWEEP_OUT}",
+    "j18_cohort_sweep": _cohort_sql("SELECT v, 1 + count(user_id) k FROM cohort LEFT JOIN events ON user_id = v AND (hour(ts) < 6 OR hour(ts) > 21) GROUP BY v"),
+    "j18_cohort_sweep_keywords": _cohort_sql(f"""SELECT v, (1 + coalesce(sum(h), 0))::bigint k FROM cohort LEFT JOIN (SELECT doc_id,
+      len(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')), ' '), lambda x: x IN ({_LISTED}))) h
+      FROM documents) ON doc_id = v GROUP BY v"""),
+    "j18_cohort_sweep_years": _cohort_sql("""SELECT v, coalesce(min(year(o_orderdate)) - 1900, 108)::bigint k
+      FROM cohort LEFT JOIN orders ON o_custkey = v GROUP BY v"""),
+    "j18_cohort_sweep_names": _cohort_sql("SELECT v, coalesce(length(p_name), 1)::bigint k FROM cohort LEFT JOIN part ON p_partkey = v"),
     "l7_interval_gini": f"WITH {SMALL_SWEEP}, {INTERVAL_GINI} SELECT * FROM ginis",
     "l8_interval_table": f"""WITH {SMALL_SWEEP} SELECT dataset, seed_count::bigint AS seed_count,
       round(avg(mean / "avgGraphDeg"), 6) AS mean_ratio, round(avg((l2 - l1) / mean), 6) AS relative_interval,
