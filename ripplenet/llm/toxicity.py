@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from ripplenet.llm.common import whole_text
 from ripplenet.storage import small_table
 
-MAX_ROWS = {1: 2000, 0: 4000}
-MAX_CHARS = {1: 7_000_000, 0: 14_000_000}
+MAX_ROWS = {1: 1500, 0: 3000}
+MAX_CHARS = {1: 5_000_000, 0: 8_000_000}
 # Tokens in a chain; a longer line is cut. Longest and shortest affixes that are features.
 CHAIN = 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
@@ -39,7 +40,7 @@ SLOTS = 1 << 18
 EVIDENCE, PRECISION = 10.0, 0.95
 # Texts of one label that agree in this many smallest five-word hashes, of either of two sets, are copies.
 COPY_HASHES = 3
-MAX_CHAINS = 12_000
+MAX_CHAINS = 8_000
 STEPS, RATE, PENALTY = 60, 0.3, 1e-4
 STEP_CHARS, MAX_WORDS = 2_000_000, 300_000
 _WORD = re.compile(r"\w+")
@@ -182,7 +183,7 @@ class Sample:
 
     def __init__(self, rows: list[tuple[str, int]]):
         numbers: dict[str, int] = {}
-        slots: list[list[int]] = []
+        slots, width = array("i"), 1 + len(PREFIXES) + len(SUFFIXES)
         self.texts: list[Text] = []
         self.group_of: list[int] = []
         seen: dict[tuple, int] = {}
@@ -194,15 +195,14 @@ class Sample:
             for w in words:
                 if w not in numbers:
                     numbers[w] = len(numbers)
-                    slots.append(features(w))
+                    own_slots = features(w)
+                    slots.extend(own_slots + [-1] * (width - len(own_slots)))
             own = np.fromiter((numbers[w] for w in words), np.int32, len(words))
             self.texts.append(Text(own, np.array([len(c) for c in parts]), label))
             self.group_of.append(len(self.group_of))
             for half in _copy_keys(words):
                 self.group_of[self._root(-1)] = self._root(seen.setdefault((label, half), len(self.texts) - 1))
-        self.table = np.full((len(slots), max(map(len, slots), default=1)), -1, np.int64)
-        for i, own in enumerate(slots):
-            self.table[i, : len(own)] = own
+        self.table = np.frombuffer(slots, np.int32).reshape(-1, width) if slots else np.zeros((0, width), np.int32)
 
     def _root(self, i: int) -> int:
         i %= len(self.group_of)
@@ -219,7 +219,8 @@ class Sample:
         hits, misses = np.zeros(SLOTS), np.zeros(SLOTS)
         for k in range(self.table.shape[1]):
             slot = self.table[word, k]
-            key = np.unique(text_of[slot >= 0] * SLOTS + slot[slot >= 0])
+            has = slot >= 0
+            key = np.unique(text_of[has] * SLOTS + slot[has])
             label = toxic[key // SLOTS]
             hits += np.bincount(key[label == 1] % SLOTS, minlength=SLOTS)
             misses += np.bincount(key[label == 0] % SLOTS, minlength=SLOTS)
