@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ripplenet.llm.common import positions, whole_text
 
 LIMIT = 512
-# Pieces kept by a worker with their tables; the store starts anew when full.
-MAX_PIECES = 400_000
+# Pieces whose counts a worker keeps, and pairs of tokens whose verdict it keeps: the first ones met, so mostly frequent.
+MAX_PIECES, MAX_JOINTS = 1_000_000, 1_000_000
 # The tokenizer's white space, its contractions and the pattern of its pieces.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -59,49 +59,63 @@ class PrefixCounter(dict):
         self.vocabulary = {as_bytes(t) for t in loaded["model"]["vocab"] if t not in set(self.specials)}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in loaded["model"]["merges"])
         self.merges = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
+        # The merge that makes each token: its rank and its two parts.
+        self.made = {a + b: (rank, a, b) for (a, b), rank in self.merges.items()}
         self.longest = max(map(len, self.vocabulary))
         self.joints: dict[tuple[bytes, bytes], bool] = {}
         self.is_space = regex.compile(f"[{_SPACE}]").match
         self.find_pieces = regex.compile(_PIECE).findall
         self.cut_specials = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split
 
-    def _merged(self, parts: list[bytes]) -> list[bytes]:
-        """Byte-pair merges of a short list of parts, by rank."""
-        while len(parts) > 1:
-            ranked = [(self.merges.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False))]
-            rank, i = min(ranked)
-            if rank == 1 << 60:
-                break
-            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2:]]
-        return parts
-
-    def _joins(self, before: bytes, token: bytes) -> bool:
-        """Whether ``token`` directly behind the token ``before`` stays as it is when both are encoded together."""
-        key = (before, token)
-        if key not in self.joints:
-            if len(self.joints) > 4 * MAX_PIECES:
-                self.joints.clear()
-            whole = before + token
-            self.joints[key] = self._merged([whole[i:i + 1] for i in range(len(whole))]) == [x for x in key if x]
-        return self.joints[key]
+    def _stays(self, before: bytes, token: bytes) -> bool:
+        """Whether ``token`` directly behind the token ``before`` stays as it is when both are encoded together.
+
+        The merges that made the two are undone from the last one back. A merge across the joint would have come first,
+        and spoiled them, if it ranks before the merge undone; among equal ranks the left one comes first.
+        """
+        if not before:
+            rank, left, right = self.made.get(token, (0, b"", token))
+            return not left or (self._stays(b"", left) and self._stays(b"", right) and self._stays_below(left, right, rank))
+        return self._stays_below(before, token, 1 << 60)
+
+    def _stays_below(self, x: bytes, y: bytes, limit: int) -> bool:
+        none = (-1, b"", b"")
+        while True:
+            if self.merges.get((x, y), limit) < limit:
+                return False
+            a, b = self.made.get(x, none), self.made.get(y, none)
+            if a[0] < 0 and b[0] < 0:
+                return True
+            if a[0] > b[0]:
+                limit, x = min(limit, a[0]), a[2]
+            else:
+                limit, y = min(limit, b[0] + 1), b[1]
+
+    def _joins(self, key: tuple[bytes, bytes]) -> bool:
+        known = self._stays(*key)
+        if len(self.joints) < MAX_JOINTS:
+            self.joints[key] = known
+        return known
 
     def table(self, piece: bytes) -> list[int]:
         """Token count of each prefix of the piece, in bytes."""
         counts, last = [0], [b""]
+        vocabulary, known, joins, longest = self.vocabulary, self.joints.get, self._joins, self.longest
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - longest), end):
                 token = piece[start:end]
-                if token in self.vocabulary and self._joins(last[start], token):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+                if token in vocabulary:
+                    key = (last[start], token)
+                    fits = known(key)
+                    if joins(key) if fits is None else fits:
+                        counts.append(counts[start] + 1)
+                        last.append(token)
+                        break
         return counts
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= MAX_PIECES:
-            self.clear()
         count = self.table(piece.encode())[-1]
-        if len(piece) <= 64:
+        if len(self) < MAX_PIECES and len(piece) <= 64:
             self[piece] = count
         return count
 
