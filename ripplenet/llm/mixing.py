@@ -7,8 +7,9 @@ leaf's supply is its tokens times ``epochs``.
 
 A leaf takes whole epochs while its budget lasts and then a prefix of one more, in that epoch's own seeded order of
 documents. The end of the prefix is found from sums over hash ranges of the order, followed by a running sum inside the
-one range that the end falls into, so a leaf with a third of all rows is never one group. Documents then compare their
-place with the leaf's end: texts are neither sorted nor shuffled.
+one range that the end falls into. A leaf of n rows has sqrt(n) ranges of some sqrt(n) rows, so a leaf with a third of
+all rows is never one group. Documents then compare their place with the leaf's end: texts are neither sorted nor
+shuffled.
 
 Nulls and edge cases: null domain, language and source are each one value of their own, with weight 1 unless given. A
 text without words has no tokens and goes along with every epoch. Rows that repeat an id share one place, so they are taken
@@ -28,8 +29,6 @@ from ripplenet.storage import materialize
 
 SEED = "mix-1"
 EPOCHS = 3
-# Rows of one hash range of a leaf, in the mean.
-RANGE_ROWS = 20_000
 _PLACES = 16**8
 _LEAF = ["_domain", "_lang", "_source"]
 
@@ -102,11 +101,12 @@ def mix(
     domain: Column | None = None,
     epochs: int = EPOCHS,
     seed: str = SEED,
-    range_rows: int = RANGE_ROWS,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``n_epochs``, the number of times a document is drawn; undrawn ones are left out.
 
-    The budget is ``share`` of all tokens (white-space separated words) of ``docs``.
+    The budget is ``share`` of all tokens (white-space separated words) of ``docs``. ``range_rows`` sets the mean size of
+    a hash range in place of the square root of the leaf's rows.
     """
     kind = source_domain(F.col("source")) if domain is None else domain
     leaf = {"_domain": _name(kind), "_lang": _name(F.col("lang")), "_source": _name(F.col("source"))}
@@ -120,7 +120,8 @@ def mix(
         *_LEAF, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("full"),
         (F.col("budget") % F.col("tokens")).alias("rest"),
     )
-    ranges = leaves.select(*_LEAF, F.ceil(F.col("rows") / range_rows).cast("bigint").alias("ranges"))
+    n_ranges = F.sqrt("rows") if range_rows is None else F.col("rows") / range_rows
+    ranges = leaves.select(*_LEAF, F.ceil(n_ranges).cast("bigint").alias("ranges"))
     plan = materialize(plan.join(ranges, _LEAF), "mix-plan")
     last = _place(seed, F.col("full"))
     bucket = F.floor(F.conv(F.substring("_at", 1, 8), 16, 10).cast("bigint") * F.col("ranges") / _PLACES)
@@ -133,7 +134,7 @@ def mix(
         "mix-cuts",
     )
     inside = placed.join(cut, [*_LEAF, "_range"])
-    running = Window.partitionBy(_LEAF).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(*_LEAF, "_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_sum", F.col("_before") + F.sum("n").over(running))
     ends = inside.where("_sum <= rest").groupBy(_LEAF).agg(F.max("_at").alias("_end"))
     cuts = plan.join(cut.select(*_LEAF, F.col("_range").alias("_cut")), _LEAF, "left").join(ends, _LEAF, "left")
