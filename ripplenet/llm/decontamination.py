@@ -6,10 +6,10 @@ frequency over all windows of the corpus tells the rare ones: a window goes on i
 item, or one that is rare for it. Smith-Waterman alignment of the item with the window then gives the score: matching
 words count 2, replaced, added and missing ones -1, as a share of the best possible score.
 
-Four-word seeds find every copy of an item in which up to a fifth of the words were replaced, since among that many
-replacements at least one run of four words stays whole.
+With three-word seeds every copy of an item has a seed if up to a quarter of its words were replaced, since among that
+many replacements at least one run of three words stays whole.
 
-Nulls and edge cases: null or empty texts and items match nothing, nor do items of fewer than four words. Rows that
+Nulls and edge cases: null or empty texts and items match nothing, nor do items of fewer than three words. Rows that
 repeat a document's or an item's id are one document or item, null ids too. Ties between places of equal score go to the
 first. Empty tables give an empty result. Other columns of the inputs are not looked at.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ripplenet.llm.common import whole_text
 from ripplenet.storage import materialize
 
-SEED = 4
+SEED = 3
 MIN_SCORE = 0.5
 MATCH, MISS = 2, -1
 # Words of the benchmark in one block: its broadcast takes some 50 MB at most.
