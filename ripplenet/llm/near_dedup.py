@@ -9,14 +9,18 @@ Texts with equal word sequences collapse to one representative first. Bands of r
 representatives: all pairs in a bucket of up to ``ALL_PAIRS`` texts; in a larger one every text meets the bucket's lead
 and the lead of a random part of it, another part in each band, so work grows with members, not with their pairs. Each
 proposal is either verified on whole shingle sets or lies inside a component that verified links have formed already.
-Groups are connected components, found by label passing between written tables.
+Should a larger bucket still hold several components, its members first meet the hubs of the bucket, the texts with most
+links; what is then outside the main component is compared with all others in blocks, so that no pair that shares a band is
+left out. Groups are connected components, found by label passing between written
+tables.
 
 The link is the Jaccard similarity of the distinct shingles, at least ``SIMILARITY``. A pair of that similarity shares
 no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-5.
 
 Nulls and edge cases: texts without a word (null and empty ones too) join no group. A text of one to four words has its
-word sequence as its only shingle. A null ``doc_id`` sorts last; rows that repeat an id are one document. An empty
-table gives an empty result. Other columns of the input are not looked at.
+word sequence as its only shingle. A null ``doc_id`` sorts last. Rows that repeat an id are one document: the groups of
+their texts are one group, and where their texts differ the greatest shingle set stands for them in verification. An
+empty table gives an empty result. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from ripplenet.storage import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 ALL_PAIRS, PART = 32, 16
+HUB_ROUNDS, BLOCK = 2, 64
 # Characters that one vectorised step takes together, and words whose hashes a worker keeps.
 STEP_CHARS, MAX_WORDS = 2_000_000, 500_000
 _WORDS = re.compile(r"\w+").findall
@@ -149,8 +154,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return texts.mapInArrow(sketched, "_id bigint, _c1 bigint, _c2 bigint, bands array<bigint>")
 
 
-def proposals(representatives: DataFrame) -> DataFrame:
-    """``(a, b, primary)`` with a < b from ``(rep, bands)``: pairs that share a band, each once.
+def proposals(representatives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b, primary)`` with a < b from ``(rep, bands)``, each once, and the larger buckets ``(_key, rep)``.
 
     A pair is ``primary`` where ``a`` is the smallest lead of ``b``.
     """
@@ -168,7 +173,102 @@ def proposals(representatives: DataFrame) -> DataFrame:
     parts = large.join(heads, ["_key", "_part"]).select("a", F.col("rep").alias("b"))
     first = leads.groupBy("b").agg(F.min("a").alias("_first"))
     every = leads.unionByName(pairs).unionByName(parts).where("a < b").distinct()
-    return every.join(first, "b").select("a", "b", (F.col("a") == F.col("_first")).alias("primary"))
+    pairs = every.join(first, "b").select("a", "b", (F.col("a") == F.col("_first")).alias("primary"))
+    return pairs, large.select("_key", "rep")
+
+
+def divided(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(_key, rep, label, _main)``: the members of large buckets that hold several components ``labels (v, label)``.
+
+    The component with most members in the bucket is its main one.
+    """
+    named = large.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
+    named = named.select("_key", "rep", F.coalesce("label", "rep").alias("label"))
+    sizes = named.groupBy("_key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    split = sizes.groupBy("_key").agg(F.count(F.lit(1)).alias("_of"), F.max(F.struct("_n", "label")).alias("_main"))
+    split = split.where("_of > 1").select("_key", F.col("_main")["label"].alias("_main"))
+    return materialize(named.join(split, "_key"), "divided")
+
+
+def hub_pairs(members: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of each divided bucket's hub with its members in other components, and the hubs ``(_key, rep)``.
+
+    The hub is the member with most links so far that is not in ``used``: the text that others were copied from has many,
+    while its copies may be too far from each other.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("_links"))
+    free = members.join(used, ["_key", "rep"], "left_anti").join(ends, "rep")
+    best = free.groupBy("_key").agg(F.max(F.struct("_links", (-F.col("rep")).alias("_r"), "label")).alias("_b"))
+    hubs = materialize(best.select("_key", (-F.col("_b._r")).alias("_hub"), F.col("_b.label").alias("_of")), "hubs")
+    met = members.join(hubs, "_key").where(F.col("label") != F.col("_of"))
+    pairs = met.select(F.least("_hub", "rep").alias("a"), F.greatest("_hub", "rep").alias("b")).distinct()
+    return pairs, hubs.select("_key", F.col("_hub").alias("rep"))
+
+
+def remaining_links(members: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` between members of divided buckets in different components, by exact comparison in blocks.
+
+    Buckets that share texts form a region, so a text is compared once and not once for each band. The members outside the
+    region's main component meet all members, a block of each at a time; a task indexes one block's shingles and
+    counts what the texts of the other share with it. No pair leaves a task unless it is a link.
+    """
+    leads = members.groupBy("_key").agg(F.min("rep").alias("b"))
+    led = members.join(leads, "_key").select("rep", "b").distinct()
+    first = led.groupBy("rep").agg(F.min("b").alias("a"))
+    # Leads that share a text belong together; a region is named by its smallest lead.
+    joined = led.join(first, "rep").where("a <> b").select("a", "b").distinct()
+    named = components(joined).select(F.col("v").alias("a"), "label")
+    regions = first.join(named, "a", "left").select("rep", F.coalesce("label", "a").alias("_region"))
+    texts = materialize(members.select("rep", "label").distinct().join(regions, "rep"), "region-texts")
+    counts = texts.groupBy("_region", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("_region").agg(
+        F.sum("_n").alias("_all"), F.max(F.struct("_n", "label")).alias("_main")
+    )
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sized = counts.select(
+        "_region", F.col("_main.label").alias("_main"), blocks(F.col("_all")).alias("_of_all"),
+        blocks(F.col("_all") - F.col("_main._n")).alias("_of_out"),
+    )
+    row = F.collect_list(F.struct("rep", "label", "shingles"))
+    held = texts.join(sized, "_region").join(sets.select(F.col("_id").alias("rep"), "shingles"), "rep")
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n).cast("bigint")).cast("int")
+    key = ["_region", "_o", "_c"]
+    partners = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = held.where(F.col("label") != F.col("_main")).withColumn("_o", part("_of_out"))
+    outside = outside.groupBy("_region", "_o", "_of_all").agg(row.alias("_x")).withColumn("_c", partners("_of_all"))
+    everyone = held.withColumn("_c", part("_of_all")).groupBy("_region", "_c", "_of_out").agg(row.alias("_y"))
+    everyone = everyone.where("_of_out > 0").withColumn("_o", partners("_of_out"))
+    both = outside.select(*key, "_x").join(everyone.select(*key, "_y"), key).select("_x", "_y")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
+                found += block_links(x.values, y.values, similarity)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return both.mapInArrow(compared, "a bigint, b bigint").distinct()
+
+
+def block_links(x: pa.StructArray, y: pa.StructArray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a text of ``x`` and one of ``y`` in different components with at least that Jaccard similarity."""
+    ids, labels = (x.field(n).to_numpy() for n in ("rep", "label"))
+    sets = x.field("shingles")
+    sizes = np.diff(sets.offsets.to_numpy())
+    flat = sets.values.to_numpy()[sets.offsets[0].as_py() : sets.offsets[-1].as_py()]
+    order = np.argsort(flat, kind="stable")
+    index, owner = flat[order], np.repeat(np.arange(len(ids)), sizes)[order]
+    out = []
+    for other in y:
+        own = other["shingles"].values.to_numpy()
+        low, high = np.searchsorted(index, own, "left"), np.searchsorted(index, own, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[at], minlength=len(ids))
+        fits = (shared >= similarity * (sizes + len(own) - shared)) & (labels != other["label"].as_py()) & (shared > 0)
+        rep = other["rep"].as_py()
+        out += [(min(i, rep), max(i, rep)) for i in ids[fits].tolist()]
+    return out
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -184,7 +284,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     # Building on the ids keeps the texts unsorted, and a list of ids that grows with the corpus is never broadcast.
     texts = docs.select(order_id().alias("_id"), whole_text().alias("text"))
     texts = texts.join(ids.hint("shuffle_hash"), "_id", "left_semi")
-    return texts.mapInArrow(listed, "_id bigint, shingles array<bigint>").dropDuplicates(["_id"])
+    sets = texts.mapInArrow(listed, "_id bigint, shingles array<bigint>")
+    return sets.groupBy("_id").agg(F.max("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -237,20 +338,43 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sketch = materialize(sketches(docs), "sketches")
     code = ["_c1", "_c2"]
     classes = materialize(sketch.groupBy(code).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    pairs = materialize(proposals(classes.select("rep", "bands")), "proposals")
+    memberships = sketch.select("_id", *code).join(classes.select(*code, "rep"), code).select("_id", "rep").distinct()
+    memberships = materialize(memberships, "memberships")
+    several = memberships.groupBy("_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    one_id = memberships.join(several.select("_id", "a"), "_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    pairs, large = proposals(classes.select("rep", "bands"))
+    pairs = materialize(pairs, "proposals")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     sets = materialize(shingle_sets(docs, ends), "shingle-sets")
-    links = materialize(verified(pairs.where("primary"), sets, similarity), "links")
+    links = materialize(verified(pairs.where("primary"), sets, similarity).unionByName(one_id), "links")
     labels = components(links)
     own = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"_{c}"))
     rest = pairs.where("not primary").join(own("a"), "a", "left").join(own("b"), "b", "left")
     apart = ~F.col("_a").eqNullSafe(F.col("_b")) | F.col("_a").isNull()
     more = materialize(verified(rest.where(apart), sets, similarity), "links")
-    labels = components(links.unionByName(more))
-    groups = classes.select(*code, "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
-    members = sketch.select("_id", *code).join(
-        groups.select(*code, F.coalesce("label", "rep").alias("_class")), code
-    ).select("_id", "_class").where(F.col("_id") != F.col("_class")).distinct()
+    links = links.unionByName(more)
+    labels = components(links)
+    tested = pairs.select("a", "b")
+    members = divided(large, labels)
+    used = members.select("_key", "rep").limit(0)
+    for _ in range(HUB_ROUNDS):
+        if members.isEmpty():
+            break
+        hubs, chosen = hub_pairs(members, links, used)
+        hubs = materialize(hubs.join(tested, ["a", "b"], "left_anti"), "hub-pairs")
+        used, tested = used.unionByName(chosen), tested.unionByName(hubs)
+        fresh = materialize(verified(hubs, sets, similarity), "links")
+        if fresh.isEmpty():
+            break
+        links = links.unionByName(fresh)
+        labels = components(links)
+        members = divided(large, labels)
+    if not members.isEmpty():
+        rest = materialize(remaining_links(members, sets, similarity), "links")
+        labels = labels if rest.isEmpty() else components(links.unionByName(rest))
+    named = memberships.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
+    members = named.groupBy("_id").agg(F.min(F.coalesce("label", "rep")).alias("_class"))
+    members = members.where(F.col("_id") != F.col("_class"))
     out = docs.select("doc_id", order_id().alias("_id")).join(members, "_id", "left")
     found = F.coalesce("_class", "_id")
     return out.select(

@@ -102,3 +102,28 @@ def test_bands_find_pairs_at_the_threshold():
         )
         found += (keys[0] == keys[1]).any()
     assert found == 200
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_components_that_share_a_large_bucket_meet(spark, block):
+    draw = random.Random(8)
+    base = [draw.randrange(2**40) for _ in range(100)]
+    texts = {r: set(base[: 100 - 4 * r]) | {draw.randrange(2**40) for _ in range(2 * r)} for r in range(1, 9)}
+    sets = spark.createDataFrame([(r, sorted(s)) for r, s in texts.items()], "_id bigint, shingles array<bigint>")
+    members = spark.createDataFrame(
+        [(k, r, 1 if r < 4 else r, 1) for k, some in ((7, range(1, 6)), (8, range(4, 9))) for r in some],
+        "_key bigint, rep bigint, label bigint, _main bigint",
+    )
+    want = {
+        (a, b) for a in texts for b in texts
+        if a < b and b > 3 and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])
+    }
+    got = near_dedup.remaining_links(members, sets, 0.8, block)
+    assert want and {tuple(r) for r in got.collect()} == want
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, a), (3, b), (2, b), (5, a), (9, "else where")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in out) == [(2, 2), (3, 2), (3, 2), (5, 2), (9, 9)]
