@@ -15,7 +15,7 @@ left out. Groups are connected components, found by label passing between writte
 tables.
 
 The link is the Jaccard similarity of the distinct shingles, at least ``SIMILARITY``. A pair of that similarity shares
-no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-5.
+no band of the unit rates with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-5.
 
 Nulls and edge cases: texts without a word (null and empty ones too) join no group. A text of one to four words has its
 word sequence as its only shingle. A null ``doc_id`` sorts last. Rows that repeat an id are one document: the groups of
@@ -112,6 +112,22 @@ def band_keys(winners: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def text_keys(n_texts: int, text: np.ndarray, value: np.ndarray, weight: np.ndarray, bands: int, rows: int) -> list[np.ndarray]:
+    """The distinct band keys of each text: of its shingles at rate 1, and of their occurrences where a shingle repeats.
+
+    Both sets have the same band numbers, as without repeats they are the same.
+    """
+    unit = band_keys(signatures(n_texts, text, value, np.ones(len(value)), bands * rows), bands, rows)
+    repeats = np.zeros(n_texts, bool)
+    repeats[text[weight > 1]] = True
+    some = repeats[text]
+    number = np.cumsum(repeats) - 1
+    weighted = band_keys(
+        signatures(int(repeats.sum()), number[text[some]], value[some], weight[some], bands * rows), bands, rows
+    )
+    return [np.union1d(u, weighted[number[i]]) if repeats[i] else u for i, u in enumerate(unit)]
+
+
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
     """Slices of a batch whose texts have some ``STEP_CHARS`` characters, with their words."""
     start, size, words = 0, 0, []
@@ -137,15 +153,15 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         for batch in batches:
             for part, words in _steps(batch):
                 some = np.array([bool(w) for w in words])
-                winners = signatures(len(words), *shingles(words), bands * rows)[some]
+                own = [k for k, w in zip(text_keys(len(words), *shingles(words), bands, rows), words, strict=True) if w]
                 codes = np.frombuffer(
                     b"".join(xxhash.xxh3_128_digest(" ".join(w)) for w in words if w), np.int64
                 ).reshape(-1, 2)
-                keys = band_keys(winners, bands, rows)
+                keys = np.concatenate(own) if own else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("_id").filter(pa.array(some)), pa.array(codes[:, 0]), pa.array(codes[:, 1]),
-                        _lists(keys.ravel(), np.full(len(keys), bands)),
+                        _lists(keys, np.array([len(k) for k in own], np.int64)),
                     ],
                     ["_id", "_c1", "_c2", "bands"],
                 )

@@ -104,6 +104,26 @@ def test_bands_find_pairs_at_the_threshold():
     assert found == 200
 
 
+def test_copies_that_differ_in_repeat_counts_share_a_band():
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghij", k=7))
+    for _ in range(40):
+        body, line = [word() for _ in range(300)], [word() for _ in range(10)]
+        texts = [body + line * n for n in (2, 22, 62)]
+        keys = near_dedup.text_keys(3, *near_dedup.shingles(texts), near_dedup.BANDS, near_dedup.ROWS)
+        assert len(np.intersect1d(keys[0], keys[1])) and len(np.intersect1d(keys[0], keys[2]))
+
+
+def test_groups_of_copies_that_differ_in_repeat_counts(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefghij", k=7))
+    rows = []
+    for group in range(20):
+        body, line = [word() for _ in range(300)], [word() for _ in range(10)]
+        rows += [(10 * group + k, " ".join(body + line * n)) for k, n in enumerate((2, 62, 150))]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
 @pytest.mark.parametrize("block", [64, 2])
 def test_components_that_share_a_large_bucket_meet(spark, block):
     draw = random.Random(8)
