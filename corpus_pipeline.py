@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplenet.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
-from ripplenet.llm.common import order_id, table, whole_text
+from ripplenet.llm.common import table, whole_text, with_identity
 from ripplenet.llm.queries import MIX_SHARE, MIX_WEIGHTS
 from ripplenet.storage import materialize
 
@@ -31,19 +31,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows that repeat an id, the first by text."""
-    classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    later = materialize(classes.where(~F.col("kept")).select(order_id().alias("_id")).distinct(), "later-copies")
-    rest = docs.withColumn("_id", order_id()).join(later, "_id", "left_anti")
-    # One group is the rows of one id. Null ids are no copies of each other, so each such row stays.
+    rows = with_identity(docs)
+    later = materialize(near_dedup.copies(rows.select("_id", "text")).select("_id"), "later-copies")
+    rest = rows.join(later, "_id", "left_anti")
+    # One group is the rows of one id. Rows with a null id are one group only if their texts are equal.
     first = Window.partitionBy("_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(whole_text())
     return rest.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    links = decontamination.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = materialize(links.select(order_id().alias("_id")).distinct(), "contaminated")
-    return docs.withColumn("_id", order_id()).join(gone, "_id", "left_anti").select(docs.columns)
+    rows = with_identity(docs)
+    found = rows.select(F.col("_id").alias("doc_id"), "text")
+    links = decontamination.contaminated(found, table(spark, sf_dir, "benchmark"))
+    gone = materialize(links.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return rows.join(gone, "_id", "left_anti").select(docs.columns)
 
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # The six characters \x20 and \x09 to \x0D: the only ones that separate words and are stripped from lines.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
-# Stands for a null document id wherever ids are compared, so such rows come last and count as one document.
+# Stands for a null document id wherever ids are compared, so such rows come last; see ``with_identity`` where they
+# must not count as one document.
 LAST_ID = 2**63 - 1
 
 
@@ -35,3 +36,19 @@ def whole_text(column: str = "text") -> Column:
 
 def order_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("bigint"), F.lit(LAST_ID))
+
+
+def greatest_id(docs: DataFrame) -> int:
+    """The greatest ``doc_id``, at least 0."""
+    return max(docs.agg(F.max(F.col("doc_id").cast("bigint"))).first()[0] or 0, 0)
+
+
+def with_identity(docs: DataFrame, greatest: int | None = None) -> DataFrame:
+    """``docs`` with ``_id``: the id, or for a null one a hash of the text into the numbers above the ``greatest`` id.
+
+    Rows with a null id are one document only if their texts are equal. Different texts get different numbers except by
+    a collision of hashes, which becomes likely only where ids come close to the end of the 64-bit range.
+    """
+    greatest = greatest_id(docs) if greatest is None else greatest
+    own = F.lit(LAST_ID) - F.pmod(F.xxhash64(whole_text()), F.lit(max(LAST_ID - greatest, 1)).cast("bigint"))
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), own))

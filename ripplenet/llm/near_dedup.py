@@ -18,9 +18,10 @@ The link is the Jaccard similarity of the distinct shingles, at least ``SIMILARI
 no band of the unit rates with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-5.
 
 Nulls and edge cases: texts without a word (null and empty ones too) join no group. A text of one to four words has its
-word sequence as its only shingle. A null ``doc_id`` sorts last. Rows that repeat an id are one document: the groups of
-their texts are one group, and where their texts differ the greatest shingle set stands for them in verification. An
-empty table gives an empty result. Other columns of the input are not looked at.
+word sequence as its only shingle. Rows that repeat an id are one document: the groups of
+their texts are one group, and where their texts differ the greatest shingle set stands for them in verification. Rows
+with a null ``doc_id`` are documents of their own, one for each different text, and sort last; a group without any other
+row has a null ``class_id``. An empty table gives an empty result. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplenet.llm.common import LAST_ID, order_id, whole_text
+from ripplenet.llm.common import greatest_id, whole_text, with_identity
 from ripplenet.storage import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -147,7 +148,10 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(_id, _c1, _c2, bands)`` for each row with words: a 128-bit hash of its word sequence, and its band keys."""
+    """``(_id, _c1, _c2, bands)`` for each row of ``docs (_id, text)`` with words.
+
+    These are a 128-bit hash of its word sequence, and its band keys.
+    """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +170,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     ["_id", "_c1", "_c2", "bands"],
                 )
 
-    texts = docs.select(order_id().alias("_id"), whole_text().alias("text"))
+    texts = docs.select("_id", whole_text().alias("text"))
     return texts.mapInArrow(sketched, "_id bigint, _c1 bigint, _c2 bigint, bands array<bigint>")
 
 
@@ -298,7 +302,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("_id"), _lists(value.view(np.int64), sizes)], ["_id", "shingles"])
 
     # Building on the ids keeps the texts unsorted, and a list of ids that grows with the corpus is never broadcast.
-    texts = docs.select(order_id().alias("_id"), whole_text().alias("text"))
+    texts = docs.select("_id", whole_text().alias("text"))
     texts = texts.join(ids.hint("shuffle_hash"), "_id", "left_semi")
     sets = texts.mapInArrow(listed, "_id bigint, shingles array<bigint>")
     return sets.groupBy("_id").agg(F.max("shingles").alias("shingles"))
@@ -349,8 +353,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, class_id, kept)`` for each row: the smallest id of its group, and whether the row has that id."""
+def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(_id, _class)`` for each identity of ``docs (_id, text)`` that is not the smallest of its group, and that smallest."""
     sketch = materialize(sketches(docs), "sketches")
     code = ["_c1", "_c2"]
     classes = materialize(sketch.groupBy(code).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")), "classes")
@@ -390,9 +394,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         labels = labels if rest.isEmpty() else components(links.unionByName(rest))
     named = memberships.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
     members = named.groupBy("_id").agg(F.min(F.coalesce("label", "rep")).alias("_class"))
-    members = members.where(F.col("_id") != F.col("_class"))
-    out = docs.select("doc_id", order_id().alias("_id")).join(members, "_id", "left")
+    return members.where(F.col("_id") != F.col("_class"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, class_id, kept)`` for each row: the smallest id of its group, and whether the row has that id."""
+    greatest = greatest_id(docs)
+    rows = with_identity(docs.select("doc_id", "text"), greatest)
+    out = rows.select("doc_id", "_id").join(copies(rows.select("_id", "text"), similarity), "_id", "left")
     found = F.coalesce("_class", "_id")
+    # Identities of rows with a null id lie behind the greatest id.
     return out.select(
-        "doc_id", F.when(found != LAST_ID, found).alias("class_id"), (found == F.col("_id")).alias("kept")
+        "doc_id", F.when(F.col("doc_id").isNotNull() | (found <= greatest), found).alias("class_id"),
+        (found == F.col("_id")).alias("kept"),
     )

@@ -147,3 +147,13 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
     rows = [(3, a), (3, b), (2, b), (5, a), (9, "else where")]
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"], r["class_id"]) for r in out) == [(2, 2), (3, 2), (3, 2), (5, 2), (9, 9)]
+
+
+def test_rows_with_a_null_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (9, b), (None, a), (None, b + " end"), (None, c), (None, c + " end"), (None, "else where")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    ids = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in out if r["doc_id"] is not None)
+    assert ids == [(5, 5, True), (9, 9, True)]
+    nulls = sorted((r["class_id"] or 0, r["kept"]) for r in out if r["doc_id"] is None)
+    assert nulls == [(0, False), (0, True), (0, True), (5, False), (9, False)]

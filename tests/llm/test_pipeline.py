@@ -58,3 +58,14 @@ def test_odd_rows_pass_through_all_stages(spark, odd_documents, no_documents):
         assert n >= 0
     repeated = odd_documents.where("doc_id = 1")
     assert corpus_pipeline.keep_one_of_each_group(spark, repeated, SMALL).count() == 1
+
+
+def test_rows_with_a_null_id_go_one_by_one(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 80").first()["text"]
+    rows = [(5, a), (9, b), (None, a), (None, b + " end"), (None, c), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SMALL).collect()
+    assert {tuple(r) for r in kept} == {(5, a), (9, b), (None, c), (None, item)}
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SMALL).collect()
+    assert {tuple(r) for r in clean} == set(rows[:-1])
