@@ -1,23 +1,25 @@
 """License notices by conditional compression.
 
-A block of text is compressed alone and with each license template as a raw zstandard dictionary: the more of a template
-it repeats, the smaller it gets. Templates are ranked by that reduction, and the winner is confirmed by the exact
-differences in wording between block and template, so that a name in passing is no notice and a changed version number
-is seen.
-
-Blocks are lines that hold a cue word of license language; every line of every whole text is looked at. Texts are never
-shuffled.
-
-Nulls and edge cases: a null or empty text has no blocks. Lines beyond ``MAX_BLOCK`` characters are taken in pieces
-around each cue. Rows are handled one by one; a null ``doc_id`` and repeated rows pass through. If templates tie, the
-first by name wins. An empty table gives an empty result. Other columns of the input are not looked at.
+A piece of text is compressed alone and with each template as a raw zstandard dictionary. What a template saves there, as
+a share of what it saves on its own text, tells whether much of it occurs, however much prose stands around it. The place
+of each such template is then found by alignment of words, and the exact differences in wording confirm it, so that a name
+in passing is no notice and a changed version number is seen. The best place is reported and blanked, and what remains of
+the piece is searched again, so every notice of a piece is found, copies too.
+
+Blocks are the surroundings of cue words of license language, across line ends, and run together where they overlap; every
+cue of every whole text is looked at. Long blocks are searched in pieces that overlap by more than any template. Texts are
+never shuffled.
+
+Nulls and edge cases: a null or empty text has no blocks. Rows are handled one by one; a null ``doc_id`` and repeated rows
+pass through. If templates tie, the longer one wins, then the first by name. An empty table gives an empty result. Other
+columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplenet.llm.common import whole_text
+from ripplenet.llm.decontamination import align
 
 # The notices as their publishers word them.
 TEMPLATES: dict[str, str] = {
@@ -41,47 +44,64 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Further wordings of the same licenses.
+WORDINGS: tuple[tuple[str, str], ...] = ()
 _CUE = r"licen[sc]|copyright|redistribut|public domain|creative commons|\bCC[ -]BY|\bwaived all\b"
-CUE = re.compile(_CUE, re.IGNORECASE)
-MAX_BLOCK, AROUND = 2000, 200
-# A notice may lack, and its block may add, this share of the template's words; numbers must be the same.
-LEAST_REDUCTION, MAX_DIFFERENCE = 0.25, 0.25
+CUE = re.compile(_CUE.replace(" ", r"\s+").replace("[\\s+-]", r"[\s-]"), re.IGNORECASE)
+# Characters looked at around a cue, and in one piece of a block; pieces overlap by half.
+AROUND, PIECE = 600, 4000
+# Least share of its own saving that a template must save, and least share of its words' score by alignment.
+LEAST_REDUCTION, LEAST_SCORE = 0.2, 0.5
+# A notice may lack, and its place may add, this share of the template's words; numbers must be the same.
+MAX_DIFFERENCE = 0.25
 _WORD = re.compile(r"[\w.+-]*\w")
 _ROW = "start int, end int, license string, reduction double, missing string, added string, confirmed boolean"
+Templates = tuple[tuple[str, str], ...]
 
 
 @lru_cache(maxsize=4)
-def compressors(templates: tuple[tuple[str, str], ...]) -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
+def compressors(templates: Templates) -> tuple[zstandard.ZstdCompressor, list[tuple[zstandard.ZstdCompressor, int]]]:
+    """A plain compressor, and for each template one that has it as dictionary, with the bytes it saves on its own text."""
     slim = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
     make = lambda **more: zstandard.ZstdCompressor(
         compression_params=zstandard.ZstdCompressionParameters.from_level(3, **slim), **more
     )
     raw = lambda text: zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return make(), {name: make(dict_data=raw(text)) for name, text in sorted(templates)}
+    alone, out = make(), []
+    for _, text in templates:
+        one = make(dict_data=raw(text))
+        out.append((one, max(1, len(alone.compress(text.encode())) - len(one.compress(text.encode())))))
+    return alone, out
+
+
+@lru_cache(maxsize=4)
+def template_words(templates: Templates) -> list[list[str]]:
+    return [[w.lower() for w in _WORD.findall(text)] for _, text in templates]
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each block with a cue."""
-    start = 0
-    for line in text.split("\n"):
-        if len(line) <= MAX_BLOCK:
-            if CUE.search(line):
-                yield start, start + len(line)
-        else:
-            done = 0
-            for m in CUE.finditer(line):
-                if m.start() >= done:
-                    done = min(len(line), m.end() + AROUND)
-                    yield start + max(0, m.start() - AROUND), start + done
-        start += len(line) + 1
-
-
-def ranked(block: str, templates: tuple[tuple[str, str], ...]) -> list[tuple[float, str]]:
-    """Templates by falling reduction of the block's compressed size."""
+    """Start and end of each run of overlapping surroundings of cues."""
+    start, end = 0, -1
+    for m in CUE.finditer(text):
+        if m.start() - AROUND > end:
+            if end >= 0:
+                yield start, end
+            start = max(0, m.start() - AROUND)
+        end = min(len(text), m.end() + AROUND)
+    if end >= 0:
+        yield start, end
+
+
+def ranked(piece: str, templates: Templates) -> list[tuple[float, int]]:
+    """Numbers of the templates that save enough on the piece, by falling share of what they save on their own text.
+
+    Line ends and comment marks are taken out of the piece first, since they break up a wrapped notice.
+    """
     alone, with_template = compressors(templates)
-    data = block.encode()
+    data = re.sub(r"\s*\n[\s#*/;%-]*", " ", piece).encode()
     size = len(alone.compress(data))
-    return sorted(((1 - len(c.compress(data)) / size, name) for name, c in with_template.items()), key=lambda x: (-x[0], x[1]))
+    shares = [((size - len(c.compress(data))) / own, i) for i, (c, own) in enumerate(with_template)]
+    return sorted((x for x in shares if x[0] >= LEAST_REDUCTION), key=lambda x: (-x[0], x[1]))
 
 
 def differences(block: str, template: str) -> tuple[int, int, list[str], list[str]]:
@@ -101,23 +121,62 @@ def differences(block: str, template: str) -> tuple[int, int, list[str], list[st
     return have[first][1], have[last - 1][2], missing, added
 
 
-def judged(block: str, templates: tuple[tuple[str, str], ...]) -> tuple | None:
-    """The best template of a block; of those within a tenth of the best reduction, the one closest in wording."""
-    order = ranked(block, templates)
-    if order[0][0] < LEAST_REDUCTION:
-        return None
-    texts = dict(templates)
-    close = [x for x in order if x[0] >= 0.9 * order[0][0]]
-    options = [(len(d[2]) + len(d[3]), -r, name, d) for r, name in close for d in [differences(block, texts[name])]]
-    n, reduction, name, (start, end, missing, added) = min(options)
-    words = len(_WORD.findall(texts[name]))
-    number = any(c.isdigit() for w in [*missing, *added] for c in w)
-    return start, end, name, -reduction, " ".join(missing), " ".join(added), n <= MAX_DIFFERENCE * words and not number
-
-
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """One row for each block that a template shortens: its place, license, reduction, wording differences, verdict."""
-    fixed = tuple(sorted(templates.items()))
+def same_words(notice: str) -> re.Pattern:
+    words = r"[^\w.+-]+[.+-]*".join(map(re.escape, _WORD.findall(notice)))
+    return re.compile(rf"(?<![\w.+-]){words}(?![.+-]*\w)", re.IGNORECASE)
+
+
+def judged(piece: str, templates: Templates) -> tuple | None:
+    """The place in the piece that is closest to a template in wording; confirmed ones come first."""
+    have = [(m.group().lower(), *m.span()) for m in _WORD.finditer(piece)]
+    words = [w for w, _, _ in have]
+    best = None
+    for reduction, i in ranked(piece, templates):
+        want = template_words(templates)[i]
+        score, first, last = align(want, words)
+        if score < LEAST_SCORE:
+            continue
+        low, high = have[first][1], have[last][2]
+        start, end, missing, added = differences(piece[low:high], templates[i][1])
+        n = len(missing) + len(added)
+        number = any(c.isdigit() for w in [*missing, *added] for c in w)
+        confirmed = n <= MAX_DIFFERENCE * len(want) and not number
+        key = (not confirmed, n / len(want), -len(want), templates[i][0])
+        if best is None or key < best[0]:
+            best = key, (low + start, low + end, templates[i][0], reduction, " ".join(missing), " ".join(added), confirmed)
+    return best[1] if best else None
+
+
+def notices(text: str, templates: Templates) -> list[tuple]:
+    """Each notice of a text, in order: start, end, license, reduction, missing and added words, verdict."""
+    out = []
+    for start, end in blocks(text):
+        at = start
+        while at < end:
+            stop = min(end, at + PIECE)
+            piece, done = text[at:stop], at + PIECE // 2
+            while (found := judged(piece, templates)) is not None:
+                places = [found[:2]]
+                if not found[4] and not found[5]:  # copies word for word need no search of their own
+                    places = sorted({*places, *(m.span() for m in same_words(piece[slice(*found[:2])]).finditer(piece))})
+                for low, high in places:
+                    piece = piece[:low] + "\n" * (high - low) + piece[high:]
+                    # What begins in the second half is left to the next piece, which holds it whole.
+                    if stop == end or low < PIECE // 2:
+                        out.append((at + low, at + high, *found[2:]))
+                        done = max(done, at + high)
+            at = done if stop < end else end
+    return sorted(out, key=lambda r: r[:3])
+
+
+def scan_licenses(
+    docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, wordings: Sequence[tuple[str, str]] = WORDINGS
+) -> DataFrame:
+    """One row for each place that a template fits: its bounds, license, reduction, wording differences, verdict.
+
+    ``reduction`` is what the template saves in the piece as a share of what it saves on its own text.
+    """
+    fixed = tuple(sorted([*templates.items(), *(w for w in wordings if w[0] in templates)]))
     rows = docs.select("doc_id", whole_text().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -127,13 +186,11 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) ->
         for batch in batches:
             at, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for start, end in blocks(text):
-                    verdict = judged(text[start:end], fixed)
-                    if verdict:
-                        at.append(i)
-                        out.append((start + verdict[0], start + verdict[1], *verdict[2:]))
+                for row in notices(text, fixed):
+                    at.append(i)
+                    out.append(row)
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-    return rows.where(F.col("text").rlike(f"(?i){_CUE}")).mapInArrow(scan, f"doc_id {kind}, {_ROW}")
+    return rows.where(F.col("text").rlike(f"(?i){CUE.pattern}")).mapInArrow(scan, f"doc_id {kind}, {_ROW}")

@@ -1,5 +1,8 @@
 """License notices found by compression and confirmed by wording."""
 
+import random
+
+import pytest
 from ripplenet.llm import licenses
 
 
@@ -41,3 +44,20 @@ def test_documents(spark, documents, odd_documents, no_documents):
     want = {(i, n) for i, text in texts.items() for n, t in licenses.TEMPLATES.items() if t in text}
     assert want and want == found
     assert licenses.scan_licenses(odd_documents).collect() == [] and licenses.scan_licenses(no_documents).collect() == []
+
+
+def confirmed(text):
+    fixed = tuple(sorted([*licenses.TEMPLATES.items(), *licenses.WORDINGS]))
+    return [(r[2], text[r[0] : r[1]]) for r in licenses.notices(text, fixed) if r[6]]
+
+
+def prose(draw, n):
+    words = "the river had been rising for days and nobody in town could say when a boat would come back with news of it".split()
+    return " ".join(draw.choices(words, k=n // 4))
+
+
+@pytest.mark.parametrize("around", [30, 200, 3000])
+def test_notices_inside_prose(around):
+    draw = random.Random(around)
+    for name, template in licenses.TEMPLATES.items():
+        assert confirmed(f"{prose(draw, around)} {template} {prose(draw, around)}") == [(name, template.rstrip("."))]
