@@ -8,7 +8,9 @@ the piece is searched again, so every notice of a piece is found, copies too.
 
 Blocks are the surroundings of cue words of license language, across line ends, and run together where they overlap; every
 cue of every whole text is looked at. Long blocks are searched in pieces that overlap by more than any template. Texts are
-never shuffled.
+never shuffled. SPDX identifiers of the licenses named in the templates are read as they are. The templates are one-sentence
+notices, file headers and the short license bodies; the full legal texts of the GPL, LGPL, MPL, Apache and Creative Commons
+licenses are not among them.
 
 Nulls and edge cases: a null or empty text has no blocks. Rows are handled one by one; a null ``doc_id`` and repeated rows
 pass through. If templates tie, the longer one wins, then the first by name. An empty table gives an empty result. Other
@@ -44,10 +46,46 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-# Further wordings of the same licenses.
-WORDINGS: tuple[tuple[str, str], ...] = ()
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+)
+_GNU = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the "
+    "Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+# Further wordings of the same licenses: file headers and bodies.
+WORDINGS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+     "that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+     "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+     "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+     "the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+     "or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("GPL-2.0", _GNU.format("program", "General Public License", 2)),
+    ("GPL-3.0", _GNU.format("program", "General Public License", 3)),
+    ("LGPL-3.0", _GNU.format("library", "Lesser General Public License", 3)),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+     "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+     "this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS + " OR "
+     "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+     "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+     "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+     "purpose, commercial or non-commercial, and by any means."),
+)
 _CUE = r"licen[sc]|copyright|redistribut|public domain|creative commons|\bCC[ -]BY|\bwaived all\b"
 CUE = re.compile(_CUE.replace(" ", r"\s+").replace("[\\s+-]", r"[\s-]"), re.IGNORECASE)
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)")
+_SPDX_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*")
 # Characters looked at around a cue, and in one piece of a block; pieces overlap by half.
 AROUND, PIECE = 600, 4000
 # Least share of its own saving that a template must save, and least share of its words' score by alignment.
@@ -150,6 +188,12 @@ def judged(piece: str, templates: Templates) -> tuple | None:
 def notices(text: str, templates: Templates) -> list[tuple]:
     """Each notice of a text, in order: start, end, license, reduction, missing and added words, verdict."""
     out = []
+    names = {name.lower(): name for name, _ in templates}
+    for m in SPDX.finditer(text):
+        for one in _SPDX_NAME.finditer(m.group(1)):
+            name = names.get(re.sub(r"-(only|or-later)$", "", one.group().lower()))
+            if name:
+                out.append((m.start(), m.start(1) + one.end(), name, 1.0, "", "", True))
     for start, end in blocks(text):
         at = start
         while at < end:

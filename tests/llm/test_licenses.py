@@ -1,6 +1,7 @@
 """License notices found by compression and confirmed by wording."""
 
 import random
+import textwrap
 
 import pytest
 from ripplenet.llm import licenses
@@ -61,3 +62,19 @@ def test_notices_inside_prose(around):
     draw = random.Random(around)
     for name, template in licenses.TEMPLATES.items():
         assert confirmed(f"{prose(draw, around)} {template} {prose(draw, around)}") == [(name, template.rstrip("."))]
+
+
+def test_every_notice_of_a_text():
+    draw = random.Random(1)
+    apache, mit = licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["MIT"]
+    assert [n for n, _ in confirmed(f"{apache} {mit}")] == ["Apache-2.0", "MIT"]
+    long = f"{apache} {prose(draw, 150)} {mit} {prose(draw, 900)} " * 30
+    assert [n for n, _ in confirmed(long)] == ["Apache-2.0", "MIT"] * 30
+    assert [n for n, _ in confirmed(f"{apache} {mit} " * 300)] == ["Apache-2.0", "MIT"] * 300
+
+
+def test_wrapped_notices_bodies_and_spdx_names():
+    for name, template in [*licenses.TEMPLATES.items(), *licenses.WORDINGS]:
+        wrapped = "/*\n" + "\n".join(f" * {line}" for line in textwrap.wrap(template, 38)) + "\n */\nint main;"
+        assert [n for n, _ in confirmed(wrapped)] == [name]
+    assert [n for n, _ in confirmed("# SPDX-License-Identifier: (MIT OR GPL-3.0-or-later)\n")] == ["MIT", "GPL-3.0"]
