@@ -4,7 +4,9 @@ Benchmark items are taken in blocks of bounded size; each block's n-gram seeds a
 scanned for them. What a hit leaves behind is a short window of words around it, so texts are never shuffled. The seeds'
 frequency over all windows of the corpus tells the rare ones: a window goes on if it holds two different seeds of the
 item, or one that is rare for it. Smith-Waterman alignment of the item with the window then gives the score: matching
-words count 2, replaced, added and missing ones -1, as a share of the best possible score.
+words count 2, replaced, added and missing ones -1, as a share of the best possible score. A link needs a share of
+``MIN_SCORE``, or, however long the item is, the score of an exact run of ``MIN_RUN`` words, so that a passage from a long
+item is found as well. Shorter passages that are also less than half of their item are left alone.
 
 With three-word seeds every copy of an item has a seed if up to a quarter of its words were replaced, since among that
 many replacements at least one run of three words stays whole.
@@ -30,7 +32,7 @@ from ripplenet.llm.common import whole_text
 from ripplenet.storage import materialize
 
 SEED = 3
-MIN_SCORE = 0.5
+MIN_SCORE, MIN_RUN = 0.5, 50
 MATCH, MISS = 2, -1
 # Words of the benchmark in one block: its broadcast takes some 50 MB at most.
 BLOCK_WORDS = 500_000
@@ -176,7 +178,7 @@ def rare_seeds(block: Block, frequency: dict[int, int]) -> list[set[int]]:
     return out
 
 
-def _aligned(windows: DataFrame, shared, rare: list[set[int]], min_score: float) -> DataFrame:
+def _aligned(windows: DataFrame, shared, rare: list[set[int]], min_score: float, min_run: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
@@ -184,8 +186,9 @@ def _aligned(windows: DataFrame, shared, rare: list[set[int]], min_score: float)
             for w in batch.to_pylist():
                 if len(w["seeds"]) < 2 and not rare[w["item"]].intersection(w["seeds"]):
                     continue
-                score, first, last = align(block.items[w["item"]], w["words"])
-                if score >= min_score:
+                item = block.items[w["item"]]
+                score, first, last = align(item, w["words"])
+                if score >= min_score or round(score * MATCH * len(item)) >= MATCH * min_run:
                     rows.append((w["doc_id"], block.item_ids[w["item"]], score, w["starts"][first], w["ends"][last]))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
@@ -196,7 +199,9 @@ def _aligned(windows: DataFrame, shared, rare: list[set[int]], min_score: float)
     return windows.mapInArrow(run, _LINKS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS, min_run: int = MIN_RUN
+) -> DataFrame:
     """``(doc_id, item_id, score, start, end)``: each document and item that align, with the best place in characters."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text().alias("text"))
@@ -210,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
         windows = materialize(_scan(docs, shared), "benchmark-windows")
         counts = windows.select(F.explode("seeds").alias("seed")).groupBy("seed").count().collect()  # seeds of a block
         rare = rare_seeds(shared.value, {r[0]: r[1] for r in counts})
-        found.append(_aligned(windows, shared, rare, min_score))
+        found.append(_aligned(windows, shared, rare, min_score, min_run))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)

@@ -68,6 +68,19 @@ def test_exact_and_edited_copies(spark):
         assert texts[i][r["start"] : r["end"]] + "." == items[r["item_id"]].lower()
 
 
+def test_a_passage_of_a_long_item(spark):
+    draw = random.Random(6)
+    item = sentence(draw, 400)
+    text = lambda part: " ".join(sentence(draw, 60) + part + sentence(draw, 60))
+    edited = [w if k % 5 else "changed" for k, w in enumerate(item[200:350])]
+    rows = [(1, text(item[100:250])), (2, text(item[340:390])), (3, text(edited)), (4, text(item[:20])), (5, text([]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["score"] == 0.375
+    assert rows[0][1][got[1]["start"] : got[1]["end"]] == " ".join(item[100:250])
+
+
 def test_blocks_give_the_same_links(spark):
     docs, bench, want = fixture(spark)
     out = decontamination.contaminated(docs, bench, block_words=100)
