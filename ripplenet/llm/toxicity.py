@@ -7,7 +7,7 @@ its likelihood, with hashed word and affix features. Scoring takes whole texts:
 each token's chance of being toxic, and these combine to the document's score and to the offending character ranges.
 
 The fit takes a bounded sample of labelled rows (``MAX_ROWS`` and ``MAX_CHARS`` for each label, in hash order of the
-ids); all documents are scored in parallel with the broadcast model of some 2 MB.
+ids) and is trained on every chain of them, a batch at a time; all documents are scored in parallel with the broadcast model of some 2 MB.
 
 Nulls and edge cases: null and empty texts have no tokens and get the lowest score. Labels without a text, with a null
 label or id are not used; if rows repeat an id, any toxic one makes it toxic. Without labels of both kinds every score is 0. Rows
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ripplenet.llm.common import whole_text
 from ripplenet.storage import small_table
 
-MAX_ROWS = {1: 1500, 0: 3000}
-MAX_CHARS = {1: 5_000_000, 0: 8_000_000}
+MAX_ROWS = {1: 2000, 0: 4000}
+MAX_CHARS = {1: 7_000_000, 0: 14_000_000}
 # Tokens in a chain; a longer line is cut. Longest and shortest affixes that are features.
 CHAIN = 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
@@ -40,7 +40,8 @@ SLOTS = 1 << 18
 EVIDENCE, PRECISION = 10.0, 0.95
 # Texts of one label that agree in this many smallest five-word hashes, of either of two sets, are copies.
 COPY_HASHES = 3
-MAX_CHAINS = 8_000
+# Padded tokens of one step of the fit.
+BATCH_TOKENS = 100_000
 STEPS, RATE, PENALTY = 60, 0.3, 1e-4
 STEP_CHARS, MAX_WORDS = 2_000_000, 300_000
 _WORD = re.compile(r"\w+")
@@ -242,14 +243,9 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
     if len({t.label for t in sample.texts}) < 2:
         return None
     bad = sample.toxic_words()
-    chosen, plain = [], []
-    for t in sample.texts:
-        for ids in np.split(t.words, np.cumsum(t.lengths)[:-1]):
-            marks = bad[ids] & (t.label == 1)
-            (chosen if marks.any() else plain).append((ids, marks))
-    order = np.random.default_rng(7).permutation(len(plain))[: max(0, MAX_CHAINS - len(chosen[:MAX_CHAINS]))]
-    model = _train(chosen[:MAX_CHAINS] + [plain[i] for i in order], sample.table)
-    del chosen, plain
+    word = np.concatenate([t.words for t in sample.texts])
+    toxic = np.repeat([t.label == 1 for t in sample.texts], [len(t.words) for t in sample.texts])
+    model = _train(word, bad[word] & toxic, np.concatenate([t.lengths for t in sample.texts]), sample.table)
     by_word = model.bias + np.append(model.weights, 0.0)[sample.table].sum(1)
     odds = []
     for i in range(0, len(sample.texts), 200):
@@ -260,38 +256,49 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
     return model
 
 
-def _train(chosen: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> Model:
-    """Likelihood ascent (Adam) over all chosen chains at once."""
-    lengths = np.array([len(ids) for ids, _ in chosen])
-    mask = _padded(lengths)
-    word, label = np.zeros(mask.shape, np.int32), np.zeros(mask.shape, np.float32)
-    word[mask], label[mask] = np.concatenate([i for i, _ in chosen]), np.concatenate([m for _, m in chosen])
-    used = np.unique(word[mask])
-    slots = np.where(table[used] < 0, SLOTS, table[used])
-    back = np.zeros(len(table), np.int64)
-    back[used] = np.arange(len(used))
-    word = back[word]
+def _batches(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Chains of similar length together, in batches of at most ``BATCH_TOKENS`` places."""
+    order = np.argsort(lengths, kind="stable")
+    while len(order):
+        sized = lengths[order] * np.arange(1, len(order) + 1)
+        n = max(1, int(np.searchsorted(sized, BATCH_TOKENS, "right")))
+        yield order[:n]
+        order = order[n:]
+
+
+def _train(words: np.ndarray, marks: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> Model:
+    """Likelihood ascent (Adam) over all chains, laid end to end; each step adds up the slopes of all batches."""
+    starts = np.cumsum(lengths) - lengths
+    batches = list(_batches(lengths))
+    slots = np.where(table < 0, SLOTS, table)
     theta = np.zeros(SLOTS + 1 + 1 + 4)  # slots, a slot for padding, bias, transitions
     theta[SLOTS + 1] = -2.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    pair_mask = mask[:, 1:]
     for step in range(1, STEPS + 1):
         t = theta[SLOTS + 2 :].reshape(2, 2)
-        by_word = theta[slots].sum(1) + theta[SLOTS + 1]
-        scores = np.where(mask, by_word[word], 0.0)
-        forward, backward = messages(scores, mask, t)
-        wrong = np.where(mask, _odds(forward + backward) - label, 0.0)
-        per_word = np.bincount(word[mask], wrong[mask], len(used))
-        slope = PENALTY * len(chosen) * theta
-        slope[: SLOTS + 1] += np.bincount(slots.ravel(), np.repeat(per_word, slots.shape[1]), SLOTS + 1)
+        by_word = np.full(len(slots), theta[SLOTS + 1])
+        for k in range(slots.shape[1]):
+            by_word += theta[slots[:, k]]
+        slope = PENALTY * len(lengths) * theta
+        per_word = np.zeros(len(slots))
+        for some in batches:
+            mask = _padded(lengths[some])
+            place = np.minimum(starts[some][:, None] + np.arange(mask.shape[1])[None, :], len(words) - 1)
+            word, label = words[place], np.where(mask, marks[place], False).astype(np.float32)
+            scores = np.where(mask, by_word[word], 0.0)
+            forward, backward = messages(scores, mask, t)
+            wrong = np.where(mask, _odds(forward + backward) - label, 0.0)
+            per_word += np.bincount(word[mask], wrong[mask], len(slots))
+            a, b = forward[:, :-1], scores[:, 1:] + backward[:, 1:]
+            joint = np.stack([np.full(a.shape, t[0, 0]), b + t[0, 1], a + t[1, 0], a + b + t[1, 1]])
+            joint = np.exp(joint - joint.max(0))
+            joint /= joint.sum(0)
+            x, y = label[:, :-1], label[:, 1:]
+            seen = np.stack([(1 - x) * (1 - y), (1 - x) * y, x * (1 - y), x * y])
+            slope[SLOTS + 2 :] += ((joint - seen) * mask[:, 1:]).sum((1, 2))
+        for k in range(slots.shape[1]):
+            slope[: SLOTS + 1] += np.bincount(slots[:, k], per_word, SLOTS + 1)
         slope[SLOTS + 1] += per_word.sum()
-        a, b = forward[:, :-1], scores[:, 1:] + backward[:, 1:]
-        joint = np.stack([np.full(a.shape, t[0, 0]), b + t[0, 1], a + t[1, 0], a + b + t[1, 1]])
-        joint = np.exp(joint - joint.max(0))
-        joint /= joint.sum(0)
-        x, y = label[:, :-1], label[:, 1:]
-        seen = np.stack([(1 - x) * (1 - y), (1 - x) * y, x * (1 - y), x * y])
-        slope[SLOTS + 2 :] += ((joint - seen) * pair_mask).sum((1, 2))
         slope[SLOTS] = 0.0
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)

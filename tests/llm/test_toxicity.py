@@ -29,6 +29,33 @@ def test_held_out_rows(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
 
 
+def test_every_chain_of_the_sample_is_trained_on(monkeypatch):
+    rows = [("\n".join(f"you idiot{i % 7} scum w{i}x{k}" for k in range(40)), 1) for i in range(300)]
+    rows += [("\n".join(f"fine day c{i}x{k}" for k in range(20)), 0) for i in range(150)]
+    seen, train = [], toxicity._train
+
+    def spied(*given):
+        seen.append(given)
+        return train(*given)
+
+    monkeypatch.setattr(toxicity, "_train", spied)
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    toxicity.fit(rows, 0.5)
+    assert sum(map(len, (toxicity.chains(t) for t, _ in rows))) == len(seen[0][2]) == 300 * 40 + 150 * 20
+
+
+def test_batches_give_the_same_fit(monkeypatch):
+    draw = np.random.default_rng(3)
+    lengths = draw.integers(1, 12, 200)
+    words = draw.integers(0, 50, int(lengths.sum()))
+    table = draw.integers(0, 1000, (50, 4)).astype(np.int32)
+    whole = toxicity._train(words, words < 5, lengths, table)
+    monkeypatch.setattr(toxicity, "BATCH_TOKENS", 40)
+    parts = toxicity._train(words, words < 5, lengths, table)
+    assert sum(map(len, toxicity._batches(lengths))) == 200
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and np.allclose(whole.transitions, parts.transitions, atol=1e-4)
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
