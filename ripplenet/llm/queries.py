@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplenet.llm import (
-    decontamination, licenses, line_dedup, mixing, near_dedup, pii, quality, secrets, token_counts, toxicity,
+    decontamination, digests_sql, licenses, line_dedup, merkle, mixing, near_dedup, pii, quality, secrets, token_counts,
+    toxicity,
 )
 from ripplenet.llm.common import table
 
@@ -68,11 +69,15 @@ def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, directory, "documents"))
 
 
+def op13_merkle(spark: SparkSession, directory: str) -> DataFrame:
+    return merkle.tampering(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_pii, op3_decontamination, op4_toxicity, op5_mixing, op6_licenses, op7_line_dedup,
-        op8_token_counts, op9_near_dedup, op10_secrets,
+        op8_token_counts, op9_near_dedup, op10_secrets, op13_merkle,
     )
 }
 
@@ -102,7 +107,8 @@ def _mix_sql() -> str:
         WITH d AS (SELECT doc_id, lang, source, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
             CASE WHEN {figure} IN ('0', '1', '2') THEN 'web' WHEN {figure} IN ('3', '4', '5') THEN 'books'
                  WHEN {figure} IN ('6', '7') THEN 'code' WHEN source IS NULL THEN 'other' ELSE 'talk' END AS dom,
-            len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n FROM documents),
+            len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n FROM documents),
         leaf AS (SELECT dom, l, s, sum(n)::BIGINT AS tokens, {mixing.EPOCHS} * sum(n)::DOUBLE AS supply, 1 AS root FROM d GROUP BY dom, l, s HAVING sum(n) > 0),
         top AS (SELECT root, dom, sum(supply) AS supply, {MIX_SHARE} * (SELECT sum(tokens) FROM leaf) AS budget FROM leaf GROUP BY root, dom),
         {_level_sql("a", "top", "root", "dom", MIX_WEIGHTS["domain"])},
@@ -129,4 +135,5 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY rid, doc_id""",
+    "op13_merkle": digests_sql.MERKLE,
 }
