@@ -50,3 +50,27 @@ MERKLE = f"""
             CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root FROM whole)
     SELECT doc_id, digest AS leaf, subroot, root, sha256(list_reduce([''] || path, lambda a, s: a || s[2:])) AS proof_sha256,
         folded_root, folded_root = root AS verified FROM folded"""
+
+
+_WORDS = "len(regexp_extract_all(coalesce({}, ''), '[^ \t\n\x0b\f\r]+'))"
+TRIE = f"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {crc32("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS first FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.first AND t.pos <= c.h
+            UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+        u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, {_WORDS.format("text")} AS words,
+            sha256(octet_length(encode(role)) || ':' || role || text) AS turn FROM r),
+        p AS (SELECT conv_id, depth, words, string_agg(turn, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM u
+            UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        n AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY prefix, depth),
+        ends AS (SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+            FROM p JOIN (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id) m USING (conv_id, depth) GROUP BY prefix),
+        kids AS (SELECT left(prefix, -64) AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (prefix)),
+        sub AS (SELECT p.prefix, sum((f.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((f.n_convs - 1) * f.words)::BIGINT AS saved_tokens
+            FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.prefix)
+    SELECT f.conv_id, f.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+        sha256(coalesce(ids, '')) AS ends_sha256
+    FROM f JOIN sub USING (prefix) LEFT JOIN ends USING (prefix) LEFT JOIN f AS up ON f.depth > 0 AND up.prefix = left(f.prefix, -64)"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplenet.llm import (
-    decontamination, digests_sql, licenses, line_dedup, merkle, mixing, near_dedup, pii, quality, secrets, token_counts,
-    toxicity,
+    decontamination, digests_sql, licenses, line_dedup, merkle, mixing, near_dedup, pii, prefix_trie, quality, secrets,
+    token_counts, toxicity,
 )
 from ripplenet.llm.common import table
 
@@ -69,6 +69,10 @@ def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, directory, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, directory, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, directory: str) -> DataFrame:
     return merkle.tampering(table(spark, directory, "documents"))
 
@@ -77,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_pii, op3_decontamination, op4_toxicity, op5_mixing, op6_licenses, op7_line_dedup,
-        op8_token_counts, op9_near_dedup, op10_secrets, op13_merkle,
+        op8_token_counts, op9_near_dedup, op10_secrets, op12_prefix_trie, op13_merkle,
     )
 }
 
@@ -135,5 +139,6 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY rid, doc_id""",
+    "op12_prefix_trie": digests_sql.TRIE,
     "op13_merkle": digests_sql.MERKLE,
 }
