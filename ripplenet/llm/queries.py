@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ripplenet.llm import (
     decontamination, digests_sql, licenses, line_dedup, merkle, mixing, near_dedup, pii, prefix_trie, quality, secrets,
-    token_counts, toxicity,
+    simhash, token_counts, toxicity,
 )
 from ripplenet.llm.common import table
 
@@ -69,6 +69,10 @@ def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, directory, "documents"))
 
 
+def op11_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.edited_prints(table(spark, directory, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, directory, "conversations"))
 
@@ -81,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_pii, op3_decontamination, op4_toxicity, op5_mixing, op6_licenses, op7_line_dedup,
-        op8_token_counts, op9_near_dedup, op10_secrets, op12_prefix_trie, op13_merkle,
+        op8_token_counts, op9_near_dedup, op10_secrets, op11_simhash, op12_prefix_trie,
+        op13_merkle,
     )
 }
 
