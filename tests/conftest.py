@@ -26,12 +26,3 @@ def tiny_edges(spark):
 def dup_edges(spark):
     pairs = [(1, 2), (1, 2), (2, 1), (1, 3), (1, 3), (4, 2), (2, 4), (2, 5), (5, 4), (5, 6), (4, 7)]
     return spark.createDataFrame(pairs, "src bigint, dst bigint")
-
-
-def multiset(df):
-    """Vertices of ``(v, m)`` rows, repeated by multiplicity."""
-    return sorted(v for v, m in df.select("v", "m").collect() for _ in range(m))
-
-
-def pairs(df):
-    return sorted((r[0], r[1]) for r in df.select("src", "dst").collect())

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import pairs
+from graph_helpers import pairs
 
 from ripplenet.operators import cleaning, ordering, structure
 from ripplenet.operators.structure import degrees

@@ -1,7 +1,7 @@
 from types import SimpleNamespace
 
 import pytest
-from conftest import pairs
+from graph_helpers import pairs
 from pyspark.sql import functions as F
 
 from ripplenet import storage

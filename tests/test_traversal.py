@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import multiset, pairs
+from graph_helpers import multiset, pairs
 from pyspark.sql import functions as F
 
 from ripplenet.operators import cleaning, traversal
