@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplenet.operators.skew import ROWS_PER_SALT, hot_counts, join_split
-from ripplenet.storage import materialize
+from ripplenet.storage import materialize, shuffle_width
+
+# Edges that one task of the triangle search holds, about, and the least number of colours.
+TASK_EDGES = 4_000_000
+MIN_COLOURS = 3
+# Pairs of arrows a task looks up at once.
+STEP_PAIRS = 4_000_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -43,46 +51,129 @@ def degree_distribution(values: DataFrame) -> DataFrame:
     return counts.select("k", "n", (F.col("n") / total).alias("fraction"))
 
 
-def common_neighbours(edges: DataFrame, values: DataFrame, n_edges: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Triangles on each edge that has any: ``(src, dst, common)``, for a simple undirected graph.
+def colours_for(n_edges: int, task_edges: int = TASK_EDGES) -> int:
+    """Colours so that a triple of them holds some ``task_edges`` of the edges: three pairs of colours, 6 / q**2 of all."""
+    return max(MIN_COLOURS, -int(-((6 * n_edges / task_edges) ** 0.5) // 1))
 
-    Every edge points from its lower-degree to its higher-degree end. A vertex then has at most sqrt(2E) outgoing
-    edges, hubs included, so its list of targets is bounded; an edge's triangles are the intersection of two such
-    lists. No pairs of neighbours are formed.
-    """
-    hubs = hot_counts(values.select("v", "k"), "v", "k", 2 * n_edges, rows_per_salt)
-    ranked = edges
-    for end, other in (("src", "dst"), ("dst", "src")):
-        salts = hubs and hubs.withColumnRenamed("v", end)
-        ranked = join_split(ranked, values.select(F.col("v").alias(end), F.col("k").alias(f"k_{end}")), end, salts, other)
-    up = F.struct("k_src", "src") < F.struct("k_dst", "dst")
-    arrows = ranked.select(
-        F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"),
-        F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"),
-    )
-    lists = materialize(arrows.groupBy("a").agg(F.collect_list("b").alias("out")), "lists")
-
-    # Many edges may point at one vertex, so the side keyed by the target is the one to split.
-    mine = lists.select("a", "out", F.explode("out").alias("b"))
-    theirs = lists.select(F.col("a").alias("b"), F.col("out").alias("out_b"))
-    met = join_split(mine, theirs, "b", hubs and hubs.withColumnRenamed("v", "b"), "a")
-    third = met.withColumn("c", F.explode(F.array_intersect("out", "out_b")))
-    sides = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ("ab", "ac", "bc")])
-    each = third.select(F.explode(sides).alias("s"))
-    return each.groupBy(F.least("s.x", "s.y").alias("src"), F.greatest("s.x", "s.y").alias("dst")).agg(
-        F.count(F.lit(1)).alias("common")
-    )
 
+def colour_triples(edges: DataFrame, colours: int) -> DataFrame:
+    """``(triple, src, dst, src_colour, dst_colour)``: each edge once for every triple of colours that holds those of its ends."""
 
-def embeddedness(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    def colour(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(colours)).cast("int").alias(f"{c}_colour")
+
+    both = edges.select("src", "dst", colour("src"), colour("dst"))
+    third = both.withColumn("_third", F.explode(F.sequence(F.lit(0), F.lit(colours - 1))))
+    inside = F.array_sort(F.array("src_colour", "dst_colour", "_third"))
+    number = (F.get(inside, F.lit(0)).cast("bigint") * colours + F.get(inside, F.lit(1))) * colours + F.get(inside, F.lit(2))
+    return third.select(number.alias("triple"), "src", "dst", "src_colour", "dst_colour")
+
+
+def triangles_per_edge(a: np.ndarray, b: np.ndarray, valid=None) -> np.ndarray:
+    """The number of triangles on each edge ``(a[i], b[i])`` of a simple graph, of those that ``valid`` accepts.
+
+    Arrows point to the end with more edges. Each arrow's head is looked up beside the other heads of its tail: a head's own
+    arrows are at most sqrt(2E), and pairs of arrows are made a block at a time. ``valid`` takes three arrays of edge numbers.
+    """
+    counts = np.zeros(len(a), np.int64)
+    if not len(a):
+        return counts
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)].astype(np.int64), ends[len(a) :].astype(np.int64)
+    degree = np.bincount(ends, minlength=len(names))
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(degree, kind="stable")] = np.arange(len(names))
+    tail, head = np.minimum(rank[x], rank[y]), np.maximum(rank[x], rank[y])
+    order = np.lexsort((head, tail))
+    tail, head = tail[order], head[order]
+    key = tail * len(names) + head
+    first = np.searchsorted(tail, np.arange(len(names) + 1))
+    fan = first[head + 1] - first[head]
+    upto = np.cumsum(fan)
+    start = 0
+    while start < len(tail):
+        done = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, done + STEP_PAIRS, "right")))
+        n = fan[start:stop]
+        one = np.repeat(np.arange(start, stop), n)
+        two = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[head[one]]
+        wanted = tail[one] * len(names) + head[two]
+        three = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        found = key[three] == wanted
+        one, two, three = order[one[found]], order[two[found]], order[three[found]]
+        if valid is not None:
+            good = valid(one, two, three)
+            one, two, three = one[good], two[good], three[good]
+        for edge in (one, two, three):
+            counts += np.bincount(edge, minlength=len(counts))
+        start = stop
+    return counts
+
+
+def _triple_counts(table: pa.Table) -> pa.Table:
+    """Edges ``(src, dst, common)`` of one triple of colours with the triangles that have exactly its colours."""
+    src, dst, cs, cd = (table.column(c).to_numpy() for c in ("src", "dst", "src_colour", "dst_colour"))
+    # A triple (i, i, k) also receives triangles of three i, which are counted in (i, i, i): the colours' sum tells.
+    triple, q = table.column("triple")[0].as_py(), table.column("colours")[0].as_py()
+    whole = triple // q // q + triple // q % q + triple % q
+    colour_sum = cs.astype(np.int64) + cd
+
+    def valid(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+        return colour_sum[one] + colour_sum[two] + colour_sum[three] == 2 * whole
+
+    common = triangles_per_edge(src, dst, valid)
+    some = common > 0
+    return pa.table({"src": src[some], "dst": dst[some], "common": common[some]})
+
+
+def hub_triangles(edges: DataFrame, hubs: DataFrame, salts: DataFrame | None) -> DataFrame:
+    """``(src, dst, common)``: triangles with a vertex of ``hubs (v)``, a short list, each by the greatest of its hubs."""
+    listed = F.broadcast(hubs.select(F.col("v").alias("hub")))
+    spokes = neighbours(edges).withColumnRenamed("neighbour", "hub").join(listed, "hub")
+    mine = F.broadcast(hubs.select("v", F.lit(True).alias("_hub")))
+    spokes = materialize(spokes.join(mine, "v", "left").where("_hub IS NULL OR v < hub").select("v", "hub"), "spokes")
+    one = join_split(edges, spokes.withColumnRenamed("v", "src"), "src", salts and salts.withColumnRenamed("v", "src"), "dst")
+    closed = one.join(spokes.withColumnRenamed("v", "dst"), ["dst", "hub"])
+    sides = F.array(*[F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")) for x, y in (("src", "dst"), ("src", "hub"), ("dst", "hub"))])
+    return closed.select(F.explode(sides).alias("s")).groupBy("s.src", "s.dst").agg(F.count(F.lit(1)).alias("common"))
+
+
+def common_neighbours(
+    edges: DataFrame, values: DataFrame, n_edges: int, rows_per_salt: int = ROWS_PER_SALT, task_edges: int = TASK_EDGES
+) -> DataFrame:
+    """Triangles on each edge that has any: ``(src, dst, common)``, for a simple undirected graph with ``src < dst``.
+
+    Vertices are hashed into q colours and an edge goes to each triple of colours with those of its ends, so every triangle
+    lies whole in one triple: q copies of the edges are shuffled, with q growing as the root of their number, and neither
+    lists nor pairs of neighbours. Vertices with over ``task_edges`` edges, at most 2E / ``task_edges`` of them, would fill
+    their colour; their triangles come from joins with their spokes instead.
+    """
+    hubs = values.where(F.col("k") > task_edges).select("v")
+    hubs = None if hubs.isEmpty() else materialize(hubs, "hubs")
+    light = edges.select("src", "dst")
+    if hubs is not None:
+        for end in ("src", "dst"):
+            light = light.join(F.broadcast(hubs.withColumnRenamed("v", end)), end, "left_anti")
+    q = colours_for(n_edges, task_edges)
+    # The width is explicit: adaptive execution would merge these short rows into few tasks.
+    width = min(q**3, max(shuffle_width(edges.sparkSession), -(-q * n_edges // task_edges)))
+    triples = colour_triples(light, q).withColumn("colours", F.lit(q)).repartition(width, "triple")
+    counts = triples.groupBy("triple").applyInArrow(_triple_counts, "src bigint, dst bigint, common bigint")
+    if hubs is not None:
+        salts = hot_counts(values.select("v", "k"), "v", "k", 2 * n_edges, rows_per_salt)
+        counts = counts.unionByName(hub_triangles(edges.select("src", "dst"), hubs, salts))
+    return counts.groupBy("src", "dst").agg(F.sum("common").alias("common"))
+
+
+def embeddedness(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT, task_edges: int = TASK_EDGES) -> DataFrame:
     """Mean over a vertex's neighbours of |common| / (|union| - 2), a term with an empty divisor being 0: ``(v, e)``.
 
     Only edges on a triangle have a nonzero term, so only they are joined back to the degrees.
     """
-    simple = materialize(edges.select("src", "dst"), "simple")
+    simple = materialize(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), "simple")
     n_edges = simple.count()
     values = materialize(degrees(simple), "degrees")
-    shared = common_neighbours(simple, values, n_edges, rows_per_salt)
+    shared = common_neighbours(simple, values, n_edges, rows_per_salt, task_edges)
     hubs = hot_counts(values, "v", "k", 2 * n_edges, rows_per_salt)
     sized = shared
     for end, other in (("src", "dst"), ("dst", "src")):

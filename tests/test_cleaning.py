@@ -55,6 +55,38 @@ def test_embeddedness_against_brute_force(spark, rows_per_salt):
     assert {r.v: pytest.approx(r.e) for r in found.collect()} == expected
 
 
+def plain_triangles(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return {(a, b): len(near[a] & near[b]) for a, b in edges if near[a] & near[b]}
+
+
+@pytest.mark.parametrize("task_edges, rows_per_salt", [(10**6, 10**6), (40, 10**6), (12, 10)])
+def test_triangles_by_colours(spark, task_edges, rows_per_salt):
+    """The second and third case have more colours, and several hubs that are neighbours of each other."""
+    rng = random.Random(task_edges)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(300)} | {tuple(sorted((h, v))) for h in (0, 7, 30) for v in range(60) if v != h}
+    edges = sorted(edges)
+    frame = spark.createDataFrame(edges, "src bigint, dst bigint")
+    found = structure.common_neighbours(frame, degrees(frame), len(edges), rows_per_salt, task_edges)
+    rows = [tuple(r) for r in found.collect()]
+    assert {(a, b): n for a, b, n in rows} == plain_triangles(edges) and len(rows) == len({r[:2] for r in rows})
+
+
+def test_triangles_shuffle_edges_and_counts_only(spark):
+    frame = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src bigint, dst bigint")
+    found = structure.common_neighbours(frame, degrees(frame), 3)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "extended")
+    assert "collect_list" not in plan and "collect_set" not in plan and "Join" not in plan.split("Physical Plan")[1]
+
+
+@pytest.mark.parametrize("n_edges, colours", [(0, 3), (6_000_000, 3), (10**10, 123), (10**12, 1225)])
+def test_colours_follow_the_root_of_the_edges(n_edges, colours):
+    assert structure.colours_for(n_edges) == colours
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_running_ranks_cross_slices(spark, partitions):
     rows = [(g, i, (i * 7) % 11) for g in ("a", "b") for i in range(40 if g == "a" else 3)]
