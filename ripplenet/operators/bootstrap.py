@@ -9,6 +9,7 @@ repeat, or with multinomial counts whose cost does not depend on the sample size
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from ripplenet.operators.lookup import cumulative, cumulative_lookup
 from ripplenet.operators.ordering import ordered_running
 from ripplenet.operators.sampling import explode_count
 from ripplenet.operators.statistics import median_by_counts, percentile_of_array
+from ripplenet.operators.traversal import PackedIncrements
 from ripplenet.storage import materialize, shuffle_width
 
 RUN_WAVE = ["run_id", "wave"]
@@ -40,7 +42,7 @@ def attach_values(df: DataFrame, values: DataFrame, default: int | None = None)
 
 
 def candidate_groups(
-    increments: DataFrame,
+    increments: DataFrame | PackedIncrements,
     values: DataFrame,
     waves: Sequence[int],
     default: int | None = None,
@@ -49,15 +51,20 @@ def candidate_groups(
     """Inclusions collapsed by value: ``(run_id, wave, [is_seed,] k, n, reached)``.
 
     ``n`` sums multiplicities and ``reached`` counts distinct vertices. Increments are collapsed before they are
-    repeated for the later waves. ``split`` (seeds) keeps seeds and other vertices apart.
+    repeated for the later waves, and packed ones take their vertices' values before they are unpacked. ``split`` (seeds)
+    keeps seeds and other vertices apart.
     """
-    rows = increments
+    late = isinstance(increments, PackedIncrements) and split is None
+    rows = increments.unpack() if isinstance(increments, PackedIncrements) and not late else increments
     by = ["k"]
     if split is not None:
         marks = split.select("run_id", "v").distinct().withColumn("is_seed", F.lit(True))
         rows = rows.join(marks, ["run_id", "v"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
         by = ["is_seed", "k"]
-    valued = attach_values(rows, values, default)
+    if late:
+        valued = replace(increments, rows=attach_values(increments.rows, values, default)).unpack("k")
+    else:
+        valued = attach_values(rows, values, default)
     collapsed = valued.groupBy("run_id", "wave", *by).agg(
         F.sum("m").alias("n"), F.sum(F.col("fresh").cast("bigint")).alias("reached")
     )

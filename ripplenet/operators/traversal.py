@@ -15,15 +15,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplenet.operators.cleaning import friends_of, without
+from ripplenet.operators.ordering import ordered_running
 from ripplenet.operators.skew import ROWS_PER_SALT, add_salt, hot_keys, repeat_per_salt
-from ripplenet.storage import materialize, materialize_bucketed, shuffle_width
+from ripplenet.storage import materialize, materialize_bucketed, materialize_by, shuffle_width
 
 MAX_WAVE = 149
 ROWS_PER_BUCKET = 1_000_000
+# Runs are the caller's; up to this number, some 20 MB, their table goes to all executors.
+BROADCAST_RUNS = 1_000_000
+_LOW = 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
@@ -74,39 +78,108 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def wave_increments(
+@dataclass(frozen=True)
+class PackedIncrements:
+    """Inclusions of up to 64 runs in a row: ``rows (block, wave, v, counted, fresh, lanes)`` and ``runs (block, bit, keys)``.
+
+    ``counted`` and ``fresh`` are bitmaps of the block's runs; two runs' inclusions share one of the lanes.
+    """
+
+    rows: DataFrame
+    runs: DataFrame
+    n_runs: int
+    lanes: int
+    keys: list[str]
+
+    def unpack(self, *carried: str) -> DataFrame:
+        """``(keys, wave, v, m, fresh)`` and the ``carried`` columns of ``rows``: a row for each run that includes ``v``."""
+        lanes, width = self.lanes, min(64, 2 * self.lanes)
+        held = F.array(*[F.col(f"_l{i}") for i in range(lanes)])
+        here = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("getbit", F.col("counted"), i) == 1)
+        each = self.rows.select(
+            "block", "wave", "v", "fresh", held.alias("_held"), *carried, F.explode(here).alias("bit")
+        )
+        pair = F.get("_held", F.col("bit") % lanes)
+        m = F.when(F.col("bit") < lanes, pair.bitwiseAND(F.lit(_LOW))).otherwise(F.shiftrightunsigned(pair, 32))
+        fresh = F.call_function("getbit", F.col("fresh"), F.col("bit")) == 1
+        each = each.select("block", "bit", "wave", "v", m.alias("m"), fresh.alias("fresh"), *carried)
+        runs = F.broadcast(self.runs) if self.n_runs <= BROADCAST_RUNS else self.runs
+        return each.join(runs, ["block", "bit"]).select(*self.keys, "wave", "v", "m", "fresh", *carried)
+
+
+def _lane_counts(bits: Column, lanes: int) -> list[Column]:
+    """The runs of a bitmap as ones: run ``i`` in the lower half of lane ``i``, run ``i + lanes`` in the upper half."""
+    one = lambda i: F.shiftrightunsigned(bits, i).bitwiseAND(F.lit(1).cast("bigint"))
+    return [one(i) + (F.shiftleft(one(i + lanes), 32) if i + lanes < 64 else F.lit(0)) for i in range(lanes)]
+
+
+def pack_runs(seeds: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Seeds as ``(block, v, bits)``, the runs ``(block, bit, keys)`` and their number."""
+    keys = list(keys)
+    numbered = materialize(ordered_running(seeds.select(*keys).distinct(), [], keys, rank="_at"), "runs")
+    n_runs = numbered.count()
+    block = F.floor((F.col("_at") - 1) / 64).cast("bigint").alias("block")
+    runs = numbered.select(block, ((F.col("_at") - 1) % 64).cast("int").alias("bit"), *keys)
+    marked = seeds.select(*keys, "v").distinct().join(runs, keys)
+    packed = marked.groupBy("block", "v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("bits"))
+    return packed, runs, n_runs
+
+
+def packed_increments(
     adj: Adjacency, seeds: DataFrame, max_wave: int, keys: Sequence[str] = ("run_id",)
-) -> DataFrame:
-    """Inclusions by the wave at which they appear: ``(keys, wave, v, m, fresh)``.
+) -> PackedIncrements:
+    """``wave_increments`` with the runs of a vertex side by side in bitmaps.
 
-    ``m`` inclusions of ``v`` count for this wave and every later one; ``fresh`` marks the wave that first reached
-    ``v``. Edges must be de-duplicated and cost one hop each; see ``wave_distance`` for other costs.
+    An edge is followed once for all runs of a block whose frontier holds its end, and what is shuffled is a row for each
+    vertex that is hit, whatever the number of runs that hit it.
     """
     _check_wave(max_wave)
-    keys = list(keys)
-    at = [*keys, "v"]
-    level = seeds.select(*at).distinct()
+    level, runs, n_runs = pack_runs(seeds, keys)
+    level = materialize(level, "wave0")
+    lanes = max(1, (min(n_runs, 64) + 1) // 2)
+    names = [f"_l{i}" for i in range(lanes)]
+    at = ["block", "v"]
     steps = [
-        level.select(*keys, F.lit(0).alias("wave"), "v", F.lit(1).cast("bigint").alias("m"), F.lit(True).alias("fresh"))
+        level.select(
+            "block", F.lit(0).alias("wave"), "v", F.col("bits").alias("counted"), F.col("bits").alias("fresh"),
+            *[c.alias(n) for n, c in zip(names, _lane_counts(F.col("bits"), lanes), strict=True)],
+        )
     ]
     previous = None
     for wave in range(max_wave):
-        hits = neighbours_of(adj, level).groupBy(*keys, F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("m"))
+        hits = neighbours_of(adj, level).groupBy("block", F.col("dst").alias("v")).agg(
+            F.bit_or("bits").alias("_any"), *[F.sum(c).alias(n) for n, c in zip(names, _lane_counts(F.col("bits"), lanes), strict=True)]
+        )
         # A neighbour of distance-w vertices sits at w-1, w or w+1: only the last two levels need to be looked up.
-        recent = level.withColumn("same", F.lit(True))
+        none = F.lit(0).cast("bigint")
+        recent = level.select(*at, F.col("bits").alias("_same"), none.alias("_before"))
         if previous is not None:
-            recent = recent.unionByName(previous.withColumn("same", F.lit(False)))
-        found = hits.join(recent, at, "left").where(F.col("same").isNull() | F.col("same"))
-        step = found.select(
-            *keys, F.lit(wave + 1).alias("wave"), "v", "m", F.col("same").isNull().alias("fresh")
+            recent = recent.unionByName(previous.select(*at, none.alias("_same"), F.col("bits").alias("_before")))
+            recent = recent.groupBy(*at).agg(F.bit_or("_same").alias("_same"), F.bit_or("_before").alias("_before"))
+        found = hits.join(recent, at, "left")
+        counted = F.col("_any").bitwiseAND(F.bitwise_not(F.coalesce("_before", none)))
+        fresh = F.col("counted").bitwiseAND(F.bitwise_not(F.coalesce("_same", none)))
+        step = found.withColumn("counted", counted).where("counted <> 0").select(
+            "block", F.lit(wave + 1).alias("wave"), "v", "counted", fresh.alias("fresh"), *names
         )
         if wave + 1 < max_wave:
             step = materialize(step, f"wave{wave + 1}")
         steps.append(step)
-        previous, level = level, step.where("fresh").select(*at)
+        previous, level = level, step.where("fresh <> 0").select(*at, F.col("fresh").alias("bits"))
         if 1 < wave + 1 < max_wave and level.isEmpty():
             break
-    return _union(steps)
+    return PackedIncrements(_union(steps), runs, n_runs, lanes, list(keys))
+
+
+def wave_increments(
+    adj: Adjacency, seeds: DataFrame, max_wave: int, keys: Sequence[str] = ("run_id",)
+) -> DataFrame:
+    """Inclusions by the wave at which they appear: ``(keys, wave, v, m, fresh)``.
+
+    ``m`` inclusions of ``v`` count for this wave and every later one; ``fresh`` marks the wave that first reached
+    ``v``. Edges must be de-duplicated and cost one hop each; see ``wave_distance`` for other costs.
+    """
+    return packed_increments(adj, seeds, max_wave, keys).unpack()
 
 
 def wave_distance(
@@ -119,25 +192,30 @@ def wave_distance(
     """Distance to the nearest seed, up to ``max_wave``: ``(keys, v, d)``. Unreached vertices are absent.
 
     Edge costs are the integer column ``w`` of the adjacency where it has one, else ``hop_cost``. Vertices are settled
-    in the order of their distance, so each is expanded once and nothing beyond ``max_wave`` is ever touched.
+    in the order of their distance, so each is expanded once and nothing beyond ``max_wave`` is ever touched. Offers are
+    written in folders by their distance and a round reads those that are due. An offer of an edge of cost ``w`` that is due
+    at ``d`` meets a vertex that is at ``d - 2w`` or later, so only the levels within twice the greatest cost are looked up:
+    what all rounds read together is in proportion to what they wrote.
     """
     _check_wave(max_wave)
     keys = list(keys)
     at = [*keys, "v"]
-    cost = F.col("w") if "w" in adj.edges.columns else F.lit(hop_cost)
+    weighted = "w" in adj.edges.columns
+    cost = F.col("w") if weighted else F.lit(hop_cost)
+    dearest = max(1, (adj.edges.agg(F.max("w")).first()[0] or 1) if weighted else hop_cost)
     settled = [seeds.select(*at).distinct().withColumn("d", F.lit(0))]
     offers: list[DataFrame] = []
     for d in range(max_wave):
-        frontier = settled[d]
         offer = (
-            neighbours_of(adj, frontier)
+            neighbours_of(adj, settled[d])
             .select(*keys, F.col("dst").alias("v"), (F.col("d") + cost).cast("int").alias("d"))
             .where(F.col("d") <= max_wave)
             .distinct()
         )
-        offers.append(materialize(offer, f"offers{d}"))
-        due = _union(offers).where(F.col("d") == d + 1).select(*at).distinct()
-        known = _union(settled).select(*at)
+        offers.append(materialize_by(offer, "d", f"offers{d}"))
+        # An offer made in round r is due by r + dearest at the latest.
+        due = _union(offers[max(0, d + 1 - dearest) :]).where(F.col("d") == d + 1).select(*at).distinct()
+        known = _union(settled[max(0, d + 1 - 2 * dearest) :]).select(*at)
         level = due.join(known, at, "left_anti").withColumn("d", F.lit(d + 1))
         settled.append(materialize(level, f"settled{d + 1}") if d + 1 < max_wave else level)
     return _union(settled)
@@ -202,11 +280,15 @@ def lmsi_increments(
     method: str = "pooled",
     keys: Sequence[str] = ("run_id",),
     hop_cost: int = 1,
-) -> DataFrame:
+    packed: bool = False,
+) -> DataFrame | PackedIncrements:
     """Labelled snowball with multiple inclusions: all seeds of a run together, or each seed on its own.
 
-    An edge costs its column ``w`` where the adjacency has one, else ``hop_cost``.
+    An edge costs its column ``w`` where the adjacency has one, else ``hop_cost``. ``packed`` asks for pooled runs of unit
+    cost as ``PackedIncrements``, which callers that collapse vertices unpack late.
     """
+    if packed and method == "pooled" and "w" not in adj.edges.columns and hop_cost == 1:
+        return packed_increments(adj, seeds, max_wave, keys)
     if method == "pooled":
         return _increments(adj, seeds, max_wave, keys, hop_cost)
     if method == "per_seed":

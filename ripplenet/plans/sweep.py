@@ -75,7 +75,7 @@ def sweep(
     run_pool = materialize(labelled.join(all_seeds, "draw_id").select("run_id", "seed_count", "ord", "v"), "seeds")
     seeds = run_pool.where(F.col("ord") <= F.col("seed_count")).select("run_id", "ord", "v")
 
-    increments = lmsi_increments(adj, seeds.select("run_id", "v"), max(waves), method, hop_cost=hop_cost)
+    increments = lmsi_increments(adj, seeds.select("run_id", "v"), max(waves), method, hop_cost=hop_cost, packed=True)
     vertex_values = valued.select("v", "k")
     groups = materialize(candidate_groups(increments, vertex_values, waves, default), "groups")
     if draws == "multinomial":

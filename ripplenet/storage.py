@@ -66,6 +66,13 @@ def materialize_bucketed(df: DataFrame, keys: list[str], buckets: int, label: st
     return spark.table(name)
 
 
+def materialize_by(df: DataFrame, folder: str, label: str = "table") -> DataFrame:
+    """Write ``df`` once in one folder for each value of ``folder``: a filter on it reads its folders only."""
+    path = _fresh_path(df.sparkSession, label)
+    df.write.partitionBy(folder).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

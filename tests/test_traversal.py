@@ -6,6 +6,7 @@ from graph_helpers import multiset, pairs
 from pyspark.sql import functions as F
 
 from ripplenet.operators import cleaning, traversal
+from ripplenet.storage import materialize_by
 
 
 def seeds_of(spark, *vs):
@@ -151,3 +152,63 @@ def test_buckets_follow_the_rows(spark, tiny_edges, monkeypatch):
     monkeypatch.setattr(traversal, "ROWS_PER_BUCKET", 1)
     edges = traversal.build_adjacency(tiny_edges).edges
     assert "SelectedBucketsCount: 16 out of 16" in edges.groupBy("src").count()._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n_runs", [1, 3, 64, 130])
+def test_packed_runs_are_the_runs_one_by_one(spark, n_runs):
+    """Bitmaps of one and of several blocks of runs, with lanes of one and of two runs."""
+    rng = random.Random(n_runs)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)})
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seeds = [(run, v) for run in range(n_runs) for v in rng.sample(sorted(near), 1 + run % 3)]
+    want = {}
+    for run in range(n_runs):
+        level = {v for r, v in seeds if r == run}
+        seen = set(level)
+        want.update({(run, 0, v): (1, True) for v in level})
+        for wave in range(3):
+            hits = Counter(u for v in level for u in near[v])
+            fresh = set(hits) - seen
+            want.update({(run, wave + 1, u): (n, u in fresh) for u, n in hits.items() if u in fresh or u in level})
+            seen, level = seen | fresh, fresh
+    adj = traversal.build_adjacency(spark.createDataFrame(edges, "src bigint, dst bigint"))
+    frame = spark.createDataFrame(seeds, "run_id bigint, v bigint")
+    packed = traversal.packed_increments(adj, frame, 3)
+    got = {(r["run_id"], r["wave"], r["v"]): (r["m"], r["fresh"]) for r in packed.unpack().collect()}
+    assert got == want
+    hit = len({(w, v) for _, w, v in want})
+    assert packed.rows.count() <= hit * -(-n_runs // 64)
+
+
+def test_offers_are_read_by_their_distance(spark):
+    """Costs up to 9: a round reads the folders that are due, and the result is that of a shortest-path search."""
+    rng = random.Random(9)
+    edges = {tuple(sorted(rng.sample(range(40), 2))): rng.randint(1, 9) for _ in range(90)}
+    want, todo = {}, [(0, 0)]
+    near = {}
+    for (a, b), w in edges.items():
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    start = min(near)
+    todo = [(0, start)]
+    while todo:
+        todo.sort()
+        d, v = todo.pop(0)
+        if v not in want and d <= 14:
+            want[v] = d
+            todo += [(d + w, u) for u, w in near[v]]
+    adj = traversal.build_adjacency(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src bigint, dst bigint, w int"))
+    got = traversal.wave_distance(adj, seeds_of(spark, start), 14).collect()
+    assert {r["v"]: r["d"] for r in got} == want and len(got) == len(want)
+
+
+def test_a_table_by_folders_reads_what_is_asked_for(spark):
+    table = materialize_by(spark.range(100).select("id", (F.col("id") % 7).cast("int").alias("d")), "d")
+    due = table.where("d = 3")
+    plan = spark._jvm.PythonSQLUtils.explainString(due._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(d" in plan
+    assert sorted(r["id"] for r in due.collect()) == list(range(3, 100, 7))
+    assert materialize_by(spark.range(0).withColumn("d", F.lit(1)), "d").count() == 0
