@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplenet.operators.skew import ROWS_PER_SALT, hot_ends, join_split, semi_split
+
 
 def drop_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst"))
@@ -46,23 +48,26 @@ def merge_multi_edges(edges: DataFrame) -> DataFrame:
     return weighted.groupBy("src", "dst").agg(F.sum("w").cast("bigint").alias("w"))
 
 
-def keep_vertices(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges whose both ends occur in ``members(v, ...)``."""
+def keep_vertices(edges: DataFrame, members: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Edges whose both ends occur in ``members(v, ...)``; ends with many edges are split over tasks."""
     ids = members.select("v").distinct()
-    return edges.join(ids.withColumnRenamed("v", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("v", "dst"), "dst", "left_semi"
-    ).select(*edges.columns)
+    hot = hot_ends(edges, rows_per_salt=rows_per_salt)
+    for end, other in (("src", "dst"), ("dst", "src")):
+        edges = semi_split(edges, ids.withColumnRenamed("v", end), end, hot[end], other).select(*edges.columns)
+    return edges
 
 
-def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+def induced_edges(edges: DataFrame, members: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Distinct edges of the subgraph on a vertex set, directions kept."""
-    return keep_vertices(edges.select("src", "dst"), members).distinct()
+    return keep_vertices(edges.select("src", "dst"), members, rows_per_salt).distinct()
 
 
-def vertex_subgraph(edges: DataFrame, vertices: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
+def vertex_subgraph(
+    edges: DataFrame, vertices: DataFrame, predicate: Column, rows_per_salt: int = ROWS_PER_SALT
+) -> tuple[DataFrame, DataFrame]:
     """Vertices passing ``predicate`` and the edges between them."""
     kept = vertices.where(predicate)
-    return kept, keep_vertices(edges, kept)
+    return kept, keep_vertices(edges, kept, rows_per_salt)
 
 
 def edge_subgraph(edges: DataFrame, predicate: Column) -> DataFrame:
@@ -84,10 +89,11 @@ def distinct_users(users: DataFrame) -> DataFrame:
     return users.dropDuplicates(["screen_name", "created"])
 
 
-def friends_of(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct ``dst`` of the links that start in ``members(v)``."""
-    ids = members.select(F.col("v").alias("src"))
-    return links.join(ids, "src", "left_semi").select(F.col("dst").alias("v")).distinct()
+def friends_of(links: DataFrame, members: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Distinct ``dst`` of the links that start in ``members(v)``; members with many links are split over tasks."""
+    hot = hot_ends(links, ["src"], rows_per_salt)
+    ids = members.select(F.col("v").alias("src")).distinct()
+    return semi_split(links.select("src", "dst"), ids, "src", hot["src"], "dst").select(F.col("dst").alias("v")).distinct()
 
 
 def without(left: DataFrame, *others: DataFrame) -> DataFrame:
@@ -103,10 +109,13 @@ def lookup_or(df: DataFrame, table: DataFrame, on: str, column: str, default: in
     return found.withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
-def triplets(edges: DataFrame, attributes: DataFrame) -> DataFrame:
-    """``(src, src_attr, dst, dst_attr)``: every edge with the attribute ``a`` of both ends."""
-    ends = [attributes.select(F.col("v").alias(e), F.col("a").alias(f"{e}_attr")) for e in ("src", "dst")]
-    return edges.join(ends[0], "src").join(ends[1], "dst").select("src", "src_attr", "dst", "dst_attr")
+def triplets(edges: DataFrame, attributes: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``(src, src_attr, dst, dst_attr)``: every edge with the attribute ``a`` of both ends, hot ends split over tasks."""
+    hot = hot_ends(edges, rows_per_salt=rows_per_salt)
+    for end, other in (("src", "dst"), ("dst", "src")):
+        side = attributes.select(F.col("v").alias(end), F.col("a").alias(f"{end}_attr"))
+        edges = join_split(edges, side, end, hot[end], other)
+    return edges.select("src", "src_attr", "dst", "dst_attr")
 
 
 def update_min(vertices: DataFrame, updates: DataFrame) -> DataFrame:

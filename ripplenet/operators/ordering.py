@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplenet.operators.skew import ROWS_PER_SALT, hot_ends, join_split
 from ripplenet.storage import materialize, shuffle_width
 
 ROWS_PER_SLICE = 2_000_000
@@ -71,10 +72,12 @@ def assign_ids(keys: DataFrame, column: str, base: int = 0, name: str = "id", pa
     return ranked.select(column, (F.col("_position") + F.lit(base - 1)).cast("bigint").alias(name))
 
 
-def rekey_edges(edges: DataFrame, ids: DataFrame, column: str, name: str = "id") -> DataFrame:
-    """Replace both ends of ``edges(src, dst)`` by their ids; edges with an unknown end drop out."""
-    left = ids.select(F.col(column).alias("src"), F.col(name).alias("_src_id"))
-    right = ids.select(F.col(column).alias("dst"), F.col(name).alias("_dst_id"))
-    return (
-        edges.join(left, "src").join(right, "dst").select(F.col("_src_id").alias("src"), F.col("_dst_id").alias("dst"))
-    )
+def rekey_edges(
+    edges: DataFrame, ids: DataFrame, column: str, name: str = "id", rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """Replace both ends of ``edges(src, dst)`` by their ids; edges with an unknown end drop out, hot ends are split."""
+    hot = hot_ends(edges, rows_per_salt=rows_per_salt)
+    for end, other in (("src", "dst"), ("dst", "src")):
+        side = ids.select(F.col(column).alias(end), F.col(name).alias(f"_{end}_id"))
+        edges = join_split(edges, side, end, hot[end], other)
+    return edges.select(F.col("_src_id").alias("src"), F.col("_dst_id").alias("dst"))

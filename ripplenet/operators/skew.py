@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from ripplenet.storage import small_table
 # How many salts a hot key gets depends on its own rows alone.
 HOT_KEY_LIMIT = 262_144
 ROWS_PER_SALT = 1_000_000
+# Counters of a sketch: a key with more than some 1/75,000 of the rows is never missed, and a sketch is at most some MB.
+COUNTERS = 100_000
+# Sketches that the last task merges.
+SKETCH_GROUPS = 512
 
 
 def hot_keys(df: DataFrame, key: str, rows: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:
@@ -38,6 +44,33 @@ def hot_counts(
     return table.select(F.col(key).cast(found.schema[key].dataType), F.col("n_salt").cast("int"))
 
 
+def hot_ends(
+    df: DataFrame, columns: Sequence[str] = ("src", "dst"), rows_per_salt: int = ROWS_PER_SALT, counters: int = COUNTERS
+) -> dict[str, DataFrame | None]:
+    """``(column, n_salt)`` for the values of each column that need splitting, or None, in one pass over ``df``.
+
+    Every task counts into a sketch of fixed size; sketches merge in groups and then into one, so no distinct value is
+    shuffled. Counts are estimates, which is enough: how many salts a key has changes no result. ``df`` is read once for
+    this, so a table that is costly to make is best written first.
+    """
+    sketch = lambda do, c: F.expr(f"{do}(`{c}`, {counters})").alias(c)
+    groups = df.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_group")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[sketch("approx_top_k_accumulate", c) for c in columns]
+    )
+    # Grouped, as sketches of an empty table cannot be combined.
+    whole = groups.groupBy(F.lit(0).alias("_all")).agg(F.sum("_rows").alias("_rows"), *[sketch("approx_top_k_combine", c) for c in columns])
+    top = lambda c: F.expr(f"approx_top_k_estimate(`{c}`, {counters})").alias(c)
+    found = whole.where(F.col("_rows") > rows_per_salt).select(*[top(c) for c in columns])
+    hot = lambda c: F.filter(c, lambda e: e["item"].isNotNull() & (e["count"] > rows_per_salt)).alias(c)
+    row = found.select(*[hot(c) for c in columns]).first()
+    salts: dict[str, DataFrame | None] = {}
+    for c in columns:
+        listed = [(e["item"], -(-e["count"] // rows_per_salt)) for e in row[c]] if row else []
+        table = small_table(df.sparkSession, [c, "n_salt"], listed) if listed else None
+        salts[c] = table and table.select(F.col(c).cast(df.schema[c].dataType), F.col("n_salt").cast("int"))
+    return salts
+
+
 def add_salt(df: DataFrame, key: str, salts: DataFrame, spread_by: str) -> DataFrame:
     """Side with the many rows: a hot key's rows get a salt from ``spread_by``, all others 0."""
     salted = df.join(F.broadcast(salts), key, "left")
@@ -64,3 +97,11 @@ def join_split(many: DataFrame, few: DataFrame, key: str, salts: DataFrame | Non
         .join(repeat_per_salt(few, key, salts), [key, "salt"])
         .drop("salt")
     )
+
+
+def semi_split(many: DataFrame, few: DataFrame, key: str, salts: DataFrame | None, spread_by: str) -> DataFrame:
+    """Rows of a large table whose key occurs in ``few (key)``, the hot keys of the large side split over their salts."""
+    if salts is None:
+        return many.join(few, key, "left_semi")
+    salted = add_salt(many, key, salts, spread_by)
+    return salted.join(repeat_per_salt(few, key, salts), [key, "salt"], "left_semi").select(*many.columns)
