@@ -21,18 +21,48 @@ DRAWS_PER_TASK = 16_384
 CHUNKS_PER_TASK = 64
 ROW_DRAWS = 100_000
 TOP_N = 10_000
+# Hexadecimal digits by which a pass narrows a hash threshold: 65,536 counts come to the driver.
+PREFIX_DIGITS = 4
+
+
+def hash_threshold(hashed: DataFrame, n: int, digits: int = PREFIX_DIGITS, top: int = TOP_N) -> tuple | None:
+    """``(hash, key)`` of the ``n``-th of the rows ``hashed (hash, key)`` in this order, or None if there are fewer.
+
+    Hashes are 32 hexadecimal digits. Counts of their prefixes narrow it down: a pass counts the rows of each prefix that
+    continues the one found so far, at most 16**``digits`` numbers, until what is left before the n-th row is a top-n. No
+    row is ranked, moved or written.
+    """
+    found, before = "", 0
+    while n - before > top and len(found) < 32:
+        prefix = F.substring("hash", 1, len(found) + digits).alias("_prefix")
+        counts = hashed.where(F.col("hash").startswith(found)).groupBy(prefix).agg(F.count(F.lit(1)).alias("_n"))
+        for prefix, rows in sorted(tuple(r) for r in counts.collect()):  # at most 16**digits
+            if before + rows >= n:
+                found = prefix
+                break
+            before += rows
+        else:
+            return None
+    rest = hashed.where(F.col("hash").startswith(found)).select("hash", "key").orderBy("hash", "key").limit(n - before)
+    last = rest.agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("hash", "key")).alias("_last")).first()
+    return tuple(last["_last"]) if last["_n"] == n - before else None
 
 
 def sample_exact(df: DataFrame, key: str, n: int, label: str = "0") -> DataFrame:
     """``n`` rows without replacement: those with the ``n`` smallest hashes of the unique ``key``.
 
     A small sample is a top-n per partition without a sort of the table; a large one, which a limit would draw through
-    one task, is cut by a distributed rank instead. Both take the same rows.
+    one task, is one filter by the hash of its last row. Both take the same rows.
     """
+    if n <= 0:
+        return df.limit(0)
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(label), F.col(key))))
     if n <= TOP_N:
         return hashed.orderBy("_h", key).limit(n).drop("_h")
-    return ordered_running(hashed, [], ["_h", key], rank="_rank").where(F.col("_rank") <= n).drop("_h", "_rank")
+    last = hash_threshold(hashed.select(F.col("_h").alias("hash"), F.col(key).alias("key")), n)
+    if last is None:
+        return df
+    return hashed.where((F.col("_h") < last[0]) | ((F.col("_h") == last[0]) & (F.col(key) <= last[1]))).drop("_h")
 
 
 def explode_count(df: DataFrame, count: str, name: str, chunk: int = DRAWS_PER_TASK) -> DataFrame:

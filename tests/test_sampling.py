@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,27 @@ def test_exact_sample_is_the_same_by_limit_and_by_rank(spark, monkeypatch):
     assert len(small) == 40
 
 
+@pytest.mark.parametrize("n, digits, top", [(1, 1, 1), (250, 1, 5), (499, 2, 5), (500, 1, 1), (501, 1, 5), (800, 1, 1), (40, 4, 100)])
+def test_threshold_of_the_smallest_hashes(spark, n, digits, top):
+    """Prefix counts lead to the n-th row in the order of hash and key, also where hashes repeat."""
+    keys = [(hashlib.md5(str(k % 470).encode()).hexdigest(), k) for k in range(500)]
+    rows = spark.createDataFrame(keys, "hash string, key bigint")
+    got = sampling.hash_threshold(rows, n, digits, top)
+    assert got == (sorted(keys)[n - 1] if n <= len(keys) else None)
+
+
+def test_large_samples_are_one_filter(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "TOP_N", 10)
+    df = spark.range(500).withColumnRenamed("id", "v")
+    sample = sampling.sample_exact(df, "v", 200, "x")
+    plan = spark._jvm.PythonSQLUtils.explainString(sample._jdf.queryExecution(), "extended").split("Physical Plan")[1]
+    assert "Exchange" not in plan and "Sort" not in plan
+    order = sorted(range(500), key=lambda v: (hashlib.md5(f"x|{v}".encode()).hexdigest(), v))
+    assert {r["v"] for r in sample.collect()} == set(order[:200])
+    assert sampling.sample_exact(df, "v", 600, "x").count() == 500
+    assert sampling.sample_exact(df, "v", 0, "x").count() == 0
+
+
 @pytest.fixture(scope="module")
 def one_wave(spark):
     """Groups, seeds and values of a made-up wave: values 1..6, two seeds of value 2."""
