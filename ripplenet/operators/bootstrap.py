@@ -128,14 +128,16 @@ def bootstrap_hashed(
     """
     weighted = with_group_weights(groups, scale)
     table = cumulative(weighted, RUN_WAVE, ["k"], "weight")
-    sizes = weighted.groupBy(*RUN_WAVE).agg(F.sum("n").alias("n"), F.sum("weight").alias("total"))
+    sizes = weighted.groupBy(*RUN_WAVE).agg(
+        F.sum("n").alias("n"), F.sum("weight").alias("total"), F.count(F.lit(1)).alias("bounds")
+    )
     counts = seeds.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_seeds"))
     plan = _replicates(sizes.join(counts, "run_id"), reps)
 
-    draws = explode_count(plan.select(*RUN_WAVE, "rep", "n", "total"), "n", "j")
+    draws = explode_count(plan.select(*RUN_WAVE, "rep", "n", "total", "bounds"), "n", "j")
     t = draw_below(F.col("total"), *[F.col(c) for c in (*RUN_WAVE, "rep")], "cand", F.col("j")) + 1
-    targets = draws.select(*RUN_WAVE, "rep", "total", t.alias("t"))
-    found = cumulative_lookup(targets, table, RUN_WAVE, "t", "k", total="total")
+    targets = draws.select(*RUN_WAVE, "rep", "total", "bounds", t.alias("t"))
+    found = cumulative_lookup(targets, table, RUN_WAVE, "t", "k", total="total", bounds="bounds")
     cand = found.groupBy(*RUN_WAVE, "rep").agg(F.sum("k").alias("cand_sum"))
 
     drawn = _seed_draws(seeds, values, plan, default)
@@ -154,12 +156,12 @@ def bootstrap_uniform(groups: DataFrame, reps: int, px: int, p0: str = "integer"
         raise ValueError("px must lie in 1..100")
     coded = groups.withColumn("code", F.col("k") * 2 + F.col("is_seed").cast("int"))
     table = cumulative(coded, RUN_WAVE, ["is_seed", "k"], "n")
-    sizes = groups.groupBy(*RUN_WAVE).agg(F.sum("n").alias("total"))
+    sizes = groups.groupBy(*RUN_WAVE).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("bounds"))
     plan = _replicates(sizes.withColumn("draws", F.floor(F.col("total") * px / 100.0)), reps)
     spread = explode_count(plan, "draws", "j")
     t = draw_below(F.col("total"), *[F.col(c) for c in (*RUN_WAVE, "rep")], "proxy", F.col("j")) + 1
-    targets = spread.select(*RUN_WAVE, "rep", "total", t.alias("t"))
-    found = cumulative_lookup(targets, table, RUN_WAVE, "t", "code", total="total")
+    targets = spread.select(*RUN_WAVE, "rep", "total", "bounds", t.alias("t"))
+    found = cumulative_lookup(targets, table, RUN_WAVE, "t", "code", total="total", bounds="bounds")
     k = F.floor(F.col("code") / 2)
     seed = F.col("code") % 2 == 1
     sums = found.groupBy(*RUN_WAVE, "rep").agg(

@@ -1,4 +1,9 @@
-"""First cumulative weight at or above a target, as a bucketed equi-join."""
+"""First cumulative weight at or above a target.
+
+``ordered_lookup`` takes any targets: bounds and targets lie in one distributed order and a bound is carried to the targets
+below it. ``cumulative_lookup`` is for targets drawn at random over the whole weight, where an equi-join on equal slots sees
+about two candidates a target.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplenet.operators.ordering import carried_forward
+
+# Slots of a key group, at least.
 BUCKETS = 1024
 
 
@@ -19,6 +27,25 @@ def cumulative(weights: DataFrame, keys: Sequence[str], order: Sequence[str], we
     return weights.withColumn("hi", F.sum(weight).over(running)).withColumn("lo", F.col("hi") - F.col(weight))
 
 
+def ordered_lookup(
+    targets: DataFrame, table: DataFrame, keys: Sequence[str], target: str, result: str, partitions: int | None = None
+) -> DataFrame:
+    """Find for each ``target`` the row of ``table(keys, lo, hi, result)`` with ``lo < target <= hi``.
+
+    Targets at or below zero take the first row and targets beyond the last ``hi`` get -1. The cost is that of sorting both
+    tables, wherever the targets and bounds crowd and whatever the size of a key group.
+    """
+    keys = list(keys)
+    bounds = table.where("lo < hi").select(*keys, (-F.col("hi")).alias("_at"), F.lit(0).alias("_kind"), F.col(result).alias("_bound"))
+    asked = targets.select(
+        *keys, (-F.greatest(F.col(target).cast("bigint"), F.lit(1).cast("bigint"))).alias("_at"), F.lit(1).alias("_kind"),
+        F.struct(*targets.columns).alias("_row"),
+    )
+    both = bounds.unionByName(asked, allowMissingColumns=True)
+    found = carried_forward(both, keys, ["_at", "_kind"], "_bound", partitions).where("_kind = 1")
+    return found.select(*[F.col(f"_row.{c}").alias(c) for c in targets.columns], F.coalesce("_bound", F.lit(-1)).alias(result))
+
+
 def cumulative_lookup(
     targets: DataFrame,
     table: DataFrame,
@@ -27,21 +54,23 @@ def cumulative_lookup(
     result: str,
     total: str | None = None,
     buckets: int = BUCKETS,
+    bounds: str | None = None,
 ) -> DataFrame:
-    """Find for each ``target`` the row of ``table(keys, lo, hi, result)`` with ``lo < target <= hi``.
+    """``ordered_lookup`` for targets that are drawn at random between 0 and the group's last ``hi``.
 
-    Targets at or below zero take the first row and targets beyond the last ``hi`` get -1. Each key group's weight
-    range is cut into equal buckets and rows are listed in the buckets they touch (at most rows + buckets per group),
-    so the lookup is an equi-join with about one candidate per target rather than a scan of the whole group. Targets
-    that carry the group's last ``hi`` in the column ``total`` need no join to learn the bucket width.
+    Each key group's weight range is cut into equal slots, ``buckets`` or as many as the group has rows, and rows are listed
+    in the slots they touch. A random target then meets at most (rows + slots) / slots candidates on average, about two,
+    whatever the weights: slots with many rows are as rarely asked for as their rows are light. Targets that carry the
+    group's last ``hi`` and its number of rows in the columns ``total`` and ``bounds`` need no join to learn the slot width.
     """
     keys = list(keys)
 
-    def width(whole: str) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.col(whole) / F.lit(buckets))).cast("bigint")
+    def width(whole: str, rows: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(whole) / F.greatest(F.lit(buckets), F.col(rows)))).cast("bigint")
 
-    sized = table.groupBy(*keys).agg(F.max("hi").alias("_total")).select(*keys, width("_total").alias("_width"))
-    left = targets.join(sized, keys) if total is None else targets.withColumn("_width", width(total))
+    sized = table.groupBy(*keys).agg(F.max("hi").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    sized = sized.select(*keys, width("_total", "_rows").alias("_width"))
+    left = targets.join(sized, keys) if total is None or bounds is None else targets.withColumn("_width", width(total, bounds))
     left = left.withColumn("_t", F.greatest(F.col(target).cast("bigint"), F.lit(1).cast("bigint")))
     left = left.withColumn("_slot", F.floor((F.col("_t") - 1) / F.col("_width")))
     right = table.select(*keys, "lo", "hi", result).join(sized, keys)

@@ -65,6 +65,29 @@ def ordered_running(
     return out.select(*df.columns, *added, *totals)
 
 
+def carried_forward(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], column: str, partitions: int | None = None
+) -> DataFrame:
+    """``df`` with ``column`` filled by its last value that is not null, in ``order`` within each group of any size.
+
+    Rows are range-partitioned like those of ``ordered_running``; a slice starts with the last value of the slices before it.
+    """
+    group, order = list(group), list(order)
+    width = partitions or shuffle_width(df.sparkSession)
+    slices = df.repartitionByRange(width, *group, *order).withColumn("_slice", F.spark_partition_id())
+    slices = materialize(slices, "slices")
+    known = slices.where(F.col(column).isNotNull()).groupBy(*group, "_slice").agg(
+        F.max(F.struct(*order, F.col(column).alias("_last"))).alias("_end")
+    )
+    every = slices.select(*group, "_slice").distinct().join(known, [*group, "_slice"], "left")
+    # At most one row per (group, slice), so the window sees at most `width` rows per group.
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = every.select(*group, "_slice", F.last("_end._last", ignorenulls=True).over(before).alias("_start"))
+    within = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = slices.withColumn("_filled", F.last(column, ignorenulls=True).over(within)).join(starts, [*group, "_slice"])
+    return filled.select(*[c for c in df.columns if c != column], F.coalesce("_filled", "_start").alias(column))
+
+
 def assign_ids(keys: DataFrame, column: str, base: int = 0, name: str = "id", partitions: int | None = None) -> DataFrame:
     """Dense ids ``base, base+1, ...`` over the distinct values of ``column`` in their sort order."""
     distinct = keys.select(column).where(F.col(column).isNotNull()).distinct()

@@ -1,4 +1,6 @@
+import bisect
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,41 @@ def test_lookup_boundaries(spark, rows, expected, buckets):
     assert [r.v for r in found.orderBy("i").collect()] == expected
 
 
+@pytest.mark.parametrize("rows,expected", [(HUB, [1, 1, 2, 2, 3, 4]), (HUB[1:], [2, 2, 3, 4, 4, -1])])
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_ordered_lookup_boundaries(spark, rows, expected, partitions):
+    weights = [(0, v, 1000 // k) for v, k in rows]
+    table = lookup.cumulative(spark.createDataFrame(weights, "g int, v bigint, w bigint"), ["g"], ["v"], "w")
+    targets = [100, 1000, 1001, 1002, 2001, 2500]
+    asked = spark.createDataFrame([(0, i, t) for i, t in enumerate(targets)], "g int, i int, t bigint")
+    found = lookup.ordered_lookup(asked, table, ["g"], "t", "v", partitions)
+    assert [r.v for r in found.orderBy("i").collect()] == expected
+
+
+def test_ordered_lookup_where_all_targets_crowd(spark):
+    """Thousands of bounds and targets in the width of one slot, weights of 0, repeated targets and targets below 1."""
+    rng = random.Random(3)
+    weights = [(g, v, rng.choice([0, 1, 1, 2])) for g in (1, 2) for v in range(3000)] + [(g, 3000, 10**9) for g in (1, 2)]
+    table = lookup.cumulative(spark.createDataFrame(weights, "g int, v bigint, w bigint"), ["g"], ["v"], "w")
+    asked = [(g, i, rng.randint(-2, 3200)) for g in (1, 2, 3) for i in range(2000)]
+    frame = spark.createDataFrame(asked, "g int, i int, t bigint")
+    got = {(r.g, r.i): r.v for r in lookup.ordered_lookup(frame, table, ["g"], "t", "v", 7).collect()}
+    his = {}
+    for g in (1, 2):
+        upto, bounds = 0, []
+        for gg, v, w in weights:
+            if gg == g and w:
+                upto += w
+                bounds.append((upto, v))
+        his[g] = bounds
+    want = {}
+    for g, i, t in asked:
+        bounds = his.get(g, [])
+        at = bisect.bisect_left(bounds, (max(t, 1), -1))
+        want[g, i] = bounds[at][1] if at < len(bounds) else -1
+    assert got == want
+
+
 def test_proxy_means_count_repeats_once(spark):
     seeds = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (0, 3), (0, 4)], "run_id bigint, v bigint")
     for ks, mean in (([4, 5, 3, 4], 4.0), ([0, 5, 3, 4], 3.0)):

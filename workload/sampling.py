@@ -157,7 +157,7 @@ def cum_lookup(spark, d):
     weights = lookup.cumulative(parts, ["g"], ["p_size"], "w")
     orders = inp.table(spark, d, "orders")
     targets = orders.select(F.lit(0).alias("g"), "o_orderkey", F.floor(F.col("o_totalprice") * 5).alias("t"))
-    return lookup.cumulative_lookup(targets, weights, ["g"], "t", "p_size").select("o_orderkey", "t", "p_size")
+    return lookup.ordered_lookup(targets, weights, ["g"], "t", "p_size").select("o_orderkey", "t", "p_size")
 
 
 def _groups(spark, d, waves=(0, 1, 2), split=False):
