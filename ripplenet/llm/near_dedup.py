@@ -6,13 +6,14 @@ with the probability Jaccard similarity of their weighted shingles. Shingles who
 register's first one stop early, so long texts cost little more than one arrival for each shingle.
 
 Texts with equal word sequences collapse to one representative first. Bands of registers then propose pairs of
-representatives: all pairs in a bucket of up to ``ALL_PAIRS`` texts; in a larger one every text meets the bucket's lead
-and the lead of a random part of it, another part in each band, so work grows with members, not with their pairs. Each
-proposal is either verified on whole shingle sets or lies inside a component that verified links have formed already.
-Should a larger bucket still hold several components, its members first meet the hubs of the bucket, the texts with most
-links; what is then outside the main component is compared with all others in blocks, so that no pair that shares a band is
-left out. Groups are connected components, found by label passing between written
-tables.
+representatives, in three steps that each see less than the one before. First every text meets the lead of the few
+smallest of its buckets, and verified links form components. Then all buckets are looked at as components, one row for each
+component in a bucket and none for its members: a bucket of one component is settled, in another the components' leads
+meet. Only buckets that still hold several components and more than two texts are opened: all pairs of different
+components where it has up to ``ALL_PAIRS`` texts; in a larger one each text meets the lead of a random part of it, then the
+hubs of the bucket, the texts with most links, and what is outside the main component after that is compared with all others
+in blocks, so that no pair that shares a band is left out. Every proposal is verified on whole shingle sets or lies inside a
+component. Groups are connected components, found by label passing between written tables.
 
 The link is the Jaccard similarity of the distinct shingles, at least ``SIMILARITY``. A pair of that similarity shares
 no band of the unit rates with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-5.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,12 @@ from ripplenet.storage import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+# Buckets of each text whose leads are verified first.
+FIRST_BUCKETS = 3
 ALL_PAIRS, PART = 32, 16
 HUB_ROUNDS, BLOCK = 2, 64
+# Ids whose texts are wanted are sent to all executors up to this number, 8 MB; beyond it they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 # Characters that one vectorised step takes together, and words whose hashes a worker keeps.
 STEP_CHARS, MAX_WORDS = 2_000_000, 500_000
 _WORDS = re.compile(r"\w+").findall
@@ -174,40 +180,63 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return texts.mapInArrow(sketched, "_id bigint, _c1 bigint, _c2 bigint, bands array<bigint>")
 
 
-def proposals(representatives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b, primary)`` with a < b from ``(rep, bands)``, each once, and the larger buckets ``(_key, rep)``.
+def band_rows(classes: DataFrame, first: int | None = None) -> DataFrame:
+    """``(rep, _key)``: the buckets of each of ``classes (rep, bands)``, or the ``first`` of them in order of their keys."""
+    bands = F.col("bands") if first is None else F.slice(F.array_sort("bands"), 1, first)
+    return classes.select(*[c for c in classes.columns if c != "bands"], F.explode(bands).alias("_key"))
 
-    A pair is ``primary`` where ``a`` is the smallest lead of ``b``.
+
+def lead_pairs(keys: DataFrame) -> DataFrame:
+    """``(a, b)``: every other text of a bucket of ``keys (rep, _key)`` with the smallest one, its lead."""
+    leads = keys.groupBy("_key").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).where("a < _last")
+    return keys.join(leads.select("_key", "a"), "_key").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+
+def labelled(rows: DataFrame, labels: DataFrame, name: str = "rep") -> DataFrame:
+    """``rows`` with the ``label`` of ``name`` in ``labels (v, label)``; a text without links is its own component."""
+    found = rows.join(labels.select(F.col("v").alias(name), "label"), name, "left")
+    return found.withColumn("label", F.coalesce("label", name))
+
+
+def bucket_components(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(_key, lead, _lead, _n)``: the components of each bucket that holds several, by their smallest texts.
+
+    ``_lead`` is the bucket's smallest text and ``_n`` its number of texts. Members are counted before the shuffle.
     """
-    keys = representatives.select("rep", F.explode("bands").alias("_key"))
-    buckets = keys.groupBy("_key").agg(F.min("rep").alias("_lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    inside = materialize(keys.join(buckets, "_key"), "band-members")
-    leads = inside.select(F.col("_lead").alias("a"), F.col("rep").alias("b"))
-    small = inside.where(F.col("_n").between(3, ALL_PAIRS)).groupBy("_key").agg(F.sort_array(F.collect_set("rep")).alias("m"))
-    pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select(
-        "a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")
+    parts = band_rows(labelled(classes, labels)).groupBy("_key", "label").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("_n"))
+    parts = materialize(parts, "band-components")
+    several = parts.groupBy("_key").agg(F.min("lead").alias("_lead"), F.max("lead").alias("_last"), F.sum("_n").alias("_n"))
+    several = several.where("_lead < _last").drop("_last")
+    return materialize(parts.select("_key", "lead").join(several, "_key"), "divided-buckets")
+
+
+def open_buckets(parts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(_key, rep, label, _n, _lead)``: the members of buckets of ``parts`` with more than two texts that are still divided."""
+    named = labelled(parts.where("_n > 2").select("_key", "lead", "_n", "_lead"), labels, "lead")
+    still = named.groupBy("_key").agg(
+        F.min("label").alias("_low"), F.max("label").alias("_high"), F.first("_n").alias("_n"), F.first("_lead").alias("_lead")
     )
+    still = materialize(still.where("_low < _high").select("_key", "_n", "_lead"), "open-buckets")
+    return materialize(labelled(band_rows(classes).join(still, "_key"), labels), "band-members")
+
+
+def opened_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different components: all in a bucket of up to ``ALL_PAIRS`` texts, part leads in a larger one."""
+    small = members.where(F.col("_n") <= ALL_PAIRS).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("rep", "label"))).alias("m"))
+    one = small.select(F.posexplode("m").alias("i", "x"), "m")
+    pairs = one.select("x", F.explode(F.expr("filter(slice(m, i + 2, size(m)), y -> y.label <> x.label)")).alias("y"))
     part = F.pmod(F.xxhash64("rep", "_key"), F.ceil(F.col("_n") / PART)).alias("_part")
-    large = materialize(inside.where(F.col("_n") > ALL_PAIRS).select("_key", part, "rep"), "band-parts")
-    heads = large.groupBy("_key", "_part").agg(F.min("rep").alias("a"))
-    parts = large.join(heads, ["_key", "_part"]).select("a", F.col("rep").alias("b"))
-    first = leads.groupBy("b").agg(F.min("a").alias("_first"))
-    every = leads.unionByName(pairs).unionByName(parts).where("a < b").distinct()
-    pairs = every.join(first, "b").select("a", "b", (F.col("a") == F.col("_first")).alias("primary"))
-    return pairs, large.select("_key", "rep")
+    large = members.where(F.col("_n") > ALL_PAIRS).select("_key", part, "rep", "label")
+    heads = large.groupBy("_key", "_part").agg(F.min(F.struct("rep", "label")).alias("_head"))
+    parts = large.join(heads, ["_key", "_part"]).where("label <> _head.label").select(F.col("_head.rep").alias("a"), F.col("rep").alias("b"))
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(parts).distinct()
 
 
 def divided(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(_key, rep, label, _main)``: the members of large buckets that hold several components ``labels (v, label)``.
-
-    The component with most members in the bucket is its main one.
-    """
-    named = large.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
-    named = named.select("_key", "rep", F.coalesce("label", "rep").alias("label"))
-    sizes = named.groupBy("_key", "label").agg(F.count(F.lit(1)).alias("_n"))
-    split = sizes.groupBy("_key").agg(F.count(F.lit(1)).alias("_of"), F.max(F.struct("_n", "label")).alias("_main"))
-    split = split.where("_of > 1").select("_key", F.col("_main")["label"].alias("_main"))
-    return materialize(named.join(split, "_key"), "divided")
+    """``(_key, rep, _lead, label)``: the members of ``large (_key, rep, _lead)`` whose bucket holds several components."""
+    named = labelled(large, labels)
+    ends = named.groupBy("_key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+    return materialize(named.join(ends.where("_low < _high"), "_key", "left_semi"), "divided")
 
 
 def hub_pairs(members: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,8 +261,9 @@ def remaining_links(members: DataFrame, sets: DataFrame, similarity: float, bloc
     region's main component meet all members, a block of each at a time; a task indexes one block's shingles and
     counts what the texts of the other share with it. No pair leaves a task unless it is a link.
     """
-    leads = members.groupBy("_key").agg(F.min("rep").alias("b"))
-    led = members.join(leads, "_key").select("rep", "b").distinct()
+    if "_lead" not in members.columns:
+        members = members.join(members.groupBy("_key").agg(F.min("rep").alias("_lead")), "_key")
+    led = members.select("rep", F.col("_lead").alias("b")).distinct()
     first = led.groupBy("rep").agg(F.min("b").alias("a"))
     # Leads that share a text belong together; a region is named by its smallest lead.
     joined = led.join(first, "rep").where("a <> b").select("a", "b").distinct()
@@ -291,8 +321,11 @@ def block_links(x: pa.StructArray, y: pa.StructArray, similarity: float) -> list
     return out
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(_id, shingles)`` for the documents listed in ``ids (_id)``: sorted distinct shingle hashes."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, few: bool = False) -> DataFrame:
+    """``(_id, shingles)`` for the documents listed in ``ids (_id)``: sorted distinct shingle hashes.
+
+    ``few`` ids go to all executors.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,9 +334,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sizes = np.bincount(text, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), _lists(value.view(np.int64), sizes)], ["_id", "shingles"])
 
-    # Building on the ids keeps the texts unsorted, and a list of ids that grows with the corpus is never broadcast.
+    # Building on the ids keeps the texts unsorted.
     texts = docs.select("_id", whole_text().alias("text"))
-    texts = texts.join(ids.hint("shuffle_hash"), "_id", "left_semi")
+    texts = texts.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "_id", "left_semi")
     sets = texts.mapInArrow(listed, "_id bigint, shingles array<bigint>")
     return sets.groupBy("_id").agg(F.max("shingles").alias("shingles"))
 
@@ -353,6 +386,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(_id, _class)`` for each identity of ``docs (_id, text)`` that is not the smallest of its group, and that smallest."""
     sketch = materialize(sketches(docs), "sketches")
@@ -362,34 +399,52 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     memberships = materialize(memberships, "memberships")
     several = memberships.groupBy("_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     one_id = memberships.join(several.select("_id", "a"), "_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    pairs, large = proposals(classes.select("rep", "bands"))
-    pairs = materialize(pairs, "proposals")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = materialize(shingle_sets(docs, ends), "shingle-sets")
-    links = materialize(verified(pairs.where("primary"), sets, similarity).unionByName(one_id), "links")
+    sets = None
+    tested: list[DataFrame] = []
+
+    def want(ids: DataFrame) -> None:
+        """Makes the shingle sets of those ``ids (_id)`` that have none yet."""
+        nonlocal sets
+        ids = materialize(ids if sets is None else ids.join(sets.select("_id"), "_id", "left_anti"), "texts-wanted")
+        n = ids.count()
+        if n or sets is None:
+            made = materialize(shingle_sets(docs, ids, n <= BROADCAST_IDS), "shingle-sets")
+            sets = made if sets is None else sets.unionByName(made)
+
+    def test(pairs: DataFrame) -> DataFrame:
+        """The links among those ``pairs (a, b)`` that were not tested yet."""
+        if tested:
+            pairs = pairs.join(_all(tested), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "proposals")
+        tested.append(pairs)
+        want(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+        return materialize(verified(pairs, sets, similarity), "links")
+
+    links = test(lead_pairs(band_rows(classes.select("rep", "bands"), FIRST_BUCKETS))).unionByName(one_id)
     labels = components(links)
-    own = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"_{c}"))
-    rest = pairs.where("not primary").join(own("a"), "a", "left").join(own("b"), "b", "left")
-    apart = ~F.col("_a").eqNullSafe(F.col("_b")) | F.col("_a").isNull()
-    more = materialize(verified(rest.where(apart), sets, similarity), "links")
-    links = links.unionByName(more)
+    parts = bucket_components(classes.select("rep", "bands"), labels)
+    links = links.unionByName(test(parts.where("_lead < lead").select(F.col("_lead").alias("a"), F.col("lead").alias("b")).distinct()))
     labels = components(links)
-    tested = pairs.select("a", "b")
+    opened = open_buckets(parts, classes.select("rep", "bands"), labels)
+    fresh = test(opened_pairs(opened))
+    if not fresh.isEmpty():
+        links = links.unionByName(fresh)
+        labels = components(links)
+    large = opened.where(F.col("_n") > ALL_PAIRS).select("_key", "rep", "_lead")
     members = divided(large, labels)
     used = members.select("_key", "rep").limit(0)
     for _ in range(HUB_ROUNDS):
         if members.isEmpty():
             break
         hubs, chosen = hub_pairs(members, links, used)
-        hubs = materialize(hubs.join(tested, ["a", "b"], "left_anti"), "hub-pairs")
-        used, tested = used.unionByName(chosen), tested.unionByName(hubs)
-        fresh = materialize(verified(hubs, sets, similarity), "links")
+        used, fresh = used.unionByName(chosen), test(hubs)
         if fresh.isEmpty():
             break
         links = links.unionByName(fresh)
         labels = components(links)
         members = divided(large, labels)
     if not members.isEmpty():
+        want(members.select(F.col("rep").alias("_id")).distinct())
         rest = materialize(remaining_links(members, sets, similarity), "links")
         labels = labels if rest.isEmpty() else components(links.unionByName(rest))
     named = memberships.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
