@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplenet.operators.cleaning import clean_edges, mutual_edges
+from ripplenet.storage import materialize
 
 # Column layouts of the files.
 USER_INFO = (
@@ -20,6 +22,14 @@ TIMELINE = (
     "reply_name string, reply_status bigint, reply_user bigint, lang string, place string, retweets int, text string, "
     "sensitive boolean, truncated boolean"
 )
+LAYOUTS = {
+    "user_info": USER_INFO,
+    "timeline": TIMELINE,
+    "predictions": "v string, label string",
+    "labels": "v string, label int",
+    "location_lookup": "location string, address string",
+    "state_lookup": "name string, abbreviation string",
+}
 RESULT_COLUMNS = {
     "real": "method wave seed lmsiAll lmsiDistinct mean medGraphDeg avgGraphDeg varianceOfBootStrapDegrees l1 muProxy "
     "l2 lmin lmax".split(),
@@ -30,6 +40,12 @@ RESULT_COLUMNS = {
     "rmat": "wave vertices seed bootCount bootSamplePercentage lmsiAll lmsiDistinct mean avgGraphDeg "
     "varianceOfBootStrapDegrees l1 muProxy l2 lmin lmax".split(),
 }
+# Types of result columns; those not named here are doubles.
+RESULT_TYPES = {
+    "method": "string", "wave": "int", "seed": "int", "vertices": "bigint", "bootCount": "int", "bootSamplePercentage": "int",
+}
+# Lines a reader sets aside before it stops.
+MAX_REJECTED = 10_000
 # Which of the public networks are cleaned as simple graphs and which keep mutual edges only.
 SIMPLE_NETWORKS = ("facebook", "dblp", "gowalla", "kite")
 MUTUAL_NETWORKS = ("enron", "wiki-talk", "epinions", "livejournal")
@@ -95,11 +111,47 @@ def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, sep="\t", quote="", enforceSchema=True, mode="FAILFAST")
 
 
+def _as_read(table: DataFrame, layout: str) -> DataFrame:
+    """What a layout's reader makes of its fields: missing user texts are null, lookups are in lower case."""
+    text = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
+    if layout == "user_info":
+        return table.replace("null", None, subset=text)
+    if layout in ("location_lookup", "state_lookup"):
+        return table.select(*[F.lower(c).alias(c) for c in text])
+    return table
+
+
+def read_with_rejects(
+    spark: SparkSession, path: str, layout: str, max_rejected: int = MAX_REJECTED
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of one of ``LAYOUTS``, and the lines that are none as a written table ``(line, reason)``.
+
+    A line is rejected for its number of fields or for its first field that does not fit its type; empty fields are null and
+    empty lines are skipped. More than ``max_rejected`` rejected lines stop the job: such a file has another layout.
+    """
+    fields = T.StructType.fromDDL(LAYOUTS[layout]).fields
+    found = F.split("value", "\t", -1)
+    raw = {f.name: F.nullif(F.get("_f", F.lit(i)), F.lit("")) for i, f in enumerate(fields)}
+    kind = {f.name: f.dataType.simpleString() for f in fields}
+    typed = {n: raw[n] if kind[n] == "string" else raw[n].try_cast(kind[n]) for n in kind}
+    count = F.when(F.size("_f") != len(fields), F.format_string(f"%d fields in place of {len(fields)}", F.size("_f")))
+    unfit = [
+        F.when(raw[n].isNotNull() & typed[n].isNull(), F.concat(F.lit(f"{n} is no {kind[n]}: "), raw[n]))
+        for n in kind if kind[n] != "string"
+    ]
+    lines = spark.read.text(path).where("value <> ''").withColumn("_f", found).withColumn("_reason", F.coalesce(count, *unfit, F.lit(None)))
+    rejected = lines.where("_reason is not null").select(F.col("value").alias("line"), F.col("_reason").alias("reason"))
+    rejected = materialize(rejected, "rejected")
+    n = rejected.count()
+    if n > max_rejected:
+        raise ValueError(f"{n} lines of {path} are no {layout}, more than {max_rejected}; one of them: {rejected.first()['reason']}")
+    rows = lines.where("_reason is null").select(*[c.alias(name) for name, c in typed.items()])
+    return _as_read(rows, layout), rejected
+
+
 def read_user_info(spark: SparkSession, path: str) -> DataFrame:
     """User table; the text ``null`` means missing."""
-    table = _tsv(spark, path, USER_INFO)
-    text = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
-    return table.replace("null", None, subset=text)
+    return _as_read(_tsv(spark, path, USER_INFO), "user_info")
 
 
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
@@ -107,11 +159,11 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return _tsv(spark, path, "v string, label string")
+    return _tsv(spark, path, LAYOUTS["predictions"])
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return _tsv(spark, path, "v string, label int")
+    return _tsv(spark, path, LAYOUTS["labels"])
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -153,13 +205,11 @@ def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_location_lookup(spark: SparkSession, path: str) -> DataFrame:
-    table = _tsv(spark, path, "location string, address string")
-    return table.select(F.lower("location").alias("location"), F.lower("address").alias("address"))
+    return _as_read(_tsv(spark, path, LAYOUTS["location_lookup"]), "location_lookup")
 
 
 def read_state_lookup(spark: SparkSession, path: str) -> DataFrame:
-    table = _tsv(spark, path, "name string, abbreviation string")
-    return table.select(F.lower("name").alias("name"), F.lower("abbreviation").alias("abbreviation"))
+    return _as_read(_tsv(spark, path, LAYOUTS["state_lookup"]), "state_lookup")
 
 
 def read_votes(spark: SparkSession, path: str) -> DataFrame:
@@ -169,9 +219,15 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("f")[0].alias("item"), label.alias("label"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Experiment rows with a header; the few result rows make schema inference cheap."""
-    return spark.read.csv(path, header=True, sep="\t", inferSchema=True)
+def result_schema(layout: str) -> str:
+    return ", ".join(f"{c} {RESULT_TYPES.get(c, 'double')}" for c in RESULT_COLUMNS[layout])
+
+
+def read_results(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
+    """Experiment rows with a header, in the types of their ``layout``; without one the types follow the few result rows."""
+    if layout is None:
+        return spark.read.csv(path, header=True, sep="\t", inferSchema=True)
+    return spark.read.csv(path, header=True, sep="\t", schema=result_schema(layout), enforceSchema=False, mode="FAILFAST")
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False, columns: Sequence[str] | None = None) -> None:

@@ -103,6 +103,77 @@ def results_file(spark, d):
     return files.read_results(spark, path)
 
 
+def _other_layout(layout):
+    """Order statistics by customer and status, laid out as result rows of a sweep over a network."""
+
+    def query(spark, d):
+        price = F.col("o_totalprice")
+        found = inp.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("seed"), F.length("o_orderstatus").alias("wave")).agg(
+            F.count(F.lit(1)).cast("double").alias("lmsiAll"), F.count_distinct("o_orderpriority").cast("double").alias("lmsiDistinct"),
+            *[F.round(f(price), 2).alias(n) for n, f in (("mean", F.max), ("lmin", F.min), ("lmax", F.max))],
+        )
+        names = files.RESULT_COLUMNS[layout]
+        texts = {"method": F.lit("pooled"), "vertices": F.col("seed") * 3_000_000_000, "bootCount": F.lit(1000), "bootSamplePercentage": F.lit(50)}
+        rest = {n: texts.get(n, F.col("mean")) for n in names if n not in found.columns}
+        path = folder(spark, f"results-{layout}")
+        files.write_results(found.withColumns(rest), path, layout)
+        return files.read_results(spark, path, layout)
+
+    return query
+
+
+def _rejecting(layout, table, line, *shown):
+    """Lines of a layout made from a table, some of them malformed: the rows read and the lines set aside."""
+
+    def query(spark, d):
+        path = folder(spark, f"{layout}-rejects")
+        inp.table(spark, d, table).select(line()).write.text(path)
+        rows, rejected = files.read_with_rejects(spark, path, layout, max_rejected=10**9)
+        good = rows.select(F.lit("row").alias("part"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in shown]).alias("line"))
+        good = good.withColumn("reason", F.lit(None).cast("string"))
+        return good.unionByName(rejected.withColumn("part", F.lit("rejected")))
+
+    return query
+
+
+def _tabs(*fields):
+    return F.concat_ws("\t", *[f.cast("string") for f in fields])
+
+
+def _user_line():
+    number = F.when(F.col("c_custkey") % 11 == 0, F.lit("many")).otherwise(F.col("c_custkey").cast("string"))
+    fields = [F.lit("f"), "c_name", F.lit("null"), number, F.lit(2), F.lit("c"), F.lit("null"), F.lit("en"), F.lit(3), F.lit("w"), F.lit("t"), F.lit("b")]
+    fields = [F.col(f) if isinstance(f, str) else f for f in fields]
+    return F.when(F.col("c_custkey") % 7 == 0, _tabs(*fields)).otherwise(_tabs(*fields, F.lit("")))
+
+
+def _status_line():
+    number = F.when(F.col("turn") == 3, F.lit("1.5")).otherwise(F.col("turn").cast("string"))
+    flag = F.when(F.col("conv_id") % 5 == 0, F.lit("perhaps")).otherwise(F.lit("true"))
+    blank, zero = F.lit(""), F.lit(0)
+    return _tabs(
+        F.col("conv_id"), blank, blank, number, zero, blank, blank, zero, zero, F.col("role"), blank, F.length("role"),
+        F.substring(F.regexp_replace("text", r"\p{Cntrl}+", " "), 1, 20), flag, F.lit("false"),
+    )
+
+
+def _label_line():
+    label = F.when(F.col("doc_id") % 5 == 0, F.lit("yes")).otherwise(F.col("quality").cast("string"))
+    return F.when(F.col("doc_id") % 7 == 0, _tabs(F.col("doc_id"), label, F.lit("more"))).otherwise(_tabs(F.col("doc_id"), label))
+
+
+def _prediction_line():
+    return F.when(F.col("doc_id") % 7 == 0, F.col("doc_id").cast("string")).otherwise(_tabs(F.col("doc_id"), F.lit("1.0")))
+
+
+def _location_line():
+    return F.when(F.col("c_custkey") % 7 == 0, F.col("c_name")).otherwise(_tabs(F.col("c_name"), F.col("c_mktsegment")))
+
+
+def _state_line():
+    return F.when(F.col("n_regionkey") == 1, _tabs(F.col("n_name"), F.lit("X"), F.lit("Y"))).otherwise(_tabs(F.col("n_name"), F.col("n_regionkey")))
+
+
 def annotators(spark, d):
     """Agreement from one vote file for each of three annotators; a line without a label is unsure."""
     labels = inp.table(spark, d, "labels")
@@ -138,11 +209,70 @@ QUERIES = {
     "a14_external_profiles_file": external_profiles_file,
     "a14_external_corpus_file": external_corpus_file,
     "a15_results_file": results_file,
+    "a5_user_info_rejects": _rejecting("user_info", "customer", _user_line, "screen_name", "location", "followers", "statuses"),
+    "a6_timeline_rejects": _rejecting("timeline", "conversations", _status_line, "user", "own_retweet_id", "lang", "text", "sensitive"),
+    "a7_predictions_rejects": _rejecting("predictions", "labels", _prediction_line, "v", "label"),
+    "a8_labels_rejects": _rejecting("labels", "labels", _label_line, "v", "label"),
+    "a12_location_rejects": _rejecting("location_lookup", "customer", _location_line, "location", "address"),
+    "a12_state_rejects": _rejecting("state_lookup", "nation", _state_line, "name", "abbreviation"),
+    "a16_results_real": _other_layout("real"),
+    "a16_results_lognormal": _other_layout("lognormal"),
+    "a16_results_rmat": _other_layout("rmat"),
     "b15_train_and_score": split_rows,
     "l2_annotator_files": annotators,
 }
 
+def _other_layout_sql(layout):
+    made = {
+        "method": "'pooled'", "wave": "wave::int", "seed": "seed::int", "vertices": "(seed * 3000000000)::bigint", "bootCount": "1000::int",
+        "bootSamplePercentage": "50::int", "lmsiAll": "n::double", "lmsiDistinct": "p::double", "lmin": "low",
+    }
+    columns = ", ".join(f'{made.get(c, "high")} AS "{c}"' for c in files.RESULT_COLUMNS[layout])
+    return f"""SELECT {columns} FROM (SELECT o_custkey seed, length(o_orderstatus) wave, count(*) n, count(DISTINCT o_orderpriority) p,
+      round(max(o_totalprice), 2)::double high, round(min(o_totalprice), 2)::double low FROM orders GROUP BY ALL)"""
+
+
+def _rejects_sql(table, line, row, reason):
+    return f"""SELECT CASE WHEN reason IS NULL THEN 'row' ELSE 'rejected' END AS part, CASE WHEN reason IS NULL THEN row ELSE line END AS line, reason
+      FROM (SELECT {line} AS line, {row} AS row, {reason} AS reason FROM {table})"""
+
+
+_TAB = "chr(9)"
+_STATUS = "left(regexp_replace(text, '[\\x00-\\x1f\\x7f]+', ' ', 'g'), 20)"
 ORACLES = {
+    "a5_user_info_rejects": _rejects_sql(
+        "customer",
+        f"""concat_ws({_TAB}, 'f', c_name, 'null', CASE WHEN c_custkey % 11 = 0 THEN 'many' ELSE c_custkey::varchar END, '2', 'c', 'null', 'en', '3', 'w', 't', 'b')
+        || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE {_TAB} END""",
+        "concat_ws('|', c_name, '-', c_custkey::varchar, '-')",
+        "CASE WHEN c_custkey % 7 = 0 THEN '12 fields in place of 13' WHEN c_custkey % 11 = 0 THEN 'followers is no int: many' END",
+    ),
+    "a6_timeline_rejects": _rejects_sql(
+        "conversations",
+        f"""array_to_string([conv_id::varchar, '', '', CASE WHEN turn = 3 THEN '1.5' ELSE turn::varchar END, '0', '', '', '0', '0', role, '',
+        length(role)::varchar, {_STATUS}, CASE WHEN conv_id % 5 = 0 THEN 'perhaps' ELSE 'true' END, 'false'], {_TAB})""",
+        f"concat_ws('|', conv_id::varchar, turn::varchar, role, {_STATUS}, 'true')",
+        "CASE WHEN turn = 3 THEN 'own_retweet_id is no bigint: 1.5' WHEN conv_id % 5 = 0 THEN 'sensitive is no boolean: perhaps' END",
+    ),
+    "a7_predictions_rejects": _rejects_sql(
+        "labels", f"CASE WHEN doc_id % 7 = 0 THEN doc_id::varchar ELSE doc_id || {_TAB} || '1.0' END", "doc_id || '|1.0'",
+        "CASE WHEN doc_id % 7 = 0 THEN '1 fields in place of 2' END",
+    ),
+    "a8_labels_rejects": _rejects_sql(
+        "labels", f"doc_id || {_TAB} || CASE WHEN doc_id % 5 = 0 THEN 'yes' ELSE quality::varchar END || CASE WHEN doc_id % 7 = 0 THEN {_TAB} || 'more' ELSE '' END",
+        "doc_id || '|' || quality", "CASE WHEN doc_id % 7 = 0 THEN '3 fields in place of 2' WHEN doc_id % 5 = 0 THEN 'label is no int: yes' END",
+    ),
+    "a12_location_rejects": _rejects_sql(
+        "customer", f"CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE c_name || {_TAB} || c_mktsegment END", "lower(c_name || '|' || c_mktsegment)",
+        "CASE WHEN c_custkey % 7 = 0 THEN '1 fields in place of 2' END",
+    ),
+    "a12_state_rejects": _rejects_sql(
+        "nation", f"CASE WHEN n_regionkey = 1 THEN concat_ws({_TAB}, n_name, 'X', 'Y') ELSE n_name || {_TAB} || n_regionkey END",
+        "lower(n_name || '|' || n_regionkey)", "CASE WHEN n_regionkey = 1 THEN '3 fields in place of 2' END",
+    ),
+    "a16_results_real": _other_layout_sql("real"),
+    "a16_results_lognormal": _other_layout_sql("lognormal"),
+    "a16_results_rmat": _other_layout_sql("rmat"),
     "a6_timeline_file": r"""SELECT conv_id::varchar AS user, turn AS own_retweet_id, role AS lang, length(role)::int AS retweets,
       regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g') AS text, turn % 2 = 0 AS sensitive FROM conversations""",
     "a7_predictions_file": "SELECT doc_id::varchar AS v, CASE WHEN toxic = 1 THEN '1.0' ELSE '0.0' END AS label FROM labels",
