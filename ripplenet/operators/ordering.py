@@ -65,6 +65,33 @@ def ordered_running(
     return out.select(*df.columns, *added, *totals)
 
 
+def successors(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], column: str, partitions: int | None = None
+) -> DataFrame:
+    """``(src, dst)``: ``column`` of each row and of the row after it in ``order``, in groups of any size.
+
+    Rows are range-partitioned like those of ``ordered_running`` and paired within their slice; slices are stitched by their
+    first and last rows. ``order`` must be total within a group and no key column may be null.
+    """
+    group, order = list(group), list(order)
+    width = partitions or max(shuffle_width(df.sparkSession), -(-df.count() // ROWS_PER_SLICE))
+    rows = df.select(*group, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(F.col(column).alias("c")).alias("_value"))
+    at = [f"_o{i}" for i in range(len(order))]
+    slices = materialize(rows.repartitionByRange(width, *group, *at).withColumn("_slice", F.spark_partition_id()), "slices")
+    within = Window.partitionBy(*group, "_slice").orderBy(*at)
+    paired = slices.select(*group, "_slice", "_value", F.lead("_value").over(within).alias("_next"))
+    inside = paired.where("_next is not null").select(F.col("_value.c").alias("src"), F.col("_next.c").alias("dst"))
+    # One row for each slice: its last row and the first one of the next slice follow each other.
+    row = F.struct(*group, *at, "_value")
+    ends = slices.groupBy("_slice").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    later = Window.partitionBy(F.lit(0)).orderBy("_slice")
+    across = ends.select("_last", F.lead("_first").over(later).alias("_next")).where("_next is not null")
+    for g in group:
+        across = across.where(F.col(f"_last.{g}") == F.col(f"_next.{g}"))
+    across = across.select(F.col("_last._value.c").alias("src"), F.col("_next._value.c").alias("dst"))
+    return inside.unionByName(across)
+
+
 def carried_forward(
     df: DataFrame, group: Sequence[str], order: Sequence[str], column: str, partitions: int | None = None
 ) -> DataFrame:

@@ -87,6 +87,22 @@ def test_colours_follow_the_root_of_the_edges(n_edges, colours):
     assert structure.colours_for(n_edges) == colours
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 50])
+def test_successors_cross_slices(spark, partitions):
+    """Groups of one row, of several and of a third of the table, with null values, over few and many slices."""
+    rng = random.Random(5)
+    rows = [(g, i, None if rng.random() < 0.1 else rng.randrange(100)) for g, n in ((1, 1), (2, 100), (3, 7), (4, 1)) for i in range(n)]
+    rows += [(g, i, g * i) for g in range(10, 60) for i in range(3)]
+    want = sorted((str(a[2]), str(b[2])) for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g bigint, i int, x bigint")
+    got = ordering.successors(df, ["g"], ["i"], "x", partitions).collect()
+    assert sorted((str(r.src), str(r.dst)) for r in got) == want
+    whole = ordering.successors(df, [], ["g", "i"], "x", partitions).collect()
+    assert len(whole) == len(rows) - 1
+    assert ordering.successors(df.limit(0), ["g"], ["i"], "x", partitions).count() == 0
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_running_ranks_cross_slices(spark, partitions):
     rows = [(g, i, (i * 7) % 11) for g in ("a", "b") for i in range(40 if g == "a" else 3)]

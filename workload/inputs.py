@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplenet.operators.cleaning import clean_edges
-from ripplenet.operators.ordering import ordered_running
-from ripplenet.storage import materialize
+from ripplenet.operators.ordering import successors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,15 +24,7 @@ def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     grow with the lines and never with the square of an order.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return _consecutive(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey")
-
-
-def _consecutive(rows: DataFrame, group: list[str], order: list[str], column: str) -> DataFrame:
-    """``(src, dst)``: ``column`` of each row and of the row after it in its group."""
-    ranked = materialize(ordered_running(rows, group, order, rank="at").select(*group, "at", column), "ranked")
-    here = ranked.select(*group, "at", F.col(column).alias("src"))
-    following = ranked.select(*group, (F.col("at") - 1).alias("at"), F.col(column).alias("dst"))
-    return here.join(following, [*group, "at"]).select("src", "dst")
+    return successors(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey")
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +33,7 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the user of each event to the user of the next one, in the order of event ids."""
-    return _consecutive(table(spark, sf_dir, "events").select("event_id", "user_id"), [], ["event_id"], "user_id")
+    return successors(table(spark, sf_dir, "events").select("event_id", "user_id"), [], ["event_id"], "user_id")
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
