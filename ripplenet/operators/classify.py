@@ -6,11 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorIndexer
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ripplenet.storage import materialized_at
+from ripplenet.storage import materialized_at, small_table
 
 # Fixed values of the published classifier.
 TREES = 10
@@ -32,6 +32,28 @@ def as_features(vectors: DataFrame, size: int) -> DataFrame:
     return written.sparkSession.read.schema(StructType(fields)).parquet(path)
 
 
+def label_index(training: DataFrame) -> DataFrame:
+    """``(label, index)``: the labels of ``training`` in the order that the classifier numbers them."""
+    model = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(training)
+    return small_table(training.sparkSession, ["label", "index"], [(name, i) for i, name in enumerate(model.labels)])
+
+
+def feature_index(vectors: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+    """``(id, values, categorical)`` of the features in ``vectors (ids, counts)``: its smallest values, and if these are all.
+
+    A feature with up to ``max_categories`` different values is categorical; rows without it hold its value 0. At most
+    ``max_categories`` + 1 values of a feature are kept, counted before the shuffle and limited before the last one, so
+    nothing grows with the rows, and nothing at all comes to the driver.
+    """
+    rows = vectors.count()
+    each = vectors.select(F.explode(F.arrays_zip("ids", "counts")).alias("e")).select(F.col("e.ids").alias("id"), F.col("e.counts").cast("double").alias("value"))
+    counts = each.groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") < rows).select("id", F.lit(0.0).alias("value"))
+    order = Window.partitionBy("id").orderBy("value")
+    few = counts.select("id", "value").unionByName(held).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= max_categories + 1)
+    return few.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("values")).withColumn("categorical", F.size("values") <= max_categories)
+
+
 def fit_labels(training: DataFrame, trees: int = TREES, seed: int = 1) -> PipelineModel:
     """Indexers, forest and label decoder, fitted on ``training(label, features)`` alone."""
     labels = StringIndexer(inputCol="label", outputCol="indexedLabel", stringOrderType="alphabetAsc").fit(training)

@@ -1,8 +1,12 @@
+import random
+
 import pytest
+from pyspark.ml.feature import VectorIndexer
 from pyspark.sql import functions as F
 
 from ripplenet.functions import dates, places, text
 from ripplenet.operators import classify, profiles, regions, values
+from ripplenet.plans.classification import classify_snowball
 
 
 def test_clean_text(spark):
@@ -106,3 +110,38 @@ def test_forest_separates_words(spark):
     fixed = spark.createDataFrame([(1,)], "v int")
     table = classify.prediction_table(scored, fixed, fixed)
     assert table.count() == 8 and table.where("v = 1 AND label = '1.0'").count() == 2
+
+
+def test_feature_index_agrees_with_the_fitted_indexer(spark):
+    """Categories of up to four values, zeros of absent words among them; the fifth value makes a feature continuous."""
+    rng = random.Random(6)
+    rows = []
+    for v in range(60):
+        some = {100: rng.choice([1, 2]), 101: rng.choice([1, 2, 3, 4]), 102: rng.randrange(1, 6), 103: 1}
+        if v % 3:
+            some.update({104: rng.choice([1, 2, 3]), 105: rng.randrange(1, 5)})
+        rows.append((v, sorted(some), [some[i] for i in sorted(some)]))
+    vectors = spark.createDataFrame(rows, "v bigint, ids array<bigint>, counts array<bigint>")
+    got = {r.id: (r["values"], r.categorical) for r in classify.feature_index(vectors).collect()}
+    fitted = VectorIndexer(inputCol="features", outputCol="x", maxCategories=4).fit(classify.as_features(vectors, 106))
+    maps = {int(k): sorted(m) for k, m in fitted.categoryMaps.items() if k >= 100}
+    assert {i: v for i, (v, categorical) in got.items() if categorical} == maps and set(got) == set(range(100, 106))
+    assert all(len(v) == 5 for v, categorical in got.values() if not categorical)
+
+
+def test_snowball_classification_of_a_small_world(spark):
+    """Seeds 1 and 2, wave one 10 to 13 with 10 and 11 known before, wave two 20 to 23, of which 23 has no texts."""
+    links = [(1, 10), (1, 11), (2, 12), (2, 13), (1, 2), (10, 20), (10, 21), (11, 22), (11, 12), (11, 23), (12, 30), (10, 1)]
+    sad, glad = "lonely empty tired crying lonely tired ", "sunny happy garden music happy garden "
+    told = {1: sad, 2: sad, 50: sad, 51: sad, 60: glad, 61: glad, 20: sad, 21: glad, 22: glad, 12: sad, **{90 + k: glad for k in range(6)}}
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    table = classify_snowball(
+        frame([(v, t * 2) for v, t in told.items()], "v bigint, text string"), frame(links, "src bigint, dst bigint"),
+        frame([(1,), (2,)], "v bigint"), frame([(50, 1), (51, 1), (60, 0), (61, 0)], "v bigint, label int"),
+        frame([(10,), (11,), (30,)], "v bigint"), frame([(90 + k,) for k in range(6)], "v bigint"),
+    )
+    got = {r.v: (r.label, r.part) for r in table.collect()}
+    assert got == {
+        1: ("1.0", "seed"), 2: ("1.0", "seed"), 10: ("1.0", "kept"), 11: ("1.0", "kept"),
+        20: ("1.0", "scored"), 21: ("0.0", "scored"), 22: ("0.0", "scored"),
+    }

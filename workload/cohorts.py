@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ripplenet.functions import dates, places, text
 from ripplenet.operators import agreement, classify, cleaning, profiles, regions, statistics, values
+from ripplenet.operators.sampling import sample_exact
 from ripplenet.operators.structure import degrees
+from ripplenet.plans.classification import classify_snowball
 from ripplenet.sources import files
 from ripplenet.storage import materialize, scratch_root, small_table
 from workload import inputs as inp
@@ -147,6 +149,45 @@ def prediction_table(spark, d):
     return classify.prediction_table(_scored(spark, d), kept, toxic)
 
 
+def label_index(spark, d):
+    rows = _labelled(spark, d).withColumn("label", F.col("label").cast("double"))
+    return classify.label_index(rows).select("label", F.col("index").cast("int").alias("index"))
+
+
+def feature_index(spark, d):
+    """The features of the labelled users' vectors; values as text, the smallest five where there are more."""
+    index = classify.feature_index(materialize(_vectors(spark, d, profiles.training_vectors, _labelled), "vectors"))
+    return index.select("id", F.array_join(F.transform("values", lambda x: x.cast("bigint")), " ").alias("values"), "categorical")
+
+
+def forest_facts(spark, d):
+    """Who is scored, and whether each has a label that training knows."""
+    return random_forest(spark, d).select("v", F.col("predictedLabel").isin("0.0", "1.0").alias("known"))
+
+
+def prediction_facts(spark, d):
+    """Rows of the prediction table; the label only where no classifier chooses it."""
+    scored = _unlabelled(spark, d).withColumn("scored", F.lit(True))
+    rows = prediction_table(spark, d).join(scored, "v", "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
+    return rows.select("v", "scored", F.when(~F.col("scored"), F.col("label")).alias("label"), F.col("label").isin("0.0", "1.0").alias("known"))
+
+
+def snowball_classification(spark, d):
+    """From ten sampled users: a user owns the document of the same number and is known by its labels."""
+    links = inp.event_links(spark, d)
+    seeds = sample_exact(_users(spark, d), "v", 10, "snowball")
+    texts = inp.document_texts(spark, d)
+    external = texts.select("v").join(_labelled(spark, d), "v", "left_anti").join(_users(spark, d), "v", "left_anti")
+    stops = small_table(spark, ["value"], [(w,) for w in inp.STOP_WORDS])
+    return classify_snowball(texts, links, seeds, _labelled(spark, d), inp.event_cohort(spark, d), external, stops)
+
+
+def snowball_facts(spark, d):
+    """The snowball's table with the classifier's choice as a check that it is one of the labels."""
+    rows = snowball_classification(spark, d)
+    return rows.select("v", "part", F.when(F.col("part") != "scored", F.col("label")).alias("label"), F.col("label").isin("0.0", "1.0").alias("known"))
+
+
 # Agreement.
 
 def _votes(spark, d):
@@ -324,8 +365,14 @@ QUERIES = {
     "k4_ignored_users": ignored,
     "k5_training_set": training_set,
     "k6_external_sample": external_sample,
+    "k7_label_index": label_index,
+    "k8_feature_index": feature_index,
     "k9_random_forest": random_forest,
+    "k9_forest_facts": forest_facts,
     "k11_prediction_table": prediction_table,
+    "k11_prediction_facts": prediction_facts,
+    "k11_snowball_classification": snowball_classification,
+    "k11_snowball_facts": snowball_facts,
     "l1_label_counts": _counts,
     "l2_fleiss_kappa": kappa,
     "l3_confusion": lambda s, d: agreement.confusion(_counts(s, d)),
@@ -429,6 +476,31 @@ ORACLES = {
       SELECT v, 0 FROM ext WHERE r <= floor(100.0::double / 80 * ((SELECT count(*) FROM pos) + (SELECT count(*) FROM neg)))""",
     "k6_external_sample": """SELECT doc_id AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
       ORDER BY md5('external|' || doc_id), doc_id LIMIT 100""",
+    "k7_label_index": """SELECT l AS label, (row_number() OVER (ORDER BY l) - 1)::int AS index FROM (SELECT DISTINCT quality::double::varchar l FROM labels)""",
+    "k8_feature_index": f"""{VECTORS}, kept AS (SELECT v FROM vec WHERE tokens > 3 AND {LABELLED}),
+      f AS (SELECT id, n FROM words JOIN vocab USING (word) JOIN kept USING (v)),
+      vals AS (SELECT DISTINCT id, n FROM f UNION SELECT id, 0 FROM f GROUP BY id HAVING count(*) < (SELECT count(*) FROM kept)),
+      r AS (SELECT id, n, row_number() OVER (PARTITION BY id ORDER BY n) r FROM vals)
+      SELECT id, string_agg(n::varchar, ' ' ORDER BY n) AS values, count(*) <= 4 AS categorical FROM r WHERE r <= 5 GROUP BY id""",
+    "k9_forest_facts": f"{VECTORS} SELECT v, true AS known FROM vec WHERE kinds > 3 AND NOT {LABELLED}",
+    "k11_prediction_facts": f"""{VECTORS} SELECT v, true AS scored, NULL::varchar AS label, true AS known FROM vec WHERE kinds > 3 AND NOT {LABELLED}
+      UNION ALL SELECT doc_id, false, '1.0', true FROM labels WHERE quality = 1 OR toxic = 1""",
+    "k11_snowball_facts": f"""WITH {inp.EVENT_LINKS}, {inp.EVENT_COHORT}, {WORDS},
+      seeds AS (SELECT v FROM (SELECT DISTINCT user_id v FROM events) ORDER BY md5('snowball|' || v), v LIMIT 10),
+      w1 AS (SELECT DISTINCT dst v FROM links WHERE src IN (SELECT v FROM seeds) EXCEPT SELECT v FROM seeds),
+      kept AS (SELECT v FROM w1 WHERE v IN (SELECT v FROM cohort)),
+      w2 AS (SELECT DISTINCT dst v FROM links WHERE src IN (SELECT v FROM kept) EXCEPT SELECT v FROM w1 EXCEPT SELECT v FROM seeds),
+      pos AS (SELECT v FROM seeds UNION SELECT doc_id FROM labels WHERE quality = 1),
+      neg AS (SELECT doc_id v FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT v FROM pos)),
+      ext AS (SELECT doc_id v, row_number() OVER (ORDER BY md5('external|' || doc_id), doc_id) r FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT user_id FROM events)
+        AND doc_id NOT IN (SELECT v FROM pos)),
+      taught AS (SELECT v FROM pos UNION SELECT v FROM neg UNION SELECT v FROM ext
+        WHERE r <= floor(100.0::double / 36 * ((SELECT count(*) FROM pos) + (SELECT count(*) FROM neg)))),
+      {_vocab("v IN (SELECT v FROM taught)")},
+      scored AS (SELECT v FROM words JOIN vocab USING (word) WHERE v IN (SELECT v FROM w2) GROUP BY v HAVING count(*) > 3)
+      SELECT v, 'scored' AS part, NULL::varchar AS label, true AS known FROM scored
+      UNION ALL SELECT v, 'kept', '1.0', true FROM kept UNION ALL SELECT v, 'seed', '1.0', true FROM seeds""",
     "l1_label_counts": f"WITH {VOTES} SELECT item, predicted, n0, n1, n2, n3 FROM counts",
     "l2_fleiss_kappa": f"""WITH {VOTES}, p AS (SELECT avg((n0 * n0 + n1 * n1 + n2 * n2 + n3 * n3 - 3) / 6.0::double) o,
         (sum(n0) / (3.0::double * count(*))) ** 2 + (sum(n1) / (3.0::double * count(*))) ** 2
