@@ -7,8 +7,8 @@ in passing is no notice and a changed version number is seen. The best place is
 the piece is searched again, so every notice of a piece is found, copies too.
 
 Blocks are the surroundings of cue words of license language, across line ends, and run together where they overlap; every
-cue of every whole text is looked at. Long blocks are searched in pieces that overlap by more than any template. Texts are
-never shuffled. SPDX identifiers of the licenses named in the templates are read as they are. The templates are one-sentence
+cue of every whole text is looked at; a template without such a word is looked for by its longest one. Long blocks are searched in pieces that overlap by more than any template. Texts are
+never shuffled. SPDX identifiers are read as they are, of licenses without a template too. The templates are one-sentence
 notices, file headers and the short license bodies; the full legal texts of the GPL, LGPL, MPL, Apache and Creative Commons
 licenses are not among them.
 
@@ -34,13 +34,19 @@ from ripplenet.llm.decontamination import align
 
 # The notices as their publishers word them.
 TEMPLATES: dict[str, str] = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -54,20 +60,32 @@ _GNU = (
     "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the "
     "Free Software Foundation, either version {} of the License, or (at your option) any later version."
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution."
+)
 # Further wordings of the same licenses: file headers and bodies.
 WORDINGS: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
      "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-     "that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
-     "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
-     "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
-     "the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
-     "or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+     "endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+     "International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+     "International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License", 3)),
     ("GPL-2.0", _GNU.format("program", "General Public License", 2)),
     ("GPL-3.0", _GNU.format("program", "General Public License", 3)),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1")),
     ("LGPL-3.0", _GNU.format("library", "Lesser General Public License", 3)),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
      "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
@@ -86,13 +104,16 @@ _CUE = r"licen[sc]|copyright|redistribut|public domain|creative commons|\bCC[ -]
 CUE = re.compile(_CUE.replace(" ", r"\s+").replace("[\\s+-]", r"[\s-]"), re.IGNORECASE)
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)")
 _SPDX_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*")
+# Parts of words that tell sibling licenses apart; a notice must have just those of its template.
+TELLING = frozenset("affero lesser library noncommercial nc sharealike sa noderivatives noderivs nd".split())
 # Characters looked at around a cue, and in one piece of a block; pieces overlap by half.
 AROUND, PIECE = 600, 4000
 # Least share of its own saving that a template must save, and least share of its words' score by alignment.
 LEAST_REDUCTION, LEAST_SCORE = 0.2, 0.5
-# A notice may lack, and its place may add, this share of the template's words; numbers must be the same.
+# A notice may lack, and its place may add, this share of the template's words; numbers and ``TELLING`` words must be the same.
 MAX_DIFFERENCE = 0.25
-_WORD = re.compile(r"[\w.+-]*\w")
+# Parts of hyphenated words are words, as a wrapped line may break them.
+_WORD = re.compile(r"[\w.+]*\w")
 _ROW = "start int, end int, license string, reduction double, missing string, added string, confirmed boolean"
 Templates = tuple[tuple[str, str], ...]
 
@@ -117,10 +138,21 @@ def template_words(templates: Templates) -> list[list[str]]:
     return [[w.lower() for w in _WORD.findall(text)] for _, text in templates]
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
+def cue_of(templates: Templates) -> str:
+    """The pattern of cues: those of license language, and the longest word of each template that has none of them."""
+    own = [max(_WORD.findall(text), key=len, default="") for _, text in templates if not CUE.search(text)]
+    return "|".join([CUE.pattern, *sorted(re.escape(w) for w in set(own) if w)])
+
+
+def tells_apart(words: Sequence[str]) -> bool:
+    """Whether a number or a part of a word that names another license is among the words."""
+    return any(any(c.isdigit() for c in w) or not TELLING.isdisjoint(re.split(r"[^a-z]+", w)) for w in words)
+
+
+def blocks(text: str, cue: re.Pattern = CUE) -> Iterator[tuple[int, int]]:
     """Start and end of each run of overlapping surroundings of cues."""
     start, end = 0, -1
-    for m in CUE.finditer(text):
+    for m in cue.finditer(text):
         if m.start() - AROUND > end:
             if end >= 0:
                 yield start, end
@@ -159,8 +191,15 @@ def differences(block: str, template: str) -> tuple[int, int, list[str], list[st
     return have[first][1], have[last - 1][2], missing, added
 
 
+def _beside(piece: str, start: int, end: int) -> list[str]:
+    """Parts joined to the place by a hyphen or standing in front of it."""
+    before = re.search(r"([A-Za-z]+)[ -]?$", piece[max(0, start - 40) : start])
+    after = re.match(r"-([A-Za-z]+)", piece[end : end + 40])
+    return [m.group(1).lower() for m in (before, after) if m and m.group(1).lower() in TELLING]
+
+
 def same_words(notice: str) -> re.Pattern:
-    words = r"[^\w.+-]+[.+-]*".join(map(re.escape, _WORD.findall(notice)))
+    words = r"[^\w.+]+[.+]*".join(map(re.escape, _WORD.findall(notice)))
     return re.compile(rf"(?<![\w.+-]){words}(?![.+-]*\w)", re.IGNORECASE)
 
 
@@ -177,24 +216,37 @@ def judged(piece: str, templates: Templates) -> tuple | None:
         low, high = have[first][1], have[last][2]
         start, end, missing, added = differences(piece[low:high], templates[i][1])
         n = len(missing) + len(added)
-        number = any(c.isdigit() for w in [*missing, *added] for c in w)
-        confirmed = n <= MAX_DIFFERENCE * len(want) and not number
+        # A telling word right beside the place belongs to the notice as well.
+        beside = _beside(piece, low + start, low + end)
+        confirmed = n <= MAX_DIFFERENCE * len(want) and not tells_apart([*missing, *added, *beside])
         key = (not confirmed, n / len(want), -len(want), templates[i][0])
         if best is None or key < best[0]:
             best = key, (low + start, low + end, templates[i][0], reduction, " ".join(missing), " ".join(added), confirmed)
     return best[1] if best else None
 
 
+@lru_cache(maxsize=4)
+def cue_pattern(templates: Templates) -> re.Pattern:
+    return re.compile(cue_of(templates), re.IGNORECASE)
+
+
+def spdx_name(word: str, names: Mapping[str, str]) -> str | None:
+    """A license by its SPDX identifier: one of ``names``, or any other word that has the form of an identifier."""
+    plain = re.sub(r"-(only|or-later)$", "", word, flags=re.IGNORECASE)
+    known = names.get(plain.lower())
+    return known or (plain if re.search(r"[-0-9]", plain) and not re.search("exception", plain, re.IGNORECASE) else None)
+
+
 def notices(text: str, templates: Templates) -> list[tuple]:
     """Each notice of a text, in order: start, end, license, reduction, missing and added words, verdict."""
     out = []
     names = {name.lower(): name for name, _ in templates}
     for m in SPDX.finditer(text):
         for one in _SPDX_NAME.finditer(m.group(1)):
-            name = names.get(re.sub(r"-(only|or-later)$", "", one.group().lower()))
+            name = spdx_name(one.group(), names)
             if name:
                 out.append((m.start(), m.start(1) + one.end(), name, 1.0, "", "", True))
-    for start, end in blocks(text):
+    for start, end in blocks(text, cue_pattern(templates)):
         at = start
         while at < end:
             stop = min(end, at + PIECE)
@@ -237,4 +289,4 @@ def scan_licenses(
             ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-    return rows.where(F.col("text").rlike(f"(?i){CUE.pattern}")).mapInArrow(scan, f"doc_id {kind}, {_ROW}")
+    return rows.where(F.col("text").rlike(f"(?i){cue_of(fixed)}")).mapInArrow(scan, f"doc_id {kind}, {_ROW}")

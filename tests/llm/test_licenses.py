@@ -78,3 +78,45 @@ def test_wrapped_notices_bodies_and_spdx_names():
         wrapped = "/*\n" + "\n".join(f" * {line}" for line in textwrap.wrap(template, 38)) + "\n */\nint main;"
         assert [n for n, _ in confirmed(wrapped)] == [name]
     assert [n for n, _ in confirmed("# SPDX-License-Identifier: (MIT OR GPL-3.0-or-later)\n")] == ["MIT", "GPL-3.0"]
+
+
+SIBLINGS = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-2-Clause": dict(licenses.WORDINGS)["BSD-2-Clause"],
+}
+
+
+@pytest.mark.parametrize("name", SIBLINGS)
+@pytest.mark.parametrize("around", ["{}", "Some words stand before it. {} And others stand behind it, for good measure."])
+def test_a_sibling_license_is_never_confirmed_as_another(name, around):
+    """With its own template a notice is found as such; without it no other license is confirmed in its place."""
+    text = around.format(SIBLINGS[name])
+    every = tuple(sorted([*licenses.TEMPLATES.items(), *licenses.WORDINGS]))
+    found = licenses.notices(text, every)
+    assert [(r[2], r[6]) for r in found if r[6]] == [(name, True)]
+    others = tuple(t for t in every if t[0] != name)
+    confirmed = {r[2] for r in licenses.notices(text, others) if r[6]}
+    # The sentence that all licenses of the family begin with is a template of one of them.
+    assert confirmed <= ({"BSD-3-Clause"} if name == "BSD-2-Clause" else set())
+
+
+def test_spdx_names_without_a_template_and_templates_without_a_cue():
+    every = tuple(sorted([*licenses.TEMPLATES.items(), *licenses.WORDINGS]))
+    line = "# SPDX-License-Identifier: BSD-2-Clause OR EUPL-1.2 WITH Classpath-exception-2.0"
+    assert [r[2] for r in licenses.notices(line, every)] == ["BSD-2-Clause", "EUPL-1.2"]
+    own = (("Own-1", "Everybody may frobnicate these gizmos freely and forever."),)
+    text = "words " * 300 + own[0][1] + " words" * 300
+    (row,) = licenses.notices(text, own)
+    assert text[row[0] : row[1]] == own[0][1].rstrip(".") and row[2] == "Own-1" and row[6]
+
+
+def test_templates_of_the_caller_are_found_in_a_table(spark):
+    docs = spark.createDataFrame([(1, "x Everybody may frobnicate these gizmos freely and forever. y"), (2, "none here"), (None, None)], "doc_id bigint, text string")
+    rows = licenses.scan_licenses(docs, {"Own-1": "Everybody may frobnicate these gizmos freely and forever."}).collect()
+    assert [(r["doc_id"], r["license"], r["confirmed"]) for r in rows] == [(1, "Own-1", True)]
