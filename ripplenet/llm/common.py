@@ -19,6 +19,22 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *needed: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``docs`` in the struct ``_doc``, so that names of their own stand free, and the ``needed`` ones beside."""
+    kept = [named(c).alias(c) for c in docs.columns if c not in without]
+    return docs.select(F.struct(*kept).alias("_doc"), *[named(c).alias(c) for c in needed])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """``columns`` out of ``_doc``, those in ``replaced`` by their new values."""
+    return rows.select(*[(replaced[c] if c in replaced else F.col("_doc").getField(c)).alias(c) for c in columns])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

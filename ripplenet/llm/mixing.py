@@ -13,8 +13,9 @@ shuffled.
 
 Nulls and edge cases: null domain, language and source are each one value of their own, with weight 1 unless given. A
 text without words has no tokens and goes along with every epoch. Rows that repeat an id share one place, so they are taken
-together or not at all. A null ``doc_id`` is placed like any other id. An empty table gives an empty result, as does a
-budget of 0. Columns that the operator adds replace columns of the same name.
+together or not at all. A document with a null ``doc_id`` is placed by its text, so equal ones go together and others do not.
+An empty table gives an empty result, as does a budget of 0. ``n_tokens`` and ``n_epochs`` replace columns of these names; all
+other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplenet.llm.common import WORD, whole_text
+from ripplenet.llm.common import WORD, named, whole_text
 from ripplenet.storage import materialize
 
 SEED = "mix-1"
@@ -89,9 +90,14 @@ def leaf_budgets(
     return share_out(lower, ["_domain", "_lang"]).select(*_LEAF, "tokens", F.col("given").alias("budget"))
 
 
+def _who() -> Column:
+    """What a document is placed by: its id, or a hash of the text where there is none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(whole_text())))
+
+
 def _place(seed: str, epoch: Column) -> Column:
     """Where a document stands in the epoch's order: 32 hexadecimal digits."""
-    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.col("_who")))
 
 
 def mix(
@@ -111,7 +117,7 @@ def mix(
     kind = source_domain(F.col("source")) if domain is None else domain
     leaf = {"_domain": _name(kind), "_lang": _name(F.col("lang")), "_source": _name(F.col("source"))}
     tokens = F.regexp_count(whole_text(), F.lit(WORD)).cast("bigint")
-    slim = materialize(docs.select("doc_id", *[c.alias(n) for n, c in leaf.items()], tokens.alias("n")), "mix-tokens")
+    slim = materialize(docs.select(_who().alias("_who"), *[c.alias(n) for n, c in leaf.items()], tokens.alias("n")), "mix-tokens")
     leaves = materialize(slim.groupBy(_LEAF).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")), "mix-leaves")
     budgets = leaf_budgets(leaves.select(*_LEAF, "tokens"), F.col("tokens") * share, epochs, weights)
     # A millionth of a token absorbs the rounding of the shares.
@@ -139,9 +145,11 @@ def mix(
     ends = inside.where("_sum <= rest").groupBy(_LEAF).agg(F.max("_at").alias("_end"))
     cuts = plan.join(cut.select(*_LEAF, F.col("_range").alias("_cut")), _LEAF, "left").join(ends, _LEAF, "left")
     cuts = materialize(cuts.select(*_LEAF, "full", "rest", "ranges", "_cut", "_end"), "mix-ends")
-    named = docs.drop("n_tokens", "n_epochs").withColumns({**leaf, "n_tokens": tokens}).join(cuts, _LEAF)
+    columns = [c for c in docs.columns if c not in ("n_tokens", "n_epochs")]
+    kept = F.struct(*[named(c).alias(c) for c in columns]).alias("_doc")
+    rows = docs.select(kept, _who().alias("_who"), *[c.alias(n) for n, c in leaf.items()], tokens.alias("n_tokens"))
+    rows = rows.join(cuts, _LEAF)
     here = F.floor(F.conv(F.substring(last, 1, 8), 16, 10).cast("bigint") * F.col("ranges") / _PLACES)
     chosen = (F.col("rest") > 0) & ((here < F.col("_cut")) | ((here == F.col("_cut")) & (last <= F.col("_end"))))
-    drawn = named.withColumn("n_epochs", F.col("full") + F.coalesce(chosen, F.lit(False)).cast("int"))
-    columns = [c for c in docs.columns if c not in ("n_tokens", "n_epochs")]
-    return drawn.where("n_epochs > 0").select(*columns, "n_tokens", "n_epochs")
+    drawn = rows.withColumn("n_epochs", F.col("full") + F.coalesce(chosen, F.lit(False)).cast("int")).where("n_epochs > 0")
+    return drawn.select(*[F.col("_doc").getField(c).alias(c) for c in columns], "n_tokens", "n_epochs")

@@ -116,7 +116,7 @@ def _mix_sql() -> str:
         WITH d AS (SELECT doc_id, lang, source, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
             CASE WHEN {figure} IN ('0', '1', '2') THEN 'web' WHEN {figure} IN ('3', '4', '5') THEN 'books'
                  WHEN {figure} IN ('6', '7') THEN 'code' WHEN source IS NULL THEN 'other' ELSE 'talk' END AS dom,
-            len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+            md5(coalesce(text, '')) AS hash, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS n FROM documents),
         leaf AS (SELECT dom, l, s, sum(n)::BIGINT AS tokens, {mixing.EPOCHS} * sum(n)::DOUBLE AS supply, 1 AS root FROM d GROUP BY dom, l, s HAVING sum(n) > 0),
         top AS (SELECT root, dom, sum(supply) AS supply, {MIX_SHARE} * (SELECT sum(tokens) FROM leaf) AS budget FROM leaf GROUP BY root, dom),
@@ -127,7 +127,7 @@ def _mix_sql() -> str:
         {_level_sql("c", "low", "dom, l", "s", MIX_WEIGHTS["source"])},
         plan AS (SELECT dom, l, s, tokens, floor(given + 1e-6)::BIGINT AS ask FROM c),
         o AS (SELECT d.*, ask // tokens AS n_full, ask % tokens AS rest,
-            md5('{mixing.SEED}:' || (ask // tokens) || ':' || coalesce(doc_id::VARCHAR, 'null')) AS place FROM d JOIN plan USING (dom, l, s)),
+            md5('{mixing.SEED}:' || (ask // tokens) || ':' || coalesce(doc_id::VARCHAR, 'null:' || hash)) AS place FROM d JOIN plan USING (dom, l, s)),
         r AS (SELECT *, sum(n) OVER (PARTITION BY dom, l, s ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o)
         SELECT doc_id, lang, source, n AS n_tokens, (n_full + (rest > 0 AND upto <= rest)::INT)::INT AS n_epochs
         FROM r WHERE n_full + (rest > 0 AND upto <= rest)::INT > 0"""

@@ -3,7 +3,8 @@
 Labels exist for documents only. Token labels come from them by evidence: a word of a toxic document is a toxic token if
 the word, or one of its beginnings or endings, is found in toxic documents so much more often than in others that chance
 does not explain it; copies of a text count once. A two-state chain is then fitted to these tokens by gradient descent on
-its likelihood, with hashed word and affix features. Scoring takes whole texts: forward-backward marginals give
+its likelihood, with hashed word and affix features. A chain is a line, or ``CHAIN`` words of a longer one: no transition is
+learnt or passed on between such pieces, nor between lines. Scoring takes whole texts: forward-backward marginals give
 each token's chance of being toxic, and these combine to the document's score and to the offending character ranges.
 
 The fit takes a bounded sample of labelled rows (``MAX_ROWS`` and ``MAX_CHARS`` for each label, in hash order of the
@@ -27,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplenet.llm.common import whole_text
 from ripplenet.storage import small_table
@@ -386,8 +388,8 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 [*arrays, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*columns, "_score", "_spans"]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _score double, _spans array<struct<start:int,end:int>>")
+    added = T.StructType.fromDDL("_score double, _spans array<struct<start:int,end:int>>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

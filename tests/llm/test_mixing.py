@@ -29,11 +29,12 @@ def fill(budget, members):
 def plain_mix(rows, share, weights, epochs):
     docs, leaf = [], Counter()
     for i, text, lang, source in rows:
+        who = f"null:{hashlib.md5((text or '').encode()).hexdigest()}" if i is None else str(i)
         last = re.search("[0-9]$", source or "")
         domain = "other" if source is None else DOMAINS[last.group()] if last else "talk"
         name = (domain, "(none)" if lang is None else lang, "(none)" if source is None else source)
         n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-        docs.append((i, name, n))
+        docs.append(((i, who), name, n))
         leaf[name] += n
     leaf = {k: n for k, n in leaf.items() if n}
     weight = lambda kind, name: weights.get(kind, {}).get(name, 1.0)
@@ -52,7 +53,7 @@ def plain_mix(rows, share, weights, epochs):
         if name not in leaf:
             continue
         full, rest = divmod(int(budgets[name] + 1e-6), leaf[name])
-        place = lambda i: hashlib.md5(f"{mixing.SEED}:{full}:{'null' if i is None else i}".encode()).hexdigest()  # noqa: E731, B023
+        place = lambda i: hashlib.md5(f"{mixing.SEED}:{full}:{i[1]}".encode()).hexdigest()  # noqa: E731, B023
         sums, total = {}, 0
         for at in sorted({place(i) for i, _ in own}):
             total += sum(n for i, n in own if place(i) == at)
@@ -60,7 +61,7 @@ def plain_mix(rows, share, weights, epochs):
         for i, n in own:
             times = full + (rest > 0 and sums[place(i)] <= rest)
             if times:
-                out.append((i, n, times))
+                out.append((i[0], n, times))
     return Counter(out)
 
 
@@ -91,3 +92,19 @@ def test_odd_and_empty_tables(odd_documents, no_documents):
     docs = odd_documents.withColumn("n_tokens", F.lit("x"))
     assert drawn(docs, 0.9, {}) == plain_mix(table(docs), 0.9, {}, mixing.EPOCHS)
     assert mixing.mix(no_documents, 0.5, {}).collect() == []
+
+
+def test_documents_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"w{k} " * (1 + k % 7), "en", "src1") for k in range(400)] + [(None, "same text here", "en", "src1")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = mixing.mix(docs, 0.5, {}, epochs=1).collect()
+    assert drawn(docs, 0.5, {}, epochs=1) == plain_mix(rows, 0.5, {}, 1)
+    assert 150 < len(got) < 250 and [r["text"] for r in got].count("same text here") in (0, 3)
+
+
+def test_columns_of_any_name_pass_through(documents):
+    names = ["rest", "full", "ranges", "_end", "_cut", "_domain", "_lang", "_source", "_who", "n_epochs", "with.dot", "tick`"]
+    docs = documents.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    rows = mixing.mix(docs, MIX_SHARE, MIX_WEIGHTS).collect()
+    assert len(rows) == sum(drawn(documents, MIX_SHARE, MIX_WEIGHTS).values())
+    assert all(r[n] == k for r in rows for k, n in enumerate(names) if n != "n_epochs")
