@@ -233,6 +233,20 @@ def sweep_mutual(spark, d):
     return _sweep_rows(sweep.sweep(_mutual(spark, d), runs, [0, 2, 4], reps=3, draws="hashed", hop_cost=2))
 
 
+def _facts(rows, *keys):
+    """The exact columns of a sweep with random draws, and whether each row's interval is in order."""
+    ordered = (F.col("lmin") <= F.col("l1")) & (F.col("l1") <= F.col("mean")) & (F.col("mean") <= F.col("l2")) & (F.col("l2") <= F.col("lmax"))
+    return rows.select(
+        "run_id", "iteration", "seed_count", *keys, "wave", F.col("edges").cast("bigint").alias("edges"),
+        *inp.r6("lmsiAll", "lmsiDistinct", "avgGraphDeg", "muProxy"), ordered.alias("ordered"),
+    )
+
+
+def sweep_mutual_full(spark, d):
+    """Its published size: 50 iterations of 20 seeds, 1000 replicates."""
+    return _facts(sweep.sweep(_mutual(spark, d), sweep.real_network_runs(spark), [0, 2, 4], hop_cost=2))
+
+
 def sweep_waves_full(spark, d):
     """The published size of the sweep: 50 iterations, waves 0 to 8, 1000 replicates."""
     return sweep.sweep(inp.part_graph(spark, d), sweep.real_network_runs(spark), WAVES)
@@ -255,7 +269,7 @@ def _valued(spark, d, topic="purchase"):
 TOPICS = ("purchase", "click", "view")
 
 
-def sweep_topics(spark, d):
+def _topics(spark, d, seed_counts, **draws):
     """Three valued networks in one job; each topic owns its ids."""
     edges, values = [], []
     for number, topic in enumerate(TOPICS):
@@ -266,8 +280,26 @@ def sweep_topics(spark, d):
     every = materialize(edges[0].unionByName(edges[1]).unionByName(edges[2]), "edges")
     known = materialize(values[0].unionByName(values[1]).unionByName(values[2]), "values")
     linked = known.join(every.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), "v", "left_semi")
-    runs = sweep.parameter_grid(spark, graph_id=range(len(TOPICS)), iteration=range(1, 51), seed_count=[1, 10, 50])
-    return _sweep_rows(sweep.sweep(every, runs, [2], reps=3, values=linked, draws="hashed"), "graph_id")
+    runs = sweep.parameter_grid(spark, graph_id=range(len(TOPICS)), iteration=range(1, 51), seed_count=seed_counts)
+    return sweep.sweep(every, runs, [2], values=linked, **draws)
+
+
+def sweep_topics(spark, d):
+    return _sweep_rows(_topics(spark, d, [1, 10, 50], reps=3, draws="hashed"), "graph_id")
+
+
+SEED_COUNTS = [1, 5, 10, 20, 50, 100]
+
+
+def sweep_topics_full(spark, d):
+    """Its published size: six seed counts, 1000 replicates."""
+    return _facts(_topics(spark, d, SEED_COUNTS), "graph_id")
+
+
+def sweep_seed_counts_full(spark, d):
+    """The published size of the sweep over one valued network."""
+    edges, values = _valued(spark, d)
+    return _facts(sweep.sweep(edges, sweep.valued_network_runs(spark), [2], values=values, seed_pool=values))
 
 
 def sweep_seed_counts(spark, d):
@@ -276,35 +308,42 @@ def sweep_seed_counts(spark, d):
     return _sweep_rows(sweep.sweep(edges, runs, [2], reps=3, values=values, seed_pool=values, draws="hashed"))
 
 
-def _cohort_sweep(spark, d, values_of):
+def _cohort_sweep(spark, d, values_of, full=False):
+    """The sweep of a cohort's values; ``full`` asks for the published 1000 replicates and the facts of their rows."""
     cohort = materialize(inp.event_cohort(spark, d), "cohort")
     edges = clean_edges(induced_edges(inp.event_links(spark, d), cohort))
+    if full:
+        return _facts(sweep.cohort_sweep(edges, values_of(cohort), cohort))
     return _sweep_rows(sweep.cohort_sweep(edges, values_of(cohort), cohort, reps=5, draws="hashed"))
 
 
-def cohort_sweep(spark, d):
-    return _cohort_sweep(spark, d, lambda cohort: off_hours_values(inp.activity(spark, d), cohort))
+def cohort_sweep(spark, d, full=False):
+    return _cohort_sweep(spark, d, lambda cohort: off_hours_values(inp.activity(spark, d), cohort), full)
 
 
 KEYWORDS = ("that", "with", "the", "and", "les", "der")
 
 
-def cohort_sweep_keywords(spark, d):
+def cohort_sweep_keywords(spark, d, full=False):
     """Keyword counts; a user owns the document of the same number."""
     texts = inp.document_texts(spark, d)
-    return _cohort_sweep(spark, d, lambda cohort: keyword_values(texts.join(cohort, "v", "left_semi"), cohort, KEYWORDS))
+    return _cohort_sweep(spark, d, lambda cohort: keyword_values(texts.join(cohort, "v", "left_semi"), cohort, KEYWORDS), full)
 
 
-def cohort_sweep_years(spark, d):
+def cohort_sweep_years(spark, d, full=False):
     """Registration years; a user registers with the first order of the customer of the same number."""
     first = inp.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("v")).agg(F.min("o_orderdate").alias("ts"))
-    return _cohort_sweep(spark, d, lambda cohort: year_values(first.join(cohort, "v", "left_semi"), cohort))
+    return _cohort_sweep(spark, d, lambda cohort: year_values(first.join(cohort, "v", "left_semi"), cohort), full)
 
 
-def cohort_sweep_names(spark, d):
+def cohort_sweep_names(spark, d, full=False):
     """Name lengths; a user has the name of the part of the same number."""
     names = inp.table(spark, d, "part").select(F.col("p_partkey").alias("v"), F.col("p_name").alias("name"))
-    return _cohort_sweep(spark, d, lambda cohort: length_values(names.join(cohort, "v", "left_semi")))
+    return _cohort_sweep(spark, d, lambda cohort: length_values(names.join(cohort, "v", "left_semi")), full)
+
+
+def _full(query):
+    return lambda spark, d: query(spark, d, full=True)
 
 
 def _small_sweep(spark, d):
@@ -378,6 +417,13 @@ QUERIES = {
     "j10_sweep_full_facts": sweep_full_facts,
     "j11_sweep_seed_counts": sweep_seed_counts,
     "j11_sweep_topics": sweep_topics,
+    "j10_sweep_mutual_full_facts": sweep_mutual_full,
+    "j11_seed_counts_full_facts": sweep_seed_counts_full,
+    "j11_topics_full_facts": sweep_topics_full,
+    "j18_full_facts": _full(cohort_sweep),
+    "j18_keywords_full_facts": _full(cohort_sweep_keywords),
+    "j18_years_full_facts": _full(cohort_sweep_years),
+    "j18_names_full_facts": _full(cohort_sweep_names),
     "j18_cohort_sweep": cohort_sweep,
     "j18_cohort_sweep_keywords": cohort_sweep_keywords,
     "j18_cohort_sweep_years": cohort_sweep_years,
@@ -446,6 +492,9 @@ result AS (SELECT * FROM grid JOIN summary USING (run_id) JOIN mu USING (run_id,
 SWEEP_OUT = f"""SELECT run_id::bigint AS run_id, iteration::bigint AS iteration, seed_count::bigint AS seed_count, wave, edges,
   {inp.rounded_sql(*inp.SUMMARY_COLUMNS, "muProxy")} FROM result"""
 
+FACTS_OUT = """SELECT run_id::bigint AS run_id, iteration::bigint AS iteration, seed_count::bigint AS seed_count, wave, ne::bigint AS edges,
+  round(included / nv, 6) AS "lmsiAll", round(reached / nv, 6) AS "lmsiDistinct", round(av, 6) AS "avgGraphDeg",
+  round("muProxy", 6) AS "muProxy", true AS ordered FROM grid JOIN cov USING (run_id) JOIN mu USING (run_id, wave), truth"""
 
 
 def _valued_sql(topic: str) -> str:
@@ -457,15 +506,25 @@ def _valued_sql(topic: str) -> str:
 VALUED = _valued_sql("purchase")
 
 
-def _cohort_sql(vals: str) -> str:
+def _cohort_sql(vals: str, reps: int = 5, out: str = SWEEP_OUT) -> str:
     return f"""WITH {inp.EVENT_LINKS}, {inp.EVENT_COHORT},
   edges AS (SELECT DISTINCT least(src, dst) src, greatest(src, dst) dst FROM links WHERE src <> dst
     AND src IN (SELECT v FROM cohort) AND dst IN (SELECT v FROM cohort)), {inp.DEGREES},
-  vals AS ({vals}), {_sweep(range(1, 51), [5], [0, 1, 2], 5, 'vals', 'cohort', 5)} {SWEEP_OUT}"""
+  vals AS ({vals}), {_sweep(range(1, 51), [5], [0, 1, 2], reps, 'vals', 'cohort', 5)} {out}"""
 
 
 _LISTED = ", ".join(f"'{w}'" for w in KEYWORDS)
 
+COHORT_VALUES = {
+    "": "SELECT v, 1 + count(user_id) k FROM cohort LEFT JOIN events ON user_id = v AND (hour(ts) < 6 OR hour(ts) > 21) GROUP BY v",
+    "keywords_": f"""SELECT v, (1 + coalesce(sum(h), 0))::bigint k FROM cohort LEFT JOIN (SELECT doc_id,
+      len(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')), ' '), lambda x: x IN ({_LISTED}))) h
+      FROM documents) ON doc_id = v GROUP BY v""",
+    "years_": """SELECT v, coalesce(min(year(o_orderdate)) - 1900, 108)::bigint k
+      FROM cohort LEFT JOIN orders ON o_custkey = v GROUP BY v""",
+    "names_": "SELECT v, coalesce(length(p_name), 1)::bigint k FROM cohort LEFT JOIN part ON p_partkey = v",
+}
+
 _SMALL = _sweep(range(1, 51), [1, 5, 20], [1], 5, "deg", "deg")
 SMALL_SWEEP = f"""sweep_rows AS (
   SELECT 'part' dataset, * FROM (WITH {inp.PART_GRAPH}, {_SMALL} SELECT * FROM result)
@@ -558,13 +617,20 @@ ORACLES = {
     "j10_sweep_mutual": f"WITH {MUTUAL}, {_sweep(range(1, 21), [5], [0, 2, 4], 3, 'deg', 'deg', cost='2')} {SWEEP_OUT}",
     "j10_sweep_waves": f"WITH {inp.PART_GRAPH}, {_sweep([1, 2], [20], WAVES, 3, 'deg', 'deg')} {SWEEP_OUT}",
     "j11_sweep_seed_counts": f"WITH {VALUED}, {_sweep(range(1, 51), [1, 5, 10, 20, 50, 100], [2], 3, 'vals', 'vals')} {SWEEP_OUT}",
-    "j18_cohort_sweep": _cohort_sql("SELECT v, 1 + count(user_id) k FROM cohort LEFT JOIN events ON user_id = v AND (hour(ts) < 6 OR hour(ts) > 21) GROUP BY v"),
-    "j18_cohort_sweep_keywords": _cohort_sql(f"""SELECT v, (1 + coalesce(sum(h), 0))::bigint k FROM cohort LEFT JOIN (SELECT doc_id,
-      len(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')), ' '), lambda x: x IN ({_LISTED}))) h
-      FROM documents) ON doc_id = v GROUP BY v"""),
-    "j18_cohort_sweep_years": _cohort_sql("""SELECT v, coalesce(min(year(o_orderdate)) - 1900, 108)::bigint k
-      FROM cohort LEFT JOIN orders ON o_custkey = v GROUP BY v"""),
-    "j18_cohort_sweep_names": _cohort_sql("SELECT v, coalesce(length(p_name), 1)::bigint k FROM cohort LEFT JOIN part ON p_partkey = v"),
+    **{
+        f"j18_{name}full_facts": _cohort_sql(vals, 1, FACTS_OUT) for name, vals in COHORT_VALUES.items()
+    },
+    **{
+        f"j18_cohort_sweep{name and '_' + name[:-1]}": _cohort_sql(vals) for name, vals in COHORT_VALUES.items()
+    },
+    "j10_sweep_mutual_full_facts": f"WITH {MUTUAL}, {_sweep(range(1, 51), [20], [0, 2, 4], 1, 'deg', 'deg', cost='2')} {FACTS_OUT}",
+    "j11_seed_counts_full_facts": f"WITH {VALUED}, {_sweep(range(1, 51), SEED_COUNTS, [2], 1, 'vals', 'vals')} {FACTS_OUT}",
+    "j11_topics_full_facts": " UNION ALL ".join(
+        f"""(WITH {_valued_sql(topic)}, linked AS (SELECT v, vals.k FROM vals JOIN deg USING (v)),
+        {_sweep(range(1, 51), SEED_COUNTS, [2], 1, 'linked', 'deg', graph=number)}
+        SELECT {number}::bigint AS graph_id, out.* FROM ({FACTS_OUT}) out)"""
+        for number, topic in enumerate(TOPICS)
+    ),
     "l7_interval_gini": f"WITH {SMALL_SWEEP}, {INTERVAL_GINI} SELECT * FROM ginis",
     "l8_interval_table": f"""WITH {SMALL_SWEEP} SELECT dataset, seed_count::bigint AS seed_count,
       round(avg(mean / "avgGraphDeg"), 6) AS mean_ratio, round(avg((l2 - l1) / mean), 6) AS relative_interval,
