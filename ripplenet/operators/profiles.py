@@ -27,15 +27,27 @@ def profiles(
 ) -> DataFrame:
     """Texts of a user joined by blanks in ``order``: ``(v, segment, profile)``.
 
-    Ordinary users have the one segment 0. Running lengths decide the segments before anything is collected, so a user
-    with a third of all texts becomes many bounded rows, with every text in exactly one of them.
+    Ordinary users have the one segment 0 and their texts are moved once. A user of more than ``segment_chars`` becomes
+    many bounded rows, with every text in exactly one of them: running lengths decide, over keys and lengths alone. Texts
+    with one place are ordered by themselves.
     """
     body = F.coalesce(F.col("text") if text is None else text, F.lit(" "))
-    rows = texts.select("v", order, body.alias("_body")).withColumn("_chars", F.length("_body") + 1)
-    measured = ordered_running(rows, ["v"], [order], sums={"_upto": "_chars"})
-    segment = F.floor((F.col("_upto") - F.col("_chars")) / F.lit(segment_chars)).cast("bigint")
-    gathered = measured.groupBy("v", segment.alias("segment")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_body").alias("t")))).alias("_parts")
+    rows = texts.select("v", F.col(order).alias("_o"), body.alias("_body"))
+    chars = (F.length("_body") + 1).cast("bigint").alias("_chars")
+    sizes = rows.select("v", chars).groupBy("v").agg(F.sum("_chars").alias("_n"))
+    large = materialize(sizes.where(F.col("_n") > segment_chars).select("v"), "large-profiles")
+    placed = rows.withColumn("segment", F.lit(0).cast("bigint"))
+    if not large.isEmpty():
+        keyed = rows.join(large, "v", "left_semi").withColumn("_h", F.xxhash64("_body"))
+        keys = keyed.select("v", "_o", "_h", chars).groupBy("v", "_o", "_h").agg(F.sum("_chars").alias("_chars"))
+        measured = ordered_running(materialize(keys, "profile-keys"), ["v"], ["_o", "_h"], sums={"_upto": "_chars"})
+        segment = F.floor((F.col("_upto") - F.col("_chars")) / F.lit(segment_chars)).cast("bigint")
+        # Joined by place and hash, as a user with a third of all texts is one key; the struct lets null places meet.
+        at = F.struct("_o", "_h").alias("_at")
+        spread = keyed.withColumn("_at", at).join(measured.select("v", at, segment.alias("segment")), ["v", "_at"]).drop("_at")
+        placed = placed.join(large, "v", "left_anti").unionByName(spread.drop("_h"))
+    gathered = placed.groupBy("v", "segment").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_body").alias("t")))).alias("_parts")
     )
     return gathered.select("v", "segment", F.array_join(F.transform("_parts", lambda p: p["t"]), " ").alias("profile"))
 

@@ -9,12 +9,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+# Open scopes of scratch tables, innermost last: the folder of each and the names of its bucketed tables.
+_scopes: list[tuple[str, list[str]]] = []
+# Tables that several results share, by application, label and versions of their inputs.
+_shared: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,7 +40,52 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def _fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/ripplenet-tables/{label}-{uuid.uuid4().hex}"
+    folder = _scopes[-1][0] if _scopes else f"{scratch_root(spark)}/ripplenet-tables"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at its end: ``with scratch(spark): sweep(...).write.parquet(path)``.
+
+    A result that is to outlive the scope must be written or collected inside it. Scopes may be nested.
+    """
+    folder, tables = f"{scratch_root(spark)}/ripplenet-tables/scope-{uuid.uuid4().hex}", []
+    _scopes.append((folder, tables))
+    try:
+        yield
+    finally:
+        _scopes.remove((folder, tables))
+        for key in [k for k, (_, path) in _shared.items() if path.startswith(folder)]:
+            del _shared[key]
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        files, path = _file_system(spark, folder)
+        files.delete(path, True)
+
+
+def input_version(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """What tells a later state of a table's files from an earlier one: their latest change and their size."""
+    files, folder = _file_system(spark, path)
+    status = files.getFileStatus(folder)
+    parts = files.listStatus(folder) if status.isDirectory() else [status]
+    return path, max([status.getModificationTime(), *(p.getModificationTime() for p in parts)]), sum(p.getLen() for p in parts)
+
+
+def shared(spark: SparkSession, label: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` as a written table that later calls of the same label and unchanged input files find again.
+
+    It lasts as long as the ``scratch`` scope that it was first asked for in, or as the application.
+    """
+    key = (spark.sparkContext.applicationId, label, *(input_version(spark, p) for p in inputs))
+    if key not in _shared:
+        _shared[key] = materialized_at(build(), label)
+    return _shared[key][0]
 
 
 def materialized_at(df: DataFrame, label: str = "table") -> tuple[DataFrame, str]:
@@ -55,6 +105,8 @@ def materialize_bucketed(df: DataFrame, keys: list[str], buckets: int, label: st
     """Write ``df`` bucketed and sorted on ``keys``: later joins on them shuffle only the other side."""
     spark = df.sparkSession
     name = f"ripplenet_{label}_{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1][1].append(name)
     (
         df.repartition(buckets, *keys)
         .write.format("parquet")

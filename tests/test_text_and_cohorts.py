@@ -76,6 +76,20 @@ def test_profiles_keep_every_text_in_order(spark, segment_chars):
     assert [r.profile for r in found if r.v == "b"] == [" "]
 
 
+def test_long_profiles_with_repeated_and_missing_places(spark):
+    rows = [("a", i % 5, f"{i:03d}") for i in range(40)] + [("a", None, "none"), ("a", 3, "003"), ("b", 1, "x")]
+    df = spark.createDataFrame(rows, "v string, at int, text string")
+    found = profiles.profiles(df, "at", segment_chars=30).orderBy("v", "segment").collect()
+    parts = [r.profile for r in found if r.v == "a"]
+    assert len(parts) > 4 and max(map(len, parts)) <= 40
+    order = sorted([r for r in rows if r[0] == "a"], key=lambda r: (r[1] is not None, r[1] or 0))
+    said = " ".join(parts).split(" ")
+    assert sorted(said) == sorted(r[2] for r in order) and said[0] == "none"
+    place = {"none": -1} | {r[2]: r[1] for r in order if r[1] is not None}
+    assert [place[t] for t in said] == sorted(place[t] for t in said)
+    assert [(r.segment, r.profile) for r in found if r.v == "b"] == [(0, "x")]
+
+
 @pytest.fixture(scope="module")
 def words(spark):
     texts = [("u1", "alpha alpha beta gamma"), ("u2", "alpha alpha beta beta beta delta"), ("u3", "gamma gamma gamma"), ("u4", "tiny")]

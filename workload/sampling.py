@@ -9,7 +9,7 @@ from ripplenet.operators.cleaning import clean_edges, friends_of, induced_edges,
 from ripplenet.operators.structure import degrees
 from ripplenet.operators.values import keyword_values, length_values, off_hours_values, topic_values, year_values
 from ripplenet.plans import report, sweep
-from ripplenet.storage import materialize
+from ripplenet.storage import materialize, shared
 from workload import inputs as inp
 from workload.structure import EMBEDDED_BOTH, both_embedded
 
@@ -347,7 +347,13 @@ def _full(query):
 
 
 def _small_sweep(spark, d):
-    """Rows the report tables are made of: two datasets, 50 iterations, three seed counts."""
+    """Rows that the five report tables share."""
+    inputs = [f"{d}/{t}.parquet" for t in ("lineitem", "events")]
+    return shared(spark, "small-sweep", inputs, lambda: _new_small_sweep(spark, d))
+
+
+def _new_small_sweep(spark, d):
+    """Two datasets, 50 iterations, three seed counts."""
     frames = []
     for name, graph in (("part", inp.part_graph), ("event", inp.event_graph)):
         runs = sweep.parameter_grid(spark, iteration=range(1, 51), seed_count=[1, 5, 20])
