@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripplenet.operators.cleaning import clean_edges, mutual_edges
-from ripplenet.storage import materialize
+from ripplenet.storage import materialize, small_table
 
 # Column layouts of the files.
 USER_INFO = (
@@ -44,9 +44,55 @@ RESULT_COLUMNS = {
 RESULT_TYPES = {
     "method": "string", "wave": "int", "seed": "int", "vertices": "bigint", "bootCount": "int", "bootSamplePercentage": "int",
 }
+CLEANING = ("simple", "mutual", "raw")
 # Lines a reader sets aside before it stops.
 MAX_REJECTED = 10_000
-# Which of the public networks are cleaned as simple graphs and which keep mutual edges only.
+# Files of the public networks, which of them are cleaned as simple graphs, and which keep mutual edges only.
+NETWORK_FILES = {
+    "epinions-value": "epinionsuser_ratingcleaned.txt",
+    "dblp": "dblpgraph.txt",
+    "facebook": "facebook-links.txt",
+    "facebook-ego": "facebook_combined.txt",
+    "enron": "Email-Enron.txt",
+    "wiki-talk": "WikiTalk.txt",
+    "wiki-vote": "Wiki-Vote.txt",
+    "gowalla": "Gowalla_edges.txt",
+    "kite": "Brightkite_edges.txt",
+    "epinions": "soc-Epinions1.txt",
+    "slashdot+": "slashdot-zoo-pos.txt",
+    "slashdot-": "slashdot-zoo-neg.txt",
+    "prosper": "prosper-loans.txt",
+    "livemocha": "livemocha.txt",
+    "douban": "out.douban",
+    "libimseti": "out.libimseti",
+    "digg-friends": "out.digg-friends",
+    "actor-co": "out.actor-collaboration",
+    "citeser": "out.citeseer",
+    "dogster": "out.dogster",
+    "catster": "out.catster",
+    "hamster": "out.hamster",
+    "chicago": "out.chicago",
+    "california": "out.california",
+    "texas": "out.texas",
+    "jdk": "out.jdk",
+    "jung": "out.jung",
+    "linux": "out.linux",
+    "patent": "cit-Patents.txt",
+    "livejournal": "soc-LiveJournal1.txt",
+    "as-skitter": "as-skitter.txt",
+    "orkut": "com-orkut.ungraph.txt",
+    "youtube": "com-youtube.ungraph.txt",
+    "amazon": "com-amazon.ungraph.txt",
+    "web-google": "web-Google.txt",
+    "web-notredame": "web-NotreDame.txt",
+    "web-berkeley": "web-BerkStan.txt",
+    "web-stanford": "web-Stanford.txt",
+    "Ca-CondMat": "CA-CondMat.txt",
+    "CA-AstroPh": "CA-AstroPh.txt",
+    "CA-GrQc": "CA-GrQc.txt",
+    "CA-HepPh": "CA-HepPh.txt",
+    "CA-HepTh": "CA-HepTh.txt",
+}
 SIMPLE_NETWORKS = ("facebook", "dblp", "gowalla", "kite")
 MUTUAL_NETWORKS = ("enron", "wiki-talk", "epinions", "livejournal")
 
@@ -87,6 +133,22 @@ def clean_mode(name: str) -> str:
     raise ValueError(f"no cleaning rule for network {name!r}")
 
 
+def network_catalog(folder: str, clean: Mapping[str, str] | None = None) -> dict[str, Network]:
+    """The public networks with their files in ``folder``, as far as there is a rule for cleaning them.
+
+    ``clean`` names the rule of a network that has none of its own, or takes the place of that; it may only name networks
+    that are known. One without a rule is not in the catalog, so that loading it fails instead of guessing.
+    """
+    chosen = {name: clean_mode(name) for name in (*SIMPLE_NETWORKS, *MUTUAL_NETWORKS)} | dict(clean or {})
+    unknown = sorted(set(chosen) - set(NETWORK_FILES))
+    if unknown:
+        raise ValueError(f"no such networks: {', '.join(unknown)}")
+    wrong = {name: rule for name, rule in chosen.items() if rule not in CLEANING}
+    if wrong:
+        raise ValueError(f"clean must be one of {', '.join(CLEANING)}, got {wrong}")
+    return {name: Network(f"{folder.rstrip('/')}/{NETWORK_FILES[name]}", rule) for name, rule in chosen.items()}
+
+
 def load_network(spark: SparkSession, name: str, catalog: Mapping[str, Network]) -> DataFrame:
     """Read and clean a named network of the caller's ``catalog``."""
     if name not in catalog:
@@ -103,7 +165,8 @@ def load_network(spark: SparkSession, name: str, catalog: Mapping[str, Network])
 
 
 def inline_edges(spark: SparkSession, edges: Sequence[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame(list(edges), "src bigint, dst bigint")
+    """The caller's own edges as a table."""
+    return small_table(spark, ["src", "dst"], list(edges)).select(*[F.col(c).cast("bigint").alias(c) for c in ("src", "dst")])
 
 
 def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:

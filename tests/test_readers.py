@@ -60,3 +60,12 @@ def test_types_of_results_do_not_follow_the_rows(spark, tmp_path):
         (tmp_path / layout / "rows.csv").write_text("\t".join(columns) + "\n" + "\t".join(values) + "\n")
         kinds = dict(files.read_results(spark, str(tmp_path / layout), layout).dtypes)
         assert list(kinds) == columns and kinds["mean"] == kinds["lmsiAll"] == "double" and kinds["wave"] == "int"
+
+
+def test_catalog_names_and_rules():
+    catalog = files.network_catalog("/data/", {"amazon": "raw", "enron": "simple"})
+    assert catalog["amazon"] == files.Network("/data/com-amazon.ungraph.txt", "raw") and catalog["enron"].clean == "simple"
+    assert catalog["epinions"].clean == "mutual" and "orkut" not in catalog and len(catalog) == 9
+    for clean in ({"no such": "raw"}, {"amazon": "washed"}):
+        with pytest.raises(ValueError):
+            files.network_catalog("/data", clean)

@@ -301,6 +301,17 @@ def named_network(spark, d):
     return files.load_network(spark, "enron", {"enron": files.Network(path, files.clean_mode("enron"))})
 
 
+def catalog_networks(spark, d):
+    """Event links as three networks of the catalog: mutual and simple by their own rule, and raw as the caller asks."""
+    path = _folder(spark, "networks")
+    loaded = []
+    catalog = files.network_catalog(path, {"amazon": "raw"})
+    for name in ("enron", "gowalla", "amazon"):
+        files.write_tsv(inp.event_links(spark, d), catalog[name].path)
+        loaded.append(files.load_network(spark, name, catalog).select("src", "dst").withColumn("network", F.lit(name)))
+    return loaded[0].unionByName(loaded[1]).unionByName(loaded[2])
+
+
 def ratings(spark, d):
     path = _folder(spark, "ratings")
     events = inp.table(spark, d, "events")
@@ -343,6 +354,7 @@ QUERIES = {
     "b14_split_cohorts": split_cohorts,
     "a1_edge_list": edge_list,
     "a2_named_network": named_network,
+    "a2_catalog_networks": catalog_networks,
     "a3_value_counts": ratings,
     "a3_value_default": topic_values,
     "a5_user_info": user_info,
@@ -438,6 +450,10 @@ ORACLES = {
     "a1_edge_list": f"WITH {inp.EVENT_LINKS} SELECT src, dst FROM links WHERE src <> dst",
     "a2_named_network": f"""WITH {inp.EVENT_LINKS}, u AS (SELECT DISTINCT src, dst FROM links)
       SELECT a.src, a.dst FROM u a JOIN u b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""",
+    "a2_catalog_networks": f"""WITH {inp.EVENT_LINKS}, u AS (SELECT DISTINCT src, dst FROM links)
+      SELECT 'enron' AS network, a.src, a.dst FROM u a JOIN u b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
+      UNION ALL SELECT DISTINCT 'gowalla', least(src, dst), greatest(src, dst) FROM links WHERE src <> dst
+      UNION ALL SELECT 'amazon', src, dst FROM links""",
     "a3_value_counts": """SELECT user_id AS v, count(*) + 1 AS k FROM events
       WHERE length(event_type) = 8 AND event_type <> 'error' GROUP BY 1""",
     "a3_value_default": """SELECT c_custkey AS v, 1 + count(user_id) AS k FROM customer

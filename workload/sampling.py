@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ripplenet.operators import bootstrap, lookup, sampling, traversal
 from ripplenet.operators.cleaning import clean_edges, friends_of, induced_edges, mutual_edges, vertices_of
+from ripplenet.operators.ordering import assign_ids, rekey_edges
 from ripplenet.operators.structure import degrees
 from ripplenet.operators.values import keyword_values, length_values, off_hours_values, topic_values, year_values
 from ripplenet.plans import report, sweep
@@ -342,6 +343,19 @@ def cohort_sweep_names(spark, d, full=False):
     return _cohort_sweep(spark, d, lambda cohort: length_values(names.join(cohort, "v", "left_semi")), full)
 
 
+def cohort_sweep_from_names(spark, d):
+    """The off-hours sweep from links between user names: the cohort's subgraph is cut first and then gets dense ids."""
+    name = lambda c: F.concat(F.lit("user"), F.col(c).cast("string"))
+    cohort = materialize(inp.event_cohort(spark, d).select("v", name("v").alias("name")), "cohort")
+    links = inp.event_links(spark, d).select(name("src").alias("src"), name("dst").alias("dst"))
+    inside = induced_edges(links, cohort.select(F.col("name").alias("v")))
+    ids = materialize(assign_ids(cohort, "name"), "ids")
+    edges = clean_edges(rekey_edges(materialize(inside, "inside"), ids, "name"))
+    known = cohort.join(ids, "name")
+    values = off_hours_values(inp.activity(spark, d), cohort.select("v")).join(known, "v").select(F.col("id").alias("v"), "k")
+    return _sweep_rows(sweep.cohort_sweep(edges, values, ids.select(F.col("id").alias("v")), reps=5, draws="hashed"))
+
+
 def _full(query):
     return lambda spark, d: query(spark, d, full=True)
 
@@ -426,6 +440,7 @@ QUERIES = {
     "j10_sweep_mutual_full_facts": sweep_mutual_full,
     "j11_seed_counts_full_facts": sweep_seed_counts_full,
     "j11_topics_full_facts": sweep_topics_full,
+    "j18_cohort_sweep_from_names": cohort_sweep_from_names,
     "j18_full_facts": _full(cohort_sweep),
     "j18_keywords_full_facts": _full(cohort_sweep_keywords),
     "j18_years_full_facts": _full(cohort_sweep_years),
@@ -629,6 +644,12 @@ ORACLES = {
     **{
         f"j18_cohort_sweep{name and '_' + name[:-1]}": _cohort_sql(vals) for name, vals in COHORT_VALUES.items()
     },
+    "j18_cohort_sweep_from_names": f"""WITH {inp.EVENT_LINKS}, {inp.EVENT_COHORT},
+      ids AS (SELECT v, row_number() OVER (ORDER BY 'user' || v) - 1 id FROM cohort),
+      edges AS (SELECT DISTINCT least(a.id, b.id) src, greatest(a.id, b.id) dst FROM links JOIN ids a ON a.v = src JOIN ids b ON b.v = dst
+        WHERE src <> dst), {inp.DEGREES}, members AS (SELECT id v FROM ids),
+      vals AS (SELECT id v, 1 + count(user_id) k FROM ids LEFT JOIN events ON user_id = ids.v AND (hour(ts) < 6 OR hour(ts) > 21) GROUP BY id),
+      {_sweep(range(1, 51), [5], [0, 1, 2], 5, 'vals', 'members', 5)} {SWEEP_OUT}""",
     "j10_sweep_mutual_full_facts": f"WITH {MUTUAL}, {_sweep(range(1, 51), [20], [0, 2, 4], 1, 'deg', 'deg', cost='2')} {FACTS_OUT}",
     "j11_seed_counts_full_facts": f"WITH {VALUED}, {_sweep(range(1, 51), SEED_COUNTS, [2], 1, 'vals', 'vals')} {FACTS_OUT}",
     "j11_topics_full_facts": " UNION ALL ".join(
