@@ -58,7 +58,7 @@ def op7_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, directory: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, directory, "documents"), tokenizer_path())
+    return token_counts.count_and_cut(table(spark, directory, "documents"), tokenizer_path())
 
 
 def op9_near_dedup(spark: SparkSession, directory: str) -> DataFrame:

@@ -30,6 +30,8 @@ from ripplenet.llm.common import positions, whole_text
 LIMIT = 512
 # Pieces whose counts a worker keeps, and pairs of tokens whose verdict it keeps: the first ones met, so mostly frequent.
 MAX_PIECES, MAX_JOINTS = 1_000_000, 1_000_000
+# Pieces whose whole table a worker keeps.
+MAX_TABLES = 200_000
 # The tokenizer's white space, its contractions and the pattern of its pieces.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -63,6 +65,7 @@ class PrefixCounter(dict):
         self.made = {a + b: (rank, a, b) for (a, b), rank in self.merges.items()}
         self.longest = max(map(len, self.vocabulary))
         self.joints: dict[tuple[bytes, bytes], bool] = {}
+        self.tables: dict[str, tuple[int, ...]] = {}
         self.is_space = regex.compile(f"[{_SPACE}]").match
         self.find_pieces = regex.compile(_PIECE).findall
         self.cut_specials = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split
@@ -125,25 +128,35 @@ class PrefixCounter(dict):
             total += 1 if i % 2 else sum(map(ask, self.find_pieces(part)))
         return total
 
-    def _piece_counts(self, piece: str) -> list[int]:
+    def _piece_counts(self, piece: str) -> tuple[int, ...]:
         """Token count of each non-empty prefix of the piece, in characters."""
+        known = self.tables.get(piece)
+        if known is not None:
+            return known
         counts, at, out = self.table(piece.encode()), 0, []
         for c in piece:
             at += len(c.encode())
             out.append(counts[at])
-        return out
+        if len(self.tables) < MAX_TABLES and len(piece) <= 64:
+            self.tables[piece] = tuple(out)
+        return tuple(out)
 
-    def prefixes(self, text: str) -> list[int]:
+    def prefixes(self, text: str, budget: int | None = None) -> list[int]:
         """Token count of ``text[:k]`` for k from 0 to its length.
 
         White space at the end of a prefix is one piece whatever follows in the text, and a contraction cut short is no
-        contraction; a special string cut short is plain text.
+        contraction; a special string cut short is plain text behind the last whole one. With a ``budget`` the list ends
+        where no longer prefix can keep to it: whole pieces only add to the count.
         """
         out = [0]
+        behind = 0  # where the text after the last special string begins
         for i, part in enumerate(self.cut_specials(text)):
+            if budget is not None and out[-1] > budget and not self.is_space(text[len(out) - 2]):
+                break
             if i % 2:
-                before = text[: len(out) - 1]
-                out += [self.count(before + part[:k]) for k in range(1, len(part) + 1)]
+                tail, sure = text[behind : len(out) - 1], out[behind]
+                out += [sure + self.count(tail + part[:k]) for k in range(1, len(part) + 1)]
+                behind = len(out) - 1
                 continue
             done = out[-1]
             space, at_space = "", done
@@ -161,8 +174,15 @@ class PrefixCounter(dict):
                         space = ""
                     out.append(counts[k])
                 done += self[piece]
+                if budget is not None and done > budget and not space:
+                    return out
         return out
 
+    def kept(self, text: str, budget: int) -> int:
+        """Length of the longest prefix of ``text`` with at most ``budget`` tokens."""
+        counts = self.prefixes(text, budget)
+        return next(k for k in range(len(counts) - 1, -1, -1) if counts[k] <= budget)
+
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
@@ -190,6 +210,30 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def count_and_cut(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+    """``count_tokens`` with ``n_chars_kept``: the characters of the longest prefix of at most ``limit`` tokens.
+
+    It is looked up in the table of prefixes, which is filled as far as a prefix can keep to the limit. A text of no more
+    tokens is kept whole.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = counter(path)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            counts = [ask.count(t) for t in texts]
+            kept = [len(t) if n <= limit else ask.kept(t, limit) for t, n in zip(texts, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64()), pa.array(kept, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens", "n_chars_kept"],
+            )
+
+    rows = _rows(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(counted, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, n_chars_kept bigint")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chars_kept")
+
+
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, counts)``: element k of ``counts`` is the token count of the first k characters of the text."""
 

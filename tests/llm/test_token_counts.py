@@ -1,5 +1,7 @@
 """Prefix token counts against the tokenizer library on whole texts and on every prefix."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +61,35 @@ def test_small_store_gives_equal_counts(monkeypatch, library):
     monkeypatch.setattr(token_counts, "MAX_PIECES", 3)
     text = "one two three four five six seven one two three"
     assert token_counts.PrefixCounter(PATH).count(text) == library(text)
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 7])
+def test_kept_characters(spark, library, limit):
+    texts = [*ODD, "one two   three  \n\n four's<|endoftext|>  five <|endoftext|><|endoftext|> six <|endoft"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in token_counts.count_and_cut(docs, PATH, limit).collect()}
+    for i, text in enumerate(texts):
+        want = max(k for k in range(len(text) + 1) if library(text[:k]) <= limit)
+        assert (rows[i]["n_chars_kept"], rows[i]["n_tokens"]) == (want, library(text))
+        assert rows[i]["over_limit"] == (library(text) > limit)
+    assert rows[None]["n_chars_kept"] == 0
+
+
+def test_documents_cut_to_the_limit(library, documents):
+    texts = dict(documents.select("doc_id", "text").collect())
+    for r in token_counts.count_and_cut(documents, PATH).collect():
+        text, k = texts[r["doc_id"]], r["n_chars_kept"]
+        assert library(text[:k]) <= 512 and (k == len(text) or library(text[: k + 1]) > 512)
+
+
+def test_special_strings_cost_what_stands_between_them():
+    ask = token_counts.counter(PATH)
+    ask.count("some words ")
+    seconds = []
+    for n in (50, 200):
+        text = ("some words " * 90 + "<|endoftext|>") * n
+        began = time.process_time()
+        counts = ask.prefixes(text)
+        seconds.append(time.process_time() - began)
+        assert len(counts) == len(text) + 1 and counts[-1] == ask.count(text)
+    assert seconds[1] < 10 * seconds[0]
