@@ -186,8 +186,7 @@ def edited_prints(docs: DataFrame, search_every: int = SEARCH_EVERY, radius: int
     rows = rows.withColumn("_times", F.when(F.col("own"), F.col("copies") - 1).otherwise(F.lit(1)))
     rows = rows.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
     asked = ~F.col("_null") & (F.col("_id") % search_every == 0)
-    found = neighbour_counts(linked, linked.where(asked), radius)
-    rows = rows.join(found, "fingerprint", "left")
+    rows = rows.join(neighbour_counts(linked, linked.where(asked), radius), _KEY, "left")
     following = F.when(F.col("own"), F.col("fingerprint")).otherwise(F.col("next_fingerprint"))
     return rows.select(
         F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "n_chars", "edited_sha256",
@@ -197,8 +196,15 @@ def edited_prints(docs: DataFrame, search_every: int = SEARCH_EVERY, radius: int
     )
 
 
-def neighbour_counts(prints: DataFrame, asked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(fingerprint, _within)``: the rows of ``prints (fingerprint, copies)`` within the radius of each one in ``asked``."""
+def neighbour_counts(
+    prints: DataFrame, asked: DataFrame, radius: int = RADIUS, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """``(key, _within)``: the rows of ``prints (key, fingerprint, copies)`` within the radius of each row of ``asked``.
+
+    Equal fingerprints ask once; a fingerprint that many rows ask for is salted when its count goes back to them.
+    """
     held = materialize(prints.groupBy(F.col("fingerprint").alias("c")).agg(F.sum("copies").alias("_rows")), "simhash-held")
     pairs = within_radius(asked.select(F.col("fingerprint").alias("q")).distinct(), held, radius)
-    return pairs.join(held, "c").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("_rows").alias("_within"))
+    found = pairs.join(held, "c").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("_rows").alias("_within"))
+    salts = hot_keys(asked, "fingerprint", asked.count(), rows_per_salt)
+    return join_split(asked.select(*_KEY, "fingerprint"), found, "fingerprint", salts, "_h1").select(*_KEY, "_within")
