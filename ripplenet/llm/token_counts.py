@@ -68,6 +68,7 @@ class PrefixCounter(dict):
         self.tables: dict[str, tuple[int, ...]] = {}
         self.is_space = regex.compile(f"[{_SPACE}]").match
         self.find_pieces = regex.compile(_PIECE).findall
+        self.next_pieces = regex.compile(_PIECE).finditer
         self.cut_specials = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split
 
     def _stays(self, before: bytes, token: bytes) -> bool:
@@ -160,7 +161,8 @@ class PrefixCounter(dict):
                 continue
             done = out[-1]
             space, at_space = "", done
-            for piece in self.find_pieces(part):
+            for m in self.next_pieces(part):
+                piece = m.group()
                 counts = [done + n for n in self._piece_counts(piece)]
                 if piece in _CONTRACTIONS and len(piece) == 3:
                     counts[1] = done + self["'"] + self[piece[1]]
@@ -178,10 +180,30 @@ class PrefixCounter(dict):
                     return out
         return out
 
+    def _pieces(self, text: str) -> Iterator[tuple[str, int]]:
+        for i, part in enumerate(self.cut_specials(text)):
+            if i % 2:
+                yield part, 1
+            else:
+                for m in self.next_pieces(part):
+                    piece = m.group()
+                    yield piece, self[piece]
+
     def kept(self, text: str, budget: int) -> int:
-        """Length of the longest prefix of ``text`` with at most ``budget`` tokens."""
-        counts = self.prefixes(text, budget)
-        return next(k for k in range(len(counts) - 1, -1, -1) if counts[k] <= budget)
+        """Length of the longest prefix of ``text`` with at most ``budget`` tokens.
+
+        Whole pieces are added up as long as they keep to it; the table of prefixes is filled from the last piece on behind
+        which no white space could join what follows.
+        """
+        at = done = sure = fixed = 0
+        for piece, n in self._pieces(text):
+            if done + n > budget:
+                counts = self.prefixes(text[fixed:], budget - sure)
+                return fixed + next(k for k in range(len(counts) - 1, -1, -1) if counts[k] <= budget - sure)
+            at, done = at + len(piece), done + n
+            if not self.is_space(piece[-1]):
+                fixed, sure = at, done
+        return len(text)
 
 
 @lru_cache(maxsize=2)
