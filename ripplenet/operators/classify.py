@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ripplenet.storage import materialized_at, small_table
+from ripplenet.operators import forest
+from ripplenet.operators.forest import Forest
+from ripplenet.storage import materialize, materialized_at, small_table
 
 # Fixed values of the published classifier.
 TREES = 10
@@ -54,17 +54,21 @@ def feature_index(vectors: DataFrame, max_categories: int = MAX_CATEGORIES) -> D
     return few.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("values")).withColumn("categorical", F.size("values") <= max_categories)
 
 
-def fit_labels(training: DataFrame, trees: int = TREES, seed: int = 1) -> PipelineModel:
-    """Indexers, forest and label decoder, fitted on ``training(label, features)`` alone."""
-    labels = StringIndexer(inputCol="label", outputCol="indexedLabel", stringOrderType="alphabetAsc").fit(training)
-    features = VectorIndexer(
-        inputCol="features", outputCol="indexedFeatures", maxCategories=MAX_CATEGORIES, handleInvalid="keep"
-    )
-    forest = RandomForestClassifier(
-        labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=trees, seed=seed
+def fit_labels(training: DataFrame, trees: int = TREES, seed: int = 1) -> Forest:
+    """Label and feature index and forest, fitted on ``training(label, features)`` alone; ``transform`` adds ``predictedLabel``.
+
+    Features of up to ``MAX_CATEGORIES`` values are categorical. Draws hash the whole row, so they follow its key if it has one.
+    """
+    indexed = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(training)
+    if not indexed.labels:
+        raise ValueError("no labelled rows to learn from")
+    size, ids, values = forest.sparse_parts(F.col("features"))
+    rows = indexed.transform(training).select(
+        F.xxhash64(*training.columns).alias("key"), F.col("_y").cast("int").alias("y"), ids.alias("ids"), values.alias("values"), size.alias("size")
     )
-    decode = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=labels.labels)
-    return Pipeline(stages=[labels, features, forest, decode]).fit(training)
+    rows = materialize(rows, "forest-vectors")
+    index = materialize(feature_index(rows.select("ids", F.col("values").alias("counts"))), "feature-index")
+    return forest.grow(rows, index, indexed.labels, rows.agg(F.max("size")).first()[0], trees, seed)
 
 
 def train_and_score(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
