@@ -18,6 +18,9 @@ FIRST_WORD_ID = 100
 LABELLED_PERCENT = 36
 EXTERNAL_SAMPLE = 40_000
 
+# Bytes of text whose words one task counts: words of a user rarely repeat, so a task holds some 13 bytes for each.
+TASK_BYTES = 32_000_000
+
 # A profile longer than this is stored in several segments, so that no single row grows with the data.
 SEGMENT_CHARS = 16_000_000
 
@@ -57,14 +60,22 @@ def drop_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:
     return words.join(stop_words.select(F.col("value").alias("word")), "word", "left_anti")
 
 
+def _dealt_out(texts: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``texts`` in parts of about ``task_bytes``; those that fill no more than one part for each core stay where they are."""
+    whole = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-whole // task_bytes)
+    return texts.repartition(parts, "v", "text") if parts > texts.sparkSession.sparkContext.defaultParallelism else texts
+
+
 def profile_words(
-    texts: DataFrame, stop_words: DataFrame | None = None, longer_than: int = MIN_WORD_LENGTH
+    texts: DataFrame, stop_words: DataFrame | None = None, longer_than: int = MIN_WORD_LENGTH, task_bytes: int = TASK_BYTES
 ) -> DataFrame:
     """Word counts per user ``(v, word, n)`` over all of a user's ``texts(v, text)``.
 
-    This is the profile in the form everything downstream needs; the concatenated text is never built.
+    This is the profile in the form everything downstream needs; the concatenated text is never built. A task counts the
+    words of about ``task_bytes`` of text, however large the files are.
     """
-    words = texts.select("v", F.explode(word_tokens(F.col("text"), longer_than)).alias("word"))
+    words = _dealt_out(texts.select("v", "text"), task_bytes).select("v", F.explode(word_tokens(F.col("text"), longer_than)).alias("word"))
     counts = words.groupBy("v", "word").agg(F.count(F.lit(1)).alias("n"))
     return counts if stop_words is None else drop_stop_words(counts, stop_words)
 

@@ -1,6 +1,6 @@
 """Work that is done once, and in bounded tasks."""
 
-from ripplenet.operators import ordering
+from ripplenet.operators import ordering, profiles
 
 
 def test_keys_are_made_once(spark):
@@ -14,3 +14,11 @@ def test_keys_are_made_once(spark):
     keys = spark.range(30).repartition(2).mapInArrow(count, "id bigint").selectExpr("concat('w', id) AS word")
     ids = {r.word: r.id for r in ordering.assign_ids(keys, "word", base=100).collect()}
     assert ids == {w: 100 + i for i, w in enumerate(sorted(f"w{i}" for i in range(30)))} and made.value == 30
+
+
+def test_words_are_counted_in_bounded_parts(spark):
+    rows = [(i % 50, "alpha beta " * 5 + f"word{i % 7}") for i in range(400)] + [(None, "alpha gamma"), (None, None)]
+    texts = spark.createDataFrame(rows, "v int, text string").coalesce(1)
+    dealt = profiles.profile_words(texts, task_bytes=1000)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, profiles.profile_words(texts).collect()))
