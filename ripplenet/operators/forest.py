@@ -33,7 +33,7 @@ def sparse_parts(features: Column) -> tuple[Column, Column, Column]:
     values = parts["values"]
     ids = F.coalesce(parts["indices"], F.transform(values, lambda x, i: i))
     kept = F.filter(F.arrays_zip(ids.alias("id"), values.alias("value")), lambda e: e["value"] != 0)
-    return F.coalesce(parts["size"], F.size(values)), F.transform(kept, lambda e: e["id"]), F.transform(kept, lambda e: e["value"])
+    return F.coalesce(parts["size"], F.size(values)), kept["id"], kept["value"]
 
 
 def _constant(rows: list, kind: str) -> Column:
@@ -75,19 +75,28 @@ class Forest:
             at = F.transform(at, step_of(width, splits))
         return at
 
+    def placed(self, rows: DataFrame, ids: Column, values: Column, depth: int) -> DataFrame:
+        """``rows`` with ``_nodes``, the ``nodes`` of their vectors.
+
+        A vector is read once for the features that any split asks for; the trees then search these few entries.
+        """
+        asked = sorted({split["feature"] for (_, node), split in self.splits.items() if node < 2**depth})
+        entries = F.arrays_zip(ids.alias("id"), values.alias("value"))
+        read = rows.withColumn("_asked", F.filter(entries, lambda e: e["id"].isin(asked)))
+        return read.withColumn("_nodes", self.nodes(F.col("_asked.id"), F.col("_asked.value"), depth)).drop("_asked")
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``probability``, the trees' mean class shares, ``prediction`` and ``predictedLabel``."""
         _, ids, values = sparse_parts(F.col("features"))
         width = 2 ** (DEPTH + 1)
         shares = [[c / (sum(n) or 1) for c in n] if (n := self.counts.get((t, i))) else None for t in range(self.trees) for i in range(width)]
         found = _constant(shares, "array<array<double>>")
-        read = rows.withColumn("_ids", ids).withColumn("_values", values)
-        placed = read.withColumn("_shares", F.transform(
-            self.nodes(F.col("_ids"), F.col("_values"), DEPTH), lambda node, t: F.get(found, t * width + node)
-        ))
+        placed = self.placed(rows, ids, values, DEPTH).withColumn(
+            "_shares", F.transform("_nodes", lambda node, t: F.get(found, t * width + node))
+        )
         of_class = [F.transform("_shares", partial(_at, c)) for c in range(len(self.labels))]
         votes = [F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / self.trees for s in of_class]
-        voted = placed.withColumn("probability", F.array(*votes)).drop("_ids", "_values", "_shares")
+        voted = placed.withColumn("probability", F.array(*votes)).drop("_nodes", "_shares")
         first = F.array_position("probability", F.array_max("probability")).cast("int") - 1
         named = F.get(F.array(*[F.lit(name) for name in self.labels]), first)
         return voted.withColumn("prediction", first.cast("double")).withColumn("predictedLabel", named)
@@ -160,8 +169,8 @@ def grow(rows: DataFrame, index: DataFrame, labels: Sequence[str], size: int, tr
         wanted = materialize(
             distinct_positions(asked, ["tree", "node"], f"forest-{seed}").select(F.col("pos").cast("int").alias("id"), "tree", "node"), "forest-draws"
         )
-        at = rows.select("y", "times", forest.nodes(F.col("ids"), F.col("values"), level).alias("nodes"), F.arrays_zip("ids", "values").alias("_entries"))
-        entries = at.select("y", "times", "nodes", F.explode("_entries").alias("_e")).select("y", "times", "nodes", F.col("_e.ids").alias("id"), F.col("_e.values").alias("value"))
+        at = forest.placed(rows, F.col("ids"), F.col("values"), level).withColumnRenamed("_nodes", "nodes")
+        entries = at.select("y", "times", "nodes", F.explode(F.arrays_zip("ids", "values")).alias("_e")).select("y", "times", "nodes", F.col("_e.ids").alias("id"), F.col("_e.values").alias("value"))
         met = entries.join(F.broadcast(wanted), "id").where(F.get("nodes", F.col("tree").cast("int")) == F.col("node"))
         met = met.withColumn("_n", F.get("times", F.col("tree").cast("int")).cast("double")).where(F.col("_n") > 0)
         hist = met.groupBy("tree", "node", "id", "value").agg(*[F.sum(F.when(F.col("y") == c, F.col("_n")).otherwise(0.0)).alias(f"c{c}") for c in range(classes)])

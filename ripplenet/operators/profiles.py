@@ -100,14 +100,14 @@ def word_vectors(words: DataFrame, vocab: DataFrame, rows_per_salt: int = ROWS_P
     """
     salts = hot_keys(words, "word", words.count(), rows_per_salt)
     known = join_split(words, vocab, "word", salts, "v").groupBy("v").agg(
-        F.array_sort(F.collect_list(F.struct("id", "n"))).alias("_pairs"),
+        F.sort_array(F.collect_list(F.struct("id", "n"))).alias("_pairs"),
         F.sum("n").alias("tokens"),
         F.count(F.lit(1)).alias("distinct"),
     )
     return known.select(
         "v",
-        F.transform("_pairs", lambda p: p["id"]).alias("ids"),
-        F.transform("_pairs", lambda p: p["n"]).alias("counts"),
+        F.col("_pairs.id").alias("ids"),
+        F.col("_pairs.n").alias("counts"),
         "tokens",
         "distinct",
     )

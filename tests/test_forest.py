@@ -71,3 +71,34 @@ def test_forest_learns_a_few_words_among_many_and_repeats_itself(spark):
     for (t, n) in one.splits:
         assert [a + b for a, b in zip(one.counts[t, 2 * n], one.counts[t, 2 * n + 1], strict=True)] == one.counts[t, n]
     assert len({tuple(one.counts[t, 1]) for t in range(10)}) > 5
+
+
+def test_trees_search_only_the_features_that_splits_ask_for(spark):
+    """Nodes as a walk in plain Python finds them; a vector without any asked feature has value 0 everywhere."""
+    grown = forest.Forest(2, ["a", "b"])
+    grown.splits = {
+        (0, 1): {"feature": 5, "threshold": 1.5, "listed": None, "listed_left": True},
+        (0, 3): {"feature": 9, "threshold": None, "listed": [0.0, 2.0], "listed_left": False},
+        (1, 1): {"feature": 7, "threshold": None, "listed": [3.0], "listed_left": True},
+    }
+    rng = random.Random(7)
+    rows = [(i, *map(list, zip(*sorted({f: float(rng.randint(1, 3)) for f in rng.sample(range(12), 5)}.items()), strict=True))) for i in range(60)]
+    rows += [(60, [], []), (61, [0], [1.0])]
+
+    def walk(tree, x, depth):
+        node = 1
+        for _ in range(depth):
+            split = grown.splits.get((tree, node))
+            if split is None:
+                break
+            v = x.get(split["feature"], 0.0)
+            left = v <= split["threshold"] if split["threshold"] is not None else (v in split["listed"]) == split["listed_left"]
+            node = 2 * node + (not left)
+        return node
+
+    frame = spark.createDataFrame(rows, "v int, ids array<int>, counts array<double>")
+    for depth in (0, 1, 2):
+        placed = grown.placed(frame, F.col("ids"), F.col("counts"), depth)
+        assert placed.columns == ["v", "ids", "counts", "_nodes"]
+        for v, ids, counts, nodes in placed.collect():
+            assert nodes == [walk(t, dict(zip(ids, counts, strict=True)), depth) for t in range(2)], (v, depth)

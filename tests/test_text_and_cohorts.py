@@ -16,6 +16,20 @@ def test_clean_text(spark):
     assert out == ["believing wait what", " ", "", "them2 them"]
 
 
+@pytest.mark.parametrize("longer_than", [0, 1, 3])
+def test_words_come_from_one_pass_and_equal_those_of_the_cleaned_text(spark, longer_than):
+    """Tokens as the published rule finds them, without the cleaned text and the short tokens in between."""
+    rng = random.Random(2)
+    parts = ["abcd", "ABC", "a1", "Zürich", "naïve", "\u0130stanbul", "\u212Aelvin", "\U0001F600", "x" * 30, "\n", "\t", "--", "\ud55c\uae00", "_", "\x00", "4you"]
+    texts = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "."]) for _ in range(rng.randrange(40)))) for i in range(80)]
+    df = spark.createDataFrame([*texts, (80, None), (81, "")], "v int, t string")
+    cleaned = F.split(F.regexp_replace(F.lower(F.coalesce("t", F.lit(" "))), text.NON_ALNUM, " "), " ")
+    both = df.select(text.word_tokens(F.col("t"), longer_than).alias("got"), F.filter(cleaned, lambda w: F.length(w) > longer_than).alias("rule"))
+    assert all(r.got == r.rule for r in both.collect())
+    plan = df.select(text.word_tokens(F.col("t"), longer_than))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan
+
+
 def test_profile_tokens_and_scrub(spark):
     df = spark.createDataFrame([("I'm A b2 tab\there\nnow \\n end\r",)], "t string")
     row = df.select(text.profile_tokens(F.col("t")).alias("p"), text.scrub_text(F.col("t")).alias("s")).first()
