@@ -1,6 +1,7 @@
 import bisect
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,25 @@ def test_lookup_boundaries(spark, rows, expected, buckets):
     assert [r.v for r in found.orderBy("i").collect()] == expected
 
 
+def test_random_targets_are_not_shuffled_to_their_bounds(spark):
+    """Whatever the planner thinks of the sizes; bounds that are too many for a broadcast give the same rows."""
+    rng = random.Random(11)
+    weights = [(g, v, rng.randint(1, 50)) for g in range(20) for v in range(80)]
+    table = lookup.cumulative(spark.createDataFrame(weights, "g int, v bigint, w bigint"), ["g"], ["v"], "w")
+    asked = spark.createDataFrame([(g, i, rng.randint(1, 2100)) for g in range(20) for i in range(50)], "g int, i int, t bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = lookup.cumulative_lookup(asked, table, ["g"], "t", "v")
+        joined = lookup.cumulative_lookup(asked, table, ["g"], "t", "v", broadcast_rows=0)
+        got = sorted(map(tuple, sent.collect()))
+        assert got == sorted(map(tuple, joined.collect())) and len(got) == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    last_join = lambda df: re.search(r"(\w+) .*LeftOuter", df._jdf.queryExecution().executedPlan().toString())[1]
+    assert (last_join(sent), last_join(joined)) == ("BroadcastHashJoin", "SortMergeJoin")
+
+
 @pytest.mark.parametrize("rows,expected", [(HUB, [1, 1, 2, 2, 3, 4]), (HUB[1:], [2, 2, 3, 4, 4, -1])])
 @pytest.mark.parametrize("partitions", [1, 3, 8])
 def test_ordered_lookup_boundaries(spark, rows, expected, partitions):
