@@ -183,6 +183,21 @@ def test_packed_runs_are_the_runs_one_by_one(spark, n_runs):
     assert packed.rows.count() <= hit * -(-n_runs // 64)
 
 
+def test_many_runs_shuffle_bitmaps_and_few_runs_counts(spark):
+    """No number for each lane goes through the shuffle of a step; with hubs, hits are counted before it."""
+    rng = random.Random(8)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(120)})
+    frame = spark.createDataFrame([(run, v) for run in range(50) for v in rng.sample(range(40), 2)], "run_id bigint, v bigint")
+    table = spark.createDataFrame(edges, "src bigint, dst bigint")
+    found = {}
+    for name, seeds, rows_per_salt in (("many", frame, 1000), ("few", frame.where("run_id < 3"), 1000), ("hubs", frame, 3)):
+        packed = traversal.packed_increments(traversal.build_adjacency(table, rows_per_salt=rows_per_salt), seeds, 2)
+        plan = packed.rows._jdf.queryExecution().executedPlan().toString()
+        found[name] = "REPARTITION_BY_COL" in plan, sorted(map(tuple, packed.unpack().collect()))
+    assert [found[name][0] for name in ("many", "few", "hubs")] == [True, False, False]
+    assert found["many"][1] == found["hubs"][1] and found["few"][1] == [r for r in found["many"][1] if r[0] < 3]
+
+
 def test_offers_are_read_by_their_distance(spark):
     """Costs up to 9: a round reads the folders that are due, and the result is that of a shortest-path search."""
     rng = random.Random(9)
