@@ -361,16 +361,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(checked, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(v, label)`` for each vertex of ``links (a, b)``: the smallest vertex of its component.
 
-    Labels pass along links and then jump to their own label's label; every round is a written table.
+    Labels pass along links and then jump to their own label's label; every round is a written table. With ``known``, the
+    labels of earlier links, only the components that the new ``links`` join take part, and the vertices of both are labelled.
     """
-    both = materialize(
-        links.select(F.col("a").alias("v"), F.col("b").alias("u"))
-        .unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct(),
-        "links",
-    )
+    if known is not None:
+        return _joined_components(links, known)
+    both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    both = materialize(both, "links")
     labels = materialize(both.groupBy("v").agg(F.least("v", F.min("u")).alias("label")), "labels")
     while True:
         of = labels.select(F.col("v").alias("u"), F.col("label").alias("_near"))
@@ -386,6 +386,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined_components(links: DataFrame, known: DataFrame) -> DataFrame:
+    """``known (v, label)`` after the components at the ends of ``links`` became one, and the vertices that only ``links`` have."""
+    ends = labelled(links.select("a", "b"), known, "a").select(F.col("label").alias("x"), "b")
+    ends = labelled(ends, known, "b").select(F.least("x", "label").alias("a"), F.greatest("x", "label").alias("b"))
+    joins = materialize(ends.where("a < b").distinct(), "component-links")
+    if joins.isEmpty():
+        return known
+    joined = components(joins)
+    renamed = joined.select(F.col("v").alias("label"), F.col("label").alias("_new"))
+    renamed = known.join(renamed, "label", "left").select("v", F.coalesce("_new", "label").alias("label"))
+    return materialize(renamed.unionByName(joined.join(known, "v", "left_anti").select("v", "label")), "labels")
+
+
 def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -423,13 +436,11 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = test(lead_pairs(band_rows(classes.select("rep", "bands"), FIRST_BUCKETS))).unionByName(one_id)
     labels = components(links)
     parts = bucket_components(classes.select("rep", "bands"), labels)
-    links = links.unionByName(test(parts.where("_lead < lead").select(F.col("_lead").alias("a"), F.col("lead").alias("b")).distinct()))
-    labels = components(links)
+    fresh = test(parts.where("_lead < lead").select(F.col("_lead").alias("a"), F.col("lead").alias("b")).distinct())
+    links, labels = links.unionByName(fresh), components(fresh, labels)
     opened = open_buckets(parts, classes.select("rep", "bands"), labels)
     fresh = test(opened_pairs(opened))
-    if not fresh.isEmpty():
-        links = links.unionByName(fresh)
-        labels = components(links)
+    links, labels = links.unionByName(fresh), components(fresh, labels)
     large = opened.where(F.col("_n") > ALL_PAIRS).select("_key", "rep", "_lead")
     members = divided(large, labels)
     used = members.select("_key", "rep").limit(0)
@@ -440,13 +451,11 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         used, fresh = used.unionByName(chosen), test(hubs)
         if fresh.isEmpty():
             break
-        links = links.unionByName(fresh)
-        labels = components(links)
+        links, labels = links.unionByName(fresh), components(fresh, labels)
         members = divided(large, labels)
     if not members.isEmpty():
         want(members.select(F.col("rep").alias("_id")).distinct())
-        rest = materialize(remaining_links(members, sets, similarity), "links")
-        labels = labels if rest.isEmpty() else components(links.unionByName(rest))
+        labels = components(materialize(remaining_links(members, sets, similarity), "links"), labels)
     named = memberships.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
     members = named.groupBy("_id").agg(F.min(F.coalesce("label", "rep")).alias("_class"))
     return members.where(F.col("_id") != F.col("_class"))

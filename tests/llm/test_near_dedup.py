@@ -157,3 +157,20 @@ def test_rows_with_a_null_id_are_documents_of_their_own(spark):
     assert ids == [(5, 5, True), (9, 9, True)]
     nulls = sorted((r["class_id"] or 0, r["kept"]) for r in out if r["doc_id"] is None)
     assert nulls == [(0, False), (0, True), (0, True), (5, False), (9, False)]
+
+
+def test_new_links_join_components_without_walking_the_old_ones(spark, monkeypatch):
+    old = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (200, 203), (203, 204)]
+    new = [(40, 100), (101, 300), (5, 17), (200, 204), (400, 401)]
+    frame = lambda links: spark.createDataFrame(links, "a bigint, b bigint")
+    known = near_dedup.components(frame(old))
+    want = {tuple(r) for r in near_dedup.components(frame(old + new)).collect()}
+    written, write = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, label: written.append((label, out := write(df, label))) or out)
+    got = near_dedup.components(frame(new), known)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # Both ways of the three links between components; no old link is walked again.
+    assert [out.count() for label, out in written if label == "links"] == [6]
+    written.clear()
+    assert near_dedup.components(frame([(5, 17), (200, 204)]), got) is got
+    assert [label for label, _ in written] == ["component-links"]
