@@ -42,6 +42,8 @@ SLOTS = 1 << 18
 EVIDENCE, PRECISION = 10.0, 0.95
 # Texts of one label that agree in this many smallest five-word hashes, of either of two sets, are copies.
 COPY_HASHES = 3
+# Texts, copies counted once, whose words are looked at together.
+COPY_GROUPS = 250
 # Padded tokens of one step of the fit.
 BATCH_TOKENS = 100_000
 STEPS, RATE, PENALTY = 60, 0.3, 1e-4
@@ -217,16 +219,19 @@ class Sample:
         """Whether each word counts as toxic in a toxic text; copies of a text count once for a label."""
         roots, group = np.unique([self._root(i) for i in range(len(self.texts))], return_inverse=True)
         toxic = np.array([self.texts[i].label for i in roots])
-        own = [np.unique(t.words) for t in self.texts]
-        text_of, word = np.repeat(group, [len(x) for x in own]), np.concatenate(own)
+        order = np.argsort(group, kind="stable")
+        ends = np.append(np.arange(0, len(roots), COPY_GROUPS), len(roots))
         hits, misses = np.zeros(SLOTS), np.zeros(SLOTS)
-        for k in range(self.table.shape[1]):
-            slot = self.table[word, k]
-            has = slot >= 0
-            key = np.unique(text_of[has] * SLOTS + slot[has])
-            label = toxic[key // SLOTS]
-            hits += np.bincount(key[label == 1] % SLOTS, minlength=SLOTS)
-            misses += np.bincount(key[label == 0] % SLOTS, minlength=SLOTS)
+        for some in np.split(order, np.searchsorted(group[order], ends[1:-1])):  # all copies of a text are in one part
+            own = [np.unique(self.texts[i].words) for i in some]
+            text_of, word = np.repeat(group[some], [len(x) for x in own]), np.concatenate(own)
+            for k in range(self.table.shape[1]):
+                slot = self.table[word, k]
+                has = slot >= 0
+                key = np.unique(text_of[has] * SLOTS + slot[has])
+                label = toxic[key // SLOTS]
+                hits += np.bincount(key[label == 1] % SLOTS, minlength=SLOTS)
+                misses += np.bincount(key[label == 0] % SLOTS, minlength=SLOTS)
         share = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3))
         strong = np.append(_evidence(hits, misses, share) >= EVIDENCE, False)
         return strong[self.table].any(axis=1)
@@ -241,7 +246,11 @@ def _copy_keys(words: list[str]) -> tuple[tuple, tuple]:
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
     """The model of the labelled texts ``(text, label)``; ``share`` is the share of toxic ones among all labels."""
-    sample = Sample(rows)
+    return fitted(Sample(rows), share)
+
+
+def fitted(sample: Sample, share: float) -> Model | None:
+    """``fit`` without the texts, which the sample does not keep."""
     if len({t.label for t in sample.texts}) < 2:
         return None
     bad = sample.toxic_words()
@@ -355,7 +364,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, i
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows, share = training_rows(docs, labels)
-    return fit(rows, share) if rows else None
+    sample = Sample(rows)
+    del rows
+    return fitted(sample, share)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,6 +1,7 @@
 """The chain model against enumeration, and the fitted scores on held-out labels."""
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -56,6 +57,20 @@ def test_batches_give_the_same_fit(monkeypatch):
     assert np.allclose(whole.weights, parts.weights, atol=1e-4) and np.allclose(whole.transitions, parts.transitions, atol=1e-4)
 
 
+def test_evidence_is_counted_a_part_of_the_texts_at_a_time(monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(" ".join(f"{'bad' if i % 2 and w < 40 else 'w'}{w}" for w in draw.integers(0, 20_000, 400)), i % 2) for i in range(3000)]
+    sample = toxicity.Sample(rows + [(rows[k][0] + " end", 1) for k in range(1, 600, 2)])
+    tracemalloc.start()
+    words = sample.toxic_words()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words.any() and not words.all()
+    assert peak < 50e6  # 1.2 million words of texts; all of them at once took 78 MB
+    monkeypatch.setattr(toxicity, "COPY_GROUPS", 10_000)
+    assert (sample.toxic_words() == words).all()
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
