@@ -53,3 +53,23 @@ def test_shared_tables_follow_their_inputs(spark, tmp_path):
     with storage.scratch(spark):
         assert storage.shared(spark, "other", [path], build).first()["s"] == 27 and len(built) == 3
     assert storage.shared(spark, "other", [path], build).first()["s"] == 27 and len(built) == 4
+
+
+def test_settled_tables_remove_what_they_were_made_of(spark):
+    root = storage.scratch_root(spark)
+    before = tables(root)
+    found = storage.settled(spark, "kept", lambda: storage.materialize(spark.range(7), "inner").selectExpr("id + 1 AS x"))
+    assert found.agg({"x": "sum"}).first()[0] == 28
+    (new,) = set(tables(root)) - set(before)
+    assert new.startswith("kept-") and spark.conf.get(storage.FREED_SHUFFLES) == "false"
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.endswith(".data")}
+
+    before = files()
+    written = storage.materialize(spark.range(5000).repartition(7, "id"))
+    assert not files() - before
+    assert written.count() == 5000
