@@ -73,3 +73,12 @@ def test_shuffle_files_go_with_their_write(spark):
     written = storage.materialize(spark.range(5000).repartition(7, "id"))
     assert not files() - before
     assert written.count() == 5000
+
+
+def test_shared_tables_remove_what_they_were_made_of(spark, tmp_path):
+    path, root = str(tmp_path / "input"), storage.scratch_root(spark)
+    spark.range(4).write.parquet(path)
+    before = tables(root)
+    storage.shared(spark, "lasting", [path], lambda: storage.materialize(spark.read.parquet(path), "inner"))
+    (new,) = set(tables(root)) - set(before)
+    assert new.startswith("lasting-")
