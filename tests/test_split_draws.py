@@ -83,6 +83,13 @@ def test_wave_sweep_has_its_published_size(spark, tables, asked):
     assert asked == [(set(range(1, 51)), {20}, list(range(9)), 1000)]
 
 
+def test_report_sweep_has_its_published_size(spark, tables, asked):
+    """It had 5 of 1000 replicates, wave 1, and one of the four seed counts shown against embeddedness."""
+    with pytest.raises(StopIteration), storage.scratch(spark):
+        sampling._new_small_sweep(spark, tables)
+    assert asked == [(set(range(1, 51)), {1, 5, 10, 20, 40, 50, 80, 100}, [2], 1000)]
+
+
 def test_sql_repeats_split_draws(spark, tables):
     """The tree of binomials in SQL, over inversion and rejection, draws the same replicates."""
     runs = sweep.real_network_runs(spark, iterations=2, seed_count=5)
